@@ -91,3 +91,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Keep Arrow batches small, as one text may be very long: a task holds a batch in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
