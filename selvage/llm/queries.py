@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, packing
+from . import bpe, chat, minhash, packing, toxicity
 from .common import read_table
 
 
@@ -64,11 +64,23 @@ FROM rows GROUP BY conv_id
 """
 
 
+TOXIC_FROM = 0.3
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op6_minhash": op6_minhash,
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Only for operators whose whole result SQL can express.
