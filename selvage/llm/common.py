@@ -99,3 +99,12 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+#: Rows of a few numbers each that may be sent to every executor.
+SMALL_ROWS = 400_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """Hint to broadcast a materialised table of a few numeric columns, if its counted size allows it; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df

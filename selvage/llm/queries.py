@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, packing, pii, toxicity
+from . import bpe, chat, linededup, minhash, packing, pii, toxicity
 from .common import read_table
 
 
@@ -35,6 +35,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.drop_recurring_lines(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), n=4, percent=80)
 
@@ -91,6 +96,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_bpe": op3_bpe,
+    "op4_linededup": op4_linededup,
     "op6_minhash": op6_minhash,
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
