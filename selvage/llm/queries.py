@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, linededup, minhash, packing, pii, toxicity
+from . import bpe, chat, licences, linededup, minhash, packing, pii, toxicity
 from .common import read_table
 
 
@@ -44,6 +44,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_linededup": op4_linededup,
     "op6_minhash": op6_minhash,
+    "op7_licences": op7_licences,
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
