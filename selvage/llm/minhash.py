@@ -19,16 +19,21 @@ How it stays linear in large groups of copies, without dropping a link:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize
+from .common import bounded_batches, connected_components, discard, if_small, materialize
 
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
+#: Up to so many pairs of a group become rows; in larger groups they are compared in blocks.
+PAIRS_AS_ROWS = 4096
+BLOCK = 256
 
 
 class _WordHash(dict):
@@ -87,10 +92,45 @@ def _full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), _lists([shingle_set(t, n, seen) for t in batch.column(1).to_pylist()])], names=["id", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(if_small(ids), F.col("doc_id") == F.col("id"), "left_semi")
     return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
+def _linked_in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of one group, as pairs of component ids, for groups with many rows.
+
+    The documents outside a group's main component are queries against the
+    whole group.  Both sides are cut into blocks of at most about ``BLOCK``
+    rows; a task holds the full sets of two blocks and returns no pairs but only
+    which components are linked.
+    """
+    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        query, member = part[part["query"]], part[~part["query"]]
+        sets = member["shingles"].tolist()
+        size = np.array([len(x) for x in sets])
+        values = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(sets)), size)[order]
+        comp, main, rep = member["comp"].to_numpy(), member["main"].to_numpy(), member["rep"].to_numpy()
+        found: set[tuple[int, int]] = set()
+        for own, a, shingles in zip(query["comp"], query["rep"], query["shingles"]):
+            lo, hi = np.searchsorted(values, shingles, "left"), np.searchsorted(values, shingles, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+            both = np.bincount(owner[at], minlength=len(sets))
+            hit = (100 * both >= percent * (size + len(shingles) - both)) & (comp != own) & ((comp == main) | (a < rep))
+            found.update((own, c) for c in np.unique(comp[hit]).tolist())
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    rows = rows.withColumn("nq", F.ceil(F.col("minors") / BLOCK)).withColumn("nm", F.ceil(F.col("size") / BLOCK))
+    spread = F.xxhash64(F.lit(7), "rep")
+    member = rows.select("*", F.lit(False).alias("query"), F.pmod(spread, "nm").alias("mb"), F.explode(F.expr("sequence(0L, nq - 1)")).alias("qb"))
+    query = rows.where("comp <> main").select("*", F.lit(True).alias("query"), F.explode(F.expr("sequence(0L, nm - 1)")).alias("mb"), F.pmod(spread, "nq").alias("qb"))
+    cols = ["grp", "qb", "mb", "query", "rep", "comp", "main"]
+    both = member.select(cols).unionByName(query.select(cols)).join(sets, F.col("rep") == F.col("id")).drop("id")
+    return materialize(both.groupBy("grp", "qb", "mb").applyInPandas(compare, "a long, b long").distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -101,40 +141,45 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 64)
     words make one shingle.  Repeated rows give repeated results.  Other
     columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession, 256)
     share = 0.45 * percent / 80
     all_sk = materialize(sketches(docs, n, k), "sketches")
     keys = ["n_shingles", "s1", "s2"]
     reps = materialize(all_sk.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk")), "reps")
 
     # values that at least two sets retain, and for each set the rarest of them
-    pairs = reps.select("rep", "n_shingles", F.explode("sk").alias("val"))
-    shared = pairs.groupBy("val").agg(F.count("*").alias("c")).where("c > 1")
+    pairs = reps.select("rep", F.col("n_shingles").cast("int"), F.explode("sk").alias("val"))
+    shared = pairs.groupBy("val").agg(F.count("*").cast("int").alias("c")).where("c > 1")
     held = pairs.join(shared, "val").groupBy("rep", "n_shingles").agg(F.collect_list(F.struct("c", "val")).alias("vs"))
-    need = F.ceil(F.lit(share) * F.least(F.lit(k), F.col("n_shingles"))).cast("int")
+    # every possible partner of a set of at most percent * k / 100 values is retained whole: the exact bound holds
+    need = F.when(100 * F.col("n_shingles") <= percent * k, F.ceil(F.col("n_shingles") * percent / 100)).otherwise(
+        F.ceil(F.lit(share) * F.least(F.lit(k), F.col("n_shingles")))).cast("int")
     held = held.withColumn("t", F.greatest(F.lit(1), need)).where(F.size("vs") >= F.col("t"))
     held = held.withColumn("vs", F.expr("slice(array_sort(vs), 1, size(vs) - t + 1)"))
     index = materialize(held.select("rep", F.col("n_shingles").alias("n"), F.explode("vs.val").alias("val")), "index")
 
+    # only these documents can have a link to a different text
+    ids = materialize(index.select(F.col("rep").alias("id")).distinct(), "ids")
+    sets = materialize(_full_sets(docs, ids, n), "sets")
+    sk = materialize(reps.join(if_small(ids), F.col("rep") == F.col("id"), "left_semi").select("rep", "sk", (F.col("n_shingles") <= k).alias("whole")), "sk")
+
     def close(na: str, nb: str):
         return (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
     def estimated(cand: DataFrame) -> DataFrame:
         """cand(a, b): adds ``est`` from the bottom-k of the union, drops what is far below the threshold."""
-        sk = reps.select("rep", "sk")
-        x = cand.join(sk.toDF("a", "ska"), "a").join(sk.toDF("b", "skb"), "b")
-        x = x.withColumn("u", F.slice(F.array_sort(F.array_union("ska", "skb")), 1, k))
+        x = cand.join(sk.toDF("a", "ska", "wa"), "a").join(sk.toDF("b", "skb", "wb"), "b")
+        union = F.array_union("ska", "skb")
+        x = x.withColumn("u", F.when(F.col("wa") & F.col("wb"), union).otherwise(F.slice(F.array_sort(union), 1, k)))
         est = F.size(F.array_intersect("u", F.array_intersect("ska", "skb"))) / F.size("u")
-        return x.select(*cand.columns, est.alias("est")).where(F.col("est") >= share)
+        least = F.when(F.col("wa") & F.col("wb"), percent / 100 - 1e-9).otherwise(share)
+        return x.withColumn("est", est).where(F.col("est") >= least).select(*cand.columns, "est")
 
     def confirmed(cand: DataFrame) -> DataFrame:
-        ids = cand.select(F.col("a").alias("id")).union(cand.select("b")).distinct()
-        sets = materialize(_full_sets(docs, ids, n), "sets")
         x = cand.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         both = F.size(F.array_intersect("sa", "sb"))
         x = x.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
-        out = materialize(x.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b").distinct(), "links")
-        discard(sets)
-        return out
+        return materialize(x.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b"), "links")
 
     # first the hubs
     def hub(seed: int):
@@ -150,23 +195,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 64)
     links = confirmed(tried)
     comp = materialize(connected_components(links), "components")
 
-    # then every pair between different components
-    placed = index.join(comp, F.col("rep") == F.col("node"), "left").select("val", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    placed = materialize(placed, "placed")
-    main = placed.groupBy("val", "comp").agg(F.count("*").alias("c")).groupBy("val").agg(
-        F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("val", F.col("m.comp").alias("main"))
-    open_lists = placed.join(main, "val")
-    minor = open_lists.where("comp <> main").select("val", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    rest = minor.join(open_lists.withColumnRenamed("rep", "b"), "val").where(
+    # then every pair between different components: lists with the same hub make one group
+    owner = index.groupBy("val").agg(hub(1).alias("h"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("val", F.col("h.rep").alias("grp"))
+    placed = index.join(owner, "val").select("grp", "rep", "n").distinct().join(comp, F.col("rep") == F.col("node"), "left")
+    placed = materialize(placed.select("grp", "rep", "n", F.coalesce("component", "rep").alias("comp")), "placed")
+    main = placed.groupBy("grp", "comp").agg(F.count("*").alias("c")).groupBy("grp").agg(
+        F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("size")).where("comps > 1")
+    main = main.select("grp", F.col("m.comp").alias("main"), "size", (F.col("size") - F.col("m.c")).alias("minors"))
+    rows = placed.join(main, "grp")
+    small = rows.where(F.col("size") * F.col("minors") <= PAIRS_AS_ROWS)
+    minor = small.where("comp <> main").select("grp", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    pairs = minor.join(small.withColumnRenamed("rep", "b"), "grp").where(
         (F.col("ca") != F.col("comp")) & close("na", "n") & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("b"))))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = materialize(estimated(rest).select("a", "b"), "rest")
-    if not rest.isEmpty():
-        more = confirmed(rest)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = materialize(estimated(pairs).select("a", "b"), "rest")
+    large = materialize(rows.where(F.col("size") * F.col("minors") > PAIRS_AS_ROWS), "large")
+    more = [] if rest.isEmpty() else [confirmed(rest)]
+    if not large.isEmpty():
+        more.append(_linked_in_blocks(large, sets, percent))
+    if more:
         known = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comp = materialize(connected_components(known.union(more)), "components")
+        comp = materialize(connected_components(reduce(DataFrame.union, more, known)), "components")
 
-    for x in (index, placed, tried, rest):
+    for x in (index, ids, sets, sk, placed, tried, rest, large):
         discard(x)
     of_rep = reps.select(*keys, "rep").join(comp, F.col("rep") == F.col("node"), "left").select(
         *keys, F.coalesce("component", "rep").alias("root"))
