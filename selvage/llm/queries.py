@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licences, linededup, minhash, packing, pii, toxicity
+from . import bpe, chat, covertree, licences, linededup, minhash, packing, pii, toxicity
 from .common import read_table
 
 
@@ -25,6 +25,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op2_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.linked_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select(
@@ -100,6 +104,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_covertree": op2_covertree,
     "op3_bpe": op3_bpe,
     "op4_linededup": op4_linededup,
     "op6_minhash": op6_minhash,
