@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, licences, linededup, minhash, packing, pii, toxicity
+from . import bpe, chat, covertree, licences, linededup, minhash, nndescent, packing, pii, toxicity
 from .common import read_table
 
 
@@ -44,6 +44,10 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.search_own(read_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), n=4, percent=80)
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_covertree": op2_covertree,
     "op3_bpe": op3_bpe,
     "op4_linededup": op4_linededup,
+    "op5_nndescent": op5_nndescent,
     "op6_minhash": op6_minhash,
     "op7_licences": op7_licences,
     "op8_packing": op8_packing,
