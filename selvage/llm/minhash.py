@@ -138,14 +138,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 64)
     full shingle sets; a component is named by its smallest ``doc_id`` and only
     that document is kept.  Texts that are null, empty or without words have
     ``n_shingles = 0``, are linked with nothing and stay.  Fewer than ``n``
-    words make one shingle.  Repeated rows give repeated results.  Other
+    words make one shingle.  Rows without ``doc_id`` are linked with nothing, have
+    no component and stay.  Repeated rows give repeated results.  Other
     columns are ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession, 256)
     share = 0.45 * percent / 80
     all_sk = materialize(sketches(docs, n, k), "sketches")
     keys = ["n_shingles", "s1", "s2"]
-    reps = materialize(all_sk.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk")), "reps")
+    reps = materialize(all_sk.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk")), "reps")
 
     # values that at least two sets retain, and for each set the rarest of them
     pairs = reps.select("rep", F.col("n_shingles").cast("int"), F.explode("sk").alias("val"))
@@ -222,5 +223,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 64)
     of_rep = reps.select(*keys, "rep").join(comp, F.col("rep") == F.col("node"), "left").select(
         *keys, F.coalesce("component", "rep").alias("root"))
     rows = all_sk.select("doc_id", *keys).join(of_rep, keys, "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn(
-        "kept", F.col("doc_id") == F.col("component_id"))
+    named = F.col("doc_id").isNotNull()
+    return rows.select("doc_id", "n_shingles", F.when(named, F.coalesce("root", "doc_id")).alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -101,7 +101,7 @@ TOXIC_FROM = 0.3
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").where(~toxicity.held_out())
-    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels))
     return scored.select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches
 
@@ -162,11 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` of every whole text; null and empty texts get the score of no words.
+    """The same rows and columns with ``score``; null and empty texts get the score of no words.
 
-    Rows are independent: repeated rows repeat results, other columns are
-    ignored, an empty table gives an empty result.
+    Rows are independent: repeated rows repeat results.  A column of the name
+    ``score`` is replaced.  An empty table gives an empty result.
     """
+    docs = docs.drop("score")
+    at = docs.columns.index("text")
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights, whatever the input
 
@@ -176,7 +179,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         seen: dict[str, tuple[float, int]] = {}
         for batch in batches:
             margins = []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(at).to_pylist():
                 total, stems = m.bias, set()
                 for w in set(_WORDS((t or "").lower())):
                     got = seen.get(w)
@@ -191,9 +194,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     if got[1] >= 0:
                         stems.add(got[1])
                 margins.append(total + sum(weight[s] for s in sorted(stems)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.probability(np.array(margins)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.probability(np.array(margins, float)))], names=[*batch.schema.names, "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
