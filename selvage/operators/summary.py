@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from selvage.functions import geometry as G
 from selvage.functions import kernels as K
@@ -72,12 +73,12 @@ def recompute(placed: DataFrame, copies: DataFrame) -> DataFrame:
     return out.select("run_id", "material", "used_length", (F.col("filled") / F.when(size == 0, 1.0).otherwise(size)).alias("utilization"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def polygon_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([K.polygon_distance(K.as_ring(p), K.as_ring(q)) for p, q in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([K.intersection_area(K.as_ring(p), K.as_ring(q)) for p, q in zip(a, b)], dtype=float)
 

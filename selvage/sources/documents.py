@@ -62,7 +62,7 @@ def bad_number(x: Column, positive: bool = False) -> Column:
     return x.isNull() | F.isnan(x) | (F.abs(x) > 1e9) | ((x <= 0) if positive else F.lit(False))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_simple(ring: pd.Series) -> pd.Series:
     return pd.Series([r is not None and len(r) >= 3 and K.is_simple(K.as_ring(r)) for r in ring], dtype=bool)
 
