@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -186,7 +187,7 @@ def build(rows: DataFrame, k: int = 32, rounds: int = 2, most: int = 8) -> Index
     return Index(nodes, near, members, dim)
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, beam: int = 400, expand: int = 100, entries: int = 32, max_rounds: int = 60) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 10, beam: int = 300, expand: int = 100, entries: int = 32, max_rounds: int = 60) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest members found, without the query's own ``vec_id``, by Euclidean distance, ties to the smaller ``vec_id``.
 
     ``queries(query_id, embedding)``.  A walk starts from the nearest of a
@@ -228,21 +229,33 @@ def _walk(index: Index, queries: DataFrame, k: int, beam: int, expand: int, entr
         d = ((pivots - np.array(r["embedding"], float)) ** 2).sum(1)
         starts += [(r["query_id"], int(pivot_ids[i])) for i in np.argsort(d, kind="stable")[:entries]]
     own = queries.join(index.nodes, "embedding").select("query_id", "nid")
-    seen = materialize(measured(own.union(spark.createDataFrame(starts, "query_id long, nid long")).distinct()).withColumn("open", F.lit(True)), "seen")
+    first_pairs = own.union(spark.createDataFrame(starts, "query_id long, nid long")).distinct()
     best = Window.partitionBy("query_id").orderBy("d", "nid")
+    opened = Window.partitionBy("query_id", "open").orderBy("d", "nid")
+
+    def kept(rows: DataFrame) -> DataFrame:
+        """The beam: the best of each query, and which of them are expanded next."""
+        top = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r")
+        return materialize(top.withColumn("front", F.col("open") & (F.row_number().over(opened) <= expand)), "beam")
+
+    new = materialize(measured(first_pairs), "seen")
+    seen = [new]  # what a query has met; each round adds a table
+    state = kept(new.withColumn("open", F.lit(True)))
     for _ in range(max_rounds):
-        ranked = seen.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).where("open")
-        front = ranked.withColumn("r", F.row_number().over(best)).where(F.col("r") <= expand).select("query_id", "nid")
-        front = materialize(front, "front")
+        front = state.where("front").select("query_id", "nid")
         if front.isEmpty():
             break
-        next_ids = front.join(index.graph, "nid").select("query_id", F.explode("near").alias("nid")).distinct().join(seen.select("query_id", "nid"), ["query_id", "nid"], "left_anti")
-        closed = seen.join(front.withColumn("done", F.lit(True)), ["query_id", "nid"], "left").select("query_id", "nid", "d", (F.col("open") & F.col("done").isNull()).alias("open"))
-        new = materialize(closed.unionByName(measured(next_ids).withColumn("open", F.lit(True))), "seen")
-        discard(seen)
-        discard(front)
-        seen = new
-    near = seen.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("query_id", "nid", "d")
+        met = reduce(DataFrame.union, (x.select("query_id", "nid") for x in seen))
+        next_ids = front.join(index.graph, "nid").select("query_id", F.explode("near").alias("nid")).distinct().join(met, ["query_id", "nid"], "left_anti")
+        new = materialize(measured(next_ids), "seen")
+        seen.append(new)
+        before = state
+        closed = before.select("query_id", "nid", "d", (F.col("open") & ~F.col("front")).alias("open"))
+        state = kept(closed.unionByName(new.withColumn("open", F.lit(True))))
+        discard(before)
+    for x in seen:
+        discard(x)
+    near = state.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("query_id", "nid", "d")
     hits = near.join(index.members.where(F.col("r") <= k + 1).select("nid", "vec_id"), "nid").where("query_id <> vec_id")
     last = Window.partitionBy("query_id").orderBy("d", "vec_id")
     return hits.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select(
