@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 PIECE_CACHE = 200_000
-PAIR_CACHE = 300_000
+PAIR_CACHE = 500_000
 LONGEST_CACHED = 48
+#: Stands for the end of a word where a vocabulary has a suffix for it.
+END = b"\0"
 
 # The pre-token pattern of this kind of vocabulary, with white space spelt out.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -45,20 +47,26 @@ class Codec:
             doc = json.load(f)
         alphabet = byte_alphabet()
         vocab: dict[str, int] = doc["model"]["vocab"]
-        as_bytes = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items()}
+        self.suffix: str = doc["model"].get("end_of_word_suffix") or ""
+        cut = len(self.suffix)
+        as_bytes = {i: bytes(alphabet[c] for c in t[:-cut]) + END if cut and t.endswith(self.suffix) and len(t) > cut else bytes(alphabet[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in doc["added_tokens"]}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(doc["model"]["merges"]):
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
-        self.single = {b[0]: i for i, b in as_bytes.items() if len(b) == 1}
-        by_bytes = {b: i for i, b in as_bytes.items()}
+        self.merges: dict[tuple[int, int], int] = {}
+        vocab_suffixed = {i: t.endswith(self.suffix) for t, i in vocab.items()}
+        by_bytes = {b: i for i, b in as_bytes.items() if not cut or END not in b or vocab_suffixed[i]}
         size = max([*as_bytes, *self.special.values()]) + 1
-        self.length = np.zeros(size, np.int64)
+        # how an entry is made: the rank of its merge (-1: a byte) and its two parts
+        self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
+        for k, (a, b) in enumerate(doc["model"]["merges"]):
+            new = vocab[a + b]
+            self.merges[vocab[a], vocab[b]] = k
+            if self.rank[new] < 0:
+                self.rank[new], self.left[new], self.right[new] = k, vocab[a], vocab[b]
         self.shorter: list[int] = [-1] * size
         self.machine = ahocorasick.Automaton()
         for i, b in as_bytes.items():
-            self.length[i] = len(b)
-            self.machine.add_word(b.decode("latin-1"), i)
+            if not cut or END not in b or vocab_suffixed[i]:  # a word holds no U+0000 of its own
+                self.machine.add_word(b.decode("latin-1"), i)
             self.shorter[i] = next((by_bytes[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in by_bytes), -1)
         self.machine.make_automaton()
         texts = as_bytes | {i: t.encode() for t, i in self.special.items()}
@@ -66,35 +74,52 @@ class Codec:
         self.offset = np.concatenate([[0], np.cumsum(self.lengths)])
         self.buffer = np.frombuffer(b"".join(texts.get(i, b"") for i in range(size)), np.uint8)
         self.texts = texts
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
-    def _merged(self, text: bytes) -> list[int]:
-        """Lowest-rank merging, only to fill the pair table."""
-        ids = [self.single[b] for b in text]
-        while len(ids) > 1:
-            rank, at, new = min((*self.merges[p][:1], k, self.merges[p][1]) if (p := (ids[k], ids[k + 1])) in self.merges else (1 << 60, k, 0) for k in range(len(ids) - 1))
-            if rank == 1 << 60:
-                break
-            ids[at:at + 2] = [new]
-        return ids
-
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        """Whether merging leaves two neighbouring entries as they are: a row of the pair table, filled as it is needed."""
+        known = self.pairs.get(a << 17 | b)
         if known is None:
-            known = self._merged(self.texts[a] + self.texts[b]) == [a, b]
+            known = self._stay_apart(a, b)
             if len(self.pairs) < PAIR_CACHE:
-                self.pairs[a, b] = known
+                self.pairs[a << 17 | b] = known
         return known
 
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """Undo the merges that made both, the latest first: no merge across the border may come before the one undone.
+
+        Equal ranks are merged from the left, so a merge across the border precedes an equal one to its right.
+        """
+        rank, until = self.rank, 1 << 60
+        while True:
+            across = self.merges.get((a, b))
+            if across is not None and across < until:
+                return False
+            if rank[a] < 0 and rank[b] < 0:
+                return True
+            if rank[a] > rank[b]:
+                until, a = rank[a], self.right[a]
+            else:
+                until, b = rank[b] + 1, self.left[b]
+
+    def encode_word(self, word: str) -> list[int]:
+        """Ids of one pre-token of a vocabulary with an end-of-word suffix; the word holds no U+0000."""
+        return self.encode_piece(word + "\0")
+
     def encode_piece(self, piece: str) -> list[int]:
-        s = piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        s = piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1")
         straight = [i for _, i in self.machine.iter_long(s)]
-        ok = self.compatible
-        if all(ok(a, b) for a, b in zip(straight, straight[1:])):
-            return straight
+        known, ok, left, size = self.pairs.get, self.compatible, -1, 0
+        for i in straight:
+            if left >= 0 and not (known(left << 17 | i) or ok(left, i)):
+                break
+            left, size = i, size + self.lengths[i]
+        else:
+            if size == len(s):
+                return straight
         longest = [-1] * len(s)
         for end, i in self.machine.iter(s):  # ends ascend, so the longest from a start comes last
             longest[end + 1 - self.lengths[i]] = i

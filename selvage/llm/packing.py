@@ -16,7 +16,11 @@ length that a third of all pieces share is spread over many tasks.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import Codec
 from .common import bounded_batches, materialize
 
-WORD_CACHE = 250_000
+WORD_CACHE = 450_000
 LONGEST_CACHED = 48
 #: Pieces of one length that one task ranks.
 RANKED_TOGETHER = 4000
@@ -37,70 +42,54 @@ class WordTokenizer:
     """The tokenizers library's ids for a vocabulary that drops white space, word by word with a bounded cache.
 
     White space ends every pre-token of such a vocabulary, so a text's ids are
-    its words' ids joined.  Texts with special tokens or the separators U+001C
-    to U+001F, which Python splits at and the library doesn't, go to the
-    library whole.
+    its words' ids joined.  In a plain text single commas and full stops are
+    words too, and letters are lower-cased beforehand as the library does.
+    Texts with special tokens or the separators U+001C to U+001F, which Python
+    splits at and the library doesn't, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.comma, self.stop = (self._plain([x])[0] for x in ",.")
-
-    def _plain(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
-
-    @staticmethod
-    def _ends(w: str) -> bool:
-        """Its last character, a comma or a full stop, is a pre-token of its own."""
-        return len(w) > 1 and w[-1] in ",." and w[-2].lower()[-1].isalnum()
-
-    def _fill(self, missing: set[str], spare: dict[str, bytes]) -> None:
-        """Ids of words not in the cache: by their core where only ASCII case, a comma or a full stop differs."""
-        known, cores = self.words, {}
-        for w in missing:
-            core = w[:-1] if self._ends(w) else w
-            cores[w] = core.lower() if core.isascii() else core
-        todo = sorted({c for c in cores.values() if c not in known})
-        fresh = dict(zip(todo, self._plain(todo)))
-        for w, c in cores.items():
-            ids = known.get(c) or fresh.get(c, b"")
-            if self._ends(w):
-                ids += self.comma if w[-1] == "," else self.stop
-            spare[w] = ids
-        for part in (fresh, spare):
-            for w, ids in part.items():
-                if len(known) >= WORD_CACHE:
-                    return
-                if len(w) <= LONGEST_CACHED:
-                    known[w] = ids
-
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        whole: list[list[str] | None] = []
-        missing: set[str] = set()
-        for t in texts:
-            t = t or ""
-            odd = any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f")
-            words = None if odd else t.split()
-            whole.append(words)
-            if words is not None:
-                missing.update(set(words).difference(self.words))
-        spare: dict[str, bytes] = {}
-        if missing:
-            self._fill(missing, spare)
-        out = []
-        for t, words in zip(texts, whole):
-            if words is None:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4"))
-                continue
-            get = self.words.get
-            out.append(np.frombuffer(b"".join([get(w) or spare.get(w, b"") for w in words]), "<u4"))
-        return out
+        self.codec = Codec(path)
+        if self.library.get_vocab_size() > 1 << 16:
+            raise ValueError("the cache keeps ids in 16 bits")
+        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *(t.content for t in self.library.get_added_tokens_decoder().values())]
+        self.run = re.compile(r"[.,](?<=[^\w\s].|_.)").search  # a mark right after another one: both are one pre-token
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def words(self, text: str) -> list[str]:
+        """Words; with single commas and full stops apart if the text is composed, has no marks side by side and no letter whose lower case depends on its place or adds a mark."""
+        if self.run(text) or "\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+            return text.split()
+        return text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . \n").split()
+
+    def _new(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            # letters alone, lower case and composed, are one pre-token that the library leaves as it is
+            if word.isalpha() and word.islower() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+                ids = array("H", self.codec.encode_word(word)).tobytes()
+            else:
+                ids = array("H", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONGEST_CACHED:
+            self.young[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> np.ndarray:
+        text = text or ""
+        if any(x in text for x in self.odd):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        get, new = self.young.get, self._new
+        out = b"".join([get(w) or new(w) for w in self.words(text)])
+        if len(self.young) > WORD_CACHE:  # what a generation doesn't use is forgotten
+            self.old, self.young = self.young, {}
+        return np.frombuffer(out, "<u2").astype("<u4")
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -115,8 +104,8 @@ def pieces(docs: DataFrame, path: str, max_tokens: int, end_id: int) -> DataFram
         tail = np.array([end_id], "<u4")
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), tok.encode_batch(batch.column(1).to_pylist())):
-                ids = np.concatenate([ids, tail])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = np.concatenate([tok.encode(text), tail])
                 for k, s in enumerate(range(0, len(ids), max_tokens)):
                     part = ids[s:s + max_tokens]
                     rows.append((doc, k, s, len(part), zlib.crc32(part.tobytes())))
