@@ -131,9 +131,23 @@ def fit(background: list[str], steps: int = 400) -> Model:
     heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=lambda h: -(np.log(_softmax(z / h) + 1e-12) * y[held]).sum())
     use = np.flatnonzero(np.abs(w).max(1) > 1e-6)
     weights = {vocab[k]: w[k] for k in use}
-    lead = w[:, :-1].max(1) - w[:, -1]
-    triggers = sorted({word for k in use if lead[k] > 0 for word in vocab[k].split() if place.get(word) is not None})
-    return Model(weights, b, heat, triggers)
+    return Model(weights, b, heat, _triggers({vocab[k]: w[k] for k in use}, b, common))
+
+
+def _triggers(weights: dict[str, np.ndarray], bias: np.ndarray, common: dict[str, int]) -> list[str]:
+    """Words without which no line can win against the unknown class, whatever other n-grams it holds; rare ones first."""
+    gain = {g: np.maximum(w[:-1] - w[-1], 0) for g, w in weights.items()}
+    need = bias[-1] - bias[:-1]
+    chosen: list[str] = []
+    while gain and ((left := sum(gain.values())) >= need).any():
+        by_word: dict[str, float] = {}
+        for g, v in gain.items():
+            for word in set(g.split()):
+                by_word[word] = by_word.get(word, 0.0) + float(v[left >= need].sum())
+        best = max(sorted(by_word), key=lambda x: by_word[x] / (1 + common.get(x, 0)))
+        chosen.append(best)
+        gain = {g: v for g, v in gain.items() if best not in g.split()}
+    return sorted(chosen)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -179,11 +193,14 @@ def scan(docs: DataFrame, model: Model, least_probability: float = 0.5, least_si
         f"CASE WHEN size(ws) < {n} THEN array() ELSE transform(sequence(1, size(ws) - {n - 1}), i -> array_join(slice(ws, i, {n}), ' ')) END") for n in ORDERS[1:]]
     key = ["doc_id", "dh", "line"]
     rows = rows.withColumn("speaks", F.lower("para").rlike(speaks)).withColumn("gs", F.array_distinct(F.concat(*lists)))
-    each = rows.select(*key, "speaks", F.size("gs").alias("n"), F.explode("gs").alias("gram"))
-
-    hit = each.join(F.broadcast(weights), "gram", "left")  # the model's n-grams: bounded by the templates
-    sums = hit.groupBy(*key, "n", "speaks").agg(*(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)).alias(f"z{k}") for k in range(size)))
-    z = [(F.col(f"z{k}") + float(model.bias[k])) / model.temperature for k in range(size)]
+    # the n-grams of the model and the templates; the rest of the line counts only by its length
+    vocabulary = sorted({*model.weights, *(g for g, *_ in known)})
+    rows = rows.select(*key, "speaks", F.size("gs").alias("n"), F.array_intersect("gs", F.lit(vocabulary)).alias("gs")).where("speaks OR size(gs) > 0")
+    each = rows.select(*key, "speaks", "n", F.explode_outer("gs").alias("gram"))
+
+    hit = each.join(F.broadcast(weights), "gram", "left")
+    sums = hit.groupBy(*key, "n", "speaks").agg(*(F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(size)))
+    z = [(F.coalesce(f"z{k}", F.lit(0.0)) + float(model.bias[k])) / model.temperature for k in range(size)]
     scored = sums.select(*key, "n", "speaks", F.array(*z).alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))
     family = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("z", F.col("top")).cast("int"))
