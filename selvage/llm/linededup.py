@@ -83,16 +83,17 @@ def drop_recurring_lines(docs: DataFrame, least_texts: int = 3, changing: float
 
     Null texts stay null with no lines; empty texts and blank lines are never
     recurring; a document of nothing but recurring lines becomes empty.  Repeated
-    rows are treated alike and count once.  Other columns are kept; an empty
+    rows are treated alike and count once.  Other columns are kept, whatever their names; an empty
     table gives an empty result.
     """
-    cols = docs.columns
-    cut = recurring(docs, least_texts, changing).toDF("_id", "_dh", "_dropped")
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    rows = rows.join(cut, rows["doc_id"].eqNullSafe(cut["_id"]) & (rows["_h"] == cut["_dh"]), "left")
-    rows = rows.withColumn("_lines", F.split("text", "\n")).withColumn("_text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.expr(
-        "array_join(transform(array_except(sequence(0, size(_lines) - 1), _dropped), i -> _lines[i]), '\\n')")))
+    cut = recurring(docs.select("doc_id", "text"), least_texts, changing)
+    # a row's own columns stay in one struct, so that none can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("dh"), F.split("text", "\n").alias("lines"))
+    rows = rows.join(cut.toDF("cut_id", "cut_dh", "dropped"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("dh") == F.col("cut_dh")), "left")
+    text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.expr(
+        "array_join(transform(array_except(sequence(0, size(lines) - 1), dropped), i -> lines[i]), '\n')"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return rows.select(
-        *(F.col("_text").alias("text") if c == "text" else F.col(c) for c in cols),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long").alias("n_dropped"))
+        *(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in own),
+        F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"))

@@ -209,7 +209,7 @@ def _walk(index: Index, queries: DataFrame, k: int, beam: int, expand: int, entr
     rows = queries.collect()  # about QUERY_BLOCK vectors at most
     ids = np.array([r["query_id"] for r in rows], np.int64)
     order = np.argsort(ids)
-    shared = spark.sparkContext.broadcast((ids[order], np.array([rows[i]["embedding"] for i in order], float).reshape(len(ids), -1)))
+    shared = spark.sparkContext.broadcast((ids[order], np.array([rows[i]["embedding"] for i in order], float).reshape(len(ids), index.dim)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = shared.value
@@ -223,7 +223,7 @@ def _walk(index: Index, queries: DataFrame, k: int, beam: int, expand: int, entr
 
     first = index.nodes.orderBy(F.xxhash64(F.lit(29), "nid"), "nid").limit(PIVOTS).collect()
     pivot_ids = np.array([r["nid"] for r in first], np.int64)
-    pivots = np.array([r["embedding"] for r in first], float).reshape(len(first), -1)
+    pivots = np.array([r["embedding"] for r in first], float).reshape(len(first), index.dim)
     starts = []
     for r in rows if len(first) else []:
         d = ((pivots - np.array(r["embedding"], float)) ** 2).sum(1)

@@ -17,8 +17,9 @@ def usable(vector: str = "embedding") -> Column:
 
 def matrix(column: pa.Array | pa.ChunkedArray, dtype: type = np.float64) -> np.ndarray:
     """Rows of a list column whose lists have one length."""
-    flat = column.flatten().to_numpy(zero_copy_only=False) if len(column) else np.empty(0)
-    return flat.astype(dtype, copy=False).reshape(len(column), -1)
+    if not len(column):
+        return np.empty((0, 1), dtype)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(column), -1)
 
 
 def distinct_vectors(rows: DataFrame, *keys: str) -> DataFrame:
