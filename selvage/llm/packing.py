@@ -26,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Codec
 from .common import bounded_batches, materialize
 
-WORD_CACHE = 450_000
+WORD_CACHE = 600_000
 LONGEST_CACHED = 48
 #: Pieces of one length that one task ranks.
 RANKED_TOGETHER = 4000
@@ -60,36 +61,55 @@ class WordTokenizer:
             raise ValueError("the cache keeps ids in 16 bits")
         self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *(t.content for t in self.library.get_added_tokens_decoder().values())]
         self.run = re.compile(r"[.,](?<=[^\w\s].|_.)").search  # a mark right after another one: both are one pre-token
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # the table: words, their ids one after the other, how many each has, and which were used lately
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.size, self.used = np.empty(0, "<u2"), np.empty(0, np.int64), np.empty(0, bool)
 
-    def words(self, text: str) -> list[str]:
-        """Words; with single commas and full stops apart if the text is composed, has no marks side by side and no letter whose lower case depends on its place or adds a mark."""
+    def prepared(self, text: str) -> str:
+        """The text; with single commas and full stops apart if it is composed, has no marks side by side and no letter whose lower case depends on its place or adds a mark."""
         if self.run(text) or "\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
-            return text.split()
-        return text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . \n").split()
-
-    def _new(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            # letters alone, lower case and composed, are one pre-token that the library leaves as it is
-            if word.isalpha() and word.islower() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-                ids = array("H", self.codec.encode_word(word)).tobytes()
-            else:
-                ids = array("H", self.library.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= LONGEST_CACHED:
-            self.young[word] = ids
-        return ids
-
-    def encode(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        if any(x in text for x in self.odd):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        get, new = self.young.get, self._new
-        out = b"".join([get(w) or new(w) for w in self.words(text)])
-        if len(self.young) > WORD_CACHE:  # what a generation doesn't use is forgotten
-            self.old, self.young = self.young, {}
-        return np.frombuffer(out, "<u2").astype("<u4")
+            return text
+        return text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . \n")
+
+    def _ids(self, word: str) -> bytes:
+        # letters alone, lower case and composed, are one pre-token that the library leaves as it is
+        if word.isalpha() and word.islower() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            return array("H", self.codec.encode_word(word)).tobytes()
+        return array("H", self.library.encode(word, add_special_tokens=False).ids).tobytes() if word else b""
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text.  Every distinct word of the batch is looked up once; its ids are gathered for all its places."""
+        whole = [any(x in (t or "") for x in self.odd) for t in texts]
+        lists = pc.utf8_split_whitespace(pa.array(["" if w else self.prepared(t or "") for t, w in zip(texts, whole)], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        row = pc.index_in(words, self.known).fill_null(-1).to_numpy().astype(np.int64)
+        fresh = np.flatnonzero(row < 0)
+        row[fresh] = len(self.known) + np.arange(len(fresh))
+        parts = [self._ids(w) for w in words.take(pa.array(fresh)).to_pylist()]
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(parts), "<u2")])
+        size = np.concatenate([self.size, np.fromiter(map(len, parts), np.int64, len(parts)) // 2])
+        start = np.cumsum(size) - size
+        word = row[coded.indices.to_numpy(zero_copy_only=False)]
+        count = size[word]
+        ends = np.cumsum(count)
+        flat = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[word] - ends + count, count)].astype("<u4")
+        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        self._keep(pa.concat_arrays([self.known, words.take(pa.array(fresh))]), ids, size, row)
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") if w else flat[a:b] for t, w, a, b in zip(texts, whole, cuts, cuts[1:])]
+
+    def _keep(self, known: pa.Array, ids: np.ndarray, size: np.ndarray, row: np.ndarray) -> None:
+        """The table with the new words; when it is full, only words that were used since it was last cut, and short ones."""
+        used = np.zeros(len(known), bool)
+        used[:len(self.used)] = self.used
+        used[row] = True
+        if len(known) > WORD_CACHE:
+            keep = used & (pc.binary_length(known).to_numpy(zero_copy_only=False) <= LONGEST_CACHED)
+            if keep.sum() > WORD_CACHE // 2:
+                keep[:] = False
+                keep[row] = pc.binary_length(known.take(pa.array(row))).to_numpy(zero_copy_only=False) <= LONGEST_CACHED
+            known, ids, size, used = known.filter(pa.array(keep)), ids[np.repeat(keep, size)], size[keep], np.zeros(int(keep.sum()), bool)
+        self.known, self.ids, self.size, self.used = known, ids, size, used
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -97,15 +117,15 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 def pieces(docs: DataFrame, path: str, max_tokens: int, end_id: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each text's ids and ``end_id``, cut only where longer than ``max_tokens``."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, WordTokenizer(path))
         tail = np.array([end_id], "<u4")
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([tok.encode(text), tail])
+            for doc, ids in zip(batch.column(0).to_pylist(), tok.encode_batch(batch.column(1).to_pylist())):
+                ids = np.concatenate([ids, tail])
                 for k, s in enumerate(range(0, len(ids), max_tokens)):
                     part = ids[s:s + max_tokens]
                     rows.append((doc, k, s, len(part), zlib.crc32(part.tobytes())))
