@@ -93,12 +93,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small, as one text may be very long: a task holds a batch in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
+    """Keep Arrow batches small in rows and bytes, as texts may be very long: a task holds a batch in memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        try:
+            now = int(spark.conf.get(key))
+        except Exception:  # given with a unit, or not known to this version
+            now = 0
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 #: Rows of a few numbers each that may be sent to every executor.

@@ -123,7 +123,7 @@ def platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[fl
     return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 9000, max_negative: int = 3000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unlabelled: int = 6000, max_negative: int = 2500) -> Model:
     """Fit on at most ``max_positive`` toxic rows of ``labels(doc_id, toxic)``, ``max_unlabelled`` documents and, for the curve, ``max_negative`` clean rows.
 
     The samples are the rows with the smallest hash of ``doc_id``.  A document
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     rows = sample.mapInArrow(run, "doc_id long, kinds string, x binary").collect()
     rows = sorted(((r["doc_id"], r["kinds"], np.frombuffer(r["x"], np.int32)) for r in rows), key=lambda r: r[:2])
     toxic = [x for _, k, x in rows if "p" in k]
-    held = toxic[::5]
+    held = toxic[::5]  # for the curve only
     positive = [x for i, x in enumerate(toxic) if i % 5]
     weights, bias = fit(positive, [x for _, k, x in rows if "u" in k], prior)
     clean = [x for _, k, x in rows if "n" in k]
