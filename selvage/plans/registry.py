@@ -12,12 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selvage.functions import geometry as G
+from selvage.functions import labels as L
 from selvage.functions import text as X
+from selvage.operators import building as B
 from selvage.operators import cells as C
+from selvage.operators import layout as Y
 from selvage.operators import nesting as N
 from selvage.operators import prepare as P
 from selvage.operators import sheet as S
 from selvage.operators import summary as M
+from selvage.operators import tracing as V
 from selvage.plans import derived as D
 from selvage.sources import documents as J
 from selvage.streaming import progress as R
@@ -404,6 +408,63 @@ def onion_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.onion_levels(*cell_graph(spark, sf_dir), cm_per_pt=1.0).groupBy("outline").agg(F.count_distinct("level").alias("levels"))
 
 
+@query("""
+SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'lining' WHEN 1 THEN 'main' WHEN 2 THEN 'podšívka' ELSE 'main' END AS material,
+    CAST(CASE p_partkey % 4 WHEN 0 THEN p_size * 2 WHEN 3 THEN 1 ELSE p_size END AS INTEGER) AS count, 'Part ' || chr(CAST(65 + p_partkey % 26 AS INTEGER)) || 'x' AS name
+FROM part""")
+def cut_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut instructions in several wordings read from the labels of a piece."""
+    i = F.col("p_partkey")
+    n = F.col("p_size").cast("string")
+    name = F.concat(F.lit("Part "), F.char((65 + i % 26).cast("long")), F.lit("x"))
+    label = F.when(i % 4 == 0, F.concat(F.lit("cut "), n, F.lit(" pairs lining"))).when(i % 4 == 1, F.concat(n, F.lit("x"))).when(i % 4 == 2, F.concat(F.lit("Podšívku "), n, F.lit("×"))).otherwise(F.lit("scale 10 cm"))
+    rows = D.table(spark, sf_dir, "part").select(i.alias("doc"), i.alias("id"), F.array(name, label).alias("labels"))
+    parsed = L.cut_labels(rows)
+    return parsed.select("id", F.col("parsed.cut")[0]["material"].alias("material"), F.col("parsed.cut")[0]["count"].alias("count"), F.col("parsed.name").alias("name"))
+
+
+@query("SELECT p_partkey % 100 AS doc, CASE WHEN p_partkey % 100 % 3 = 0 THEN 'included' WHEN p_partkey % 100 % 3 = 1 THEN 'none' ELSE 'unknown' END AS seam FROM part GROUP BY 1, 2")
+def seam_allowance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.col("p_partkey") % 100
+    says = F.when(doc % 3 == 0, "includes 1 cm seam allowance").when(doc % 3 == 1, "Ohne  Nahtzugabe").otherwise(F.col("p_name"))
+    texts = D.table(spark, sf_dir, "part").select(doc.alias("doc"), F.lit(1).alias("page"), F.col("p_partkey").cast("double").alias("x"), F.lit(0.0).alias("y"), says.alias("str"))
+    return L.seam_allowance(texts)
+
+
+@query("""
+WITH p AS (SELECT s_suppkey AS doc, CAST(unnest(range(1, 7)) AS INTEGER) AS page FROM supplier)
+SELECT doc, CASE WHEN doc % 2 = 0 THEN 1 ELSE page END AS first, CASE WHEN doc % 2 = 0 THEN 6 ELSE page END AS last FROM p GROUP BY 1, 2, 3""")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six labelled pages for each supplier: two rows of three, or labels that contradict the order of the pages."""
+    doc = F.col("s_suppkey")
+    each = D.table(spark, sf_dir, "supplier").select(doc.alias("doc"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("page"))
+    k = F.when(F.col("doc") % 2 == 0, F.col("page") - 1).otherwise(F.pmod((F.col("page") - 1) * 5 + 2, F.lit(6)))
+    label = F.concat(F.when(k < 3, "A").otherwise("B"), (k % 3 + 1).cast("string"))
+    texts = each.select("doc", "page", label.alias("str"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(8.0).alias("height"))
+    steps = each.select("doc").distinct().select(F.col("doc").cast("string"), F.lit(180.0).alias("step_x"), F.lit(280.0).alias("step_y"))
+    texts = texts.withColumn("doc", F.col("doc").cast("string"))
+    found = Y.blocks(texts.select("doc", "page"), Y.grid_links(Y.label_matches(texts, steps), steps))
+    return found.select(F.col("doc").cast("long").alias("doc"), "first", "last")
+
+
+@query("SELECT p_partkey AS piece_id, CAST(1 AS BIGINT) AS outlines, true AS near FROM part")
+def trace_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece drawn as a line and traced back: one outline, its border within 3 mm on average, with pixels of 2 mm."""
+    rows = D.pieces(spark, sf_dir)
+    lines = rows.select(F.col("piece_id").cast("string").alias("doc"), F.lit("uni").alias("size"), F.concat("outline", F.array(F.element_at("outline", 1))).alias("points"), F.lit(0.1).alias("width"))
+    traced = V.trace_sizes(lines, cm_per_pt=1.0, pixel_mm=2.0).groupBy(F.col("doc").cast("long").alias("doc")).agg(F.count("*").alias("outlines"), F.sum("area").alias("traced"))
+    own = rows.select(F.col("piece_id"), G.area("outline").alias("own"), S.polyline_length("outline", True).alias("around"))
+    return own.join(traced, F.col("piece_id") == F.col("doc")).select("piece_id", "outlines", (F.abs(F.col("traced") - F.col("own")) < 0.3 * F.col("around")).alias("near"))
+
+
+@query(_with(D.PIECES_SQL, tail=_EDGES + """
+SELECT piece_id, floor((max(a[1]) - min(a[1])) * 10 + 0.5) / 10 AS height, floor((max(a[2]) - min(a[2])) * 10 + 0.5) / 10 AS width FROM d_edge GROUP BY piece_id"""))
+def build_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces whose grain runs along x are turned upright."""
+    rows = D.pieces(spark, sf_dir).select("piece_id", "outline", F.col("outline").alias("reference"), F.lit(0.0).alias("grain"))
+    return B.build_shapes(rows, 1.0).select("piece_id", F.col("shape.bbox")[0].alias("width"), F.col("shape.bbox")[1].alias("height"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders to markers: copies joined to pieces and fabrics, placed marker by marker."""
     return nest_markers(spark, sf_dir)
