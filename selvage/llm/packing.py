@@ -133,6 +133,7 @@ def pieces(docs: DataFrame, path: str, max_tokens: int, end_id: int) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()  # idle workers share the executor's memory
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long")
