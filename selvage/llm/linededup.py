@@ -6,10 +6,12 @@ Where a leaf holds several masked lines, the positions at which one token has
 the majority are constant and the rest are variable; lines that agree with
 enough constant positions share that template, others are their own.
 
-A template recurs if it stands in enough different texts *and* in changing
-surroundings: copies of a whole document repeat their lines next to the same
-neighbours and are left to document-level deduplication.  Lines of recurring
-templates are dropped from every document.
+A template recurs if it stands in enough texts that are unrelated to each other:
+texts of which a share of the word pairs stands in one only.  Copies of a whole
+document, however many, are related and count once; they are left to
+document-level deduplication.  What surrounds a line does not matter, so lines
+of blocks (headers, footers, passages) recur like single ones.  Lines of
+recurring templates are dropped from every document.
 """
 
 from __future__ import annotations
@@ -21,7 +23,10 @@ from .common import discard, if_small, materialize
 
 DEPTH = 3
 AGREEMENT = 0.6
-NEIGHBOUR = 2
+#: Word pairs of a text that are kept to compare it, those with the smallest hash.
+SKETCH = 96
+#: Texts whose numbers of different word pairs differ more are unrelated.
+LONGER = 4
 
 
 def _masked(line: Column) -> Column:
@@ -29,18 +34,37 @@ def _masked(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, dh, pos, before, after, tokens``, a row for each line with words; ``dh`` fingerprints the whole text."""
+    """``doc_id, dh, pos, tokens, th, leaf``, a row for each line with words; ``dh`` fingerprints the whole text."""
     cut = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("dh"), F.split("text", "\n").alias("lines"))
-    # a neighbour is known by its first tokens: copies of a text that differ in single words keep most of them
-    cut = cut.withColumn("leads", F.transform("lines", lambda x: F.xxhash64(F.substring_index(F.trim(x), " ", NEIGHBOUR))))
-    rows = cut.select("doc_id", "dh", F.inline(F.expr(
-        "transform(lines, (x, i) -> struct(i AS pos, x AS line, get(leads, i - 1) AS before, get(leads, i + 1) AS after))")))
+    rows = cut.select("doc_id", "dh", F.posexplode("lines").alias("pos", "line"))
     rows = rows.where(F.col("line").rlike(r"\S")).withColumn("tokens", F.split(F.trim(_masked(F.col("line"))), r"\s+"))
     return rows.select(
-        "doc_id", "dh", "pos", F.xxhash64("before", "after").alias("ctx"), "tokens",
+        "doc_id", "dh", "pos", "tokens",
         F.xxhash64("tokens").alias("th"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
 
 
+def _sketches(docs: DataFrame) -> DataFrame:
+    """``dh, pairs, n``: the SKETCH smallest hashes of the word pairs of each different text, and how many there are."""
+    cut = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("dh"), F.split("text", "\n").alias("lines"))
+    words = F.transform("lines", lambda x: F.filter(F.split(_masked(x), r"\s+"), lambda t: t != ""))
+    hashed = F.flatten(F.transform(words, lambda w: F.transform(w, lambda t, i: F.xxhash64(t, F.get(w, i + 1)))))
+    rows = cut.select("dh", F.array_sort(F.array_distinct(hashed)).alias("pairs")).where(F.size("pairs") > 0)
+    return rows.select("dh", F.slice("pairs", 1, SKETCH).alias("pairs"), F.size("pairs").alias("n")).dropDuplicates(["dh"])
+
+
+def _unrelated(apart: float) -> Column:
+    """Whether texts with sketches ``pairs, n`` and ``o_pairs, o_n`` differ: the share ``apart`` of either's word pairs is not in the other, as estimated up to the hash that both sketches reach."""
+    def reach(pairs: str, n: str) -> Column:
+        return F.when(F.col(n) > SKETCH, F.element_at(pairs, -1)).otherwise(F.lit(2**63 - 1))
+
+    def alone(x: Column, other: str) -> Column:
+        return F.size(F.array_except(x, F.col(other))) / F.size(x)
+
+    top = F.least(reach("pairs", "n"), reach("o_pairs", "o_n"))
+    own, others = F.filter("pairs", lambda v: v <= top), F.filter("o_pairs", lambda v: v <= top)
+    return (F.greatest("n", "o_n") > LONGER * F.least("n", "o_n")) | (F.greatest(alone(own, "o_pairs"), alone(others, "pairs")) >= apart)
+
+
 def _templates(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     """``th, template`` for masked lines that join a generalised template of their leaf."""
     several = materialize(narrow.groupBy("leaf").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("leaf"), "leaves")
@@ -58,27 +82,49 @@ def _templates(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     return out
 
 
-def recurring(docs: DataFrame, least_texts: int = 3, changing: float = 0.5) -> DataFrame:
+def _spread(places: DataFrame, sketches: DataFrame, least_texts: int, apart: float) -> DataFrame:
+    """``g`` of ``places(g, dh)`` that have ``least_texts`` texts unrelated to each other.
+
+    One text of each template is taken and all that are related to it leave;
+    another of the rest follows.  Pairs of texts are compared once for all their lines.
+    """
+    left, held = places, []
+    for _ in range(least_texts - 1):
+        taken = materialize(left.groupBy("g").agg(F.min("dh").alias("o_dh")), "taken")
+        beside = materialize(left.join(if_small(taken), "g").where("dh <> o_dh"), "beside")
+        pairs = beside.select("dh", "o_dh").distinct().join(sketches, "dh")
+        pairs = pairs.join(sketches.toDF("o_dh", "o_pairs", "o_n"), "o_dh")
+        apart_pairs = materialize(pairs.where(_unrelated(apart)).select("dh", "o_dh"), "apart")
+        left = materialize(beside.join(apart_pairs, ["dh", "o_dh"]).select("g", "dh"), "left")
+        held += [taken, beside, apart_pairs, left]
+    out = materialize(left.select("g").distinct(), "recurring")
+    for x in held:
+        discard(x)
+    return out
+
+
+def recurring(docs: DataFrame, least_texts: int = 3, apart: float = 0.3) -> DataFrame:
     """``doc_id, dh, dropped``: positions of the lines of recurring templates.
 
-    A template recurs with ``least_texts`` different texts and as many different
-    surroundings, if the latter are at least the share ``changing`` of its
-    occurrences in different texts and surroundings.
+    A template recurs with ``least_texts`` texts that are unrelated to each
+    other: at least the share ``apart`` of the word pairs of one is not in the
+    other, whatever their number of copies.
     """
     narrow = materialize(_lines(docs).drop("tokens"), "lines")
     templates = _templates(docs, narrow)
-    named = narrow.join(if_small(templates), "th", "left").select("doc_id", "dh", "pos", "ctx", F.coalesce("template", "th").alias("g"))
-    several = named.groupBy("g").agg(F.min("dh").alias("lo"), F.max("dh").alias("hi")).where("lo <> hi").select("g")
-    places = named.join(several, "g", "left_semi").groupBy("g", "ctx", "dh").agg(F.lit(1).alias("one"))
-    stats = places.groupBy("g").agg(F.count_distinct("dh").alias("texts"), F.count_distinct("ctx").alias("ctxs"), F.count("one").alias("all"))
-    found = materialize(stats.where((F.col("texts") >= least_texts) & (F.col("ctxs") >= least_texts) & (F.col("ctxs") >= changing * F.col("all"))).select("g"), "recurring")
+    named = narrow.join(if_small(templates), "th", "left").select("doc_id", "dh", "pos", F.coalesce("template", "th").alias("g"))
+    texts = named.select("g", "dh").distinct()
+    several = materialize(texts.groupBy("g").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_texts).select("g"), "several")
+    places = materialize(texts.join(if_small(several), "g", "left_semi"), "places")
+    sketches = materialize(_sketches(docs), "sketches")
+    found = _spread(places, sketches, least_texts, apart)
     out = materialize(named.join(if_small(found), "g", "left_semi").groupBy("doc_id", "dh").agg(F.collect_set("pos").alias("dropped")), "dropped")
-    for x in (narrow, templates, found):
+    for x in (narrow, templates, several, places, sketches, found):
         discard(x)
     return out
 
 
-def drop_recurring_lines(docs: DataFrame, least_texts: int = 3, changing: float = 0.5) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least_texts: int = 3, apart: float = 0.3) -> DataFrame:
     """The same rows and columns with recurring lines cut from ``text``, and ``n_lines``, ``n_dropped``.
 
     Null texts stay null with no lines; empty texts and blank lines are never
@@ -86,7 +132,7 @@ def drop_recurring_lines(docs: DataFrame, least_texts: int = 3, changing: float
     rows are treated alike and count once.  Other columns are kept, whatever their names; an empty
     table gives an empty result.
     """
-    cut = recurring(docs.select("doc_id", "text"), least_texts, changing)
+    cut = recurring(docs.select("doc_id", "text"), least_texts, apart)
     # a row's own columns stay in one struct, so that none can clash
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("dh"), F.split("text", "\n").alias("lines"))
     rows = rows.join(cut.toDF("cut_id", "cut_dh", "dropped"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("dh") == F.col("cut_dh")), "left")

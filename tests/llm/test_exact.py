@@ -372,6 +372,42 @@ def test_line_template_with_variable_word(spark):
     assert all("posted" not in r["text"] for r in linededup.drop_recurring_lines(documents(spark, rows)).collect())
 
 
+def test_recurring_blocks(spark):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]
+    draw = random.Random(11)
+
+    def prose(n):
+        return "\n".join(" ".join(draw.choice(words) for _ in range(12)) for _ in range(n))
+
+    head, foot, passage = "Morning news of the valley\nAll stories", "Share it with friends\nLes.", "first line of a shared passage\nsecond line of it\nthird and last line of it"
+    rows = [(i, "\n".join([head, prose(2), passage, prose(2), foot])) for i in range(30)]
+    got = {r["doc_id"]: r for r in linededup.drop_recurring_lines(documents(spark, rows)).collect()}
+    for i, text in rows:
+        assert got[i]["n_dropped"] == 7
+        assert got[i]["text"].split("\n") == [x for x in text.split("\n") if x not in "\n".join([head, foot, passage]).split("\n")]
+
+
+def test_copies_do_not_hide_recurring_lines(spark):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]
+    draw = random.Random(12)
+
+    def prose():
+        return [[draw.choice(words) for _ in range(12)] for _ in range(4)]
+
+    def text(lines):
+        return "\n".join([*(" ".join(x) for x in lines[:2]), "Printed for all readers of this page", *(" ".join(x) for x in lines[2:])])
+
+    rows = [(i, text(prose())) for i in range(20)]
+    original = prose()
+    for i in range(60):  # near copies differ in a word anywhere
+        copy = [list(x) for x in original]
+        copy[draw.randrange(4)][draw.randrange(12)] = f"z{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        rows.append((100 + i, text(copy)))
+    got = {r["doc_id"]: r for r in linededup.drop_recurring_lines(documents(spark, rows)).collect()}
+    for i, own in rows:
+        assert got[i]["n_dropped"] == 1 and got[i]["text"] == own.replace("Printed for all readers of this page\n", "")
+
+
 def test_licence_families(spark):
     lines = [(f, t) for f, own in licences.TEMPLATES.items() for t in own]
     rows = [(i, f"the and of text\nthis is about nothing\n{t}\nmore words here") for i, (_, t) in enumerate(lines)]
