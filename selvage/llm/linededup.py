@@ -4,7 +4,11 @@ Every line is parsed into tokens; fields with digits or an at sign are masked.
 A tree of fixed depth (token count, then the leading tokens) leads to a leaf.
 Where a leaf holds several masked lines, the positions at which one token has
 the majority are constant and the rest are variable; lines that agree with
-enough constant positions share that template, others are their own.
+enough constant positions share that template.  Other lines are grouped by their
+tokens that are the most frequent in the leaf at their positions, as many as the
+share AGREEMENT of the positions behind the leading tokens: a template of which
+all lines share these is one group, whatever else fills the leaf.  Lines that
+share them with no other are their own.
 
 A template recurs if it stands in enough texts that are unrelated to each other:
 texts of which a share of the word pairs stands in one only.  Copies of a whole
@@ -70,14 +74,21 @@ def _templates(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     several = materialize(narrow.groupBy("leaf").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("leaf"), "leaves")
     own = _lines(docs).join(if_small(several), "leaf", "left_semi").select("leaf", "th", "tokens").dropDuplicates(["leaf", "th"])
     cells = materialize(own.select("leaf", "th", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")), "cells")
-    votes = cells.groupBy("leaf", "n", "at", "token").agg(F.count("*").alias("c")).groupBy("leaf", "n", "at").agg(
-        F.max(F.struct("c", "token")).alias("top"), F.sum("c").alias("all"))
-    fixed = materialize(votes.where(2 * F.col("top.c") > F.col("all")).select("leaf", "n", "at", F.col("top.token").alias("token")), "fixed")
-    wide = fixed.groupBy("leaf", "n").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("at", "token")).alias("mark")).where(F.col("k") >= AGREEMENT * F.col("n"))
-    agree = cells.join(fixed, ["leaf", "n", "at", "token"]).groupBy("leaf", "n", "th").agg(F.count("*").alias("same"))
-    agree = agree.where(F.col("same") >= AGREEMENT * F.col("n")).join(wide, ["leaf", "n"])
-    out = materialize(agree.select("th", F.xxhash64("leaf", "mark").alias("template")), "templates")
-    for x in (several, cells, fixed):
+    votes = materialize(cells.groupBy("leaf", "n", "at", "token").agg(F.count("*").alias("c")).where("c > 1"), "votes")
+    # all lines of a leaf have its first token
+    sizes = votes.where("at = 0").select("leaf", "n", F.col("c").alias("all"))
+    shared = votes.join(sizes, ["leaf", "n"]).withColumn("fixed", 2 * F.col("c") > F.col("all")).drop("all")
+    wide = shared.where("fixed").groupBy("leaf", "n").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("at", "token")).alias("mark")).where(F.col("k") >= AGREEMENT * F.col("n"))
+    behind = F.when(F.col("at") >= DEPTH, F.struct((-F.col("c")).alias("c"), "at", F.xxhash64("token").alias("t")))
+    lines = cells.join(shared, ["leaf", "n", "at", "token"]).groupBy("leaf", "n", "th").agg(
+        F.count_if("fixed").alias("same"), F.sort_array(F.collect_list(behind)).alias("top"))
+    least = F.ceil(AGREEMENT * (F.col("n") - DEPTH)).cast("int")
+    group = F.transform(F.slice("top", 1, least), lambda x: F.struct(x["at"], x["t"]))
+    template = F.when(F.col("k").isNotNull() & (F.col("same") >= AGREEMENT * F.col("n")), F.xxhash64("leaf", "mark")).when(
+        F.size("top") >= least, F.xxhash64("leaf", F.array_sort(group)))
+    found = lines.join(wide, ["leaf", "n"], "left").select("th", template.alias("template"))
+    out = materialize(found.where("template IS NOT NULL"), "templates")
+    for x in (several, cells, votes):
         discard(x)
     return out
 

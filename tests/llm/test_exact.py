@@ -372,6 +372,17 @@ def test_line_template_with_variable_word(spark):
     assert all("posted" not in r["text"] for r in linededup.drop_recurring_lines(documents(spark, rows)).collect())
 
 
+def test_line_templates_in_a_busy_leaf(spark):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]
+    draw = random.Random(13)
+    names = ["anna", "berta", "carla", "dora", "emma", "frida", "greta", "hanna"]
+    kinds = [[f"This is a message posted by {n} in our public forum yesterday" for n in names], [f"This is a letter written for {n} at the old town archive" for n in names],
+             [" ".join(["This is a", *draw.sample(words, 9)]) for _ in range(60)]]
+    rows = [(100 * k + i, "\n".join([" ".join(draw.sample(words, 14)), line, " ".join(draw.sample(words, 14))])) for k, own in enumerate(kinds) for i, line in enumerate(own)]
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.drop_recurring_lines(documents(spark, rows)).collect()}
+    assert got == {i: int(i < 200) for i, _ in rows}
+
+
 def test_recurring_blocks(spark):
     words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]
     draw = random.Random(11)
