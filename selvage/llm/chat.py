@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -67,8 +68,8 @@ def turn(role: Column, text: Column) -> Column:
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 LAYOUTS = (
-    Layout("messages", lists=("$.messages", "role", "content")),
-    Layout("turns", lists=("$.turns", "role", "text")),
+    Layout("messages", lists=("$.messages", "role", "content"), optional=(("$.system", "system"),)),
+    Layout("turns", lists=("$.turns", "role", "text"), optional=(("$.system", "system"),)),
     Layout("from_value", lists=("$.conversations", "from", "value"), optional=(("$.system", "system"),)),
     Layout("instruction", fields=(("$.instruction", "user"), ("$.output", "assistant")), optional=(("$.input", "user"), ("$.system", "system")),
            order=("$.system", "$.instruction", "$.input", "$.output")),
@@ -88,14 +89,21 @@ def digest(paths: list[str]) -> str:
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
     """Adds ``fingerprint``, ``layout`` and ``turns``; a record that no layout fits has a null layout and null turns.
 
-    Fields that no layout names don't matter.  A null record has no paths and so
+    Fields that no layout names don't matter.  Nor do fields of other layouts
+    beside a list of turns, unless they make a whole record of theirs.  A null record has no paths and so
     no layout.  Missing roles and texts are empty strings.
     """
     there = F.array(*(F.when(F.expr(f"variant_get({record}, '{p}', 'variant')").isNotNull(), p) for p in KNOWN))
+
+    def whole(x: Layout) -> Column:
+        return F.size(F.array_except(F.array(*map(F.lit, x.required())), there)) == 0
+
     out = records.withColumn("fingerprint", F.sha2(F.array_join(there, "|"), 256))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
     for x in LAYOUTS:
         fits = F.col("fingerprint").isin(x.fingerprints(KNOWN))
+        if x.lists:
+            fits = reduce(lambda a, b: a & ~b, [whole(x), *(whole(y) for y in LAYOUTS if y is not x)])
         if x.lists and x.optional:
             lead = F.expr(f"variant_get({record}, '{x.optional[0][0]}', 'string')")
             own = F.concat(F.filter(F.array(F.when(lead != "", turn(F.lit("system"), lead))), lambda t: t.isNotNull()), x.turns(record))

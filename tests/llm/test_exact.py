@@ -372,6 +372,15 @@ def test_line_template_with_variable_word(spark):
     assert all("posted" not in r["text"] for r in linededup.drop_recurring_lines(documents(spark, rows)).collect())
 
 
+def test_chat_lists_beside_other_fields(spark):
+    messages = '"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]'
+    records = ['{"system": "s", %s}' % messages, '{"prompt": "p", %s}' % messages, '{"system": "s", "turns": [{"role": "user", "text": "a"}]}', '{"prompt": "p", "response": "r", %s}' % messages]
+    rows = spark.createDataFrame(list(enumerate(records)), "id int, raw string").selectExpr("id", "parse_json(raw) AS record")
+    got = {r["id"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in chat.canonical(rows).select("id", "layout", "turns").collect()}
+    lead, own = [("system", "s")], [("user", "a"), ("assistant", "b")]
+    assert got == {0: ("messages", lead + own), 1: ("messages", own), 2: ("turns", lead + own[:1]), 3: (None, None)}
+
+
 def test_line_templates_in_a_busy_leaf(spark):
     words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]
     draw = random.Random(13)
