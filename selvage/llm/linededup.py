@@ -34,25 +34,30 @@ LONGER = 4
 
 
 def _masked(line: Column) -> Column:
-    return F.when(line.rlike("[0-9@]"), F.regexp_replace(line, r"\S*[0-9@]\S*", "<*>")).otherwise(line)
+    return F.when(line.rlike("[0-9@]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", "<*>")).otherwise(line)
+
+
+def _words(text: Column) -> Column:
+    """Parts between white space, with an empty one at either end where it begins or ends the text; single spaces need no regular expression."""
+    return F.split(F.when(text.rlike(r"[\t-\r]|  "), F.regexp_replace(text, r"\s+", " ")).otherwise(text), " ")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, dh, pos, tokens, th, leaf``, a row for each line with words; ``dh`` fingerprints the whole text."""
     cut = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("dh"), F.split("text", "\n").alias("lines"))
     rows = cut.select("doc_id", "dh", F.posexplode("lines").alias("pos", "line"))
-    rows = rows.where(F.col("line").rlike(r"\S")).withColumn("tokens", F.split(F.trim(_masked(F.col("line"))), r"\s+"))
+    rows = rows.where(F.col("line").rlike(r"\S")).withColumn("tokens", F.array_remove(_words(_masked(F.col("line"))), ""))
     return rows.select(
         "doc_id", "dh", "pos", "tokens",
         F.xxhash64("tokens").alias("th"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """``dh, pairs, n``: the SKETCH smallest hashes of the word pairs of each different text, and how many there are."""
-    cut = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("dh"), F.split("text", "\n").alias("lines"))
-    words = F.transform("lines", lambda x: F.filter(F.split(_masked(x), r"\s+"), lambda t: t != ""))
-    hashed = F.flatten(F.transform(words, lambda w: F.transform(w, lambda t, i: F.xxhash64(t, F.get(w, i + 1)))))
-    rows = cut.select("dh", F.array_sort(F.array_distinct(hashed)).alias("pairs")).where(F.size("pairs") > 0)
+def _sketches(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """``dh, pairs, n``: the SKETCH smallest hashes of the word pairs of each different text of ``held(dh)``, and how many there are."""
+    rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh")).join(if_small(held), "dh", "left_semi")
+    words = rows.select("dh", F.array_remove(_words(F.col("text")), "").alias("w")).where(F.size("w") > 0)
+    hashed = F.transform("w", lambda t, i: F.xxhash64(t, F.get("w", i + 1)))
+    rows = words.select("dh", F.sort_array(F.array_distinct(hashed)).alias("pairs"))
     return rows.select("dh", F.slice("pairs", 1, SKETCH).alias("pairs"), F.size("pairs").alias("n")).dropDuplicates(["dh"])
 
 
@@ -73,22 +78,25 @@ def _templates(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     """``th, template`` for masked lines that join a generalised template of their leaf."""
     several = materialize(narrow.groupBy("leaf").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("leaf"), "leaves")
     own = _lines(docs).join(if_small(several), "leaf", "left_semi").select("leaf", "th", "tokens").dropDuplicates(["leaf", "th"])
-    cells = materialize(own.select("leaf", "th", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")), "cells")
+    # all lines of a leaf have its leading tokens, so only the others vote
+    cells = materialize(own.select("leaf", "th", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).where((F.col("at") == 0) | (F.col("at") >= DEPTH)), "cells")
     votes = materialize(cells.groupBy("leaf", "n", "at", "token").agg(F.count("*").alias("c")).where("c > 1"), "votes")
-    # all lines of a leaf have its first token
-    sizes = votes.where("at = 0").select("leaf", "n", F.col("c").alias("all"))
-    shared = votes.join(sizes, ["leaf", "n"]).withColumn("fixed", 2 * F.col("c") > F.col("all")).drop("all")
-    wide = shared.where("fixed").groupBy("leaf", "n").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("at", "token")).alias("mark")).where(F.col("k") >= AGREEMENT * F.col("n"))
+    sizes = materialize(votes.where("at = 0").select("leaf", "n", F.col("c").alias("all")), "sizes")
+    shared = materialize(votes.join(if_small(sizes), ["leaf", "n"]).withColumn("fixed", 2 * F.col("c") > F.col("all")).drop("all").where(F.col("at") >= DEPTH), "shared")
+    lead = F.least(F.col("n"), F.lit(DEPTH))
+    fixed = shared.where("fixed").groupBy("leaf", "n").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("at", "token")).alias("mark"))
+    wide = sizes.join(fixed, ["leaf", "n"], "left").select("leaf", "n", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("mark", F.lit(0)).alias("mark"))
+    wide = materialize(wide.where(F.col("k") + lead >= AGREEMENT * F.col("n")), "wide")
     behind = F.when(F.col("at") >= DEPTH, F.struct((-F.col("c")).alias("c"), "at", F.xxhash64("token").alias("t")))
-    lines = cells.join(shared, ["leaf", "n", "at", "token"]).groupBy("leaf", "n", "th").agg(
-        F.count_if("fixed").alias("same"), F.sort_array(F.collect_list(behind)).alias("top"))
+    voted = cells.join(shared, ["leaf", "n", "at", "token"], "left").where("at = 0 OR c IS NOT NULL")
+    lines = voted.groupBy("leaf", "n", "th").agg((F.count_if("fixed") + lead).alias("same"), F.sort_array(F.collect_list(behind)).alias("top"))
     least = F.ceil(AGREEMENT * (F.col("n") - DEPTH)).cast("int")
     group = F.transform(F.slice("top", 1, least), lambda x: F.struct(x["at"], x["t"]))
     template = F.when(F.col("k").isNotNull() & (F.col("same") >= AGREEMENT * F.col("n")), F.xxhash64("leaf", "mark")).when(
-        F.size("top") >= least, F.xxhash64("leaf", F.array_sort(group)))
-    found = lines.join(wide, ["leaf", "n"], "left").select("th", template.alias("template"))
+        (least > 0) & (F.size("top") >= least), F.xxhash64("leaf", F.sort_array(group)))
+    found = lines.join(if_small(wide), ["leaf", "n"], "left").select("th", template.alias("template"))
     out = materialize(found.where("template IS NOT NULL"), "templates")
-    for x in (several, cells, votes):
+    for x in (several, cells, votes, sizes, shared, wide):
         discard(x)
     return out
 
@@ -127,10 +135,11 @@ def recurring(docs: DataFrame, least_texts: int = 3, apart: float = 0.3) -> Data
     texts = named.select("g", "dh").distinct()
     several = materialize(texts.groupBy("g").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_texts).select("g"), "several")
     places = materialize(texts.join(if_small(several), "g", "left_semi"), "places")
-    sketches = materialize(_sketches(docs), "sketches")
+    held = materialize(places.select("dh").distinct(), "held")
+    sketches = materialize(_sketches(docs, held), "sketches")
     found = _spread(places, sketches, least_texts, apart)
     out = materialize(named.join(if_small(found), "g", "left_semi").groupBy("doc_id", "dh").agg(F.collect_set("pos").alias("dropped")), "dropped")
-    for x in (narrow, templates, several, places, sketches, found):
+    for x in (narrow, templates, several, places, held, sketches, found):
         discard(x)
     return out
 
