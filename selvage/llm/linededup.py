@@ -37,26 +37,27 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9@]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", "<*>")).otherwise(line)
 
 
-def _words(text: Column) -> Column:
-    """Parts between white space, with an empty one at either end where it begins or ends the text; single spaces need no regular expression."""
-    return F.split(F.when(text.rlike(r"[\t-\r]|  "), F.regexp_replace(text, r"\s+", " ")).otherwise(text), " ")
+def _tokens(column: str) -> Column:
+    """Words between white space; single spaces need no regular expression."""
+    text = F.col(column)
+    return F.array_remove(F.split(F.when(text.rlike(r"[\t-\r]|  "), F.regexp_replace(text, r"\s+", " ")).otherwise(text), " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, dh, pos, tokens, th, leaf``, a row for each line with words; ``dh`` fingerprints the whole text."""
+    """``doc_id, dh, pos, masked, th, leaf``, a row for each line with words; ``dh`` fingerprints the whole text."""
     cut = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("dh"), F.split("text", "\n").alias("lines"))
     rows = cut.select("doc_id", "dh", F.posexplode("lines").alias("pos", "line"))
-    rows = rows.where(F.col("line").rlike(r"\S")).withColumn("tokens", F.array_remove(_words(_masked(F.col("line"))), ""))
+    rows = rows.where(F.col("line").rlike(r"\S")).withColumn("masked", _masked(F.col("line"))).withColumn("tokens", _tokens("masked"))
     return rows.select(
-        "doc_id", "dh", "pos", "tokens",
+        "doc_id", "dh", "pos", "masked",
         F.xxhash64("tokens").alias("th"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
 
 
 def _sketches(docs: DataFrame, held: DataFrame) -> DataFrame:
     """``dh, pairs, n``: the SKETCH smallest hashes of the word pairs of each different text of ``held(dh)``, and how many there are."""
     rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh")).join(if_small(held), "dh", "left_semi")
-    words = rows.select("dh", F.array_remove(_words(F.col("text")), "").alias("w")).where(F.size("w") > 0)
-    hashed = F.transform("w", lambda t, i: F.xxhash64(t, F.get("w", i + 1)))
+    words = rows.select("dh", _tokens("text").alias("w")).where(F.size("w") > 0)
+    hashed = F.transform("w", lambda t, i: F.hash(t, F.get("w", i + 1)))
     rows = words.select("dh", F.sort_array(F.array_distinct(hashed)).alias("pairs"))
     return rows.select("dh", F.slice("pairs", 1, SKETCH).alias("pairs"), F.size("pairs").alias("n")).dropDuplicates(["dh"])
 
@@ -64,7 +65,7 @@ def _sketches(docs: DataFrame, held: DataFrame) -> DataFrame:
 def _unrelated(apart: float) -> Column:
     """Whether texts with sketches ``pairs, n`` and ``o_pairs, o_n`` differ: the share ``apart`` of either's word pairs is not in the other, as estimated up to the hash that both sketches reach."""
     def reach(pairs: str, n: str) -> Column:
-        return F.when(F.col(n) > SKETCH, F.element_at(pairs, -1)).otherwise(F.lit(2**63 - 1))
+        return F.when(F.col(n) > SKETCH, F.element_at(pairs, -1)).otherwise(F.lit(2**31 - 1))
 
     def alone(x: Column, other: str) -> Column:
         return F.size(F.array_except(x, F.col(other))) / F.size(x)
@@ -74,10 +75,10 @@ def _unrelated(apart: float) -> Column:
     return (F.greatest("n", "o_n") > LONGER * F.least("n", "o_n")) | (F.greatest(alone(own, "o_pairs"), alone(others, "pairs")) >= apart)
 
 
-def _templates(docs: DataFrame, narrow: DataFrame) -> DataFrame:
+def _templates(narrow: DataFrame) -> DataFrame:
     """``th, template`` for masked lines that join a generalised template of their leaf."""
     several = materialize(narrow.groupBy("leaf").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("leaf"), "leaves")
-    own = _lines(docs).join(if_small(several), "leaf", "left_semi").select("leaf", "th", "tokens").dropDuplicates(["leaf", "th"])
+    own = narrow.join(if_small(several), "leaf", "left_semi").groupBy("leaf", "th").agg(F.first("masked").alias("masked")).select("leaf", "th", _tokens("masked").alias("tokens"))
     # all lines of a leaf have its leading tokens, so only the others vote
     cells = materialize(own.select("leaf", "th", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).where((F.col("at") == 0) | (F.col("at") >= DEPTH)), "cells")
     votes = materialize(cells.groupBy("leaf", "n", "at", "token").agg(F.count("*").alias("c")).where("c > 1"), "votes")
@@ -129,12 +130,12 @@ def recurring(docs: DataFrame, least_texts: int = 3, apart: float = 0.3) -> Data
     other: at least the share ``apart`` of the word pairs of one is not in the
     other, whatever their number of copies.
     """
-    narrow = materialize(_lines(docs).drop("tokens"), "lines")
-    templates = _templates(docs, narrow)
+    narrow = materialize(_lines(docs), "lines")
+    templates = _templates(narrow)
     named = narrow.join(if_small(templates), "th", "left").select("doc_id", "dh", "pos", F.coalesce("template", "th").alias("g"))
-    texts = named.select("g", "dh").distinct()
-    several = materialize(texts.groupBy("g").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_texts).select("g"), "several")
-    places = materialize(texts.join(if_small(several), "g", "left_semi"), "places")
+    several = named.groupBy("g").agg(F.min("dh").alias("lo"), F.max("dh").alias("hi")).where("lo <> hi").select("g")
+    several = materialize(several, "several")
+    places = materialize(named.join(if_small(several), "g", "left_semi").select("g", "dh").distinct(), "places")
     held = materialize(places.select("dh").distinct(), "held")
     sketches = materialize(_sketches(docs, held), "sketches")
     found = _spread(places, sketches, least_texts, apart)
