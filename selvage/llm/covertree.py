@@ -1,13 +1,24 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
 On unit vectors a cosine of at least ``c`` is a Euclidean distance of at most
-``sqrt(2 - 2c)``.  Equal vectors of a label are one point.  A label's points are
-cut into blocks around pivots, the top level of its tree; block pairs whose
-centres are farther apart than both covering radii and the threshold are never
-compared.  A task holds two blocks, builds a cover tree of each (nested levels
-with halving radii) and traverses them against each other with the same bound
-at every pair of nodes, down to exact cosines in double precision.  It returns
-link counts and a spanning forest, never the pairs of a group.
+``sqrt(2 - 2c)``.  Equal vectors of a label are one point.  A label with more
+points than a task should hold is cut into cells around pivots, and cells again
+around further pivots until they fit: the top levels of its tree.  Pairs of
+cells whose centres are farther apart than both covering radii and the threshold
+are never compared.
+
+A task holds two cells, builds the cover tree of each (nested levels with
+halving radii, down to single points) and walks both trees level by level.  A
+pair of nodes is dropped where its centres are farther apart than both covering
+radii and the threshold, and settled as a whole where even its farthest points
+lie within the threshold; pairs of single points are decided by their cosine in
+double precision on the original vectors.  A task returns link counts and a
+spanning forest, never the pairs of a group.
+
+Where no two vectors are near each other (random directions in many dimensions)
+the first level below the root holds all points, and a pair of nodes is a pair
+of points: then the bounds prune after one distance each, and the work within a
+label is quadratic, in blocks.
 """
 
 from __future__ import annotations
@@ -19,72 +30,142 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, if_small, materialize
 from .vectors import distinct_vectors, usable
 
-#: Points of a block, and pivots of a label with more points than that.
-BLOCK = 1024
+#: Points of a cell, pivots of a cell with more points than that, points that one task assigns to pivots.
+BLOCK = 8192
 PIVOTS = 64
-LEAF = 24
+CHUNK = 4096
+#: Rounds of pivots; cells that are still too large then are cut by hash, which keeps their centre and radius.
+SPLITS = 6
 SLACK = 1e-6
+CLOSEST = 1e-7
 
 
 @dataclass
-class Node:
-    center: np.ndarray
-    radius: float
-    points: np.ndarray
-    children: list[Node]
-
-
-def cover_tree(unit: np.ndarray, points: np.ndarray, reach: float = 1.0) -> Node:
-    """Every child's points lie within ``reach`` of its centre, every grandchild's within half of that, and so on."""
-    center = unit[points[0]]
-    away = np.linalg.norm(unit[points] - center, axis=1)
-    node = Node(center, float(away.max()), points, [])
-    if len(points) <= LEAF or node.radius < 1e-9:
-        return node
-    while reach >= node.radius and reach > 1e-9:
-        reach /= 2
-    near = away.copy()
-    owner = np.zeros(len(points), int)
-    centers = [0]
-    while near.max() > reach:
-        if len(centers) > len(points) // 2:  # hardly any two points share a ball of this reach
-            return node
-        far = int(near.argmax())
-        d = np.linalg.norm(unit[points] - unit[points[far]], axis=1)
-        closer = d < near
-        owner[closer] = len(centers)
-        near = np.minimum(near, d)
-        centers.append(far)
-    for k, c in enumerate(centers):
-        own = points[owner == k]
-        own = np.concatenate([[points[c]], own[own != points[c]]])
-        node.children.append(cover_tree(unit, own, reach / 2))
-    return node
-
-
-def dual_traversal(a: Node, b: Node, within: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of point sets that may hold pairs within the distance; all others are pruned by the covering radii."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    stack = [(a, [b])]
-    while stack:
-        x, others = stack.pop()
-        gap = np.linalg.norm(np.stack([o.center for o in others]) - x.center, axis=1)
-        keep = [o for o, g in zip(others, gap) if g <= x.radius + o.radius + within + SLACK]
-        if not keep:
-            continue
-        # open the wider side first
-        if x.children and x.radius >= max(o.radius for o in keep):
-            stack += [(c, keep) for c in x.children]
-        elif any(o.children for o in keep):
-            stack.append((x, [c for o in keep for c in (o.children or [o])]))
-        elif x.children:
-            stack += [(c, keep) for c in x.children]
-        else:
-            out.append((x.points, np.concatenate([o.points for o in keep])))
-    return out
+class Level:
+    """Nodes in the order of ``Tree.order``: a node's points and its children are consecutive."""
+
+    reach: float
+    center: np.ndarray  # point of each node
+    radius: np.ndarray  # of its points around the centre
+    first: np.ndarray  # its points are order[first[k]:first[k + 1]]
+    child: np.ndarray  # its children are the nodes child[k] to child[k + 1] of the next level
+
+
+@dataclass
+class Tree:
+    unit: np.ndarray
+    order: np.ndarray
+    levels: list[Level]
+
+
+def _away(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
+
+
+def cover_tree(unit: np.ndarray) -> Tree:
+    """Levels of reach 2, 1, 1/2, ...: centres of a level are farther apart than its reach, stay centres below, and lie within the reach above of their parent.
+
+    The last level holds every point; equal directions are told apart only there.
+    """
+    n = len(unit)
+    born = np.full(n, -1)  # level at which a point becomes a centre
+    parent = np.zeros(n, int)
+    near, owner = _away(unit, unit[:1])[:, 0], np.zeros(n, int)
+    born[0] = 0
+    reaches = [2.0]
+    while (born < 0).any() and reaches[-1] > CLOSEST:
+        reach = reaches[-1] / 2
+        level = len(reaches)
+        reaches.append(reach)
+        above = owner.copy()  # the nearest centre of the level above
+        far = np.flatnonzero((born < 0) & (near > reach))
+        for s in range(0, len(far), 512):
+            part = far[s:s + 512]
+            part = part[near[part] > reach]
+            gap = _away(unit[part], unit[part])
+            free, new = np.ones(len(part), bool), []
+            while free.any():
+                k = int(free.argmax())
+                new.append(k)
+                free &= gap[k] > reach
+                free[k] = False
+            new = part[new]
+            born[new], parent[new] = level, above[new]
+            rest = np.flatnonzero(born < 0)
+            d = _away(unit[rest], unit[new])
+            best = d.argmin(1)
+            closer = d[np.arange(len(rest)), best] < near[rest]
+            near[rest[closer]], owner[rest[closer]] = d[np.arange(len(rest)), best][closer], new[best[closer]]
+    left = born < 0
+    if left.any() or len(reaches) == 1:
+        reaches.append(0.0)
+        born[left], parent[left] = len(reaches) - 1, owner[left]
+    depth = len(reaches)
+    chain = np.zeros((depth, n), int)  # a point's ancestor at each level
+    chain[depth - 1] = np.arange(n)
+    for k in range(depth - 1, 0, -1):
+        now = chain[k]
+        chain[k - 1] = np.where(born[now] == k, parent[now], now)
+    order = np.lexsort(chain[::-1])
+    levels, before = [], None
+    for k in range(depth):
+        own = chain[k][order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        radius = np.maximum.reduceat(np.linalg.norm(unit[order] - unit[own], axis=1), first)
+        levels.append(Level(reaches[k], own[first], radius, np.append(first, n), np.empty(0, int)))
+        if before is not None:
+            before.child = np.searchsorted(first, before.first)
+        before = levels[-1]
+    return Tree(unit, order, levels)
+
+
+@dataclass
+class Found:
+    """Node pairs that are links as a whole, as ranges of both orders; point pairs to decide; distances computed."""
+
+    sure: list[tuple[int, int, int, int]]
+    left: np.ndarray
+    right: np.ndarray
+    compared: int
+
+
+def dual_traversal(a: Tree, b: Tree, within: float) -> Found:
+    """All pairs that may lie within the distance; with ``a is b`` each unordered pair once."""
+    same = a is b
+    sure, compared = [], 1
+    u = v = np.zeros(1, int)
+    depth = max(len(a.levels), len(b.levels))
+    for k in range(depth - 1):
+        la, lb = (t.levels[min(k, len(t.levels) - 1)] for t in (a, b))
+        na, nb = (t.levels[min(k + 1, len(t.levels) - 1)] for t in (a, b))
+        ca, cb = (x.child if y is not x else np.arange(len(x.center) + 1) for x, y in ((la, na), (lb, nb)))
+        single = (np.diff(ca)[u] == 1) & (np.diff(cb)[v] == 1)
+        next_u, next_v = [ca[u[single]]], [cb[v[single]]]
+        for x, y in zip(u[~single].tolist(), v[~single].tolist()):
+            y0, y1 = cb[y], cb[y + 1]
+            for s in range(ca[x], ca[x + 1], 1024):
+                e = min(s + 1024, ca[x + 1])
+                d = _away(a.unit[na.center[s:e]], b.unit[nb.center[y0:y1]])
+                both = na.radius[s:e, None] + nb.radius[None, y0:y1]
+                compared += d.size
+                keep = d <= both + within + SLACK
+                if same and x == y:
+                    keep &= np.arange(s, e)[:, None] <= np.arange(y0, y1)[None, :]
+                whole = keep & (d + both <= within - SLACK)
+                i, j = np.nonzero(whole)
+                sure += [(na.first[p + s], na.first[p + s + 1], nb.first[q + y0], nb.first[q + y0 + 1]) for p, q in zip(i.tolist(), j.tolist()) if not (
+                    same and p + s == q + y0 and na.first[p + s + 1] - na.first[p + s] == 1)]
+                i, j = np.nonzero(keep & ~whole)
+                next_u.append(i + s)
+                next_v.append(j + y0)
+        u, v = np.concatenate(next_u), np.concatenate(next_v)
+    left, right = a.order[u], b.order[v]
+    if same:
+        left, right = left[u != v], right[u != v]
+    return Found(sure, left, right, compared)
 
 
 def _components(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -100,60 +181,76 @@ def _components(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.nda
 
 
 def compare(key: tuple, part: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links between two blocks, or inside one: a row for each linked point, its number of links and a point it is connected with."""
+    """Links between two cells, or inside one: a row for each linked point, its number of links and a point it is connected with."""
     vectors = np.stack(part["embedding"].to_numpy()).astype(float)
+    vectors /= np.abs(vectors).max(1, keepdims=True)  # the cosine stays, and no square overflows or vanishes
     norm = np.linalg.norm(vectors, axis=1)
     unit = vectors / norm[:, None]
     side, ids, copies = part["side"].to_numpy(), part["rep"].to_numpy(), part["copies"].to_numpy()
-    within = float(np.sqrt(2 - 2 * cosine))
-    first = cover_tree(unit, np.flatnonzero(side == 0))
-    same = key[1] == key[2]
-    second = first if same else cover_tree(unit, np.flatnonzero(side == 1))
-    left, right = [], []
-    for p, q in dual_traversal(first, second, within):
-        cos = vectors[p] @ vectors[q].T / (norm[p][:, None] * norm[q][None, :])
-        i, j = np.nonzero(cos >= cosine)
-        left.append(p[i])
-        right.append(q[j])
-    i, j = (np.concatenate(x) if x else np.empty(0, int) for x in (left, right))
-    if same:
-        i, j = i[i < j], j[i < j]
-    links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+    a = np.flatnonzero(side == 0)
+    b = a if key[0] == key[1] else np.flatnonzero(side == 1)
+    first = cover_tree(unit[a])
+    second = first if b is a else cover_tree(unit[b])
+    got = dual_traversal(first, second, float(np.sqrt(2 - 2 * cosine)))
+    links = np.zeros(len(ids))
+    star_a, star_b = [], []
+    for x0, x1, y0, y1 in got.sure:
+        x, y = a[first.order[x0:x1]], b[second.order[y0:y1]]
+        if b is a and x0 == y0:
+            links[x] += copies[x].sum() - copies[x]
+            star_a.append(np.full(len(x), x[0]))
+            star_b.append(x)
+        else:
+            links[x] += copies[y].sum()
+            links[y] += copies[x].sum()
+            star_a += [np.full(len(x), y[0]), np.full(len(y), x[0])]
+            star_b += [x, y]
+    for s in range(0, len(got.left), 100_000):
+        i, j = a[got.left[s:s + 100_000]], b[got.right[s:s + 100_000]]
+        hit = (vectors[i] * vectors[j]).sum(1) / (norm[i] * norm[j]) >= cosine
+        i, j = i[hit], j[hit]
+        links += np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+        star_a.append(i)
+        star_b.append(j)
+    i, j = (np.concatenate(x) if x else np.empty(0, int) for x in (star_a, star_b))
     label = _components(len(ids), i, j, ids)
     linked = links > 0
     return pd.DataFrame({"rep": ids[linked], "links": links[linked].astype("int64"), "other": label[linked]})
 
 
-def _blocks(points: DataFrame) -> DataFrame:
-    """Adds ``block`` within the label: around the nearest of the label's pivots, and by hash where such a cell is still too large."""
-    sizes = points.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    points = points.join(sizes, ["label", "dim"])
-    spread = F.xxhash64(F.lit(3), "rep")
-    small = points.where(F.col("n") <= BLOCK).withColumn("cell", F.lit(0))
-    large = points.where(F.col("n") > BLOCK).withColumn("chunk", F.pmod(spread, F.ceil(F.col("n") / 4096)))
-    # about PIVOTS rows of each label, chosen by hash, for every chunk of it
-    chosen = large.where(F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(1 << 20)) < F.lit(PIVOTS * float(1 << 20)) / F.col("n"))
-    pivots = chosen.select("label", "dim", F.col("rep").alias("pivot"), "embedding", F.explode(F.expr("sequence(0L, cast(ceil(n / 4096) - 1 AS BIGINT))")).alias("chunk"))
-
-    def nearest(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({"rep": [], "cell": []})
-        cell = np.zeros(len(rows), int)
-        if len(own):
-            own = own.sort_values("pivot")
-            x, p = (np.stack(v.to_numpy()).astype(float) for v in (rows["embedding"], own["embedding"]))
-            x, p = x / np.linalg.norm(x, axis=1, keepdims=True), p / np.linalg.norm(p, axis=1, keepdims=True)
-            cell = (x @ p.T).argmax(1)
-        return pd.DataFrame({"rep": rows["rep"], "cell": cell})
-
-    key = ["label", "dim", "chunk"]
-    pivots = pivots.toDF("l", "d", "pivot", "embedding", "c").select(F.col("l").alias("pl"), F.col("d").alias("pd"), F.col("c").alias("pc"), "pivot", F.col("embedding").alias("embedding"))
-    cells = large.select(*key, "rep", "embedding").groupBy(*key).cogroup(pivots.groupBy("pl", "pd", "pc")).applyInPandas(nearest, "rep long, cell int")
-    split = large.drop("chunk").join(cells, "rep").unionByName(small)
-    fill = split.groupBy("label", "dim", "cell").agg(F.count("*").alias("c"))
-    split = split.join(fill, ["label", "dim", "cell"])
-    part = F.pmod(spread, F.ceil(F.col("c") / BLOCK))
-    return split.withColumn("block", F.xxhash64("label", "dim", "cell", part)).select("label", "dim", "block", "rep", "copies", "embedding")
+def _nearest(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    """Rows with the nearest pivot and its distance; a cell without pivots keeps the one that it has."""
+    rows = rows.drop(columns=["n", "chunk"])
+    if len(rows) and len(own):
+        own = own.sort_values("p")
+        x, p = (np.stack(v.to_numpy()).astype(float) for v in (rows["embedding"], own["center"]))
+        x, p = (v / np.abs(v).max(1, keepdims=True) for v in (x, p))
+        d = _away(x / np.linalg.norm(x, axis=1, keepdims=True), p / np.linalg.norm(p, axis=1, keepdims=True))
+        rows = rows.assign(pivot=own["p"].to_numpy()[d.argmin(1)], away=d.min(1))
+    return rows
+
+
+def _cells(points: DataFrame) -> DataFrame:
+    """``points`` with ``cell``, its ``pivot`` (null if it has none) and ``away``, the distance from it; cells of at most about BLOCK points."""
+    cells = materialize(points.select("*", F.xxhash64("label", "dim").alias("cell"), F.lit(None).cast("long").alias("pivot"), F.lit(2.0).alias("away")), "cells")
+    for depth in range(SPLITS):
+        large = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large")
+        if large.isEmpty():
+            return cells
+        rows = cells.join(if_small(large), "cell", "left")
+        wide = rows.where("n IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64(F.lit(3 + depth), "rep"), F.ceil(F.col("n") / CHUNK)))
+        # about PIVOTS points of each cell, chosen by hash, for every chunk of it
+        chosen = wide.where(F.pmod(F.xxhash64(F.lit(50 + depth), "rep"), F.lit(1 << 20)) < F.lit(PIVOTS * float(1 << 20)) / F.col("n"))
+        pivots = chosen.select(F.col("cell").alias("pc"), F.col("rep").alias("p"), F.col("embedding").alias("center"), F.explode(F.expr(f"sequence(0L, CAST(ceil(n / {CHUNK}) - 1 AS BIGINT))")).alias("pk"))
+        found = wide.groupBy("cell", "chunk").cogroup(pivots.groupBy("pc", "pk")).applyInPandas(_nearest, cells.schema)
+        new = found.withColumn("cell", F.xxhash64("cell", "pivot"))
+        new = materialize(rows.where("n IS NULL").drop("n").select(new.columns).union(new), "cells")
+        discard(cells)
+        discard(large)
+        cells = new
+    fill = cells.groupBy("cell").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64(F.lit(2), "rep"), F.ceil(F.col("n") / BLOCK))
+    return cells.join(fill, "cell").withColumn("cell", F.xxhash64("cell", part)).drop("n").select(cells.columns)
 
 
 def linked_vectors(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -166,32 +263,27 @@ def linked_vectors(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     result.  Other columns are ignored; an empty table gives an empty result.
     """
     able = rows.select("vec_id", "embedding", "label").where(usable() & F.col("label").isNotNull())
-    points = distinct_vectors(able, "label").withColumn("dim", F.size("embedding"))
-    blocks = materialize(_blocks(materialize(points, "points")), "blocks")
-
-    # the tops of the trees: centre and covering radius of each block
-    mean = blocks.select("label", "dim", "block", F.posexplode(_unit("embedding")).alias("k", "x")).groupBy("label", "dim", "block", "k").agg(F.avg("x").alias("x"))
-    center = mean.groupBy("label", "dim", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("center"))
-    balls = blocks.select("label", "dim", "block", _unit("embedding").alias("u")).join(center, ["label", "dim", "block"]).groupBy("label", "dim", "block", "center").agg(
-        F.max(_distance("u", "center")).alias("radius"))
+    points = materialize(distinct_vectors(able, "label").withColumn("dim", F.size("embedding")), "points")
+    cells = materialize(_cells(points), "cells")
+    center = points.select(F.col("label").alias("cl"), F.col("rep").alias("pivot"), _unit("embedding").alias("center"))
+    balls = cells.groupBy("label", "dim", "cell").agg(F.max("pivot").alias("pivot"), F.max("away").alias("radius"))
+    balls = balls.join(center, (F.col("label") == F.col("cl")) & (balls["pivot"] == center["pivot"]), "left").select("label", "dim", "cell", "radius", "center")
     balls = materialize(balls, "balls")
-    a = balls.select("label", "dim", F.col("block").alias("b1"), F.col("center").alias("c1"), F.col("radius").alias("r1"))
-    b = balls.select("label", "dim", F.col("block").alias("b2"), F.col("center").alias("c2"), F.col("radius").alias("r2"))
+    a = balls.select("label", "dim", *(F.col(c).alias(c + "1") for c in ("cell", "center", "radius")))
+    b = balls.select("label", "dim", *(F.col(c).alias(c + "2") for c in ("cell", "center", "radius")))
     within = float(np.sqrt(2 - 2 * cosine)) + SLACK
-    pairs = a.join(b, ["label", "dim"]).where((F.col("b1") <= F.col("b2")) & (_distance("c1", "c2") <= F.col("r1") + F.col("r2") + within))
-    pairs = materialize(pairs.select("label", "b1", "b2"), "pairs")
-    wide = pairs.select("label", "b1", "b2", F.explode(F.when(F.col("b1") == F.col("b2"), F.array(F.struct(F.col("b1").alias("block"), F.lit(0).alias("side")))).otherwise(
-        F.array(F.struct(F.col("b1").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b2").alias("block"), F.lit(1).alias("side"))))).alias("s"))
-    wide = wide.select("label", "b1", "b2", "s.block", "s.side").join(blocks.drop("label", "dim"), "block")
-    found = materialize(wide.groupBy("label", "b1", "b2").applyInPandas(
-        lambda key, part: compare(key, part, cosine), "rep long, links long, other long"), "found")
+    near = F.coalesce(_distance("center1", "center2") <= F.col("radius1") + F.col("radius2") + within, F.lit(True))
+    pairs = a.join(b, ["label", "dim"]).where((F.col("cell1") == F.col("cell2")) | (F.col("cell1") < F.col("cell2")) & near)
+    sides = [F.struct(F.col(f"cell{k + 1}").alias("cell"), F.lit(k).alias("side")) for k in (0, 1)]
+    wide = pairs.select("cell1", "cell2", F.explode(F.when(F.col("cell1") == F.col("cell2"), F.array(sides[0])).otherwise(F.array(*sides))).alias("s"))
+    wide = materialize(wide.select("cell1", "cell2", "s.cell", "s.side"), "pairs").join(cells.select("cell", "rep", "copies", "embedding"), "cell")
+    found = materialize(wide.groupBy("cell1", "cell2").applyInPandas(lambda key, part: compare(key, part, cosine), "rep long, links long, other long"), "found")
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     of_rep = points.select("label", "embedding", "rep", "copies").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
     of_rep = of_rep.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("root"))
     of_rep = of_rep.where(F.col("links") > 0)
-    discard(pairs)
     out = rows.select("vec_id", "embedding", "label").join(of_rep, ["label", "embedding"], "left")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").cast("long").alias("component_id")).withColumn(
         "kept", F.col("vec_id") == F.col("component_id"))

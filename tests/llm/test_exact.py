@@ -252,9 +252,11 @@ def brute_links(rows, cosine):
     return links, root
 
 
-@pytest.mark.parametrize("block", [1024, 20])
-def test_cover_tree(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, splits", [(8192, 6), (20, 2), (20, 0)])
+def test_cover_tree(spark, monkeypatch, block, splits):
     monkeypatch.setattr(covertree, "BLOCK", block)
+    monkeypatch.setattr(covertree, "SPLITS", splits)
+    monkeypatch.setattr(covertree, "PIVOTS", 4)
     draw = np.random.default_rng(5)
     rows = []
     for c in range(8):
@@ -270,22 +272,39 @@ def test_cover_tree(spark, monkeypatch, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
-def test_cover_tree_levels_halve():
-    draw = np.random.default_rng(1)
-    unit = draw.normal(size=(300, 3))
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-
-    def walk(node, reach):
-        assert sorted(p for c in node.children for p in c.points) == sorted(node.points) or not node.children
-        for c in node.children:
-            assert c.radius <= reach and np.allclose(np.linalg.norm(unit[c.points] - c.center, axis=1).max(), c.radius)
-            walk(c, reach)
-
-    tree = covertree.cover_tree(unit, np.arange(300))
-    walk(tree, 1.0)
-    found = {(min(i, j), max(i, j)) for p, q in covertree.dual_traversal(tree, tree, 0.1) for i in p for j in q if i != j and np.linalg.norm(unit[i] - unit[j]) <= 0.1}
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if np.linalg.norm(unit[i] - unit[j]) <= 0.1}
-    assert found == want
+def clustered(draw, clusters, size, dim, spread):
+    unit = np.concatenate([draw.normal(size=dim) + draw.normal(size=(size, dim)) * spread for _ in range(clusters)])
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("unit", [clustered(np.random.default_rng(1), 300, 1, 3, 0), clustered(np.random.default_rng(2), 12, 40, 16, 0.03), np.ones((5, 4)) / 2, np.eye(3)[:1]])
+def test_cover_tree_levels(unit):
+    """Nested, covering, separated, with halving radii, down to single points; the traversal finds what brute force finds."""
+    tree = covertree.cover_tree(unit)
+    gap = np.linalg.norm(unit[:, None] - unit[None], axis=2)
+    assert sorted(tree.order) == list(range(len(unit))) and sorted(tree.levels[-1].center) == list(range(len(unit)))
+    for up, low in zip(tree.levels, tree.levels[1:]):
+        assert low.reach in (up.reach / 2, 0.0) and set(up.center) <= set(low.center)
+        for k, c in enumerate(up.center):
+            own = tree.order[up.first[k]:up.first[k + 1]]
+            assert c in own and np.isclose(gap[c, own].max(), up.radius[k], atol=1e-7)
+            assert all(gap[c, d] <= up.reach + 1e-7 for d in low.center[up.child[k]:up.child[k + 1]])
+        if low.reach:
+            apart = gap[np.ix_(low.center, low.center)] + np.eye(len(low.center)) * 9
+            assert apart.min() > low.reach - 1e-7
+    for within in (0.05, 0.2, 0.7):
+        got = covertree.dual_traversal(tree, tree, within)
+        pairs = {frozenset((i, j)) for i, j in zip(got.left.tolist(), got.right.tolist()) if gap[i, j] <= within}
+        for a, b, c, d in got.sure:
+            pairs |= {frozenset((i, j)) for i in tree.order[a:b] for j in tree.order[c:d] if i != j}
+        assert pairs == {frozenset((i, j)) for i in range(len(unit)) for j in range(i) if gap[i, j] <= within}
+
+
+def test_cover_tree_prunes():
+    """On clustered vectors only a small share of all pairs is measured."""
+    unit = clustered(np.random.default_rng(3), 60, 50, 32, 0.02)
+    tree = covertree.cover_tree(unit)
+    assert len(tree.levels) > 4 and covertree.dual_traversal(tree, tree, 0.2).compared < 0.05 * len(unit) ** 2 / 2
 
 
 def test_op5_recall(spark, small):
