@@ -32,6 +32,8 @@ class Layout:
     fields: tuple[tuple[str, str], ...] = ()
     optional: tuple[tuple[str, str], ...] = ()
     order: tuple[str, ...] = ()
+    #: Roles have names of their own, see ROLES; elsewhere they stay as they are.
+    foreign: bool = False
 
     def required(self) -> list[str]:
         if self.lists:
@@ -49,20 +51,24 @@ class Layout:
     def turns(self, record: str) -> Column:
         if self.lists:
             path, role, text = self.lists
-            raw = F.expr(f"variant_get({record}, '{path}', 'array<struct<{role}:string,{text}:string>>')")
-            return F.transform(raw, lambda x: turn(x[role], x[text]))
+            raw = F.expr(f"try_variant_get({record}, '{path}', 'array<struct<{role}:string,{text}:string>>')")
+            return F.transform(raw, lambda x: turn(renamed(x[role]) if self.foreign else x[role], x[text]))
         parts = [*self.optional, *self.fields]
         parts.sort(key=lambda x: self.order.index(x[0]) if self.order else 0)
-        got = [(F.expr(f"variant_get({record}, '{p}', 'string')"), r, (p, r) in self.optional) for p, r in parts]
+        got = [(F.expr(f"try_variant_get({record}, '{p}', 'string')"), r, (p, r) in self.optional) for p, r in parts]
         made = F.array(*(F.when(v.isNotNull() & (v != ""), turn(F.lit(r), v)) if maybe else turn(F.lit(r), v) for v, r, maybe in got))
         return F.filter(made, lambda x: x.isNotNull())
 
 
 def turn(role: Column, text: Column) -> Column:
-    named = F.coalesce(role, F.lit(""))
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def renamed(role: Column) -> Column:
+    named = role
     for other, own in ROLES.items():
         named = F.when(role == other, own).otherwise(named)
-    return F.struct(named.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return named
 
 
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -70,7 +76,7 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 LAYOUTS = (
     Layout("messages", lists=("$.messages", "role", "content"), optional=(("$.system", "system"),)),
     Layout("turns", lists=("$.turns", "role", "text"), optional=(("$.system", "system"),)),
-    Layout("from_value", lists=("$.conversations", "from", "value"), optional=(("$.system", "system"),)),
+    Layout("from_value", lists=("$.conversations", "from", "value"), optional=(("$.system", "system"),), foreign=True),
     Layout("instruction", fields=(("$.instruction", "user"), ("$.output", "assistant")), optional=(("$.input", "user"), ("$.system", "system")),
            order=("$.system", "$.instruction", "$.input", "$.output")),
     Layout("prompt_completion", fields=(("$.prompt", "user"), ("$.completion", "assistant")), optional=(("$.system", "system"),),
@@ -93,7 +99,14 @@ def canonical(records: DataFrame, record: str = "record") -> DataFrame:
     beside a list of turns, unless they make a whole record of theirs.  A null record has no paths and so
     no layout.  Missing roles and texts are empty strings.
     """
-    there = F.array(*(F.when(F.expr(f"variant_get({record}, '{p}', 'variant')").isNotNull(), p) for p in KNOWN))
+    def has(path: str) -> Column:
+        head, _, field = path.partition("[0].")
+        if not field:
+            return F.expr(f"try_variant_get({record}, '{path}', 'variant')").isNotNull()
+        # a field of a list is there if any element has it
+        return F.exists(F.expr(f"try_variant_get({record}, '{head}', 'array<variant>')"), lambda v: F.try_variant_get(v, f"$.{field}", "variant").isNotNull())
+
+    there = F.array_compact(F.array(*(F.when(has(p), p) for p in KNOWN)))
 
     def whole(x: Layout) -> Column:
         return F.size(F.array_except(F.array(*map(F.lit, x.required())), there)) == 0
@@ -105,7 +118,7 @@ def canonical(records: DataFrame, record: str = "record") -> DataFrame:
         if x.lists:
             fits = reduce(lambda a, b: a & ~b, [whole(x), *(whole(y) for y in LAYOUTS if y is not x)])
         if x.lists and x.optional:
-            lead = F.expr(f"variant_get({record}, '{x.optional[0][0]}', 'string')")
+            lead = F.expr(f"try_variant_get({record}, '{x.optional[0][0]}', 'string')")
             own = F.concat(F.filter(F.array(F.when(lead != "", turn(F.lit("system"), lead))), lambda t: t.isNotNull()), x.turns(record))
         else:
             own = x.turns(record)
@@ -166,6 +179,12 @@ def loss_text(labels: str = "labels") -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(labels, F.lit(r"([^\x00]+)"), 1), unescape), "")
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct(
+        "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    return rows.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(turns.alias("turns"))
+
+
 def conversation_records(rows: DataFrame) -> DataFrame:
     """``conv_id, record``: rows ``(conv_id, turn, role, text)`` as one record of the ``turns`` layout per conversation.
 
@@ -174,7 +193,28 @@ def conversation_records(rows: DataFrame) -> DataFrame:
     conversation without an id.  One conversation is one record by nature, so it
     has to fit into memory.
     """
-    turns = F.array_sort(F.collect_list(F.struct(
-        "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    grouped = rows.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(turns.alias("turns"))
-    return grouped.select("conv_id", F.expr("to_variant_object(struct(transform(turns, t -> struct(t.role as role, t.text as text)) as turns))").alias("record"))
+    return _grouped(rows).select("conv_id", F.expr("to_variant_object(struct(transform(turns, t -> struct(t.role as role, t.text as text)) as turns))").alias("record"))
+
+
+def mixed_records(rows: DataFrame) -> DataFrame:
+    """As :func:`conversation_records`, in differing layouts by ``conv_id``.
+
+    A question and its answer may be written with prompt and completion, prompt
+    and response, instruction and output, or nested; conversations of users,
+    assistants and systems alone with the foreign role names; a first turn of
+    the system in a field of its own, if it says something; any other
+    conversation as messages or turns.
+    """
+    plain = "transform(turns, t -> struct(t.role as role, t.text as {})) as {}"
+    pair = "size(turns) = 2 AND turns[0].role = 'user' AND turns[1].role = 'assistant'"
+    known = "forall(turns, t -> t.role IN ('user', 'assistant', 'system'))"
+    lead = "size(turns) > 1 AND turns[0].role = 'system' AND turns[0].text <> ''"
+    foreign = "transform(turns, t -> struct(CASE t.role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE t.role END as `from`, t.text as value)) as conversations"
+    rest = "turns[0].text as system, transform(slice(turns, 2, size(turns) - 1), t -> struct(t.role as role, t.text as content)) as messages"
+    cases = [
+        (f"k = 0 AND {pair}", "turns[0].text as prompt, turns[1].text as completion"), (f"k = 1 AND {pair}", "turns[0].text as prompt, turns[1].text as response, k as id"),
+        (f"k = 2 AND {pair}", "turns[0].text as instruction, '' as input, turns[1].text as output"), (f"k = 3 AND {pair}", "struct(turns[0].text as question, turns[1].text as answer) as data"),
+        (f"k < 4 AND {lead}", rest), (f"k = 4 AND {known}", foreign), ("k < 6", plain.format("content", "messages"))]
+    chosen = " ".join(f"WHEN {c} THEN to_variant_object(struct({x}))" for c, x in cases)
+    record = f"CASE {chosen} ELSE to_variant_object(struct({plain.format('text', 'turns')})) END"
+    return _grouped(rows).withColumn("k", F.expr("pmod(coalesce(conv_id, 0), 8)")).select("conv_id", F.expr(record).alias("record"))

@@ -16,11 +16,14 @@ def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share, as the session names it.
 
     ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    (tests, a laptop) one temporary folder of this process is used instead.
+    and everything runs in this one process (tests, a laptop) a temporary folder
+    of it is used instead; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="selvage-shared-"))
     return _LOCAL_ROOT[0]

@@ -261,7 +261,8 @@ def train(docs: DataFrame, max_documents: int = 1500, max_nodes: int = 200) -> M
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), ints, ints, ints))], names=["doc_id", "x", "y", "chain", "skip"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").mapInArrow(
+    # one text for each id, however often it is repeated
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(
         run, "doc_id long, x binary, y array<int>, chain array<int>, skip array<int>").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["x"])))
     return fit([Nodes([], [], np.frombuffer(r["x"], np.uint8).reshape(-1, N_FEATURES).astype(float), np.array(r["y"], int),

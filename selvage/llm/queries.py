@@ -68,7 +68,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{CONTROL}' AS text UNION ALL SELECT -1L, 1L, 'assistant', '{CONTROL}'")
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
-    made = chat.format_turns(chat.canonical(chat.conversation_records(rows)))
+    made = chat.format_turns(chat.canonical(chat.mixed_records(rows)))
     read = made.select("conv_id", "formatted", chat.read_back().alias("turns"), chat.loss_text().alias("loss"))
     return read.select(
         "conv_id",

@@ -141,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unla
 
     ids = least(known.where("toxic = 1"), max_positive, "p").union(least(known.where("toxic = 0"), max_negative, "n")).union(
         least(docs.where("doc_id IS NOT NULL"), max_unlabelled, "u")).groupBy("doc_id").agg(F.concat_ws("", F.sort_array(F.collect_set("kind"))).alias("kinds"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # ids: at most the three bounds
+    # ids: at most the three bounds; one text for each, however often it is repeated
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("kinds").alias("kinds"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

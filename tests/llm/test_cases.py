@@ -170,3 +170,28 @@ def test_pipeline_against_brute_force(spark, small):
 def test_registered_names():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_near_stage_keeps_other_texts_of_an_id(spark, folder):
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, "first text of the id, quite alone here", None, "a", 1), (5, "second text of the same id and unlike the first", None, "a", 1), (5, words, None, "a", 1), (9, words + " end", None, "a", 1), (5, words, None, "a", 1), (5, None, None, "a", 0)]
+    got = [(r["doc_id"], r["text"]) for r in C.near(spark, spark.createDataFrame(rows, SCHEMA), folder).collect()]
+    assert len(got) == 4 and {(5, rows[0][1]), (5, rows[1][1]), (5, None)} <= set(got) and sum(t is not None and t.startswith("w0") for _, t in got) == 1
+
+
+def test_hot_id_in_samples(spark):
+    """A repeated id gives one text to the samples, whatever its number of rows."""
+    rows = [(1, "call +1 415 555 0123 now", "en", "a", 1)] * 500 + [(i, f"text {i}", "en", "a", 1) for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert pii.find(docs, pii.train(docs)).count() == len(rows)
+    assert toxicity.score(docs, toxicity.train(docs, labels(spark, ((1, 1, 1), (2, 1, 0))))).count() == len(rows)
+
+
+def test_unset_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from selvage.llm import common
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError):
+        common.shared_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x", getConf=lambda: conf)))

@@ -352,7 +352,7 @@ def test_chat_layouts(spark):
     records = [
         ("messages", '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"id":7}'), ("from_value", '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}'),
         ("instruction", '{"instruction":"q","output":"a","input":""}'), ("prompt_completion", '{"prompt":"q","completion":"a"}'), ("prompt_response", '{"prompt":"q","response":"a","meta":{"x":1}}'),
-        ("question_answer", '{"data":{"question":"q","answer":"a"}}'), ("turns", '{"turns":[{"role":"user","text":"q"},{"role":"bot","text":"a"}]}'), (None, '{"something":"else"}'), (None, None)]
+        ("question_answer", '{"data":{"question":"q","answer":"a"}}'), ("turns", '{"turns":[{"role":"user","text":"q"},{"role":"assistant","text":"a"}]}'), (None, '{"something":"else"}'), (None, None)]
     got = chat.canonical(spark.createDataFrame(records, "want string, j string").select("want", F.expr("parse_json(j)").alias("record"))).collect()
     for r in got:
         assert r["layout"] == r["want"]
@@ -487,3 +487,13 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     alone = {v for e in edges for v in e} - {v for a, b in edges if a != b for v in (a, b)}
     assert got == {v: r for v, r in root.items() if v not in alone}
+
+
+def test_chat_roles_stay(spark):
+    """Roles of the rows come back as they were, whatever the layout that carries them."""
+    rows = [(c, t, role, f"{role} {t}") for c in range(24) for t, role in enumerate([["bot", "human"], ["user", "assistant"], ["system", "user", "assistant"], ["user", "model", "gpt"]][c % 3 if c < 12 else 3])]
+    made = chat.canonical(chat.mixed_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = made.select("conv_id", "layout", "turns").collect()
+    for r in got:
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [(role, text) for c, _, role, text in rows if c == r["conv_id"]]
+    assert len({r["layout"] for r in got}) >= 5
