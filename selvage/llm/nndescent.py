@@ -7,8 +7,9 @@ among them and gives each node the better ones: neighbours of neighbours.
 Queries walk the graph greedily: each round expands the best unexpanded nodes
 of their beam by a join with the adjacency, until no better node is left.
 
-Graph distances use vectors in half precision, since they only steer the walk;
+Graph distances are taken in single precision, since they only steer the walk;
 every distance of a search is computed in double precision on the originals.
+Vectors of different dimension have no distance; each dimension is searched apart.
 """
 
 from __future__ import annotations
@@ -22,24 +23,27 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, materialize
 from .vectors import distinct_vectors, matrix, usable
 
-#: Queries that are walked together; more of them are walked in blocks.
+#: Query vectors that are sent to every executor; more of them are joined instead.
 QUERY_BLOCK = 20_000
+#: Tables of met nodes that a walk holds before it writes them as one.
+SEEN_TABLES = 8
 PIVOTS = 1024
 CELL = 1500
 
 
 @dataclass
 class Index:
-    """``nodes(nid, embedding)``, ``graph(nid, near array<long>)`` and ``members(nid, vec_id)``."""
+    """``nodes(nid, embedding)``, ``graph(nid, near array<long>)`` and ``members(nid, vec_id)``; ``rounds``: the share of neighbours that each round replaced."""
 
     nodes: DataFrame
     graph: DataFrame
     members: DataFrame
-    dim: int
+    rounds: list[float]
 
 
 def _pivots(nodes: DataFrame, n: int) -> np.ndarray:
@@ -61,7 +65,7 @@ def _cells(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
             at = np.repeat(np.arange(len(x)), k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(near.ravel().astype(np.int32)), batch.column(1).take(pa.array(at))], names=["nid", "cell", "embedding"])
 
-    return nodes.mapInArrow(run, "nid long, cell int, embedding array<float>")
+    return nodes.mapInArrow(run, T.StructType([nodes.schema["nid"], T.StructField("cell", T.IntegerType()), nodes.schema["embedding"]]))
 
 
 def _nearest_in_cell(k: int):
@@ -85,9 +89,9 @@ def _nearest_in_cell(k: int):
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """``a, near array<struct<d, b>>``: the k nearest of each node."""
-    one = edges.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"))
-    return one.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, k).alias("near"))
+    """``a, near array<struct<d, b, fresh>>``: the k nearest of each node; ``fresh`` if only fresh edges lead there."""
+    one = edges.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"), F.every("fresh").alias("fresh"))
+    return one.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "b", "fresh"))), 1, k).alias("near"))
 
 
 def _adjacency(graph: DataFrame, k: int) -> DataFrame:
@@ -129,8 +133,8 @@ def _joined(rows: DataFrame, dim: int, most: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            half = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), half, batch.column(3).to_numpy()))
+            own = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, dim)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), own, batch.column(3).to_numpy()))
             out, held = groups(held, False)
             if out:
                 yield batch_of(out)
@@ -142,94 +146,83 @@ def _joined(rows: DataFrame, dim: int, most: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, d float")
 
 
-def build(rows: DataFrame, k: int = 32, rounds: int = 2, most: int = 8) -> Index:
-    """Index every usable vector of ``rows(vec_id, embedding)``.
+def build(able: DataFrame, dim: int, k: int = 32, rounds: int = 6, settled: float = 0.02, most: int = 8) -> Index:
+    """Index every vector of ``able(vec_id, embedding)``, all usable and of one dimension.
 
-    The most frequent dimension counts; vectors of another one take no part.
+    Rounds of NN-descent end when one replaces no more than the share
+    ``settled`` of all neighbours, and after ``rounds`` of them.
     """
-    able = rows.select("vec_id", "embedding").where(usable())
-    dims = able.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = dims["dim"] if dims else 1
-    able = able.where(F.size("embedding") == dim).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
     nodes = materialize(distinct_vectors(able).select(F.col("rep").alias("nid"), "embedding"), "nodes")
     copies = able.join(nodes, "embedding").select("nid", "vec_id").distinct()
     members = copies.withColumn("r", F.row_number().over(Window.partitionBy("nid").orderBy("vec_id")))
     n = nodes.count()
-    graph = nodes.select(F.col("nid").alias("a"), F.expr("CAST(array() AS array<struct<d:float,b:bigint>>)").alias("near"))
+    graph = nodes.select(F.col("nid").alias("a"), F.expr("CAST(array() AS array<struct<d:float,b:bigint,fresh:boolean>>)").alias("near"))
+    replaced: list[float] = []
     if n > 1:
         cells = _cells(nodes, _pivots(nodes, n))
         fill = cells.groupBy("cell").agg(F.count("*").alias("c"))
-        cells = cells.join(F.broadcast(fill), "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(23), "nid"), F.ceil(F.col("c") / CELL)))
+        cells = cells.join(F.broadcast(fill), "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(23), "nid"), F.ceil(F.col("c") / CELL)))  # at most PIVOTS cells
         edges = cells.select("cell", "part", "nid", "embedding").groupBy("cell", "part").applyInPandas(_nearest_in_cell(k), "a long, b long, d float")
-        graph = materialize(_best(edges, k), "graph")
-        top = float(nodes.select(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0])
-        scale = 1.0 / top
+        graph = materialize(_best(edges.withColumn("fresh", F.lit(False)), k), "graph")
 
-        def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = (matrix(batch.column(1)) * scale).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["b", "half"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in matrix(batch.column(1), np.float32)], pa.binary())], names=["b", "packed"])
 
-        half = materialize(nodes.mapInArrow(halves, "b long, half binary"), "half")
+        vectors = materialize(nodes.mapInArrow(packed, "b long, packed binary"), "vectors")
         for _ in range(rounds):
-            worst = graph.select(F.col("a").alias("b"), F.when(F.size("near") < k, float("inf")).otherwise(F.element_at("near", -1)["d"] * scale * scale).cast("float").alias("worst"))
-            shaped = _adjacency(graph, k).join(half, "b").join(worst, "b", "left").select("a", "b", "half", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
-            fresh = _joined(shaped.repartition("a").sortWithinPartitions("a"), dim, most)
-            kept = graph.select("a", F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.d").alias("d"))
-            fresh = fresh.select("a", "b", (F.col("d") / (scale * scale)).cast("float").alias("d"))
-            new = materialize(_best(kept.union(fresh), k), "graph")
+            worst = graph.select(F.col("a").alias("b"), F.when(F.size("near") < k, float("inf")).otherwise(F.element_at("near", -1)["d"]).cast("float").alias("worst"))
+            shaped = _adjacency(graph, k).join(vectors, "b").join(worst, "b", "left").select("a", "b", "packed", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
+            fresh = _joined(shaped.repartition("a").sortWithinPartitions("a"), dim, most).withColumn("fresh", F.lit(True))
+            kept = graph.select("a", F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.d").alias("d"), F.lit(False).alias("fresh"))
+            new = materialize(_best(kept.unionByName(fresh), k), "graph")
+            count = new.agg(F.sum(F.size(F.filter("near", lambda e: e["fresh"]))).alias("fresh"), F.sum(F.size("near")).alias("all")).first()
             discard(graph)
             graph = new
-        discard(half)
+            replaced.append((count["fresh"] or 0) / max(1, count["all"] or 0))
+            if replaced[-1] <= settled:
+                break
+        discard(vectors)
     near = _adjacency(graph, k).groupBy("a").agg(F.collect_list("b").alias("near")).select(F.col("a").alias("nid"), "near")
     near = materialize(near, "near")
     discard(graph)
-    return Index(nodes, near, members, dim)
+    return Index(nodes, near, members, replaced)
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, beam: int = 300, expand: int = 100, entries: int = 32, max_rounds: int = 60) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 10, beam: int = 300, expand: int = 100, entries: int = 32) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest members found, without the query's own ``vec_id``, by Euclidean distance, ties to the smaller ``vec_id``.
 
-    ``queries(query_id, embedding)``.  A walk starts from the nearest of a
-    bounded set of pivots and, if the query's vector is indexed, from its own
-    node.
+    ``queries(query_id, embedding)``, usable and of the index's dimension.  A
+    walk starts from the nearest of a bounded set of pivots and, if the query's
+    vector is indexed, from its own node; it ends when no node of any beam is
+    left to expand, which happens as a node is expanded once.
     """
-    queries = materialize(queries.where(usable() & (F.size("embedding") == index.dim)).select(
-        "query_id", F.col("embedding").cast("array<float>").alias("embedding")).dropDuplicates(["query_id"]), "queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = [_walk(index, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, beam, expand, entries, max_rounds) for b in range(blocks)]
-    found = out[0]
-    for x in out[1:]:
-        found = found.union(x)
-    return found
-
-
-def _walk(index: Index, queries: DataFrame, k: int, beam: int, expand: int, entries: int, max_rounds: int) -> DataFrame:
     spark = queries.sparkSession
-    rows = queries.collect()  # about QUERY_BLOCK vectors at most
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    order = np.argsort(ids)
-    shared = spark.sparkContext.broadcast((ids[order], np.array([rows[i]["embedding"] for i in order], float).reshape(len(ids), index.dim)))
+    queries = materialize(queries.select("query_id", "embedding").dropDuplicates(["query_id"]), "queries")
+    few = queries.count() <= QUERY_BLOCK
+    other = queries.select("query_id", F.col("embedding").alias("q"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = shared.value
         for batch in batches:
-            at = np.searchsorted(qid, batch.column(0).to_numpy())
-            d = np.sqrt(((matrix(batch.column(2)) - q[at]) ** 2).sum(1)) if len(batch) else np.empty(0)
+            d = np.sqrt(((matrix(batch.column(2)) - matrix(batch.column(3))) ** 2).sum(1)) if len(batch) else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["query_id", "nid", "d"])
 
     def measured(pairs: DataFrame) -> DataFrame:
-        return pairs.join(index.nodes, "nid").select("query_id", "nid", "embedding").mapInArrow(measure, "query_id long, nid long, d double")
+        rows = pairs.join(index.nodes, "nid").join(F.broadcast(other) if few else other, "query_id")
+        return rows.select("query_id", "nid", "embedding", "q").mapInArrow(measure, "query_id long, nid long, d double")
 
     first = index.nodes.orderBy(F.xxhash64(F.lit(29), "nid"), "nid").limit(PIVOTS).collect()
-    pivot_ids = np.array([r["nid"] for r in first], np.int64)
-    pivots = np.array([r["embedding"] for r in first], float).reshape(len(first), index.dim)
-    starts = []
-    for r in rows if len(first) else []:
-        d = ((pivots - np.array(r["embedding"], float)) ** 2).sum(1)
-        starts += [(r["query_id"], int(pivot_ids[i])) for i in np.argsort(d, kind="stable")[:entries]]
+    shared = spark.sparkContext.broadcast((np.array([r["nid"] for r in first], np.int64), np.array([r["embedding"] for r in first], float)))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, pivots = shared.value
+        for batch in batches:
+            if len(batch) and len(ids):
+                near = np.argsort((pivots * pivots).sum(1)[None, :] - 2 * matrix(batch.column(1)) @ pivots.T, axis=1, kind="stable")[:, :entries]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(near)), near.shape[1]))), pa.array(ids[near.ravel()])], names=["query_id", "nid"])
+
     own = queries.join(index.nodes, "embedding").select("query_id", "nid")
-    first_pairs = own.union(spark.createDataFrame(starts, "query_id long, nid long")).distinct()
+    first_pairs = own.union(queries.mapInArrow(begin, "query_id long, nid long")).distinct()
     best = Window.partitionBy("query_id").orderBy("d", "nid")
     opened = Window.partitionBy("query_id", "open").orderBy("d", "nid")
 
@@ -241,11 +234,16 @@ def _walk(index: Index, queries: DataFrame, k: int, beam: int, expand: int, entr
     new = materialize(measured(first_pairs), "seen")
     seen = [new]  # what a query has met; each round adds a table
     state = kept(new.withColumn("open", F.lit(True)))
-    for _ in range(max_rounds):
+    while True:
         front = state.where("front").select("query_id", "nid")
         if front.isEmpty():
             break
         met = reduce(DataFrame.union, (x.select("query_id", "nid") for x in seen))
+        if len(seen) >= SEEN_TABLES:
+            met = materialize(met, "seen")
+            for x in seen:
+                discard(x)
+            seen = [met]
         next_ids = front.join(index.graph, "nid").select("query_id", F.explode("near").alias("nid")).distinct().join(met, ["query_id", "nid"], "left_anti")
         new = materialize(measured(next_ids), "seen")
         seen.append(new)
@@ -266,10 +264,16 @@ def search_own(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """Index all rows and search for those whose ``vec_id`` is divisible by ``every``.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
-    take no part, as rows without ``vec_id``.  Rows that repeat a ``vec_id``
-    count once.  Other columns are ignored; an empty table gives an empty result.
+    take no part, as rows without ``vec_id``.  Vectors of another dimension than
+    the query's are no candidates.  Rows that repeat a ``vec_id`` count once.  Other columns are ignored; an empty table gives an empty result.
     """
-    rows = rows.where("vec_id IS NOT NULL").select("vec_id", "embedding")
-    index = build(rows)
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    return search(index, queries, k)
+    rows = rows.where("vec_id IS NOT NULL").select("vec_id", "embedding").where(usable())
+    dims = sorted(r["dim"] for r in rows.select(F.size("embedding").alias("dim")).distinct().collect())  # a few numbers
+    found = []
+    for dim in dims:
+        able = rows.where(F.size("embedding") == dim)
+        queries = able.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+        found.append(search(build(able, dim), queries, k))
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found)
