@@ -4,7 +4,10 @@ A paragraph is a line.  Its word 1-, 2- and 3-grams are looked up in the sparse
 weights of a multinomial logistic regression over licence families and an
 unknown class; a temperature fitted on held-out variants calibrates the
 probabilities.  A prediction is confirmed by comparing the paragraph's n-grams
-with the family's templates.
+with the family's templates; one that isn't confirmed is unknown.
+
+Notices of licences outside the families teach what is unknown although it
+speaks of a licence.
 
 The model is trained here from the templates (whole, cut and noised) and, for
 the unknown class, from a bounded sample of the corpus's own lines.  Every
@@ -32,6 +35,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License 2.0."),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice in the documentation and/or other materials provided with the distribution.",
         "Licensed under the BSD 3-Clause License.", "Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
     "cc-by-nc": (
@@ -42,7 +47,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-        "SPDX-License-Identifier: GPL-3.0-or-later"),
+        "Released under GPLv3.", "Licensed under the GPL version 2 or later.", "SPDX-License-Identifier: GPL-3.0-or-later"),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Released under the ISC License.", "SPDX-License-Identifier: ISC"),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-2.1-only"),
@@ -53,6 +58,13 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "proprietary": ("All rights reserved.", "Copyright Example Corporation. All rights reserved.", "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"),
 }
+# Notices of other licences, unknown on purpose.
+OTHERS = (
+    "Licensed under the Artistic License 2.0.", "This package is distributed under the terms of the zlib License.", "Distributed under the Boost Software License, Version 1.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Licensed under the European Union Public Licence, version 1.2.",
+    "Released under the PostgreSQL License.", "Licensed under the Academic Free License version 3.0.", "SPDX-License-Identifier: WTFPL",
+    "This product is licensed under the Oracle Technology Network License Agreement.", "Use of this data is governed by the Open Database License.",
+    "You may not use this software without a valid licence key from your vendor.", "The driver needs a licence before the car may leave.")
 FAMILIES = (*sorted(TEMPLATES), "unknown")
 SPLIT = r"[^\p{L}\p{N}]+"
 _WORDS = re.compile(r"[^\W_]+").findall
@@ -105,6 +117,9 @@ def fit(background: list[str], steps: int = 400) -> Model:
             rows += [([place[g] for g in grams(v) if g in place], k) for v in _variants(rng, t, background)]
     rng.shuffle(background)
     unknown = len(FAMILIES) - 1
+    for t in OTHERS:
+        for v in [v for _ in range(4) for v in _variants(rng, t, background)]:
+            rows.append(([place[g] for g in grams(v) if g in place], unknown))
     loose = [w for own in TEMPLATES.values() for t in own for w in _WORDS(t.lower())]
     for b in [*background[:len(rows)], *(" ".join(rng.sample(loose, 3)) for _ in range(len(rows) // 4)), *[""] * 20]:
         rows.append(([place[g] for g in grams(b) if g in place], unknown))
@@ -127,8 +142,7 @@ def fit(background: list[str], steps: int = 400) -> Model:
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead_w, ahead_b = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = new, nb, nt
-    z = x[held] @ w + b
-    heat = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=lambda h: -(np.log(_softmax(z / h) + 1e-12) * y[held]).sum())
+    heat = _temperature(x[held] @ w + b, y[held])
     use = np.flatnonzero(np.abs(w).max(1) > 1e-6)
     weights = {vocab[k]: w[k] for k in use}
     return Model(weights, b, heat, _triggers({vocab[k]: w[k] for k in use}, b, common))
@@ -150,27 +164,43 @@ def _triggers(weights: dict[str, np.ndarray], bias: np.ndarray, common: dict[str
     return sorted(chosen)
 
 
+def _temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """What the held-out scores are divided by to be likeliest, by golden section over its logarithm."""
+    def loss(h: float) -> float:
+        return float(-(np.log(_softmax(z / np.exp(h)) + 1e-12) * y).sum())
+
+    low, high, g = np.log(0.1), np.log(10.0), (5**0.5 - 1) / 2
+    while high - low > 1e-3:
+        a, b = high - g * (high - low), low + g * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    return float(np.exp((low + high) / 2))
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
 
 
 def train(docs: DataFrame, max_lines: int = 2000) -> Model:
-    """Fit with the first lines of at most ``max_lines`` documents, those with the smallest hash of ``doc_id``, as unknown text.
+    """Fit with a line of each of at most ``max_lines`` documents, those with the smallest hash of ``doc_id``, as unknown text.
 
-    Lines that say licence, license, copyright or rights aren't used.
+    It is the line with the smallest hash, so any may be; lines that say licence,
+    license, copyright or rights aren't used.
     """
-    lead = F.substring(F.substring_index("text", "\n", 1), 1, 2000).alias("line")
-    ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").orderBy(F.xxhash64(F.lit("licence"), "doc_id"), "doc_id").limit(max_lines)
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", lead).where(~F.lower("line").rlike("licen[cs]e|copyright|rights")).collect()
+    ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").orderBy(F.xxhash64(F.lit("licence"), "doc_id"), "doc_id").limit(max_lines).distinct()
+    lines = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where(~F.lower("line").rlike("licen[cs]e|copyright|rights") & F.col("line").rlike(r"\S"))
+    # one line for each id, however often it is repeated
+    rows = lines.groupBy("doc_id").agg(F.min_by("line", F.struct(F.xxhash64("line"), "line")).alias("line")).collect()
     return fit([r["line"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["line"]))])
 
 
 def scan(docs: DataFrame, model: Model, least_probability: float = 0.5, least_similarity: float = 0.6) -> DataFrame:
     """``doc_id, line, family, probability, template, similarity, confirmed`` for each line predicted to be a licence notice.
 
-    ``line`` counts from 0.  Lines that speak of a licence but fit no family have
-    the family ``unknown`` and no template.  Null and empty texts have no rows;
+    ``line`` counts from 0.  Lines that speak of a licence but fit no family, or
+    whose prediction no template confirms, have the family ``unknown`` and no
+    template.  ``probability`` is that of the likeliest class.  Null and empty texts have no rows;
     repeated rows are scanned once per different text; other columns are ignored;
     an empty table gives an empty result.
     """
@@ -212,6 +242,8 @@ def scan(docs: DataFrame, model: Model, least_probability: float = 0.5, least_si
     near = near.select(*key, "f", "template", (F.col("both") / F.least("size", "n")).alias("similarity"), (F.col("both") / F.greatest("size", "n")).alias("tie"))
     best = near.groupBy(*key, "f").agg(F.max(F.struct("similarity", "tie", "template")).alias("best"))
     out = scored.join(best, [*(scored[c].eqNullSafe(best[c]) for c in key), scored["family"] == best["f"]], "left")
-    return out.select(
-        scored["doc_id"], scored["line"].cast("long").alias("line"), "family", "probability", F.col("best.template").alias("template"),
+    out = out.select(
+        scored["doc_id"], scored["line"].cast("long").alias("line"), F.col("family").alias("predicted"), "probability", "speaks", F.col("best.template").alias("template"),
         F.coalesce("best.similarity", F.lit(0.0)).alias("similarity"), F.coalesce(F.col("best.similarity") >= least_similarity, F.lit(False)).alias("confirmed"))
+    return out.where("confirmed OR speaks").select(
+        "doc_id", "line", F.when(F.col("confirmed"), F.col("predicted")).otherwise("unknown").alias("family"), "probability", F.when(F.col("confirmed"), F.col("template")).alias("template"), "similarity", "confirmed")

@@ -16,13 +16,15 @@ length that a third of all pieces share is spread over many tasks.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -153,8 +155,17 @@ class Capacity:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], np.int64)
 
 
-def best_fit(histogram: dict[int, int], capacity: Capacity) -> tuple[np.ndarray, int]:
-    """Placement rules ``(length, first rank, first sequence, offset)``, each valid to the next rule's rank, and the number of sequences.
+class Plan(NamedTuple):
+    """Placement rules ``(length, first rank, first sequence, offset)``, each valid to the next rule's rank; the number of
+    sequences; and how many of them were closed as they had too little left of tokens, documents and attention."""
+
+    rules: np.ndarray
+    used: int
+    closed: tuple[int, int, int]
+
+
+def best_fit(histogram: dict[int, int], capacity: Capacity) -> Plan:
+    """The plan for pieces given by the number of each length.
 
     A piece of rank r within its length goes to sequence ``first sequence + r -
     first rank`` at ``offset``.  A piece that no empty sequence can hold (its
@@ -166,11 +177,15 @@ def best_fit(histogram: dict[int, int], capacity: Capacity) -> tuple[np.ndarray,
     rules: list[tuple[int, int, int, int]] = []
     used = 0
     smallest = min(histogram, default=0)
+    least = np.array([smallest, 1, smallest**2])
+    closed = np.zeros(3, np.int64)
 
     def keep(free: tuple[int, int, int], first: int, count: int) -> bool:
-        if free[0] >= smallest and free[1] > 0 and free[2] >= smallest**2:
+        short = np.array(free) < least
+        if not short.any():
             state.setdefault(free, []).append([first, count])
             return True
+        closed[int(short.argmax())] += count
         return False
 
     for length in sorted(histogram, reverse=True):
@@ -225,26 +240,55 @@ def best_fit(histogram: dict[int, int], capacity: Capacity) -> tuple[np.ndarray,
                     counts[same] += take
                 else:
                     frees, counts = np.vstack([frees, after]), np.append(counts, take)
-    return np.array(sorted(rules), np.int64).reshape(-1, 4), used
+    return Plan(np.array(sorted(rules), np.int64).reshape(-1, 4), used, tuple(closed.tolist()))
+
+
+#: Documents of a sequence, as multiples of the mean, that :func:`balanced` tries.
+SHARES = (24.0, 64.0)
+
+
+def balanced(histogram: dict[int, int], capacity: Capacity) -> Plan:
+    """A plan under a bound on documents that costs no sequence.
+
+    A sequence of very many short documents is costly to mask.  So the number of
+    documents is bound to a multiple of its mean, and free shares of documents
+    and attention count in the choice; if that needs more sequences than tokens
+    alone, a wider bound or none is taken.  A capacity that bounds documents
+    itself is left as it is.  Attention is bound by the tokens: a piece of
+    ``tokens`` has to fit.
+    """
+    loose = best_fit(histogram, capacity)
+    if capacity.documents or not loose.used:
+        return loose
+    mean = sum(histogram.values()) / loose.used
+    for share in SHARES:
+        tight = best_fit(histogram, replace(capacity, documents=math.ceil(share * mean), weights=(1.0, 0.05, 0.01)))
+        if tight.used <= loose.used:
+            return tight
+    return loose
 
 
 def pack(parts: DataFrame, capacity: Capacity) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length`` of at least 1.
 
     Rows are placed one by one, so repeated rows are packed repeatedly; ties
-    between equal pieces go by ``doc_id, piece``.  Other columns stay.  An empty
-    table gives an empty result.
+    between equal pieces go by ``doc_id, piece``.  Other columns stay, but those
+    named ``sequence_id`` or ``offset``, which are replaced.  An empty table gives
+    an empty result.
     """
     spark = parts.sparkSession
+    own = [c for c in parts.columns if c not in ("doc_id", "piece", "length", "sequence_id", "offset")]
+    # other columns stay in one struct, so that none can clash
+    parts = parts.select("doc_id", "piece", "length", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in own)).alias("own"))
     hist = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most max_tokens rows
-    rules, _ = best_fit(hist, capacity)
+    rules = balanced(hist, capacity).rules
     salts = spark.createDataFrame(sorted((n, -(-c // RANKED_TOGETHER)) for n, c in hist.items()), "length long, salts long")
     salted = parts.join(F.broadcast(salts), "length").withColumn(
         "salt", F.expr("pmod(xxhash64(doc_id, piece), salts)")).drop("salts")
     sizes = salted.groupBy("length", "salt").count()
     before = sizes.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(before, ["length", "salt"])
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(before, ["length", "salt"])
     ranked = ranked.withColumn("rank", (F.col("rank") + F.col("before")).cast("long")).drop("before", "salt")
     shared = spark.sparkContext.broadcast(rules)  # bounded by max_tokens and the number of states, not by the pieces
 
@@ -260,7 +304,8 @@ def pack(parts: DataFrame, capacity: Capacity) -> DataFrame:
                 names=[*names, "sequence_id", "offset"])
 
     schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, schema)
+    placed = ranked.mapInArrow(place, schema)
+    return placed.select("doc_id", "piece", "length", *(F.col(f"own.`{c}`").alias(c) for c in own), "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, max_tokens: int = 4096, end_id: int = 1, capacity: Capacity | None = None) -> DataFrame:

@@ -108,7 +108,8 @@ def test_packing_holds_every_constraint(capacity):
     draw = random.Random(4)
     for _ in range(20):
         histogram = {draw.randint(1, 38): draw.randint(1, 40) for _ in range(draw.randint(1, 20))}
-        rules, used = packing.best_fit(histogram, capacity)
+        rules, used, closed = packing.best_fit(histogram, capacity)
+        assert sum(closed) <= used and (capacity.documents or not closed[1])
         bins = {}
         for (length, rank, first, offset), after in zip(rules.tolist(), rules.tolist()[1:] + [[None] * 4]):
             end = after[1] if after[0] == length else histogram[length]
@@ -122,6 +123,21 @@ def test_packing_holds_every_constraint(capacity):
             assert (need <= capacity.vector()).all()
 
 
+def test_packing_balances_documents():
+    """A bound on documents is taken if the number of sequences stays that of tokens alone; one asked for decides as well."""
+    histogram = {5: 3000, 60: 200, 700: 100, 1500: 90, 4000: 40}
+    loose, tight = packing.best_fit(histogram, packing.Capacity()), packing.balanced(histogram, packing.Capacity())
+    assert tight.used == loose.used and loose.closed[1] == 0
+    few = packing.best_fit(histogram, packing.Capacity(documents=2))
+    assert few.closed[1] > 0 and few.used >= sum(histogram.values()) / 2
+
+
+def test_packing_keeps_other_columns(spark):
+    rows = spark.createDataFrame([(i, 0, 10 + i % 3, "x", i, i, i, i) for i in range(20)], "doc_id long, piece int, length long, salt string, salts long, before long, rank long, own long")
+    got = packing.pack(rows, packing.Capacity(64))
+    assert sorted(map(tuple, got.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect())) and {"sequence_id", "offset"} < set(got.columns)
+
+
 def test_packing_rejects_what_fits_nowhere():
     with pytest.raises(ValueError):
         packing.best_fit({50: 1}, packing.Capacity(64, None, 100))
@@ -506,6 +522,59 @@ def test_licence_families(spark):
     assert not [r for r in got if r["doc_id"] >= 1000 and r["family"] != "unknown"]
 
 
+def test_licences_unseen(spark):
+    """Notices in words of their own, of families and of licences that training never saw: families are found, others are unknown, probabilities are reliable."""
+    own = [("gpl", "The code is released under GPLv3 by its authors"), ("mit", "It is released under the MIT License today"), ("apache", "Everything here is licensed under the Apache License, Version 2.0 by us"),
+           ("bsd", "Redistributions of source code must retain the above copyright notice"), ("cc-by-sa", "All photos are licensed under CC BY-SA 4.0."), ("mpl", "SPDX-License-Identifier: MPL-2.0")]
+    other = ["Licensed under the Eclipse Public License 2.0", "Licensed under the Common Development and Distribution License", "Released under the Ruby License.", "SPDX-License-Identifier: EPL-2.0", "This is licensed under the Microsoft Public License",
+             "Licensed under the Python Software Foundation License Version 2"]
+    rows = [(i, t) for i, (_, t) in enumerate(own)] + [(100 + i, t) for i, t in enumerate(other)]
+    draw = random.Random(3)
+    back = [(1000 + i, " ".join(draw.choice(["thing", "house", "under", "the", "free", "version", "walk", "any"]) for _ in range(12))) for i in range(80)]
+    model = licences.train(documents(spark, back))
+    got = {r["doc_id"]: r for r in licences.scan(documents(spark, rows), model).collect()}
+    assert [got[i]["family"] for i in range(len(own))] == [f for f, _ in own]
+    assert all(got[100 + i]["family"] == "unknown" for i in range(len(other)))
+    sure = [got[i]["probability"] for i in range(len(own))]
+    assert abs(np.mean(sure) - 1) < 0.25  # all right, so the mean probability should be near 1
+
+
+def test_licence_scores_equal_numpy(spark):
+    """The scan against a plain computation of the same model over each line."""
+    draw = random.Random(5)
+    notices = [t for v in licences.TEMPLATES.values() for t in v] + list(licences.OTHERS)
+    rows = []
+    for i in range(120):
+        w = draw.choice(notices).split()
+        rows.append((i, "\n".join(["some words before", " ".join(w[draw.randint(0, 2):] + draw.choices(["walk", "house", "free"], k=draw.randint(0, 4))), "after it"])))
+    model = licences.train(documents(spark, rows))
+    templates = [(f, set(licences.grams(t))) for f, v in licences.TEMPLATES.items() for t in v]
+    want = {}
+    for i, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            g = licences.grams(line)
+            z = (sum((model.weights[x] for x in g if x in model.weights), np.zeros(len(licences.FAMILIES))) + model.bias) / model.temperature
+            p = licences._softmax(z)
+            family = licences.FAMILIES[int(p.argmax())]
+            near = max((len(t & set(g)) / min(len(t), len(g)) for f, t in templates if f == family), default=0.0) if g else 0.0
+            sure = family != "unknown" and p.max() >= 0.5 and near >= 0.6
+            if sure or re.search("licen[cs]e|copyright|rights reserved|warranty", line.lower()):
+                want[i, k] = (family if sure else "unknown", round(float(p.max()), 6))
+    got = {(r["doc_id"], r["line"]): (r["family"], round(r["probability"], 6)) for r in licences.scan(documents(spark, rows), model).collect()}
+    assert got == want
+
+
+def test_toxicity_scores_equal_numpy(spark):
+    draw = random.Random(4)
+    rows = [(i, " ".join(draw.choice(["kind", "friendly", "words", "horrible", "hateful", "insult", "neutral"]) for _ in range(30))) for i in range(80)] + [(900, ""), (901, None)]
+    labels = spark.createDataFrame([(i, int("hateful" in t)) for i, t in rows[:60]], "doc_id long, toxic int")
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, labels)
+    for r in toxicity.score(docs, model).collect():
+        margin = model.bias + model.weights.astype(float)[toxicity.features(r["text"])].sum()
+        assert abs(r["score"] - 1 / (1 + math.exp(-(model.slope * margin + model.shift)))) < 1e-9
+
+
 def test_toxicity_held_out(spark):
     if not os.path.isdir("/root/testdata/sf0.1"):
         pytest.skip("no test data")
