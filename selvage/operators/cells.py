@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from selvage.functions import geometry as G
+from selvage.functions import kernels as K
+
 # Fixed values of the domain.
 CELL_MIN_CM2 = 3.0
 BORDER_MIN_MM = 2.0
@@ -150,3 +153,78 @@ def grid_like(cells: DataFrame, spread: float = 1.15, least: int = 4, cover: flo
     near = F.transform("areas", lambda a: F.filter("areas", lambda b: (b >= a) & (b <= a * spread)))
     hit = F.exists(near, lambda g: (F.size(g) >= least) & (F.aggregate(g, F.lit(0.0), lambda s, a: s + a) > cover * total))
     return every.select("outline", hit.alias("grid"))
+
+
+def map_cells(chosen: DataFrame, cells: DataFrame, overlap) -> DataFrame:
+    """``outline, size, id, other``: each chosen cell's counterpart in another size, the cell that shares most with it, if that is half of the smaller.
+
+    ``chosen(outline, id, ring)`` of the reference size and ``cells(outline,
+    size, id, ring)``; ``overlap`` is a column function of both rings.
+    """
+    ref = chosen.select("outline", F.col("id").alias("ref"), F.col("ring").alias("r1"), G.bbox("ring").alias("b1"), G.area("ring").alias("a1"))
+    own = cells.select("outline", "size", "id", "ring", G.bbox("ring").alias("b2"), G.area("ring").alias("a2"))
+    near = ref.join(own, "outline").where((F.col("b1.min_x") < F.col("b2.max_x")) & (F.col("b2.min_x") < F.col("b1.max_x")) & (F.col("b1.min_y") < F.col("b2.max_y")) & (F.col("b2.min_y") < F.col("b1.max_y")))
+    near = near.withColumn("shared", overlap("r1", "ring")).where((F.col("shared") > 0) & (2 * F.col("shared") >= F.least("a1", "a2")))
+    best = near.groupBy("outline", "size", "ref").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("other"))
+    return best.select("outline", "size", F.col("ref").alias("id"), "other")
+
+
+def single_cell(rings: DataFrame) -> DataFrame:
+    """An outline as its only cell."""
+    return rings.select("outline", F.lit(1).cast("long").alias("id"), "ring", G.area("ring").alias("area"))
+
+
+#: Rings run through pixel centres: grown by a little more than half a pixel, neighbours overlap.
+GROWN_PIXELS = 0.6
+
+
+def united(rings: list[K.Ring], cm_per_pt: float, pixel_mm: float) -> K.Ring:
+    grown = GROWN_PIXELS * pixel_mm / 10 / cm_per_pt
+    try:
+        return K.union(*(K.offset(r, grown) for r in rings))
+    except K.GeometryError as e:
+        raise K.GeometryError("geom.partsDisconnected") from e
+
+
+def union_cells(cells: DataFrame, cm_per_pt: float, pixel_mm: float) -> DataFrame:
+    """``outline, ring, error``: the cells of each outline as one ring; the error's code where they fall apart."""
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        try:
+            ring, error = [list(p) for p in united([K.as_ring(r) for r in own["ring"]], cm_per_pt, pixel_mm)], None
+        except K.GeometryError as e:
+            ring, error = None, str(e)
+        return pd.DataFrame({"outline": [own["outline"].iloc[0]], "ring": [ring], "error": [error]})
+
+    return cells.select("outline", "id", "ring").groupBy("outline").applyInPandas(run, "outline string, ring array<array<double>>, error string")
+
+
+def nested_outlines(cells: DataFrame, borders: DataFrame, count: int, cm_per_pt: float, pixel_mm: float) -> DataFrame:
+    """``outline, level, ring``: the union of all cells up to each level, for outlines with as many levels as sizes.
+
+    An outline with one level is the same in every size: its row has level 0 and
+    no ring.  Outlines whose levels don't match, or fall apart, have no rows.
+    """
+    levels = onion_levels(cells, borders, cm_per_pt)
+    number = levels.groupBy("outline").agg(F.count_distinct("level").alias("n"), F.min("level").alias("first"))
+    single = number.where("n = 1").select("outline", F.lit(0).alias("level"), F.lit(None).cast("array<array<double>>").alias("ring"))
+    fit = levels.join(number.where((F.col("n") == count) & (F.col("n") > 1)), "outline").select("outline", "id", (F.col("level") - F.col("first") + 1).alias("level"))
+    upto = fit.join(cells.select("outline", "id", "ring"), ["outline", "id"]).withColumn("at", F.explode(F.sequence(F.col("level"), F.lit(count))))
+    named = upto.select(F.concat_ws("\0", "outline", F.col("at").cast("string")).alias("outline"), "id", "ring")
+    rings = union_cells(named, cm_per_pt, pixel_mm).select(F.substring_index("outline", "\0", 1).alias("outline"), F.substring_index("outline", "\0", -1).cast("int").alias("level"), "ring", "error")
+    bad = rings.where("error IS NOT NULL").select("outline").distinct()
+    return rings.join(bad, "outline", "left_anti").select("outline", "level", "ring").union(single)
+
+
+def propose_chain(cells: DataFrame, borders: DataFrame, cm_per_pt: float, option: str = "Option") -> DataFrame:
+    """``piece, variant, label, size, cells``: where every size's cells form a path of one length, variants are the path's beginnings.
+
+    ``cells`` and ``borders`` have the columns of :func:`chain_order` and in
+    ``outline`` the piece and the size, joined by U+0000.
+    """
+    sizes = cells.select("outline").distinct()
+    steps = chain_order(cells, borders, cm_per_pt).groupBy("outline").agg(F.max("step").alias("last"), F.collect_list(F.struct("step", "id")).alias("path"))
+    every = sizes.join(steps, "outline", "left").withColumn("piece", F.substring_index("outline", "\0", 1)).withColumn("size", F.substring_index("outline", "\0", -1))
+    same = every.groupBy("piece").agg(F.min("last").alias("lo"), F.max("last").alias("hi"), F.count_if(F.col("last").isNull()).alias("none")).where("none = 0 AND lo = hi").select("piece")
+    rows = every.join(same, "piece").withColumn("variant", F.explode(F.sequence(F.lit(1), F.col("last") + 1)))
+    chosen = F.transform(F.filter(F.array_sort("path"), lambda s: s["step"] < F.col("variant")), lambda s: s["id"])
+    return rows.select("piece", "variant", F.concat(F.lit(option + " "), F.col("variant").cast("string")).alias("label"), "size", chosen.alias("cells"))

@@ -229,17 +229,29 @@ def upper_median(column: Column | str) -> Column:
     return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
-def group_by_overlap(rings: DataFrame, references: DataFrame, overlap) -> DataFrame:
+def group_by_overlap(rings: DataFrame, references: DataFrame, overlap, cell: float | None = None) -> DataFrame:
     """``ring, ref, shared``: each ring's reference with the largest shared area, if that is half of the smaller one at least.
 
-    ``overlap`` is a column function of both outlines; bounding boxes are compared first.
+    ``overlap`` is a column function of both outlines.  Boxes are listed in all
+    grid cells that they cover and joined by cell; a pair counts in the cell of
+    its common lower corner only.  A cell is as wide as the widest side of half
+    the references, unless ``cell`` says otherwise.
     """
     r = rings.select(F.col("id").alias("ring"), F.col("outline").alias("o1"), G.bbox("outline").alias("b1"), G.area("outline").alias("a1"))
     s = references.select(F.col("id").alias("ref"), F.col("outline").alias("o2"), G.bbox("outline").alias("b2"), G.area("outline").alias("a2"))
-    near = r.join(s, (F.col("b1.max_x") >= F.col("b2.min_x")) & (F.col("b2.max_x") >= F.col("b1.min_x")) & (F.col("b1.max_y") >= F.col("b2.min_y")) & (F.col("b2.max_y") >= F.col("b1.min_y")))
-    near = near.withColumn("shared", overlap("o1", "o2")).where((F.col("shared") > 0) & (F.col("shared") / F.least("a1", "a2") >= 0.5))
-    best = Window.partitionBy("ring").orderBy(F.desc("shared"), "ref")
-    return near.withColumn("r", F.row_number().over(best)).where("r = 1").select("ring", "ref", "shared")
+    if cell is None:
+        cell = s.agg(F.percentile_approx(F.greatest("b2.width", "b2.height"), 0.5)).first()[0] or 1.0
+
+    def listed(rows: DataFrame, box: str) -> DataFrame:
+        for c in "xy":
+            rows = rows.withColumn("c" + c, F.explode(F.sequence(F.floor(F.col(f"{box}.min_{c}") / cell), F.floor(F.col(f"{box}.max_{c}") / cell))))
+        return rows
+
+    near = listed(r, "b1").join(listed(s, "b2"), ["cx", "cy"]).where((F.col("b1.max_x") >= F.col("b2.min_x")) & (F.col("b2.max_x") >= F.col("b1.min_x")) & (F.col("b1.max_y") >= F.col("b2.min_y")) & (F.col("b2.max_y") >= F.col("b1.min_y")))
+    corner = [F.floor(F.greatest(f"b1.min_{c}", f"b2.min_{c}") / cell) == F.col("c" + c) for c in "xy"]
+    near = near.where(corner[0] & corner[1]).withColumn("shared", overlap("o1", "o2")).where((F.col("shared") > 0) & (F.col("shared") / F.least("a1", "a2") >= 0.5))
+    best = near.groupBy("ring").agg(F.min(F.struct((-F.col("shared")).alias("less"), "ref")).alias("best"))
+    return best.select("ring", "best.ref", (-F.col("best.less")).alias("shared"))
 
 
 def segments(subpaths: DataFrame) -> DataFrame:
@@ -253,15 +265,15 @@ def segments(subpaths: DataFrame) -> DataFrame:
 def nearest_segment(taps: DataFrame, rows: DataFrame, cell: float = 20.0) -> DataFrame:
     """``tap, owner, distance``: the nearest segment within each tap's tolerance, by a grid of cells.
 
-    ``taps(tap, x, y, tolerance)``.  Segments are listed in the cells of points
+    ``taps(tap, doc, x, y, tolerance)`` on the sheet of ``doc``.  Segments are listed in the cells of points
     sampled along them, half a cell apart; a tap looks into all cells within its
     tolerance and half a cell.
     """
     steps = F.greatest(F.lit(1), F.ceil(G.distance(F.col("a"), F.col("b")) / (cell / 2))).cast("int")
     samples = F.transform(F.sequence(F.lit(0), steps), lambda k: F.struct(*(F.floor((F.col("a")[i] + (F.col("b")[i] - F.col("a")[i]) * k / steps) / cell).alias(c) for i, c in enumerate(("cx", "cy")))))
-    listed = rows.withColumn("c", F.explode(F.array_distinct(samples))).select("owner", "a", "b", "c.cx", "c.cy")
+    listed = rows.withColumn("c", F.explode(F.array_distinct(samples))).select("doc", "owner", "a", "b", "c.cx", "c.cy")
     reach = F.col("tolerance") + cell / 2
     around = taps.withColumn("cx", F.explode(F.sequence(F.floor((F.col("x") - reach) / cell), F.floor((F.col("x") + reach) / cell)))).withColumn(
         "cy", F.explode(F.sequence(F.floor((F.col("y") - reach) / cell), F.floor((F.col("y") + reach) / cell))))
-    near = around.join(listed, ["cx", "cy"]).withColumn("distance", G.point_segment_distance(F.array("x", "y"), F.col("a"), F.col("b"))).where(F.col("distance") <= F.col("tolerance"))
+    near = around.join(listed, ["doc", "cx", "cy"]).withColumn("distance", G.point_segment_distance(F.array("x", "y"), F.col("a"), F.col("b"))).where(F.col("distance") <= F.col("tolerance"))
     return near.groupBy("tap").agg(F.min(F.struct("distance", "owner")).alias("m")).select("tap", "m.owner", "m.distance")

@@ -280,19 +280,21 @@ def content_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_SUBPATH}, c AS (SELECT doc, page, 'P' || CAST(path % 7 AS VARCHAR) AS str, CAST(x % 40 AS DOUBLE) + CASE WHEN page = 2 THEN 500 ELSE 0 END AS x, CAST(y % 40 AS DOUBLE) AS y FROM d_line4 WHERE page <= 2)
+WITH {_SUBPATH}, c AS (SELECT doc, page, 'P' || CAST(path % 7 AS VARCHAR) AS str, CAST(x % 40 AS DOUBLE) + CASE WHEN page % 2 = 0 THEN 480 ELSE 0 END AS x, CAST(y % 40 AS DOUBLE) + CASE WHEN page > 2 THEN 680 ELSE 0 END AS y FROM d_line4)
 SELECT DISTINCT doc, str, x, y FROM c""")
 def assemble_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of the first two pages side by side, each once."""
+    """Texts of all four pages on one sheet, each once."""
     first = F.col("points")[0]
     texts = subpaths(spark, sf_dir).select("doc", "page", F.concat(F.lit("P"), (F.col("path") % 7).cast("string")).alias("str"), (first[0] % 40).alias("x"), (first[1] % 40).alias("y"), F.lit(8.0).alias("height"))
-    docs = texts.select("doc").distinct()
-    places = docs.select("doc", F.explode(F.expr("array(struct(1 AS page, 0D AS x, 0D AS y), struct(2 AS page, 500D AS x, 0D AS y))")).alias("p")).select("doc", "p.*")
-    return S.assemble_texts(texts, places).select("doc", "str", "x", "y")
+    return S.assemble_texts(texts, place_pages(spark, sf_dir)).select("doc", "str", "x", "y")
 
 
-@query()
+@query(f"""
+WITH {_SUBPATH}, p AS (SELECT DISTINCT doc, style, closed, x + CASE WHEN page % 2 = 0 THEN 480 ELSE 0 END AS x, y + CASE WHEN page > 2 THEN 680 ELSE 0 END AS y, w, h FROM d_line4),
+f AS (SELECT DISTINCT doc, page FROM d_line4), a AS (SELECT doc, style FROM p UNION ALL SELECT doc, 'stroke:1' FROM f)
+SELECT doc, style, count(*) AS n FROM a GROUP BY doc, style""")
 def assemble_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and frames of four pages on one sheet, near-identical ones of a style once."""
     rows, pages = framed(spark, sf_dir)
     blocks = pages.select("doc").distinct().select("doc", F.lit(0).alias("block"), F.lit(1).alias("first"), F.expr("array(2, 2)").alias("rows"), F.lit(480.0).alias("step_x"), F.lit(680.0).alias("step_y"))
     return S.assemble_paths(rows, S.place_pages(blocks, pages)).groupBy("doc", "style").agg(F.count("*").alias("n"))
@@ -307,19 +309,41 @@ def place_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.place_pages(blocks, pages).select("doc", "page", "x", "y")
 
 
-@query()
+_REPEATED = """
+d_shape AS (
+    SELECT p_partkey // 400 AS doc, CAST(p_partkey % 4 + 1 AS INTEGER) AS page, p_partkey AS path, 5 + p_partkey * 37 % 400 AS x, 7 + p_partkey * 53 % 500 AS y, 20 + p_partkey * 17 % 9 * 10 AS w, 10 + p_partkey * 29 % 7 * 10 AS h FROM part
+)"""
+
+
+@query(f"""
+WITH {_REPEATED}, o AS (SELECT *, count(*) OVER (PARTITION BY doc, page, w, h) AS c FROM d_shape), k AS (SELECT * FROM o WHERE c <= 4),
+v AS (
+    SELECT a.doc, a.page AS a, b.page AS b, a.x - b.x AS dx, a.y - b.y AS dy, count(*) AS votes FROM k a JOIN k b ON a.doc = b.doc AND a.w = b.w AND a.h = b.h AND a.page < b.page
+    WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) >= 5 GROUP BY 1, 2, 3, 4, 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc, a, b ORDER BY votes DESC, dx, dy) AS n FROM v)
+SELECT doc, a, b, CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy, votes FROM r WHERE n <= 4""")
 def page_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, pages = framed(spark, sf_dir)
-    return S.page_matches(S.content(rows, pages).drop("row"))
+    """shape_key and matches: 400 parts a document as corners of 63 shapes, on four pages."""
+    i = F.col("p_partkey").cast("long")
+    rows = D.table(spark, sf_dir, "part").select(
+        F.floor(i / 400).alias("doc"), (i % 4 + 1).cast("int").alias("page"), i.alias("path"), F.lit(0).alias("sub"),
+        *(v.cast("double").alias(c) for c, v in (("x", 5 + i * 37 % 400), ("y", 7 + i * 53 % 500), ("w", 20 + i * 17 % 9 * 10), ("h", 10 + i * 29 % 7 * 10))))
+    points = F.expr("array(array(x, y), array(x + w, y), array(x + w, y + h))")
+    return S.page_matches(rows.select("doc", "page", "path", "sub", points.alias("points"), F.lit(False).alias("closed"), F.lit("stroke:1").alias("style")))
 
 
-@query()
+@query(f"""
+WITH {_SUBPATH}, s AS (
+    SELECT doc, x AS px, y AS py, x + w AS qx, y AS qy FROM d_line4 UNION ALL SELECT doc, x + w, y, x + w, y + h FROM d_line4 UNION ALL SELECT doc, x + w, y + h, x, y FROM d_line4 WHERE closed),
+t AS (SELECT p_partkey AS tap, p_partkey % 25 AS doc, p_partkey * 31 % 500 AS x, p_partkey * 67 % 600 AS y FROM part),
+n AS (SELECT tap, x, y, px, py, qx - px AS dx, qy - py AS dy, greatest(0e0, least(1e0, ((x - px) * (qx - px) + (y - py) * (qy - py)) / ((qx - px) ** 2 + (qy - py) ** 2))) AS q FROM t JOIN s ON s.doc = t.doc),
+d AS (SELECT tap, min(sqrt((x - px - q * dx) ** 2 + (y - py - q * dy) ** 2)) AS distance FROM n GROUP BY tap)
+SELECT tap, {R6.format('distance')} AS distance FROM d WHERE distance <= 6""")
 def nearest_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tap for each part, against the lines of all sheets."""
-    i = F.col("p_partkey")
-    taps = D.table(spark, sf_dir, "part").select(i.alias("tap"), (i * 31 % 500).cast("double").alias("x"), (i * 67 % 600).cast("double").alias("y"), F.lit(6.0).alias("tolerance"))
-    hit = S.nearest_segment(taps, S.segments(subpaths(spark, sf_dir)))
-    return hit.select("tap", "owner", r6("distance").alias("distance"))
+    """A tap for each part, against the lines of its sheet."""
+    i = F.col("p_partkey").cast("long")
+    taps = D.table(spark, sf_dir, "part").select(i.alias("tap"), (i % 25).alias("doc"), (i * 31 % 500).cast("double").alias("x"), (i * 67 % 600).cast("double").alias("y"), F.lit(6.0).alias("tolerance"))
+    return S.nearest_segment(taps, S.segments(subpaths(spark, sf_dir))).select("tap", r6("distance").alias("distance"))
 
 
 @query()
@@ -371,10 +395,11 @@ def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.upsert(old, new)
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return J.delete(rows, D.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct())
+    """Orders without those of which something came back."""
+    rows = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return J.delete(rows, D.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")).distinct())
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 3 = 0 THEN CAST(6 AS BIGINT) ELSE 4 END AS points FROM part")

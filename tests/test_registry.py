@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from selvage.plans import registry
+from selvage.plans import registry, rules  # noqa: F401 (rules registers its queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -45,8 +45,8 @@ def test_nearest_segment_against_all(spark, small):
     from selvage.operators import sheet as S
 
     rows = S.segments(registry.subpaths(spark, small)).cache()
-    taps = spark.createDataFrame([(i, i * 37.0 % 400, i * 53.0 % 500, 6.0) for i in range(40)], "tap int, x double, y double, tolerance double")
-    brute = taps.join(rows).withColumn("d", G.point_segment_distance(F.array("x", "y"), F.col("a"), F.col("b"))).where("d <= tolerance").groupBy("tap").agg(F.min("d").alias("d"))
+    taps = spark.createDataFrame([(i, i % 25, i * 37.0 % 400, i * 53.0 % 500, 60.0) for i in range(40)], "tap int, doc long, x double, y double, tolerance double")
+    brute = taps.join(rows, "doc").withColumn("d", G.point_segment_distance(F.array("x", "y"), F.col("a"), F.col("b"))).where("d <= tolerance").groupBy("tap").agg(F.min("d").alias("d"))
     want = {r["tap"]: round(r["d"], 9) for r in brute.collect()}
     assert {r["tap"]: round(r["distance"], 9) for r in S.nearest_segment(taps, rows).collect()} == want
 
