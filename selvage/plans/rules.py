@@ -14,6 +14,7 @@ from selvage.operators import answers as A
 from selvage.operators import building as B
 from selvage.operators import cells as C
 from selvage.operators import layout as Y
+from selvage.operators import patterns as N
 from selvage.operators import prepare as P
 from selvage.operators import seams as E
 from selvage.operators import summary as M
@@ -444,3 +445,35 @@ def workspace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("patternId"), F.lit("uni").alias("size"), (1 + F.col("o_orderkey") % 120).cast("int").alias("quantity"))
     docs = D.table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.array(line).alias("order"))).alias("value"))
     return J.workspace_lines(docs).groupBy("pattern_id").agg(F.count("*").alias("n"), F.max("quantity").alias("most"))
+
+
+@query(_with(D.PIECES_SQL, tail=f"""
+, two AS (SELECT piece_id, shape, w, h, size, k, CASE shape WHEN 0 THEN 0.64e0 ELSE 1e0 END AS part FROM d_piece, (VALUES ('S', 1e0), ('M', 2e0)) t(size, k) WHERE shape <> 1), made AS (
+    SELECT piece_id, 'front' AS id, size, 'Front' AS name, w * k AS width, h * k AS height, part * w * h * k * k AS area FROM two
+    UNION ALL SELECT piece_id, 'front-2', unnest(['S', 'M', 'L']), 'Front', w, h, part * w * h FROM two WHERE size = 'S'
+    UNION ALL SELECT piece_id, 'back-short', 'S', 'Back – Short', w + 0.12e0, h + 0.12e0, (w + 0.12e0) * (h + 0.12e0) FROM two WHERE shape = 2 AND size = 'S'
+    UNION ALL SELECT piece_id, 'back-long', 'S', 'Back – Long', 2 * w + 0.12e0, h + 0.12e0, (2 * w + 0.12e0) * (h + 0.12e0) FROM two WHERE shape = 2 AND size = 'S'
+    UNION ALL SELECT piece_id, 'front-3', 'M', 'Front', w, 3, w * 3 FROM two WHERE size = 'M')
+SELECT piece_id, id, size, name, floor(width * 10 + 0.5) / 10 AS width, floor(height * 10 + 0.5) / 10 AS height, floor(area * 10 + 0.5) / 10 AS area FROM made WHERE piece_id % 7 <> 0"""))
+def built_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """build_pattern: a piece with its own sizes, one with the reference in all sizes, variants of cells, a rectangle; every seventh document names an outline that is gone."""
+    rows = D.pieces(spark, sf_dir).where("shape <> 1").withColumn("doc", F.col("piece_id").cast("string"))
+    double = F.transform("outline", lambda p: F.array(p[0] * 2, p[1] * 2))
+    sizes = F.array(F.struct(F.lit("S").alias("size"), F.col("outline").alias("ring"), F.lit(True).alias("reference")), F.struct(F.lit("M").alias("size"), double.alias("ring"), F.lit(False).alias("reference")))
+    outlines = rows.select("doc", F.lit("c").alias("candidate"), F.explode(sizes).alias("s")).select("doc", "candidate", "s.*")
+    two = F.array(F.struct(F.lit(1).cast("long").alias("id"), F.col("outline").alias("ring")), F.struct(F.lit(2).cast("long").alias("id"), G.translate("outline", F.col("w"), 0.0).alias("ring")))
+    cells = rows.select("doc", F.lit("c").alias("candidate"), F.lit("S").alias("size"), F.explode(two).alias("c")).select("doc", "candidate", "size", "c.*")
+    fixed = spark.createDataFrame([
+        (0, "c", " Front ", False, True, None), (1, "c", "Front", True, True, None), (2, "c", "Unused", False, False, None),
+        (3, "c", "Back", False, True, [("Short", {"S": [1]}), ("Long", {"S": [1, 2]})]), (4, "lost", "Lost", False, True, None)],
+        "pos int, candidate string, name string, all_sizes boolean, include boolean, variants array<struct<label:string,cells:map<string,array<bigint>>>>")
+    own = F.broadcast(fixed)  # five rows
+    cut = F.array(F.struct(F.lit(" main ").alias("material"), F.lit(2).alias("count"))).alias("cut")
+    drafts = rows.select("doc", "piece_id", "shape").join(own, ((F.col("pos") != 3) | (F.col("shape") == 2)) & ((F.col("pos") != 4) | (F.col("piece_id") % 7 == 0)))
+    drafts = drafts.select("doc", "pos", "candidate", "name", cut, F.lit(90.0).alias("grain"), F.lit(None).cast("int").alias("fold_edge"), "all_sizes", "include", F.lit(False).alias("optional"), F.lit("").alias("variant"), F.lit("").alias("variant_group"), "variants")
+    meta = rows.select("doc", "doc", F.lit("Pattern"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("none"), F.array(F.lit("S"), F.lit("M"), F.lit("L"))).toDF("doc", "id", "name", "author", "source", "seam_allowance", "sizes")
+    band = F.create_map(F.lit("M"), F.struct(F.col("w").alias("width"), F.lit(3.0).alias("height")))
+    rectangles = rows.select("doc", F.lit(0).alias("pos"), F.lit("Front").alias("name"), cut, F.lit(False).alias("optional"), F.lit("").alias("variant"), F.lit("").alias("variant_group"), band.alias("sizes"))
+    good, _ = N.build_pattern(outlines, drafts, meta, cells, rectangles, cm_per_pt=1.0, pixel_mm=1.0)
+    piece = good.select("doc", F.explode("pieces").alias("p")).select("doc", "p.id", "p.name", F.explode("p.sizes").alias("size", "s"))
+    return piece.select(F.col("doc").cast("long").alias("piece_id"), "id", "size", "name", F.col("s.bbox")[0].alias("width"), F.col("s.bbox")[1].alias("height"), F.col("s.area").alias("area"))
