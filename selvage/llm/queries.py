@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, licences, linededup, minhash, nndescent, packing, pii, toxicity
-from .common import read_table
+from . import bpe, centroids, chat, compression, covertree, licences, linededup, minhash, nndescent, packing, pii, sql, toxicity, urlfilter
+from .common import if_small, materialize, read_table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +106,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_limbgemm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    books = compression.train_books(vectors, parts=16, entries=64, rounds=2, scale=256)
+    written = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "").alias("code")
+    coded = materialize(compression.encode(vectors, books, scale=256).select("vec_id", "label", written, "error"), "codes")
+    by_label = materialize(coded.groupBy(F.col("label").alias("of")).agg(F.try_sum("error").alias("label_error")), "label-errors")
+    return coded.join(if_small(by_label), F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(compression.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    found = centroids.train(vectors, k=8, rounds=10, width=64, scale=1024, seed="3:")
+    near = materialize(centroids.assign(vectors, found, width=64, scale=1024), "assigned")
+    of = near.groupBy("cluster").agg(F.try_sum("distance").alias("cluster_inertia"))  # a row for each centroid
+    total = near.agg(F.try_sum("distance").alias("inertia"))
+    digest = F.element_at(F.array(*[F.lit(centroids.digest(c)) for c in found]), F.col("cluster") + 1) if len(found) else F.lit(None).cast("string")
+    return near.join(F.broadcast(of), "cluster").join(F.broadcast(total)).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_covertree": op2_covertree,
@@ -117,7 +146,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op11_urls": op11_urls,
+    "op12_limbgemm": op12_limbgemm,
+    "op13_threshold": op13_threshold,
 }
 
 #: Only for operators whose whole result SQL can express.
-ORACLE_SQL: dict[str, str] = {"op9_chat": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_chat": OP9_SQL, "op11_urls": sql.urls(urlfilter.REJECT_WORDS, URL_RULES), "op12_limbgemm": sql.codes(), "op13_threshold": sql.clusters()}
