@@ -63,7 +63,7 @@ def first_books(vectors: DataFrame, parts: int, entries: int, scale: int) -> np.
     if not width or width % parts:
         return np.zeros((parts, 0, 0), np.int64)
     x = integers(np.array([v for v in starts if len(v) == width], np.float64), scale)
-    return x.reshape(len(x), parts, -1).swapaxes(0, 1)
+    return x.reshape(len(x), parts, width // parts).swapaxes(0, 1)
 
 
 def train_books(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> np.ndarray:
@@ -82,7 +82,7 @@ def train_books(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds:
             out: dict[tuple[int, int, int], int] = {}
             for batch in batches:
                 _, x = read_doubles(batch.column(0), width)
-                x = integers(x, scale).reshape(len(x), parts, -1)
+                x = integers(x, scale).reshape(len(x), parts, width // parts)
                 for p in range(parts):
                     own = limb_sums(nearest(x[:, p], books[p])[0], x[:, p], most)
                     for (g, j, k), v in own.items():
@@ -112,7 +112,7 @@ def encode(vectors: DataFrame, books: np.ndarray, scale: int = 256) -> DataFrame
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fits, x = read_doubles(batch.column(2), width) if width else (np.zeros(len(batch), bool), np.empty((0, parts)))
-            x = integers(x, scale).reshape(len(x), parts, -1)
+            x = integers(x, scale).reshape(len(x), parts, width // parts)
             found = [nearest(x[:, p], books[p]) for p in range(parts)] if width else []
             codes = np.stack([f[0] for f in found], 1).tolist() if found else []
             errors = longs(sum((f[1].astype(object) for f in found), np.zeros(len(x), object))).to_pylist()

@@ -61,36 +61,39 @@ SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS dis
 FROM near{rounds} n JOIN mid{rounds} m ON n.best.c = m.c"""
 
 
-def urls(words: list[str], rules: list[tuple[str, str]], order: int = 5, alphabet: int = 256, false_rejects: float = 0.001) -> str:
-    """Hosts, paths, rules and verdicts of pages; the two models are tables of probabilities by order."""
+def urls(words: list[str], rules: list[tuple[str, str]], order: int = 5, alphabet: int = 256, folds: int = 4, false_rejects: float = 0.01) -> str:
+    """Hosts, paths, rules and verdicts of pages; the models are tables of probabilities by order, one of accepted URLs without each fold."""
     listed = ", ".join(f"'{w}'" for w in words)
     fits = ", ".join(f"('{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{rule}', '{verdict}')" for rule, verdict in rules)
-    steps = ["""
-p0 AS MATERIALIZED (SELECT '' AS gram, 1.0::DOUBLE / %d AS pr, 1.0::DOUBLE / %d AS pa)""" % (alphabet, alphabet)]
+    steps = [f"""
+p0 AS MATERIALIZED (SELECT f, '' AS gram, 1.0::DOUBLE / {alphabet} AS pr, 1.0::DOUBLE / {alphabet} AS pa FROM folds)"""]
     for k in range(order + 1):
         steps.append(f"""
-g{k} AS MATERIALIZED (SELECT w[{order + 1 - k}:{order + 1}] AS gram, w[{order + 1 - k}:{order}] AS context, sum(r) AS r, sum(a) AS a FROM windows GROUP BY ALL),
-c{k} AS MATERIALIZED (SELECT context, sum(r) AS nr, sum(a) AS na, count(*) FILTER (r > 0) AS tr, count(*) FILTER (a > 0) AS ta FROM g{k} GROUP BY context),
+g{k} AS MATERIALIZED (
+    SELECT f, w[{order + 1 - k}:{order + 1}] AS gram, w[{order + 1 - k}:{order}] AS context, sum(r) AS r, coalesce(sum(a) FILTER (fold <> f), 0) AS a FROM windows CROSS JOIN folds GROUP BY ALL),
+c{k} AS MATERIALIZED (SELECT f, context, sum(r) AS nr, sum(a) AS na, count(*) FILTER (r > 0) AS tr, count(*) FILTER (a > 0) AS ta FROM g{k} GROUP BY f, context),
 p{k + 1} AS MATERIALIZED (
-    SELECT g.gram, CASE WHEN nr = 0 THEN p.pr ELSE (r + tr * p.pr) / (nr + tr) END AS pr, CASE WHEN na = 0 THEN p.pa ELSE (a + ta * p.pa) / (na + ta) END AS pa
-    FROM g{k} g JOIN c{k} c ON g.context = c.context JOIN p{k} p ON p.gram = g.gram[{2 if k else 99}:])""")
+    SELECT g.f, g.gram, CASE WHEN nr = 0 THEN p.pr ELSE (r + tr * p.pr) / (nr + tr) END AS pr, CASE WHEN na = 0 THEN p.pa ELSE (a + ta * p.pa) / (na + ta) END AS pa
+    FROM g{k} g JOIN c{k} c ON g.f = c.f AND g.context = c.context JOIN p{k} p ON p.f = g.f AND p.gram = g.gram[{2 if k else 99}:])""")
     return f"""
-WITH ruled AS MATERIALIZED (
+WITH folds AS (SELECT unnest(range({folds})) AS f),
+ruled AS MATERIALIZED (
     SELECT page_id, lower(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '')) AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 texts AS MATERIALIZED (
-    SELECT regexp_replace(host || lower(path), '[0-9]', '0', 'g') AS text, max(sha256(host)[1] IN ('0', '1', '2', '3')) AS held, max(len(list_intersect(regexp_split_to_array(host, '[.-]'), [{listed}])) > 0) AS rejected
+    SELECT regexp_replace(host || lower(path), '[0-9]', '0', 'g') AS text, max(CAST('0x' || sha256(host)[1:4] AS INTEGER) % {folds}) AS fold,
+        max(len(list_intersect(regexp_split_to_array(host, '[.-]'), [{listed}])) > 0) AS rejected
     FROM ruled GROUP BY text),
 cut AS MATERIALIZED (
-    SELECT text, held, rejected, unnest(list_transform(range(1, length(text) + 2), lambda i: (repeat(chr(2), {order}) || text || chr(3))[i:i + {order}])) AS w FROM texts),
-windows AS MATERIALIZED (SELECT w, count(*) FILTER (NOT held AND rejected) AS r, count(*) FILTER (NOT held AND NOT rejected) AS a FROM cut GROUP BY w),
+    SELECT text, fold, rejected, unnest(list_transform(range(1, length(text) + 2), lambda i: (repeat(chr(2), {order}) || text || chr(3))[i:i + {order}])) AS w FROM texts),
+windows AS MATERIALIZED (SELECT w, fold, count(*) FILTER (rejected) AS r, count(*) FILTER (NOT rejected) AS a FROM cut GROUP BY w, fold),
 {",".join(steps).strip()},
 scored AS MATERIALIZED (
-    SELECT text, any_value(held) AS held, any_value(rejected) AS rejected, sum(round((ln(pr) - ln(pa)) * 1e9)) / 1e9 / (length(text) + 1) AS score
-    FROM cut JOIN p{order + 1} ON gram = w GROUP BY text),
+    SELECT text, any_value(rejected) AS rejected, sum(round((ln(pr) - ln(pa)) * 1e9)) / 1e9 / (length(text) + 1) AS score
+    FROM cut JOIN p{order + 1} ON gram = w AND f = fold GROUP BY text),
 bins AS (
     SELECT bin, sum(n) OVER (ORDER BY bin DESC) AS above
-    FROM (SELECT ceil(score * 100) AS bin, count(*) AS n FROM scored WHERE held AND NOT rejected AND score > 0 GROUP BY bin)),
-least_of AS (SELECT coalesce(max(bin) / 100, 0) AS t FROM bins WHERE above > {false_rejects} * (SELECT count(*) FROM scored WHERE held AND NOT rejected)),
+    FROM (SELECT ceil(score * 100) AS bin, count(*) AS n FROM scored WHERE NOT rejected AND score > 0 GROUP BY bin)),
+least_of AS (SELECT coalesce(max(bin) / 100, 0) AS t FROM bins WHERE above > {false_rejects} * (SELECT count(*) FROM scored WHERE NOT rejected)),
 fitting AS (
     SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(fits.verdict, length(rule)) AS verdict
     FROM ruled JOIN (VALUES {fits}) AS fits(name, lead, rule, verdict) ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, lead) GROUP BY page_id)

@@ -4,8 +4,9 @@ One model is trained on accepted URLs, one on rejected ones: Markov models of
 variable order, in which every context that was seen, up to ``ORDER``
 characters, passes the rest of its probability on to the next shorter one
 (Witten-Bell smoothing).  A URL is rejected if the difference of its two
-log-likelihoods, by character, exceeds a threshold calibrated on hosts that
-neither model has seen.
+log-likelihoods, by character, exceeds a calibrated threshold.  Examples of
+rejected URLs are known, those of accepted ones may hide bad ones, so a URL is
+judged without what the accepted model learnt from its own quarter of the hosts.
 
 All counts cover every distinct URL text, by Spark aggregates; nothing but the
 threshold reaches the driver.
@@ -22,8 +23,10 @@ from .common import materialize
 ORDER = 5
 #: Base probability of any character: one in so many.
 ALPHABET = 256
-#: Most accepted held-out texts that the calibrated threshold may reject.
-FALSE_REJECTS = 0.001
+#: Most accepted texts that the calibrated threshold may reject.
+FALSE_REJECTS = 0.01
+#: Hosts are dealt into so many folds; the accepted model of a fold leaves its hosts out.
+FOLDS = 4
 #: A key that holds at least this share of the rows is joined by broadcast; there are at most ``1 / FREQUENT`` of them.
 FREQUENT = 1e-4
 #: Words that, as a whole part of a host name, make a URL an example of a rejected one.
@@ -68,9 +71,9 @@ def seeded(words: list[str] = REJECT_WORDS, host: str = "host") -> Column:
     return F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, words)))
 
 
-def held_out(host: str = "host") -> Column:
-    """A quarter of the hosts, by their hash: no model learns from them."""
-    return F.substring(F.sha2(host, 256), 1, 1).isin(*"0123")
+def fold(host: str = "host") -> Column:
+    """One of ``FOLDS`` numbers by the hash of the host."""
+    return F.conv(F.substring(F.sha2(host, 256), 1, 4), 16, 10).cast("int") % FOLDS
 
 
 def _windows() -> Column:
@@ -91,13 +94,13 @@ def join_by_frequency(rows: DataFrame, counted: DataFrame, key: str, total: int)
 
 
 def texts_of(pages: DataFrame) -> DataFrame:
-    """``text, n, held, rejected``: every distinct host with path once, digits as zeros, and how many rows hold it.
+    """``text, n, fold, rejected``: every distinct host with path once, digits as zeros, and how many rows hold it.
 
     ``pages`` has host, path and ``rejected`` (null: neither example).  A text
     with examples of both kinds counts as rejected.
     """
     return pages.groupBy(judged_text().alias("text")).agg(
-        F.count("*").alias("n"), F.max(held_out()).alias("held"), F.max("rejected").alias("rejected"))
+        F.count("*").alias("n"), F.max(fold()).alias("fold"), F.max("rejected").alias("rejected"))
 
 
 def judged_text() -> Column:
@@ -106,45 +109,48 @@ def judged_text() -> Column:
 
 
 def weights(texts: DataFrame) -> DataFrame:
-    """``w, n, weight``: for every window its number and ``log P(rejected) - log P(accepted)`` of its last character, in 1e-9.
+    """``w, fold, n, weight``: for every window of a fold's texts its number and ``log P(rejected) - log P(accepted)`` of its last character, in 1e-9.
 
     Whole numbers make sums independent of their order.
     """
-    learns = ~F.col("held")
-    windows = materialize(texts.select(
-        F.explode(_windows()).alias("w"), (learns & F.col("rejected")).alias("r"), (learns & ~F.col("rejected")).alias("a"),
-    ).groupBy("w").agg(F.count("*").alias("n"), F.count_if("r").alias("r"), F.count_if("a").alias("a")), "url-windows")
+    windows = materialize(texts.select("fold", F.explode(_windows()).alias("w"), F.col("rejected").alias("r"), (~F.col("rejected")).alias("a"))
+                          .groupBy("w", "fold").agg(F.count("*").alias("n"), F.count_if("r").alias("r"), F.count_if("a").alias("a")), "url-windows")
     levels = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")
 
     def gram(k: Column) -> Column:
         return F.col("w").substr(ORDER + 1 - k, k + 1)
 
-    grams = windows.select("w", "r", "a", levels).groupBy(gram(F.col("k")).alias("gram")).agg(F.sum("r").alias("r"), F.sum("a").alias("a"))
+    # a: for each fold, what the other folds hold
+    others = [F.sum(F.when(F.col("fold") != f, F.col("a")).otherwise(0)) for f in range(FOLDS)]
+    grams = windows.select("w", "fold", "r", "a", levels).groupBy(gram(F.col("k")).alias("gram")).agg(F.sum("r").alias("r"), F.array(*others).alias("a"))
     grams = grams.withColumn("context", F.col("gram").substr(F.lit(1), F.char_length("gram") - 1))
-    contexts = grams.groupBy("context").agg(*[x for c in "ra" for x in (F.sum(c).alias(f"n{c}"), F.count_if(F.col(c) > 0).alias(f"t{c}"))])
+    contexts = grams.groupBy("context").agg(
+        F.sum("r").alias("nr"), F.count_if(F.col("r") > 0).alias("tr"),
+        F.array(*[F.sum(F.col("a")[f]) for f in range(FOLDS)]).alias("na"), F.array(*[F.count_if(F.col("a")[f] > 0) for f in range(FOLDS)]).alias("ta"))
     grams = grams.join(contexts, "context").drop("context")
-    found = windows.select("w", "n", levels).withColumn("gram", gram(F.col("k"))).join(grams, "gram")
-    by_window = found.groupBy("w").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "r", "a", "nr", "na", "tr", "ta"))).alias("levels"))
+    found = windows.select("w", "fold", "n", levels).withColumn("gram", gram(F.col("k"))).join(grams, "gram")
+    level = F.struct("k", "r", "nr", "tr", *[F.col(c)[F.col("fold")].alias(c) for c in ("a", "na", "ta")])
+    by_window = found.groupBy("w", "fold").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(level)).alias("levels"))
 
     def log_probability(c: str) -> Column:
         return F.log(F.aggregate("levels", F.lit(1.0 / ALPHABET), lambda p, x: F.when(x[f"n{c}"] == 0, p).otherwise((x[c] + x[f"t{c}"] * p) / (x[f"n{c}"] + x[f"t{c}"]))))
 
-    return by_window.select("w", "n", F.round((log_probability("r") - log_probability("a")) * 1e9).cast("long").alias("weight"))
+    return by_window.select("w", "fold", "n", F.round((log_probability("r") - log_probability("a")) * 1e9).cast("long").alias("weight"))
 
 
 def scores(texts: DataFrame) -> DataFrame:
     """``texts`` with ``score``: the difference of log-likelihoods by character; positive: rejected likelier."""
-    known = materialize(weights(texts), "url-weights")
+    known = materialize(weights(texts).withColumn("key", F.concat("w", F.col("fold"))).drop("w", "fold"), "url-weights")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = texts.select("text", F.explode(_windows()).alias("w"))
-    added = join_by_frequency(rows, known, "w", total).groupBy("text").agg(F.sum("weight").alias("weight"))
+    rows = texts.select("text", "fold", F.explode(_windows()).alias("w")).select("text", F.concat("w", F.col("fold")).alias("key"))
+    added = join_by_frequency(rows, known, "key", total).groupBy("text").agg(F.sum("weight").alias("weight"))
     return texts.join(added, "text").withColumn("score", F.col("weight") / 1e9 / (F.char_length("text") + 1)).drop("weight")
 
 
 def calibrate(scored: DataFrame) -> float:
-    """Smallest threshold of at least 0, in hundredths, above which at most ``FALSE_REJECTS`` of the accepted held-out texts lie; 0 without such texts."""
-    bins = scored.where("held AND NOT rejected AND score > 0").groupBy(F.ceil(F.col("score") * 100).alias("bin")).count()
-    allowed = FALSE_REJECTS * scored.where("held AND NOT rejected").count()
+    """Smallest threshold of at least 0, in hundredths, above which at most ``FALSE_REJECTS`` of the accepted texts lie; 0 without such texts."""
+    bins = scored.where("NOT rejected AND score > 0").groupBy(F.ceil(F.col("score") * 100).alias("bin")).count()
+    allowed = FALSE_REJECTS * scored.where("NOT rejected").count()
     above = 0
     for r in bins.orderBy(F.desc("bin")).toLocalIterator():  # a few hundred bins, as a character's weight is bounded
         above += r["count"]
