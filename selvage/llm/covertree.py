@@ -12,8 +12,9 @@ halving radii, down to single points) and walks both trees level by level.  A
 pair of nodes is dropped where its centres are farther apart than both covering
 radii and the threshold, and settled as a whole where even its farthest points
 lie within the threshold; pairs of single points are decided by their cosine in
-double precision on the original vectors.  A task returns link counts and a
-spanning forest, never the pairs of a group.
+double precision on the original vectors, in bounded blocks.  Links are counted
+and components joined as pairs are found: neither a task's memory nor its output
+grows with the pairs of a group.
 
 Where no two vectors are near each other (random directions in many dimensions)
 the first level below the root holds all points, and a pair of nodes is a pair
@@ -84,7 +85,9 @@ def cover_tree(unit: np.ndarray) -> Tree:
         far = np.flatnonzero((born < 0) & (near > reach))
         for s in range(0, len(far), 512):
             part = far[s:s + 512]
-            part = part[near[part] > reach]
+            part = part[near[part] > reach]  # the parts before may have covered them
+            if not len(part):
+                continue
             gap = _away(unit[part], unit[part])
             free, new = np.ones(len(part), bool), []
             while free.any():
@@ -122,62 +125,199 @@ def cover_tree(unit: np.ndarray) -> Tree:
     return Tree(unit, order, levels)
 
 
-@dataclass
+#: Node pairs of at most so many point pairs are decided point by point; point pairs and cells of a matrix held at once.
+TINY = 4096
+HELD = 1 << 18
+#: A pair of nodes is decided point by point too if that is at most so many times the work of comparing their children.
+BROAD = 64
+
+
 class Found:
-    """Node pairs that are links as a whole, as ranges of both orders; point pairs to decide; distances computed."""
+    """Collects what a traversal finds: node pairs that are links as a whole, as ranges of both orders, and point pairs to decide."""
+
+    def __init__(self) -> None:
+        self.sure: list[tuple[int, int, int, int]] = []
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, int), np.empty(0, int))]
+        self.compared = 0
+
+    def whole(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
+        self.sure += zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist())
+
+    def points(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.pairs.append((i, j))
+
+    def block(self, x: np.ndarray, y: np.ndarray, away: np.ndarray, within: float) -> None:
+        i, j = np.nonzero(away <= within + SLACK)
+        self.points(x[i], y[j])
+
+    @property
+    def left(self) -> np.ndarray:
+        return np.concatenate([i for i, _ in self.pairs])
 
-    sure: list[tuple[int, int, int, int]]
-    left: np.ndarray
-    right: np.ndarray
-    compared: int
+    @property
+    def right(self) -> np.ndarray:
+        return np.concatenate([j for _, j in self.pairs])
 
 
-def dual_traversal(a: Tree, b: Tree, within: float) -> Found:
-    """All pairs that may lie within the distance; with ``a is b`` each unordered pair once."""
-    same = a is b
-    sure, compared = [], 1
-    u = v = np.zeros(1, int)
-    depth = max(len(a.levels), len(b.levels))
-    for k in range(depth - 1):
+def dual_traversal(a: Tree, b: Tree, within: float, found: Found | None = None) -> Found:
+    """Hands all pairs that may lie within the distance to ``found``, in bounded blocks; with ``a is b`` each unordered pair once.
+
+    Node pairs wait on a stack, deepest first, so that what is held at once
+    grows with the depth of the trees and not with the number of pairs.
+    """
+    found = Found() if found is None else found
+    same, depth = a is b, max(len(a.levels), len(b.levels))
+    found.compared += 1
+    todo = [(0, np.zeros(1, int), np.zeros(1, int))]
+    while todo:
+        k, u, v = todo.pop()
         la, lb = (t.levels[min(k, len(t.levels) - 1)] for t in (a, b))
         na, nb = (t.levels[min(k + 1, len(t.levels) - 1)] for t in (a, b))
         ca, cb = (x.child if y is not x else np.arange(len(x.center) + 1) for x, y in ((la, na), (lb, nb)))
-        single = (np.diff(ca)[u] == 1) & (np.diff(cb)[v] == 1)
-        next_u, next_v = [ca[u[single]]], [cb[v[single]]]
-        for x, y in zip(u[~single].tolist(), v[~single].tolist()):
+        product = np.diff(la.first)[u] * np.diff(lb.first)[v]
+        tiny = (product <= TINY) | (k >= depth - 1)
+        broad = ~tiny & (product <= BROAD * np.diff(ca)[u] * np.diff(cb)[v])
+        _by_point(a, b, la, lb, u[tiny], v[tiny], found)
+        for x, y in zip(u[broad].tolist(), v[broad].tolist()):
+            y0, y1 = lb.first[y], lb.first[y + 1]
+            step = max(HELD // (y1 - y0), 1)
+            for s in range(la.first[x], la.first[x + 1], step):
+                rows, columns = a.order[s:min(s + step, la.first[x + 1])], b.order[y0:y1]
+                d = _away(a.unit[rows], b.unit[columns])
+                found.compared += d.size
+                if same and x == y:
+                    d[np.arange(s, s + len(rows))[:, None] >= np.arange(y0, y1)[None, :]] = np.inf
+                found.block(rows, columns, d, within)
+        rest = ~tiny & ~broad
+        next_u, next_v, waiting = [], [], 0
+        for x, y in zip(u[rest].tolist(), v[rest].tolist()):
             y0, y1 = cb[y], cb[y + 1]
-            for s in range(ca[x], ca[x + 1], 1024):
-                e = min(s + 1024, ca[x + 1])
+            step = max(HELD // (y1 - y0), 1)
+            for s in range(ca[x], ca[x + 1], step):
+                e = min(s + step, ca[x + 1])
                 d = _away(a.unit[na.center[s:e]], b.unit[nb.center[y0:y1]])
                 both = na.radius[s:e, None] + nb.radius[None, y0:y1]
-                compared += d.size
+                found.compared += d.size
                 keep = d <= both + within + SLACK
                 if same and x == y:
                     keep &= np.arange(s, e)[:, None] <= np.arange(y0, y1)[None, :]
-                whole = keep & (d + both <= within - SLACK)
-                i, j = np.nonzero(whole)
-                sure += [(na.first[p + s], na.first[p + s + 1], nb.first[q + y0], nb.first[q + y0 + 1]) for p, q in zip(i.tolist(), j.tolist()) if not (
-                    same and p + s == q + y0 and na.first[p + s + 1] - na.first[p + s] == 1)]
-                i, j = np.nonzero(keep & ~whole)
+                sure = keep & (d + both <= within - SLACK)
+                i, j = np.nonzero(sure)
+                i, j = i + s, j + y0
+                if same and x == y:  # a point is no pair with itself
+                    more = (i != j) | (np.diff(na.first)[i] > 1)
+                    i, j = i[more], j[more]
+                if len(i):
+                    found.whole(na.first[i], na.first[i + 1], nb.first[j], nb.first[j + 1])
+                i, j = np.nonzero(keep & ~sure)
                 next_u.append(i + s)
                 next_v.append(j + y0)
-        u, v = np.concatenate(next_u), np.concatenate(next_v)
-    left, right = a.order[u], b.order[v]
-    if same:
-        left, right = left[u != v], right[u != v]
-    return Found(sure, left, right, compared)
-
-
-def _components(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id reachable over the links, for each of n points."""
-    label = ids.copy()
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        if (new == label).all():
-            return label
-        label = new
+                waiting += len(i)
+            if waiting > HELD:
+                todo.append((k + 1, np.concatenate(next_u), np.concatenate(next_v)))
+                next_u, next_v, waiting = [], [], 0
+        if waiting:
+            todo.append((k + 1, np.concatenate(next_u), np.concatenate(next_v)))
+    return found
+
+
+def _by_point(a: Tree, b: Tree, la: Level, lb: Level, u: np.ndarray, v: np.ndarray, found: Found) -> None:
+    """All point pairs of the node pairs, in blocks."""
+    wide = np.diff(lb.first)[v]
+    size = np.diff(la.first)[u] * wide
+    ends = np.cumsum(size)
+    start = 0
+    while start < len(u):
+        stop = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HELD, "right")), start + 1)
+        own = np.repeat(np.arange(start, stop), size[start:stop])
+        at = np.arange(len(own)) - np.repeat(ends[start:stop] - size[start:stop] - (ends[start - 1] if start else 0), size[start:stop])
+        i, j = la.first[u[own]] + at // wide[own], lb.first[v[own]] + at % wide[own]
+        if a is b:
+            once = (u[own] != v[own]) | (i < j)
+            i, j = i[once], j[once]
+        found.compared += len(i)
+        found.points(a.order[i], b.order[j])
+        start = stop
+
+
+class Forest:
+    """Components of points as a forest in one array."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            i, j = self.parent[i], self.parent[j]
+            apart = i != j
+            if not apart.any():
+                return
+            i, j = i[apart], j[apart]
+            np.minimum.at(self.parent, np.maximum(i, j), np.minimum(i, j))
+            while True:  # every way up halves, so a long chain takes few steps
+                up = self.parent[self.parent]
+                if (up == self.parent).all():
+                    break
+                self.parent = up
+
+
+class Links(Found):
+    """Counts links and joins components as the traversal goes; no pair is kept."""
+
+    def __init__(self, a: Tree, b: Tree, at_a: np.ndarray, at_b: np.ndarray, vectors: np.ndarray, norm: np.ndarray, copies: np.ndarray, cosine: float) -> None:
+        super().__init__()
+        self.same, self.at = a is b, (at_a, at_b)
+        self.orders = (at_a[a.order], at_b[b.order])
+        self.vectors, self.norm, self.copies, self.cosine = vectors, norm, copies.astype(float), cosine
+        self.links = np.zeros(len(norm))
+        self.forest = Forest(len(norm))
+        #: By position in each order: what is added to the links from there on, and whether the position is joined with the one before.
+        self.more = tuple(np.zeros(len(o) + 1) for o in self.orders)
+        self.tied = tuple(np.zeros(len(o) + 2) for o in self.orders)
+        self.upto = tuple(np.concatenate([[0], np.cumsum(self.copies[o])]) for o in self.orders)
+
+    def whole(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
+        """Every point of each first range is linked with every point of the second."""
+        own = (a0 == b0) & self.same
+        for k, (lo, hi), (other_lo, other_hi) in ((0, (a0, a1), (b0, b1)), (1, (b0, b1), (a0, a1))):
+            add = self.upto[1 - k][other_hi] - self.upto[1 - k][other_lo]
+            add = np.where(own, add if k == 0 else 0, add)
+            np.add.at(self.more[k], lo, add)
+            np.add.at(self.more[k], hi, -add)
+            np.add.at(self.tied[k], lo + 1, 1)
+            np.add.at(self.tied[k], hi, -1)
+        for lo, hi in zip(a0[own].tolist(), a1[own].tolist()):  # but not with itself
+            self.links[self.orders[0][lo:hi]] -= self.copies[self.orders[0][lo:hi]]
+        self.forest.join(self.orders[0][a0], self.orders[1][b0])
+
+    def points(self, i: np.ndarray, j: np.ndarray) -> None:
+        for s in range(0, len(i), 1 << 16):
+            self._decided(self.at[0][i[s:s + (1 << 16)]], self.at[1][j[s:s + (1 << 16)]])
+
+    def _decided(self, i: np.ndarray, j: np.ndarray) -> None:
+        hit = (self.vectors[i] * self.vectors[j]).sum(1) / (self.norm[i] * self.norm[j]) >= self.cosine
+        i, j = i[hit], j[hit]
+        self.links += np.bincount(i, self.copies[j], len(self.links)) + np.bincount(j, self.copies[i], len(self.links))
+        self.forest.join(i, j)
+
+    def block(self, x: np.ndarray, y: np.ndarray, away: np.ndarray, within: float) -> None:
+        sure = away <= within - SLACK
+        gx, gy = self.at[0][x], self.at[1][y]
+        self.links[gx] += sure @ self.copies[gy]
+        self.links[gy] += self.copies[gx] @ sure
+        i, j = np.nonzero(sure)
+        self.forest.join(gx[i], gy[j])
+        i, j = np.nonzero((away > within - SLACK) & (away <= within + SLACK))
+        self.points(x[i], y[j])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """Links of every point, and the root of its component."""
+        links = self.links.copy()
+        for k in (0, 1):
+            np.add.at(links, self.orders[k], np.cumsum(self.more[k])[:-1])
+            tied = np.flatnonzero(np.cumsum(self.tied[k])[:len(self.orders[k])] > 0.5)
+            self.forest.join(self.orders[k][tied], self.orders[k][tied - 1])
+        return np.rint(links), self.forest.parent
 
 
 def compare(key: tuple, part: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -191,31 +331,11 @@ def compare(key: tuple, part: pd.DataFrame, cosine: float) -> pd.DataFrame:
     b = a if key[0] == key[1] else np.flatnonzero(side == 1)
     first = cover_tree(unit[a])
     second = first if b is a else cover_tree(unit[b])
-    got = dual_traversal(first, second, float(np.sqrt(2 - 2 * cosine)))
-    links = np.zeros(len(ids))
-    star_a, star_b = [], []
-    for x0, x1, y0, y1 in got.sure:
-        x, y = a[first.order[x0:x1]], b[second.order[y0:y1]]
-        if b is a and x0 == y0:
-            links[x] += copies[x].sum() - copies[x]
-            star_a.append(np.full(len(x), x[0]))
-            star_b.append(x)
-        else:
-            links[x] += copies[y].sum()
-            links[y] += copies[x].sum()
-            star_a += [np.full(len(x), y[0]), np.full(len(y), x[0])]
-            star_b += [x, y]
-    for s in range(0, len(got.left), 100_000):
-        i, j = a[got.left[s:s + 100_000]], b[got.right[s:s + 100_000]]
-        hit = (vectors[i] * vectors[j]).sum(1) / (norm[i] * norm[j]) >= cosine
-        i, j = i[hit], j[hit]
-        links += np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        star_a.append(i)
-        star_b.append(j)
-    i, j = (np.concatenate(x) if x else np.empty(0, int) for x in (star_a, star_b))
-    label = _components(len(ids), i, j, ids)
+    links, root = dual_traversal(first, second, float(np.sqrt(2 - 2 * cosine)), Links(first, second, a, b, vectors, norm, copies, cosine)).result()
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, ids)
     linked = links > 0
-    return pd.DataFrame({"rep": ids[linked], "links": links[linked].astype("int64"), "other": label[linked]})
+    return pd.DataFrame({"rep": ids[linked], "links": links[linked].astype("int64"), "other": least[root][linked]})
 
 
 def _nearest(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:

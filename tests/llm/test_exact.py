@@ -5,6 +5,8 @@ import math
 import os
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -349,6 +351,35 @@ def test_cover_tree_prunes():
     assert len(tree.levels) > 4 and covertree.dual_traversal(tree, tree, 0.2).compared < 0.05 * len(unit) ** 2 / 2
 
 
+@pytest.mark.parametrize("spread, chain", [(0.0115, False), (0.03, False), (0.0001, False), (0, True)])
+def test_dense_group_counts_without_its_pairs(spread, chain):
+    """A whole cell of near copies (or a long chain of links) ends in seconds and small memory, with the links of brute force."""
+    import pandas as pd
+
+    draw = np.random.default_rng(8)
+    n = 8192 if not chain else 2000
+    if chain:
+        turn = np.arange(n) * 0.19 / 60  # each links with its next sixty, so the component is one long chain
+        unit = np.stack([np.cos(turn), np.sin(turn)], 1)
+    else:
+        unit = draw.normal(size=64) + draw.normal(size=(n, 64)) * spread * 8
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    copies = draw.integers(1, 4, n)
+    part = pd.DataFrame({"side": 0, "rep": draw.permutation(n), "copies": copies, "embedding": list(unit)})
+    tracemalloc.start()
+    began = time.time()
+    got = covertree.compare((1, 1), part, 0.98).set_index("rep")
+    took, (_, peak) = time.time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < 60 and peak < 400e6
+    near = unit @ unit.T >= 0.98
+    want = near @ copies - copies
+    ids = part["rep"].to_numpy()
+    assert {i: w for i, w in zip(ids, want) if w} == got["links"].to_dict()
+    if chain:
+        assert set(got["other"]) == {0}
+
+
 def recall(got, ids, v, queries):
     """Share of the true ten nearest; ranks and scores are checked on the way."""
     own = {}
