@@ -111,12 +111,16 @@ def canonical(records: DataFrame, record: str = "record") -> DataFrame:
     def whole(x: Layout) -> Column:
         return F.size(F.array_except(F.array(*map(F.lit, x.required())), there)) == 0
 
-    out = records.withColumn("fingerprint", F.sha2(F.array_join(there, "|"), 256))
+    # beside a list of turns that is the only whole layout, fields of other layouts aren't hashed
+    hashed = there
+    for x in LAYOUTS:
+        if x.lists:
+            alone = reduce(lambda a, b: a & ~b, [whole(x), *(whole(y) for y in LAYOUTS if y is not x)])
+            hashed = F.when(alone, F.array_intersect(there, F.array(*map(F.lit, x.paths())))).otherwise(hashed)
+    out = records.withColumn("fingerprint", F.sha2(F.array_join(hashed, "|"), 256))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
     for x in LAYOUTS:
         fits = F.col("fingerprint").isin(x.fingerprints(KNOWN))
-        if x.lists:
-            fits = reduce(lambda a, b: a & ~b, [whole(x), *(whole(y) for y in LAYOUTS if y is not x)])
         if x.lists and x.optional:
             lead = F.expr(f"try_variant_get({record}, '{x.optional[0][0]}', 'string')")
             own = F.concat(F.filter(F.array(F.when(lead != "", turn(F.lit("system"), lead))), lambda t: t.isNotNull()), x.turns(record))

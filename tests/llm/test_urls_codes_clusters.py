@@ -240,3 +240,14 @@ def test_long_urls_and_given_examples(spark):
     rows = pages_of(spark, urls)
     out = urlfilter.judge(rows, [], rejected=F.col("host").startswith("evil")).collect()
     assert len(out) == 9 and all(math.isfinite(r["score"]) for r in out) and len({(r["url"], r["score"]) for r in out}) == 3
+
+
+def test_the_hash_selects_list_layouts(spark, monkeypatch):
+    """With a table of wrong hashes no record finds its mapping, lists of turns neither."""
+    from selvage.llm import chat
+
+    records = ['{"messages": [{"role": "user", "content": "a"}], "prompt": "p"}', '{"conversations": [{"from": "human", "value": "a"}]}', '{"turns": [{"role": "user", "text": "a"}], "system": "s"}', '{"prompt": "p", "response": "r"}']
+    rows = spark.createDataFrame([(r,) for r in records], "raw string").selectExpr("parse_json(raw) AS record")
+    assert [r["layout"] for r in chat.canonical(rows).collect()] == ["messages", "from_value", "turns", "prompt_response"]
+    monkeypatch.setattr(chat.Layout, "fingerprints", lambda self, known: [chat.digest([self.name])])
+    assert [r["layout"] for r in chat.canonical(rows).collect()] == [None] * 4
