@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from selvage.functions import kernels as K
@@ -20,6 +21,7 @@ from selvage.functions import kernels as K
 MAX_PIXELS = 40_000_000
 SIMPLIFY_MM = 0.3
 SMALL_CELL_CM2 = 0.3
+NOTCH_CM2 = 1.0
 
 
 def disk(mask: np.ndarray, radius: float, grow: bool = True) -> np.ndarray:
@@ -171,8 +173,15 @@ def trace(lines: list[np.ndarray], widths: list[float], cm_per_pt: float, pixel_
             return [((x + box[1].start - margin - 0.5) / scale + low[0], (y + box[0].start - margin - 0.5) / scale + low[1]) for x, y in ring]
 
         cells = _cells(part, barrier[box])
+        notches = notch_cells(cells, NOTCH_CM2 / cm2)
+        if len(notches):
+            part = part & ~np.isin(cells, notches)
+            cells = np.where(part, cells, 0)
+            if part.sum() * cm2 < least_cm2:
+                continue
         ids, borders = _merged(cells, SMALL_CELL_CM2 / cm2)
-        found = [{"id": i, "ring": ring_of(cells == i), "area": float((cells == i).sum()) / scale**2} for i in ids]
+        _, _, rim = border_table(cells)
+        found = [{"id": i, "ring": ring_of(cells == i), "area": float((cells == i).sum()) / scale**2, "outside": bool(rim[i])} for i in ids]
         out.append({"ring": ring_of(part), "area": float(part.sum()) / scale**2, "cells": found, "borders": [(a, b, s / scale) for (a, b), s in sorted(borders.items())]})
     return out
 
@@ -199,6 +208,26 @@ def _cells(part: np.ndarray, barrier: np.ndarray) -> np.ndarray:
         cells = grown
 
 
+def border_table(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By cell number: pixels, border towards other cells, border towards the outside (0), in pixel edges."""
+    framed = np.pad(cells, 1)
+    size = np.bincount(framed.ravel())
+    inner, rim = np.zeros(len(size), int), np.zeros(len(size), int)
+    for a, b in ((framed[:, :-1], framed[:, 1:]), (framed[:-1], framed[1:])):
+        for x, y in ((a, b), (b, a)):
+            inner += np.bincount(x[(x != y) & (y > 0)], minlength=len(size))
+            rim += np.bincount(x[(x > 0) & (y == 0)], minlength=len(size))
+    return size, inner, rim
+
+
+def notch_cells(cells: np.ndarray, least: float) -> np.ndarray:
+    """Small cells at the rim that border the outside more than other cells: marks beside the line; none if all cells are such."""
+    size, inner, rim = border_table(cells)
+    own = np.arange(len(size)) > 0
+    marks = own & (size > 0) & (size < least) & (rim > 0) & (inner < rim)
+    return np.flatnonzero(marks) if (own & (size > 0) & ~marks).any() else np.empty(0, int)
+
+
 def _merged(cells: np.ndarray, least: float) -> tuple[list[int], dict[tuple[int, int], int]]:
     """Cells below the area join the neighbour with the longest border, smallest first; changes ``cells``."""
     while True:
@@ -220,19 +249,40 @@ def _merged(cells: np.ndarray, least: float) -> tuple[list[int], dict[tuple[int,
 SHAPES = T.StructType([
     T.StructField("doc", T.StringType()), T.StructField("size", T.StringType()), T.StructField("outline_id", T.IntegerType()), T.StructField("ring", T.ArrayType(T.ArrayType(T.DoubleType()))),
     T.StructField("area", T.DoubleType()), T.StructField("cells", T.ArrayType(T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("ring", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("area", T.DoubleType())]))),
+        T.StructField("id", T.LongType()), T.StructField("ring", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("area", T.DoubleType()), T.StructField("outside", T.BooleanType())]))),
     T.StructField("borders", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("shared", T.DoubleType())])))])
 
 
-def trace_sizes(lines: DataFrame, cm_per_pt: float, pixel_mm: float = 0.5, gap_mm: float = 0.0) -> DataFrame:
+def trace_sizes(lines: DataFrame, cm_per_pt: float, pixel_mm: float = 0.5, gap_mm: float = 0.0, least_cm2: float = 4.0) -> DataFrame:
     """Outlines of every sheet and size from ``doc, size, points, width``: a row for each, largest first."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        shapes = trace([np.array([list(p) for p in r]) for r in part["points"]], part["width"].tolist(), cm_per_pt, pixel_mm, gap_mm)
+        shapes = trace([np.array([list(p) for p in r]) for r in part["points"]], part["width"].tolist(), cm_per_pt, pixel_mm, gap_mm, least_cm2)
         shapes.sort(key=lambda s: -s["area"])
         doc, size = part["doc"].iloc[0], part["size"].iloc[0]
-        rows = [(doc, size, k, [list(p) for p in s["ring"]], s["area"], [{"id": int(c["id"]), "ring": [list(p) for p in c["ring"]], "area": c["area"]} for c in s["cells"]],
+        rows = [(doc, size, k, [list(p) for p in s["ring"]], s["area"], [{"id": int(c["id"]), "ring": [list(p) for p in c["ring"]], "area": c["area"], "outside": c["outside"]} for c in s["cells"]],
                  [{"a": a, "b": b, "shared": n} for a, b, n in s["borders"]]) for k, s in enumerate(shapes)]
         return pd.DataFrame(rows, columns=SHAPES.names)
 
     return lines.groupBy("doc", "size").applyInPandas(run, SHAPES)
 
+
+
+#: The coarse trace that tells styles apart: pixels and gaps of 1 mm, areas from 15 cm2, twice the area of the next style.
+PROBE_MM, PROBE_CM2, PROBE_LEAD = 1.0, 15.0, 2.0
+
+
+def suggest_assignments(subpaths: DataFrame, scales: DataFrame) -> DataFrame:
+    """``doc, style, size``: the one style of a sheet that encloses over twice the area of any other, as the size ``uni``.
+
+    ``subpaths(doc, points, closed, style, width)`` without furniture and scale
+    marks, ``scales(doc, cm_per_pt)``.  Sheets where none does, or nothing is
+    enclosed, have no row.
+    """
+    k = F.col("cm_per_pt")
+    shut = F.when(F.col("closed") | F.col("style").startswith("fill"), F.concat("points", F.slice("points", 1, 1))).otherwise(F.col("points"))
+    lines = subpaths.where(F.size("points") > 1).join(scales, "doc").select(
+        F.col("doc").cast("string").alias("doc"), F.col("style").alias("size"), F.transform(shut, lambda p: F.array(p[0] * k, p[1] * k)).alias("points"), (F.coalesce("width", F.lit(1.0)) * k).alias("width"))
+    areas = trace_sizes(lines, 1.0, PROBE_MM, PROBE_MM, PROBE_CM2).groupBy("doc", "size").agg(F.sum("area").alias("area"))
+    best = Window.partitionBy("doc").orderBy(F.desc("area"), "size")
+    ranked = areas.withColumn("next", F.coalesce(F.lead("area").over(best), F.lit(0.0))).withColumn("r", F.row_number().over(best))
+    return ranked.where((F.col("r") == 1) & (F.col("area") > PROBE_LEAD * F.col("next"))).select("doc", F.col("size").alias("style"), F.lit("uni").alias("size"))

@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from selvage.plans import registry, rules  # noqa: F401 (rules registers its queries)
+from selvage.plans import registry, rules, sheets  # noqa: F401 (rules and sheets register their queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
