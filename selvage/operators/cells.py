@@ -1,20 +1,20 @@
 """Cells of a traced outline as a graph: connectivity, owners of small cells, levels and chains.
 
 ``cells(outline, id, area)`` and ``borders(outline, a, b, shared)`` hold any
-number of outlines; a border is listed from both sides.  One outline's graph is
-small, so it is walked in a grouped map, and outlines spread over the cluster.
+number of outlines; a border is listed from both sides.  Small cells are given
+away in rounds of joins over all outlines; the graph of what is left is an array
+of neighbours for each outline, and distances in it are a fold over levels.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selvage.functions import geometry as G
 from selvage.functions import kernels as K
+from selvage.operators import rounds as R
 
 # Fixed values of the domain.
 CELL_MIN_CM2 = 3.0
@@ -22,128 +22,109 @@ BORDER_MIN_MM = 2.0
 START_SHARE = 0.5
 
 
-def _grouped(cells: DataFrame, borders: DataFrame, run, schema: str) -> DataFrame:
-    b = borders.toDF("_outline", *borders.columns[1:])
-    return cells.groupBy("outline").cogroup(b.groupBy("_outline")).applyInPandas(run, schema)
-
-
 def connected(cells: DataFrame, borders: DataFrame, selected: DataFrame) -> DataFrame:
     """``outline, connected``: the selected cells of each outline hang together; ids that don't exist are ignored."""
-    chosen = cells.join(selected.select("outline", "id").distinct(), ["outline", "id"])
-
-    def run(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return pd.DataFrame({"outline": [], "connected": []})
-        ids = set(own["id"])
-        near: dict[int, list[int]] = {}
-        for a, b, shared in zip(edges["a"], edges["b"], edges["shared"]):
-            if shared > 0 and a in ids and b in ids:
-                near.setdefault(a, []).append(b)
-        start = min(ids)
-        seen, stack = {start}, [start]
-        while stack:
-            for k in near.get(stack.pop(), []):
-                if k not in seen:
-                    seen.add(k)
-                    stack.append(k)
-        return pd.DataFrame({"outline": [own["outline"].iloc[0]], "connected": [len(seen) == len(ids)]})
-
-    return _grouped(chosen, borders, run, "outline string, connected boolean")
+    nodes = cells.join(selected.select("outline", "id").distinct(), ["outline", "id"]).select(F.col("outline").alias("doc"), "id")
+    ends = [nodes.select("doc", F.col("id").alias(c)) for c in "ab"]
+    links = borders.where("shared > 0").select(F.col("outline").alias("doc"), "a", "b").join(ends[0], ["doc", "a"], "left_semi").join(ends[1], ["doc", "b"], "left_semi")
+    groups = R.components(nodes, links)
+    return groups.groupBy(F.col("doc").alias("outline")).agg((F.min("root") == F.max("root")).alias("connected"))
 
 
 def owners(cells: DataFrame, borders: DataFrame, least_area: float) -> DataFrame:
-    """``outline, id, owner``: small cells follow their longest border, again and again, to a large one."""
-    def run(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        area = dict(zip(own["id"], own["area"]))
-        near: dict[int, list[tuple[float, int, int]]] = {}
-        for k, (a, b, shared) in enumerate(zip(edges["a"], edges["b"], edges["shared"])):
-            if b in area:
-                near.setdefault(a, []).append((-shared, k, b))
-        rows = []
-        for cell in area:
-            seen, at = {cell}, cell
-            while area[at] < least_area:
-                step = next((b for _, _, b in sorted(near.get(at, [])) if b not in seen), None)
-                if step is None:
-                    break
-                seen.add(step)
-                at = step
-            rows.append((own["outline"].iloc[0], cell, at))
-        return pd.DataFrame(rows, columns=["outline", "id", "owner"])
-
-    return _grouped(cells, borders, run, "outline string, id long, owner long")
-
-
-def _graph(own: pd.DataFrame, edges: pd.DataFrame, cm_per_pt: float) -> tuple[list[list[int]], list[float], list[list[int]]]:
-    """Large cells with the small ones they absorb, and which of them are neighbours."""
-    area = dict(zip(own["id"], own["area"]))
-    near: dict[int, list[tuple[int, float]]] = {}
-    for a, b, shared in zip(edges["a"], edges["b"], edges["shared"]):
-        near.setdefault(a, []).append((b, shared))
-    heads = [k for k in area if area[k] * cm_per_pt**2 >= CELL_MIN_CM2]
-    group = {k: i for i, k in enumerate(heads)}
-    ids, sizes = [[k] for k in heads], [area[k] for k in heads]
-    moved = bool(heads)
-    while moved:
-        moved = False
-        for k in area:
-            if k in group:
-                continue
-            best = max(((s, -n) for n, (b, s) in enumerate(near.get(k, [])) if b in group and s > 0), default=None)
-            if best:
-                g = group[near[k][-best[1]][0]]
-                group[k] = g
-                ids[g].append(k)
-                sizes[g] += area[k]
-                moved = True
-    adjacent = [[group[b] for b, s in near.get(h, []) if b in group and ids[group[b]][0] == b and group[b] != i and s * cm_per_pt * 10 >= BORDER_MIN_MM] for i, h in enumerate(heads)]
-    return ids, sizes, adjacent
+    """``outline, id, owner``: small cells follow their longest border, again and again, to a large one.
+
+    A way never comes back to a cell; where it can't go on, it ends.  In a round
+    all ways go one step; of equal borders the one to the smaller id counts.
+    """
+    area = cells.select("outline", F.col("id").alias("at"), "area")
+    known = borders.join(cells.select("outline", F.col("id").alias("b")), ["outline", "b"], "left_semi").select("outline", F.col("a").alias("at"), "b", "shared")
+    ways = R.written(cells.select("outline", "id", F.col("id").alias("at"), F.array("id").alias("past")), "ways")
+    ended = ways.where("false")
+    while True:
+        small = ways.join(area.where(F.col("area") < least_area), ["outline", "at"], "left_semi")
+        on = small.join(known, ["outline", "at"]).where(~F.array_contains("past", F.col("b"))).groupBy("outline", "id").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("to"))
+        on = R.written(on, "steps")
+        ended = ended.union(ways.join(on, ["outline", "id"], "left_anti"))
+        if on.isEmpty():
+            return ended.select("outline", "id", F.col("at").alias("owner"))
+        ways = R.written(ways.join(on, ["outline", "id"]).select("outline", "id", F.col("to").alias("at"), F.concat("past", F.array("to")).alias("past")), "ways")
+
+
+def absorbed(cells: DataFrame, borders: DataFrame, cm_per_pt: float) -> DataFrame:
+    """``outline, id, head``: large cells are heads of their own; the others join the head beyond their longest border to a cell that has one."""
+    big = F.col("area") * cm_per_pt**2 >= CELL_MIN_CM2
+    state = R.written(cells.select("outline", "id", F.when(big, F.col("id")).alias("head")), "heads")
+    beside = borders.where("shared > 0").select("outline", F.col("a").alias("id"), "b", "shared")
+    while True:
+        given = state.where("head IS NOT NULL").select("outline", F.col("id").alias("b"), F.col("head").alias("to"))
+        new = state.where("head IS NULL").join(beside, ["outline", "id"]).join(given, ["outline", "b"]).groupBy("outline", "id").agg(F.max_by("to", F.struct("shared", -F.col("b"))).alias("to"))
+        new = R.written(new, "absorbed")
+        if new.isEmpty():
+            return state.where("head IS NOT NULL")
+        before = state
+        state = R.written(state.join(new, ["outline", "id"], "left").select("outline", "id", F.coalesce("head", "to").alias("head")), "heads")
+        R.remove(before, new)
+
+
+def _graph(cells: DataFrame, borders: DataFrame, cm_per_pt: float) -> tuple[DataFrame, DataFrame]:
+    """``outline, id, head``, and a row for each outline: ``heads array<struct<head, size, degree>>`` and ``beside``, a map from head to its neighbours."""
+    owner = absorbed(cells, borders, cm_per_pt)
+    heads = owner.where("id = head").select("outline", "head")
+    wide = borders.where((F.col("shared") * cm_per_pt * 10 >= BORDER_MIN_MM) & (F.col("a") != F.col("b"))).select("outline", F.col("a").alias("head"), "b").distinct()
+    wide = wide.join(heads, ["outline", "head"], "left_semi").join(heads.select("outline", F.col("head").alias("b")), ["outline", "b"], "left_semi")
+    beside = wide.groupBy("outline", "head").agg(F.array_sort(F.collect_list("b")).alias("near"))
+    sizes = owner.join(cells.select("outline", "id", "area"), ["outline", "id"]).groupBy("outline", "head").agg(F.sum("area").alias("size"))
+    each = sizes.join(beside, ["outline", "head"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
+    graph = each.groupBy("outline").agg(
+        F.array_sort(F.collect_list(F.struct("head", "size", F.size("near").alias("degree")))).alias("heads"), F.map_from_entries(F.collect_list(F.struct("head", "near"))).alias("beside"))
+    return owner, graph
+
+
+def _levels(start: Column) -> Column:
+    """``array<struct<head, level>>`` of what can be reached from a head of ``beside``: neighbours of a level that are neither in it nor in the one before make the next."""
+    none = F.array().cast("array<bigint>")
+    state = F.struct(none.alias("before"), F.array(start).alias("now"), F.array(F.struct(start.alias("head"), F.lit(0).alias("level"))).alias("all"))
+
+    def next_level(s: Column, k: Column) -> Column:
+        near = F.array_distinct(F.flatten(F.transform(s["now"], lambda h: F.element_at("beside", h))))
+        new = F.array_except(F.array_except(near, s["now"]), s["before"])
+        return F.struct(s["now"].alias("before"), new.alias("now"), F.concat(s["all"], F.transform(new, lambda h: F.struct(h.alias("head"), k.alias("level")))).alias("all"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size("heads")), state, next_level)["all"]
+
+
+def _spread(owner: DataFrame, graph: DataFrame, start: Column, name: str) -> DataFrame:
+    """Levels from a head as a row for each cell, where they reach all heads."""
+    found = graph.withColumn("start", start).where("start IS NOT NULL").withColumn("levels", _levels(F.col("start"))).where(F.size("levels") == F.size("heads"))
+    rows = found.select("outline", F.explode("levels").alias("l")).select("outline", "l.head", F.col("l.level").alias(name))
+    return owner.join(rows, ["outline", "head"]).select("outline", "id", name)
+
+
+def _largest(heads: Column) -> Column:
+    """The head of the largest size, of equals the smallest id."""
+    return F.element_at(F.array_sort(F.transform(heads, lambda h: F.struct((-h["size"]).alias("less"), h["head"].alias("head")))), 1)["head"]
 
 
 def onion_levels(cells: DataFrame, borders: DataFrame, cm_per_pt: float) -> DataFrame:
     """``outline, id, level``: distance from the largest cell; outlines that aren't connected have no rows."""
-    def run(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"outline": [], "id": [], "level": []})
-        ids, sizes, adjacent = _graph(own, edges, cm_per_pt)
-        if not ids:
-            return empty
-        start = max(range(len(ids)), key=lambda i: (sizes[i], -i))
-        level = {start: 0}
-        queue = deque([start])
-        while queue:
-            i = queue.popleft()
-            for j in adjacent[i]:
-                if j not in level:
-                    level[j] = level[i] + 1
-                    queue.append(j)
-        if len(level) < len(ids):
-            return empty
-        return pd.DataFrame([(own["outline"].iloc[0], k, level[i]) for i in sorted(level) for k in ids[i]], columns=["outline", "id", "level"])
-
-    return _grouped(cells, borders, run, "outline string, id long, level int")
+    owner, graph = _graph(cells, borders, cm_per_pt)
+    return _spread(owner, graph, _largest(F.col("heads")), "level")
 
 
 def chain_order(cells: DataFrame, borders: DataFrame, cm_per_pt: float) -> DataFrame:
-    """``outline, id, step`` where the cells form a path whose larger end isn't a small cell."""
-    def run(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"outline": [], "id": [], "step": []})
-        ids, sizes, adjacent = _graph(own, edges, cm_per_pt)
-        ends = [i for i, a in enumerate(adjacent) if len(a) == 1]
-        if len(ids) < 2 or len(ends) != 2 or any(not 1 <= len(a) <= 2 for a in adjacent):
-            return empty
-        at = ends[0] if sizes[ends[0]] >= sizes[ends[1]] else ends[1]
-        if sizes[at] < START_SHARE * max(sizes):
-            return empty
-        order, before = [at], -1
-        while len(order) < len(ids):
-            step = next((j for j in adjacent[at] if j != before), None)
-            if step is None or step in order:
-                return empty
-            before, at = at, step
-            order.append(at)
-        return pd.DataFrame([(own["outline"].iloc[0], k, n) for n, i in enumerate(order) for k in ids[i]], columns=["outline", "id", "step"])
-
-    return _grouped(cells, borders, run, "outline string, id long, step int")
+    """``outline, id, step`` where the cells form a path whose larger end isn't a small cell.
+
+    A graph with two ends and otherwise two neighbours each is a path if its
+    levels from one end reach everything.
+    """
+    owner, graph = _graph(cells, borders, cm_per_pt)
+    ends = F.filter("heads", lambda h: h["degree"] == 1)
+    path = (F.size(ends) == 2) & F.forall("heads", lambda h: h["degree"].between(1, 2))
+    first = _largest(ends)
+    size = F.element_at(F.filter("heads", lambda h: h["head"] == first), 1)["size"]
+    most = F.array_max(F.transform("heads", lambda h: h["size"]))
+    return _spread(owner, graph, F.when(path & (size >= START_SHARE * most), first), "step")
 
 
 def grid_like(cells: DataFrame, spread: float = 1.15, least: int = 4, cover: float = 0.8) -> DataFrame:
