@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selvage.functions import geometry as G
+from selvage.operators import grain as N
 from selvage.operators import layout as Y
 from selvage.operators import lettering as T
 from selvage.operators import overview as O
@@ -243,3 +244,24 @@ def suggested_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the open style of a fourth sheet encloses nothing, so the first is alone
     rows = drawn("stroke:1", F.col("a"), F.lit(10.0), 0.0, F.lit(True)).union(drawn("stroke:2", F.col("b"), F.lit(12.0), 30.0, F.col("doc") % 4 != 0))
     return V.suggest_assignments(rows, base.select("doc", F.lit(1.0).alias("cm_per_pt")))
+
+
+@query(_with(D.PIECES_SQL, tail="""
+, q AS (SELECT *, 0.61e0 * h AS up, 0.8e0 * w AS level FROM d_piece WHERE shape = 2)
+SELECT piece_id, CASE WHEN piece_id % 4 = 0 AND level >= 1.5 THEN 0e0 WHEN up >= 3 AND (up > level OR level < 3) THEN 90e0 WHEN level >= 3 THEN 0e0 END AS angle FROM q"""))
+def grain_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """detect_grain: an upright and a level line cross each rectangle, the level one in dashes; every fourth piece has a text at it, and a smaller size's outline runs inside."""
+    rows = D.pieces(spark, sf_dir).where("shape = 2").select(F.col("piece_id").cast("string").alias("doc"), F.lit(1).alias("piece"), "outline", "w", "h", "piece_id")
+    w, h = F.col("w"), F.col("h")
+
+    def at(x: float, y: float) -> F.Column:
+        return F.array(w * x, h * y)
+
+    dashes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array(F.array(w * (0.1 + k * 0.2125), h * 0.4), F.array(w * (0.1 + k * 0.2125 + 0.1625), h * 0.4)))
+    drawn = F.concat(F.array(F.array(at(0.3, 0.2), at(0.3, 0.81))), dashes, F.array(F.array(at(0.9, 0.05), at(0.9, 0.95))))
+    lines = rows.select("doc", F.explode(drawn).alias("points"), F.lit(False).alias("closed"))
+    texts = rows.where("piece_id % 4 = 0").select("doc", F.lit("grain line").alias("str"), (w * 0.85).alias("x"), (h * 0.4).alias("y"), F.lit(0.0).alias("height"), F.lit(0.0).alias("angle"))
+    cuts = rows.select("doc", "piece", F.array(at(0.05, 0.05), at(0.9, 0.05), at(0.9, 0.95), at(0.05, 0.95)).alias("ring"))
+    found = N.with_grain(rows.select("doc", "piece", "outline"), lines, texts, 1.0, cuts)
+    angle = G.axis_angle(F.col("grain")[0], F.col("grain")[1])
+    return found.select(F.col("doc").cast("long").alias("piece_id"), F.round(F.when(angle > 179.9, 0.0).otherwise(angle), 3).alias("angle"))
