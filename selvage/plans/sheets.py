@@ -15,9 +15,11 @@ from selvage.operators import layout as Y
 from selvage.operators import lettering as T
 from selvage.operators import overview as O
 from selvage.operators import seams as E
+from selvage.operators import rounds as R
 from selvage.operators import tracing as V
 from selvage.plans import derived as D
 from selvage.plans.registry import R6, _with, query, r6
+from selvage.streaming import settled as W
 
 
 def rows_of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -247,10 +249,10 @@ def suggested_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(D.PIECES_SQL, tail="""
-, q AS (SELECT *, 0.61e0 * h AS up, 0.8e0 * w AS level FROM d_piece WHERE shape = 2)
-SELECT piece_id, CASE WHEN piece_id % 4 = 0 AND level >= 1.5 THEN 0e0 WHEN up >= 3 AND (up > level OR level < 3) THEN 90e0 WHEN level >= 3 THEN 0e0 END AS angle FROM q"""))
+, q AS (SELECT *, 0.61e0 * h AS up, CASE WHEN 0.05e0 * w <= 2 THEN 0.8e0 ELSE 0.1625e0 END AS share FROM d_piece WHERE shape = 2), l AS (SELECT *, share * w AS level FROM q)
+SELECT piece_id, CASE WHEN piece_id % 4 = 0 AND level >= 1.5 THEN 0e0 WHEN up >= 3 AND (up > level OR level < 3 OR share < 0.25) THEN 90e0 WHEN level >= 3 AND share >= 0.25 THEN 0e0 END AS angle FROM l"""))
 def grain_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """detect_grain: an upright and a level line cross each rectangle, the level one in dashes; every fourth piece has a text at it, and a smaller size's outline runs inside."""
+    """detect_grain: an upright and a level line cross each rectangle, the level one in dashes whose gaps are joined up to 2 cm; every fourth piece has a text at it, and a smaller size's outline runs inside."""
     rows = D.pieces(spark, sf_dir).where("shape = 2").select(F.col("piece_id").cast("string").alias("doc"), F.lit(1).alias("piece"), "outline", "w", "h", "piece_id")
     w, h = F.col("w"), F.col("h")
 
@@ -264,4 +266,28 @@ def grain_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = rows.select("doc", "piece", F.array(at(0.05, 0.05), at(0.9, 0.05), at(0.9, 0.95), at(0.05, 0.95)).alias("ring"))
     found = N.with_grain(rows.select("doc", "piece", "outline"), lines, texts, 1.0, cuts)
     angle = G.axis_angle(F.col("grain")[0], F.col("grain")[1])
-    return found.select(F.col("doc").cast("long").alias("piece_id"), F.round(F.when(angle > 179.9, 0.0).otherwise(angle), 3).alias("angle"))
+    return found.select(F.col("doc").cast("long").alias("piece_id"), r6(F.when(angle > 179.9, 0.0).otherwise(angle)).alias("angle"))
+
+
+#: Half an hour of waiting, ten minutes of lateness.
+_WAIT_MS, _LATE = 1_800_000, "10 minutes"
+
+
+def change_events(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("event"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
+
+
+@query(f"""
+WITH e AS (SELECT user_id AS key, event_id AS event, epoch_us(ts) AS at_us, ts, event_type AS kind FROM events),
+g AS (SELECT *, lead(at_us) OVER (PARTITION BY key ORDER BY at_us, event) AS following, lag(at_us) OVER (PARTITION BY key ORDER BY at_us, event) AS before FROM e),
+r AS (SELECT *, sum(CASE WHEN at_us - before <= {_WAIT_MS}000 THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY at_us, event) AS run FROM g),
+n AS (SELECT *, count(*) OVER (PARTITION BY key, run) AS changes FROM r)
+SELECT key, event, at_us, changes FROM n WHERE (following IS NULL OR following - at_us > {_WAIT_MS}000) AND kind <> 'error'
+    AND (at_us + {_WAIT_MS}000) // 1000 + 1 <= ((SELECT max(at_us) FROM e) - 600000000) // 1000""")
+def settled_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over all events with keyed state and timers: the last change of each run of a user, how many changes it ends, runs that end in an error thrown away."""
+    schema = D.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's path may else be no single file
+    folder = W.fresh_folder(R.shared_folder(spark))
+    W.run_to_end(W.settled(change_events(stream), _WAIT_MS, ["error"], _LATE), folder)
+    return spark.read.schema("key long, event long, ts timestamp, changes long").parquet(f"{folder}/rows").select("key", "event", F.unix_micros("ts").alias("at_us"), "changes")

@@ -12,6 +12,7 @@ length of the run that they belong to.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -20,9 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "key long, event long, ts timestamp, changes long"
-
-
 def settled_batch(events: DataFrame, wait_ms: int, cancels: list[str]) -> DataFrame:
     """``key, event, ts, changes`` of ``events(key, event, ts, kind)``: the last event of every run, unless it cancels.
 
@@ -92,6 +90,10 @@ def settled(events: DataFrame, wait_ms: int, cancels: list[str], lateness: str =
     return out.select("key", "event", F.timestamp_micros("at").alias("ts"), "changes")
 
 
+def fresh_folder(root: str) -> str:
+    return f"{root}/settled-{uuid.uuid4().hex}"
+
+
 def run_to_end(stream: DataFrame, folder: str) -> None:
     """Work off what is there into ``folder/rows``, going on from ``folder/state``."""
     spark = stream.sparkSession
