@@ -15,6 +15,8 @@ from selvage.operators import layout as Y
 from selvage.operators import lettering as T
 from selvage.operators import overview as O
 from selvage.operators import seams as E
+from selvage.operators import sheet as S
+from selvage.operators import strands as X
 from selvage.operators import rounds as R
 from selvage.operators import tracing as V
 from selvage.plans import derived as D
@@ -291,3 +293,23 @@ def settled_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = W.fresh_folder(R.shared_folder(spark))
     W.run_to_end(W.settled(change_events(stream), _WAIT_MS, ["error"], _LATE), folder)
     return spark.read.schema("key long, event long, ts timestamp, changes long").parquet(f"{folder}/rows").select("key", "event", F.unix_micros("ts").alias("at_us"), "changes")
+
+
+#: Curves of 24 steps cut into eight strands, numbered and turned out of order, with gaps of up to 0.4; every fourth document closes its curve to a ring.
+STRANDS = f"""
+WITH p AS (SELECT s_suppkey AS doc, k, CASE WHEN s_suppkey % 4 = 0 THEN 24 ELSE 40 END AS around FROM {{supplier}} CROSS JOIN {_numbers(8)} AS t(k))
+SELECT doc, (k * 5 + doc) % 8 AS id, (k + doc) % 2 AS turned, k * 3 + i AS step, i, (60 + doc % 7) * cos(2e0 * pi() * (k * 3 + i) / around) + CASE WHEN i = 3 THEN 0.1e0 * (doc % 5) ELSE 0e0 END AS x,
+    (60 + doc % 7) * sin(2e0 * pi() * (k * 3 + i) / around) AS y
+FROM p CROSS JOIN {_numbers(4)} AS u(i)"""
+
+
+@query(f"""
+WITH f AS ({oracle(STRANDS)}), o AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM f WINDOW w AS (PARTITION BY doc ORDER BY step, i DESC)),
+u AS (SELECT doc, sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2)) AS length FROM o GROUP BY doc)
+SELECT doc, CAST(0 AS BIGINT) AS strand, 8 AS parts, {R6.format('length')} AS length, doc % 4 = 0 AS closed FROM u""")
+def joined_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strands come back as the curve that they were cut from."""
+    rows = rows_of(spark, sf_dir, STRANDS).groupBy("doc", "id").agg(F.max("turned").alias("turned"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y"))), lambda p: F.array(p["x"], p["y"])).alias("points"))
+    rows = rows.select("doc", F.col("id").cast("long").alias("id"), F.when(F.col("turned") == 1, F.reverse("points")).otherwise(F.col("points")).alias("points"))
+    found = X.joined_strands(rows, 0.5)
+    return found.select("doc", "strand", "parts", r6(S.polyline_length("points")).alias("length"), "closed")
