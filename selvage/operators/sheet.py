@@ -249,7 +249,9 @@ def group_by_overlap(rings: DataFrame, references: DataFrame, overlap, cell: flo
 
     near = listed(r, "b1").join(listed(s, "b2"), ["cx", "cy"]).where((F.col("b1.max_x") >= F.col("b2.min_x")) & (F.col("b2.max_x") >= F.col("b1.min_x")) & (F.col("b1.max_y") >= F.col("b2.min_y")) & (F.col("b2.max_y") >= F.col("b1.min_y")))
     corner = [F.floor(F.greatest(f"b1.min_{c}", f"b2.min_{c}") / cell) == F.col("c" + c) for c in "xy"]
-    near = near.where(corner[0] & corner[1]).withColumn("shared", overlap("o1", "o2")).where((F.col("shared") > 0) & (F.col("shared") / F.least("a1", "a2") >= 0.5))
+    # the boxes' common part bounds the shared area, so most pairs need no exact one
+    common = [F.least(f"b1.max_{c}", f"b2.max_{c}") - F.greatest(f"b1.min_{c}", f"b2.min_{c}") for c in "xy"]
+    near = near.where(corner[0] & corner[1] & (common[0] * common[1] >= 0.5 * F.least("a1", "a2"))).withColumn("shared", overlap("o1", "o2")).where((F.col("shared") > 0) & (F.col("shared") / F.least("a1", "a2") >= 0.5))
     best = near.groupBy("ring").agg(F.min(F.struct((-F.col("shared")).alias("less"), "ref")).alias("best"))
     return best.select("ring", "best.ref", (-F.col("best.less")).alias("shared"))
 

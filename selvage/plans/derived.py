@@ -32,6 +32,12 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("outline", outline).withColumn("rotation", F.when(F.col("piece_id") % 2 == 1, "90").otherwise("180"))
 
 
+def rectangle(w, h):
+    """A ring from zero."""
+    zero = F.lit(0.0)
+    return F.array(*(F.array(x, y) for x, y in ((zero, zero), (w, zero), (w, h), (zero, h))))
+
+
 PIECES_SQL = """
 d_piece AS (
     SELECT p_partkey AS piece_id, CAST(p_partkey % 3 AS INTEGER) AS shape, CAST(5 + (p_partkey * 17) % 56 AS DOUBLE) AS w, CAST(5 + (p_partkey * 23) % 56 AS DOUBLE) AS h,

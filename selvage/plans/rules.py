@@ -246,13 +246,13 @@ def style_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ORDER = """
 WITH l AS (
-    SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_orderkey || '/' || l_partkey || '/' || l_suppkey || '/' || CAST(l_quantity AS INTEGER) AS line_id, l_partkey AS p, CAST(l_quantity AS INTEGER) AS q
-    FROM lineitem WHERE l_linenumber = 1
+    SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n, l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || CAST(l_quantity AS INTEGER) AS line_id, l_partkey AS p, CAST(l_quantity AS INTEGER) AS q
+    FROM lineitem
 )"""
 
 
 def _order(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every part as a pattern of a plain, an optional and two variant pieces; first lines of the retail orders as its order lines."""
+    """Every part as a pattern of a plain, an optional and two variant pieces; all lines of the retail orders as its order lines."""
     rows = D.pieces(spark, sf_dir)
     shape = F.struct("outline", F.lit(None).cast(G.RING).alias("fold"), F.array("w", "h").alias("bbox"), G.area("outline").alias("area"))
     sizes = F.create_map(F.lit("uni"), shape)
@@ -267,8 +267,8 @@ def _order(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     patterns = rows.select(k.cast("string").alias("id"), F.lit("P").alias("name"), F.lit("none").alias("seamAllowance"), F.array(F.lit("uni")).alias("sizes"), pieces.alias("pieces"))
     q = F.col("l_quantity").cast("int")
     flags = F.when(q % 3 == 0, F.expr("map('tab', true)")).when(q % 3 == 1, F.expr("map('v2', true)")).otherwise(F.expr("CAST(map() AS map<string,boolean>)"))
-    lines = D.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(
-        F.concat_ws("/", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey")), q.cast("string")).alias("line_id"), F.col("l_partkey").cast("string").alias("pattern_id"), F.lit("uni").alias("size"), (q * 3).alias("quantity"), flags.alias("include"),
+    lines = D.table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("/", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), q.cast("string")).alias("line_id"), F.col("l_partkey").cast("string").alias("pattern_id"), F.lit("uni").alias("size"), (q * 3).alias("quantity"), flags.alias("include"),
         F.expr("CAST(map() AS map<string,string>)").alias("rotations"))
     return lines, patterns
 
@@ -300,7 +300,7 @@ def order_line_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT CAST(l_partkey AS VARCHAR) AS id, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+WITH u AS (SELECT CAST(l_partkey AS VARCHAR) AS id, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN n > 0 THEN 'delete.withLines' ELSE 'delete.plain' END AS code, coalesce(n, 0) AS n FROM part LEFT JOIN u ON u.id = CAST(p_partkey AS VARCHAR)""")
 def delete_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lines_using and delete_question for every pattern."""
@@ -376,10 +376,10 @@ def mapped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(D.PIECES_SQL, tail=f"""
-SELECT piece_id, {R6.format('2 * w * h + 0.06 * (4 * w + 2 * h) + 4 * 0.06 * 0.06')} AS area FROM d_piece WHERE shape = 2"""))
+SELECT piece_id, {R6.format('2 * w * h + 0.06 * (4 * w + 2 * h) + 4 * 0.06 * 0.06')} AS area FROM d_piece"""))
 def united_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """single_cell and union_cells: a rectangle and its neighbour, grown by 0.6 of a pixel of 1 mm."""
-    rows = D.pieces(spark, sf_dir).where("shape = 2")
+    """single_cell and union_cells: each piece's rectangle and its neighbour, grown by 0.6 of a pixel of 1 mm."""
+    rows = D.pieces(spark, sf_dir).withColumn("outline", D.rectangle(F.col("w"), F.col("h")))
     first = rows.select(F.col("piece_id").cast("string").alias("outline"), F.col("outline").alias("ring"), "w")
     one = C.single_cell(first)
     two = first.select("outline", F.lit(2).cast("long").alias("id"), G.translate("ring", F.col("w"), 0.0).alias("ring"))
@@ -418,10 +418,11 @@ def nested_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(D.PIECES_SQL, tail=f"""
-SELECT piece_id, {R6.format('0.1e0')} AS x, {R6.format('0')} AS low, {R6.format('h')} AS high FROM d_piece WHERE shape <> 1 AND h > 0"""))
+SELECT piece_id, {R6.format('0.1e0')} AS x, {R6.format('0')} AS low, {R6.format('h')} AS high FROM d_piece"""))
 def snapped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """snap_fold and snap_fold_at: an edge drawn beside the left side of each upright piece lands on it."""
-    rows = D.pieces(spark, sf_dir).where("shape <> 1").withColumn("ring", G.translate("outline", 0.1, 0.0))
+    """snap_fold and snap_fold_at: an edge drawn beside the left side of each piece lands on it; trapezoids, which have no upright side, stand as rectangles."""
+    upright = F.when(F.col("shape") == 1, D.rectangle(F.col("w"), F.col("h"))).otherwise(F.col("outline"))
+    rows = D.pieces(spark, sf_dir).withColumn("ring", G.translate(upright, 0.1, 0.0))
     edge = F.struct(F.array(F.lit(0.0), F.lit(0.0)).alias("a"), F.array(F.lit(0.0), F.col("h")).alias("b"))
     got = B.with_snapped_fold(rows.select("piece_id", F.col("ring").alias("outline"), edge.alias("edge")), 1.0)
     return got.select("piece_id", r6(F.col("fold")[0][0]).alias("x"), r6(F.col("fold")[0][1]).alias("low"), r6(F.col("fold")[1][1]).alias("high"))
@@ -448,16 +449,17 @@ def workspace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(D.PIECES_SQL, tail=f"""
-, two AS (SELECT piece_id, shape, w, h, size, k, CASE shape WHEN 0 THEN 0.64e0 ELSE 1e0 END AS part FROM d_piece, (VALUES ('S', 1e0), ('M', 2e0)) t(size, k) WHERE shape <> 1), made AS (
+, two AS (SELECT piece_id, shape, w, h, size, k, CASE shape WHEN 0 THEN 0.64e0 ELSE 1e0 END AS part FROM d_piece, (VALUES ('S', 1e0), ('M', 2e0)) t(size, k)), made AS (
     SELECT piece_id, 'front' AS id, size, 'Front' AS name, w * k AS width, h * k AS height, part * w * h * k * k AS area FROM two
     UNION ALL SELECT piece_id, 'front-2', unnest(['S', 'M', 'L']), 'Front', w, h, part * w * h FROM two WHERE size = 'S'
-    UNION ALL SELECT piece_id, 'back-short', 'S', 'Back – Short', w + 0.12e0, h + 0.12e0, (w + 0.12e0) * (h + 0.12e0) FROM two WHERE shape = 2 AND size = 'S'
-    UNION ALL SELECT piece_id, 'back-long', 'S', 'Back – Long', 2 * w + 0.12e0, h + 0.12e0, (2 * w + 0.12e0) * (h + 0.12e0) FROM two WHERE shape = 2 AND size = 'S'
+    UNION ALL SELECT piece_id, 'back-short', 'S', 'Back – Short', w + 0.12e0, h + 0.12e0, (w + 0.12e0) * (h + 0.12e0) FROM two WHERE shape <> 0 AND size = 'S'
+    UNION ALL SELECT piece_id, 'back-long', 'S', 'Back – Long', 2 * w + 0.12e0, h + 0.12e0, (2 * w + 0.12e0) * (h + 0.12e0) FROM two WHERE shape <> 0 AND size = 'S'
     UNION ALL SELECT piece_id, 'front-3', 'M', 'Front', w, 3, w * 3 FROM two WHERE size = 'M')
 SELECT piece_id, id, size, name, floor(width * 10 + 0.5) / 10 AS width, floor(height * 10 + 0.5) / 10 AS height, floor(area * 10 + 0.5) / 10 AS area FROM made WHERE piece_id % 7 <> 0"""))
 def built_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """build_pattern: a piece with its own sizes, one with the reference in all sizes, variants of cells, a rectangle; every seventh document names an outline that is gone."""
-    rows = D.pieces(spark, sf_dir).where("shape <> 1").withColumn("doc", F.col("piece_id").cast("string"))
+    upright = F.when(F.col("shape") == 1, D.rectangle(F.col("w"), F.col("h"))).otherwise(F.col("outline"))
+    rows = D.pieces(spark, sf_dir).withColumn("outline", upright).withColumn("doc", F.col("piece_id").cast("string"))
     double = F.transform("outline", lambda p: F.array(p[0] * 2, p[1] * 2))
     sizes = F.array(F.struct(F.lit("S").alias("size"), F.col("outline").alias("ring"), F.lit(True).alias("reference")), F.struct(F.lit("M").alias("size"), double.alias("ring"), F.lit(False).alias("reference")))
     outlines = rows.select("doc", F.lit("c").alias("candidate"), F.explode(sizes).alias("s")).select("doc", "candidate", "s.*")
@@ -469,7 +471,7 @@ def built_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pos int, candidate string, name string, all_sizes boolean, include boolean, variants array<struct<label:string,cells:map<string,array<bigint>>>>")
     own = F.broadcast(fixed)  # five rows
     cut = F.array(F.struct(F.lit(" main ").alias("material"), F.lit(2).alias("count"))).alias("cut")
-    drafts = rows.select("doc", "piece_id", "shape").join(own, ((F.col("pos") != 3) | (F.col("shape") == 2)) & ((F.col("pos") != 4) | (F.col("piece_id") % 7 == 0)))
+    drafts = rows.select("doc", "piece_id", "shape").join(own, ((F.col("pos") != 3) | (F.col("shape") != 0)) & ((F.col("pos") != 4) | (F.col("piece_id") % 7 == 0)))
     drafts = drafts.select("doc", "pos", "candidate", "name", cut, F.lit(90.0).alias("grain"), F.lit(None).cast("int").alias("fold_edge"), "all_sizes", "include", F.lit(False).alias("optional"), F.lit("").alias("variant"), F.lit("").alias("variant_group"), "variants")
     meta = rows.select("doc", "doc", F.lit("Pattern"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("none"), F.array(F.lit("S"), F.lit("M"), F.lit("L"))).toDF("doc", "id", "name", "author", "source", "seam_allowance", "sizes")
     band = F.create_map(F.lit("M"), F.struct(F.col("w").alias("width"), F.lit(3.0).alias("height")))

@@ -219,10 +219,10 @@ def layout_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(D.PIECES_SQL, tail="""
-SELECT piece_id, CAST(1 AS BIGINT) AS outlines, h + CASE WHEN piece_id % 4 = 0 THEN 4 ELSE 0 END AS height FROM d_piece WHERE shape = 2 AND w >= 8 AND h >= 8"""))
+SELECT piece_id, CAST(1 AS BIGINT) AS outlines, h + CASE WHEN piece_id % 4 = 0 THEN 4 ELSE 0 END AS height FROM d_piece"""))
 def notched_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles with triangles drawn on their upper edge: marks of 0.5 cm2 go, a point of 8 cm2 belongs to the piece."""
-    rows = D.pieces(spark, sf_dir).where("shape = 2 AND w >= 8 AND h >= 8")
+    rows = D.pieces(spark, sf_dir).withColumn("outline", D.rectangle(F.col("w"), F.col("h")))
     big = F.col("piece_id") % 4 == 0
     at, half, tall = F.col("w") / 2, F.when(big, 2.0).otherwise(0.5), F.when(big, 4.0).otherwise(1.0)
     tooth = F.array(F.array(at - half, F.col("h")), F.array(at, F.col("h") + tall), F.array(at + half, F.col("h")))
@@ -251,11 +251,11 @@ def suggested_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(D.PIECES_SQL, tail="""
-, q AS (SELECT *, 0.61e0 * h AS up, CASE WHEN 0.05e0 * w <= 2 THEN 0.8e0 ELSE 0.1625e0 END AS share FROM d_piece WHERE shape = 2), l AS (SELECT *, share * w AS level FROM q)
+, q AS (SELECT *, 0.61e0 * h AS up, CASE WHEN 0.05e0 * w <= 2 THEN 0.8e0 ELSE 0.1625e0 END AS share FROM d_piece), l AS (SELECT *, share * w AS level FROM q)
 SELECT piece_id, CASE WHEN piece_id % 4 = 0 AND level >= 1.5 THEN 0e0 WHEN up >= 3 AND (up > level OR level < 3 OR share < 0.25) THEN 90e0 WHEN level >= 3 AND share >= 0.25 THEN 0e0 END AS angle FROM l"""))
 def grain_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """detect_grain: an upright and a level line cross each rectangle, the level one in dashes whose gaps are joined up to 2 cm; every fourth piece has a text at it, and a smaller size's outline runs inside."""
-    rows = D.pieces(spark, sf_dir).where("shape = 2").select(F.col("piece_id").cast("string").alias("doc"), F.lit(1).alias("piece"), "outline", "w", "h", "piece_id")
+    rows = D.pieces(spark, sf_dir).select(F.col("piece_id").cast("string").alias("doc"), F.lit(1).alias("piece"), D.rectangle(F.col("w"), F.col("h")).alias("outline"), "w", "h", "piece_id")
     w, h = F.col("w"), F.col("h")
 
     def at(x: float, y: float) -> F.Column:
