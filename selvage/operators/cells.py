@@ -9,7 +9,7 @@ of neighbours for each outline, and distances in it are a fold over levels.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selvage.functions import geometry as G
@@ -68,28 +68,26 @@ def absorbed(cells: DataFrame, borders: DataFrame, cm_per_pt: float) -> DataFram
 
 
 def _graph(cells: DataFrame, borders: DataFrame, cm_per_pt: float) -> tuple[DataFrame, DataFrame]:
-    """``outline, id, head``, and a row for each outline: ``heads array<struct<head, size, degree>>`` and ``beside``, a map from head to its neighbours."""
+    """``outline, id, head``, and a row for each outline: ``heads array<struct<n, head, size, near>>``, where ``near`` holds the places of a head's neighbours in it."""
     owner = absorbed(cells, borders, cm_per_pt)
-    heads = owner.where("id = head").select("outline", "head")
-    wide = borders.where((F.col("shared") * cm_per_pt * 10 >= BORDER_MIN_MM) & (F.col("a") != F.col("b"))).select("outline", F.col("a").alias("head"), "b").distinct()
-    wide = wide.join(heads, ["outline", "head"], "left_semi").join(heads.select("outline", F.col("head").alias("b")), ["outline", "b"], "left_semi")
-    beside = wide.groupBy("outline", "head").agg(F.array_sort(F.collect_list("b")).alias("near"))
     sizes = owner.join(cells.select("outline", "id", "area"), ["outline", "id"]).groupBy("outline", "head").agg(F.sum("area").alias("size"))
-    each = sizes.join(beside, ["outline", "head"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
-    graph = each.groupBy("outline").agg(
-        F.array_sort(F.collect_list(F.struct("head", "size", F.size("near").alias("degree")))).alias("heads"), F.map_from_entries(F.collect_list(F.struct("head", "near"))).alias("beside"))
-    return owner, graph
+    heads = R.written(sizes.withColumn("n", F.row_number().over(Window.partitionBy("outline").orderBy("head")) - 1), "numbered-heads")
+    wide = borders.where((F.col("shared") * cm_per_pt * 10 >= BORDER_MIN_MM) & (F.col("a") != F.col("b"))).select("outline", F.col("a").alias("head"), "b").distinct()
+    wide = wide.join(heads.select("outline", "head", "n"), ["outline", "head"]).join(heads.select("outline", F.col("head").alias("b"), F.col("n").alias("m")), ["outline", "b"])
+    beside = wide.groupBy("outline", "head").agg(F.array_sort(F.collect_list("m")).alias("near"))
+    each = heads.join(beside, ["outline", "head"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<int>")))
+    return owner, each.groupBy("outline").agg(F.array_sort(F.collect_list(F.struct("n", "head", "size", "near"))).alias("heads"))
 
 
 def _levels(start: Column) -> Column:
-    """``array<struct<head, level>>`` of what can be reached from a head of ``beside``: neighbours of a level that are neither in it nor in the one before make the next."""
-    none = F.array().cast("array<bigint>")
-    state = F.struct(none.alias("before"), F.array(start).alias("now"), F.array(F.struct(start.alias("head"), F.lit(0).alias("level"))).alias("all"))
+    """``array<struct<n, level>>`` of what can be reached from a place in ``heads``: neighbours of a level that are neither in it nor in the one before make the next."""
+    none = F.array().cast("array<int>")
+    state = F.struct(none.alias("before"), F.array(start).alias("now"), F.array(F.struct(start.alias("n"), F.lit(0).alias("level"))).alias("all"))
 
     def next_level(s: Column, k: Column) -> Column:
-        near = F.array_distinct(F.flatten(F.transform(s["now"], lambda h: F.element_at("beside", h))))
+        near = F.array_distinct(F.flatten(F.transform(s["now"], lambda h: F.get("heads", h)["near"])))
         new = F.array_except(F.array_except(near, s["now"]), s["before"])
-        return F.struct(s["now"].alias("before"), new.alias("now"), F.concat(s["all"], F.transform(new, lambda h: F.struct(h.alias("head"), k.alias("level")))).alias("all"))
+        return F.struct(s["now"].alias("before"), new.alias("now"), F.concat(s["all"], F.transform(new, lambda h: F.struct(h.alias("n"), k.alias("level")))).alias("all"))
 
     return F.aggregate(F.sequence(F.lit(1), F.size("heads")), state, next_level)["all"]
 
@@ -97,19 +95,20 @@ def _levels(start: Column) -> Column:
 def _spread(owner: DataFrame, graph: DataFrame, start: Column, name: str) -> DataFrame:
     """Levels from a head as a row for each cell, where they reach all heads."""
     found = graph.withColumn("start", start).where("start IS NOT NULL").withColumn("levels", _levels(F.col("start"))).where(F.size("levels") == F.size("heads"))
-    rows = found.select("outline", F.explode("levels").alias("l")).select("outline", "l.head", F.col("l.level").alias(name))
+    named = F.transform("levels", lambda l: F.struct(F.get("heads", l["n"])["head"].alias("head"), l["level"].alias("level")))
+    rows = found.select("outline", F.explode(named).alias("l")).select("outline", "l.head", F.col("l.level").alias(name))
     return owner.join(rows, ["outline", "head"]).select("outline", "id", name)
 
 
 def _largest(heads: Column) -> Column:
-    """The head of the largest size, of equals the smallest id."""
-    return F.element_at(F.array_sort(F.transform(heads, lambda h: F.struct((-h["size"]).alias("less"), h["head"].alias("head")))), 1)["head"]
+    """``struct<less, n>`` of the head of the largest size, of equals the smallest id."""
+    return F.array_min(F.transform(heads, lambda h: F.struct((-h["size"]).alias("less"), h["n"].alias("n"))))
 
 
 def onion_levels(cells: DataFrame, borders: DataFrame, cm_per_pt: float) -> DataFrame:
     """``outline, id, level``: distance from the largest cell; outlines that aren't connected have no rows."""
     owner, graph = _graph(cells, borders, cm_per_pt)
-    return _spread(owner, graph, _largest(F.col("heads")), "level")
+    return _spread(owner, graph, _largest(F.col("heads"))["n"], "level")
 
 
 def chain_order(cells: DataFrame, borders: DataFrame, cm_per_pt: float) -> DataFrame:
@@ -119,12 +118,10 @@ def chain_order(cells: DataFrame, borders: DataFrame, cm_per_pt: float) -> DataF
     levels from one end reach everything.
     """
     owner, graph = _graph(cells, borders, cm_per_pt)
-    ends = F.filter("heads", lambda h: h["degree"] == 1)
-    path = (F.size(ends) == 2) & F.forall("heads", lambda h: h["degree"].between(1, 2))
-    first = _largest(ends)
-    size = F.element_at(F.filter("heads", lambda h: h["head"] == first), 1)["size"]
-    most = F.array_max(F.transform("heads", lambda h: h["size"]))
-    return _spread(owner, graph, F.when(path & (size >= START_SHARE * most), first), "step")
+    ends = F.filter("heads", lambda h: F.size(h["near"]) == 1)
+    path = (F.size(ends) == 2) & F.forall("heads", lambda h: F.size(h["near"]).between(1, 2))
+    first, most = _largest(ends), -_largest(F.col("heads"))["less"]
+    return _spread(owner, graph, F.when(path & (-first["less"] >= START_SHARE * most), first["n"]), "step")
 
 
 def grid_like(cells: DataFrame, spread: float = 1.15, least: int = 4, cover: float = 0.8) -> DataFrame:

@@ -62,6 +62,16 @@ def bad_number(x: Column, positive: bool = False) -> Column:
     return x.isNull() | F.isnan(x) | (F.abs(x) > 1e9) | ((x <= 0) if positive else F.lit(False))
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def are_simple(rings: pd.Series) -> pd.Series:
+    """For each list of rings, which of them don't touch themselves."""
+    return pd.Series([None if own is None else [r is not None and len(r) >= 3 and all(p is not None and len(p) == 2 for p in r) and K.is_simple(K.as_ring(r)) for r in own] for own in rings])
+
+
+# Columns of its result stay columns: a Python function can't be evaluated inside a lambda.
+are_simple = are_simple.asNondeterministic()
+
+
 @F.pandas_udf(T.BooleanType())
 def is_simple(ring: pd.Series) -> pd.Series:
     return pd.Series([r is not None and len(r) >= 3 and K.is_simple(K.as_ring(r)) for r in ring], dtype=bool)
@@ -106,10 +116,19 @@ def parse_patterns(texts: DataFrame, column: str = "value", accepted: str = FORM
         .when(F.size(F.array_distinct(names)) != F.size(names), "pattern.duplicateId")
         .when(bad_key(p["id"]) | bad_text(p["name"]), "pattern.expectedText").when(p["seamAllowance"].isNull() | ~p["seamAllowance"].isin(*SEAMS), "pattern.seamInvalid"))
     rows = rows.withColumn("head", head)
-    shapes = rows.where("head IS NULL").select("doc", F.posexplode(pieces).alias("k", "piece")).select("doc", "k", F.explode("piece.sizes").alias("size", "shape"))
-    shapes = shapes.withColumn("code", shape_code(F.col("shape"), is_simple("shape.outline"))).where("code IS NOT NULL")
-    first = shapes.groupBy("doc").agg(F.min(F.struct("k", "size", "code"))["code"].alias("shape_code"))
-    judged = rows.join(first, "doc", "left").withColumn("code", F.coalesce("head", "shape_code"))
+    # the shapes of all pieces in order of piece and size, judged within the row: nothing is parsed twice or shuffled
+    each = F.flatten(F.transform(pieces, lambda x: F.transform(F.array_sort(F.map_keys(x["sizes"])), lambda s: F.element_at(x["sizes"], s))))
+
+    # lists of empty lists alone crash the transfer to Python, so a ring stands in where there is none to judge
+    stand_in = F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0))))
+
+    def whole(shape: Column) -> Column:  # only pairs of numbers go to Python; what lacks some is bad whatever it says
+        pairs = F.filter(shape["outline"], lambda p: (F.size(p) == 2) & p[0].isNotNull() & p[1].isNotNull())
+        return F.when(F.size(pairs) > 0, pairs).otherwise(stand_in)
+
+    rows = rows.withColumn("shapes", F.when(F.col("head").isNull(), each)).withColumn("simple", are_simple(F.coalesce(F.transform("shapes", whole), F.array(stand_in))))
+    codes = F.array_compact(F.transform("shapes", lambda s, i: shape_code(s, F.get("simple", i))))
+    judged = rows.withColumn("code", F.coalesce("head", F.get(codes, F.lit(0))))
     good = judged.where("code IS NULL").select("p.*")
     cut = F.transform("pieces", lambda x: x.withField("cut", F.transform(x["cut"], lambda c: F.struct(c["material"].alias("material"), c["count"].cast("int").alias("count")))))
     return good.withColumn("pieces", cut), judged.where("code IS NOT NULL").select("doc", "code")
