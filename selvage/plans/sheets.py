@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selvage.functions import geometry as G
+from selvage.operators import bundles as U
 from selvage.operators import grain as N
 from selvage.operators import layout as Y
 from selvage.operators import lettering as T
@@ -313,3 +314,22 @@ def joined_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("doc", F.col("id").cast("long").alias("id"), F.when(F.col("turned") == 1, F.reverse("points")).otherwise(F.col("points")).alias("points"))
     found = X.joined_strands(rows, 0.5)
     return found.select("doc", "strand", "parts", r6(S.polyline_length("points")).alias("length"), "closed")
+
+
+#: Three to five strokes side by side over three tiles, bent once by document; every third document has a stroke that turns back.
+BUNDLES = f"""
+WITH p AS (SELECT s_suppkey AS doc, j, i, 20e0 * i + 0.7e0 * j AS x, 100e0 + 6 * j + (s_suppkey % 7) * 0.5e0 * i + CASE WHEN i > 3 THEN 4e0 * (i - 3) ELSE 0e0 END AS y
+    FROM {{supplier}} CROSS JOIN {_numbers(5)} AS t(j) CROSS JOIN {_numbers(7)} AS u(i) WHERE j < 3 + s_suppkey % 3)
+SELECT a.doc, CAST(a.j AS BIGINT) AS id, CAST(floor(a.i / 2) AS INT) AS tile, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON a.doc = b.doc AND a.j = b.j AND b.i = a.i + 1
+UNION ALL SELECT doc, CAST(j AS BIGINT), 9, x, y, x - 30, y + 9 FROM p WHERE i = 6 AND j = 0 AND doc % 3 = 0"""
+
+
+@query(f"""
+WITH f AS ({oracle(BUNDLES)}), m AS (SELECT doc, min(least(x1, x2)) AS low FROM f GROUP BY doc), k AS (SELECT unnest(range(0, 60)) AS k),
+s AS (SELECT f.doc, k, low + 3 * k AS x, id, y1 + (y2 - y1) * (low + 3 * k - x1) / (x2 - x1) AS y FROM f JOIN m ON f.doc = m.doc JOIN k ON 3 * k >= least(x1, x2) - low AND 3 * k <= greatest(x1, x2) - low),
+e AS (SELECT doc, k, x, id, min(y) AS lo, max(y) AS hi FROM s GROUP BY ALL)
+SELECT doc, CAST(k AS BIGINT) AS k, {R6.format('min(lo)')} AS low, {R6.format('avg((lo + hi) / 2)')} AS middle, {R6.format('max(hi)')} AS high, count(*) AS strokes FROM e GROUP BY doc, k, x""")
+def bundle_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """envelope and centerline of bundles of strokes, split over tiles."""
+    rows = rows_of(spark, sf_dir, BUNDLES).select("doc", "id", F.array(F.array("x1", "y1"), F.array("x2", "y2")).alias("points"))
+    return U.stations(rows).select("doc", "k", r6("low").alias("low"), r6("middle").alias("middle"), r6("high").alias("high"), "strokes")
