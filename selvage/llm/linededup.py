@@ -11,9 +11,11 @@ all lines share these is one group, whatever else fills the leaf.  Lines that
 share them with no other are their own.
 
 A template recurs if it stands in enough texts that are unrelated to each other:
-texts of which a share of the word pairs stands in one only.  Copies of a whole
-document, however many, are related and count once; they are left to
-document-level deduplication.  What surrounds a line does not matter, so lines
+texts of which a share of the word pairs stands in one only, or that both hold
+lines of their own (of no template of several texts) whose word pairs the other
+lacks, as short texts above one long footer do.  Copies of a whole document,
+however many, are related and count once, edited ones too, as an edited line
+resembles the other text; they are left to document-level deduplication.  What surrounds a line does not matter, so lines
 of blocks (headers, footers, passages) recur like single ones.  Lines of
 recurring templates are dropped from every document.
 """
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, if_small, materialize
+from .common import SMALL_ROWS, discard, if_small, materialize
 
 DEPTH = 3
 AGREEMENT = 0.6
@@ -31,6 +33,10 @@ AGREEMENT = 0.6
 SKETCH = 96
 #: Texts whose numbers of different word pairs differ more are unrelated.
 LONGER = 4
+#: Own lines with fewer of a text's word pairs don't set it apart: a copy with a line added or replaced is a copy.
+OWN_PART = 0.05
+#: Share of the own lines' word pairs that the other text lacks; lines with edited words keep most of theirs.
+OWN_APART = 0.7
 
 
 def _masked(line: Column) -> Column:
@@ -102,20 +108,59 @@ def _templates(narrow: DataFrame) -> DataFrame:
     return out
 
 
-def _spread(places: DataFrame, sketches: DataFrame, least_texts: int, apart: float) -> DataFrame:
-    """``g`` of ``places(g, dh)`` that have ``least_texts`` texts unrelated to each other.
+def _own(docs: DataFrame, places: DataFrame, ids: DataFrame) -> DataFrame:
+    """``dh, own, own_n`` of texts ``ids(dh)`` that have lines of no template of several texts: the sketch of the word pairs of these lines, and how many there are."""
+    shared = materialize(places.join(if_small(ids), "dh", "left_semi").groupBy("dh").agg(F.collect_set("pos").alias("shared")), "shared")
+    few = places.count() <= SMALL_ROWS  # bounds the positions in all rows together
+    rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh")).join(F.broadcast(shared) if few else shared, "dh")
+    lines = rows.select("dh", F.split("text", "\n").alias("lines"), "shared").dropDuplicates(["dh"])
+    alone = lines.select("dh", F.explode(F.expr("transform(array_except(sequence(0, size(lines) - 1), shared), i -> lines[i])")).alias("line"))
+    words = alone.where(F.col("line").rlike(r"\S")).select("dh", _tokens("line").alias("w"))
+    hashed = words.select("dh", F.explode(F.transform("w", lambda t, i: F.hash(t, F.get("w", i + 1)))).alias("h"))
+    out = hashed.groupBy("dh").agg(F.sort_array(F.collect_set("h")).alias("own"))
+    out = materialize(out.select("dh", F.slice("own", 1, SKETCH).alias("own"), F.size("own").alias("own_n")), "own")
+    discard(shared)
+    return out
+
+
+def _own_apart(own: str, own_n: str, n: str, pairs: str, other_n: str) -> Column:
+    """Whether the own lines of a text are a part of it (OWN_PART) and most of their word pairs (OWN_APART) are not in the other text."""
+    reach = F.when(F.col(other_n) > SKETCH, F.element_at(pairs, -1)).otherwise(F.lit(2**31 - 1))
+    seen = F.filter(own, lambda v: v <= reach)
+    return (F.col(own_n) >= OWN_PART * F.col(n)) & (F.size(seen) > 0) & (F.size(F.array_except(seen, F.col(pairs))) >= OWN_APART * F.size(seen))
+
+
+def _apart_pairs(docs: DataFrame, places: DataFrame, sketches: DataFrame, pairs: DataFrame, apart: float) -> DataFrame:
+    """``dh, o_dh`` of ``pairs`` that are unrelated, as whole texts or by their own lines."""
+    others = sketches.toDF("o_dh", "o_pairs", "o_n")
+    judged = materialize(pairs.join(sketches, "dh").join(others, "o_dh").select("dh", "o_dh", _unrelated(apart).alias("far")), "judged")
+    doubt = judged.where("NOT far").select("dh", "o_dh")
+    ids = materialize(doubt.select(F.explode(F.array("dh", "o_dh")).alias("dh")).distinct(), "doubt")
+    own = _own(docs, places, ids)
+    full = materialize(own.join(sketches, "dh"), "full")
+    both = doubt.join(full, "dh").join(full.toDF("o_dh", "o_own", "o_own_n", "o_pairs", "o_n"), "o_dh")
+    both = both.where(_own_apart("own", "own_n", "n", "o_pairs", "o_n") & _own_apart("o_own", "o_own_n", "o_n", "pairs", "n"))
+    out = materialize(judged.where("far").select("dh", "o_dh").union(both.select("dh", "o_dh")), "apart")
+    for x in (judged, ids, own, full):
+        discard(x)
+    return out
+
+
+def _spread(docs: DataFrame, places: DataFrame, sketches: DataFrame, least_texts: int, apart: float) -> DataFrame:
+    """``g`` of ``places(g, dh, pos)`` that have ``least_texts`` texts unrelated to each other.
 
-    One text of each template is taken and all that are related to it leave;
-    another of the rest follows.  Pairs of texts are compared once for all their lines.
+    The text of each template with the most word pairs is taken and all that are
+    related to it leave; another of the rest follows.  So a text of nothing but
+    recurring lines, which is related to all that hold little else, isn't taken
+    before them.  Pairs of texts are compared once for all their lines.
     """
-    left, held = places, []
+    left, held = places.join(if_small(sketches.select("dh", "n")), "dh").select("g", "dh", "n"), []
     for _ in range(least_texts - 1):
-        taken = materialize(left.groupBy("g").agg(F.min("dh").alias("o_dh")), "taken")
+        taken = left.groupBy("g").agg(F.max(F.struct("n", "dh")).alias("t"))
+        taken = materialize(taken.select("g", F.col("t.dh").alias("o_dh")), "taken")
         beside = materialize(left.join(if_small(taken), "g").where("dh <> o_dh"), "beside")
-        pairs = beside.select("dh", "o_dh").distinct().join(sketches, "dh")
-        pairs = pairs.join(sketches.toDF("o_dh", "o_pairs", "o_n"), "o_dh")
-        apart_pairs = materialize(pairs.where(_unrelated(apart)).select("dh", "o_dh"), "apart")
-        left = materialize(beside.join(apart_pairs, ["dh", "o_dh"]).select("g", "dh"), "left")
+        apart_pairs = _apart_pairs(docs, places, sketches, beside.select("dh", "o_dh").distinct(), apart)
+        left = materialize(beside.join(apart_pairs, ["dh", "o_dh"]).select("g", "dh", "n"), "left")
         held += [taken, beside, apart_pairs, left]
     out = materialize(left.select("g").distinct(), "recurring")
     for x in held:
@@ -128,17 +173,18 @@ def recurring(docs: DataFrame, least_texts: int = 3, apart: float = 0.3) -> Data
 
     A template recurs with ``least_texts`` texts that are unrelated to each
     other: at least the share ``apart`` of the word pairs of one is not in the
-    other, whatever their number of copies.
+    other, or both have lines of their own that the other doesn't resemble,
+    whatever their number of copies.
     """
     narrow = materialize(_lines(docs), "lines")
     templates = _templates(narrow)
     named = narrow.join(if_small(templates), "th", "left").select("doc_id", "dh", "pos", F.coalesce("template", "th").alias("g"))
     several = named.groupBy("g").agg(F.min("dh").alias("lo"), F.max("dh").alias("hi")).where("lo <> hi").select("g")
     several = materialize(several, "several")
-    places = materialize(named.join(if_small(several), "g", "left_semi").select("g", "dh").distinct(), "places")
+    places = materialize(named.join(if_small(several), "g", "left_semi").select("g", "dh", "pos").distinct(), "places")
     held = materialize(places.select("dh").distinct(), "held")
     sketches = materialize(_sketches(docs, held), "sketches")
-    found = _spread(places, sketches, least_texts, apart)
+    found = _spread(docs, places, sketches, least_texts, apart)
     out = materialize(named.join(if_small(found), "g", "left_semi").groupBy("doc_id", "dh").agg(F.collect_set("pos").alias("dropped")), "dropped")
     for x in (narrow, templates, several, places, held, sketches, found):
         discard(x)

@@ -644,3 +644,26 @@ def test_chat_roles_stay(spark):
     for r in got:
         assert [(t["role"], t["text"]) for t in r["turns"]] == [(role, text) for c, _, role, text in rows if c == r["conv_id"]]
     assert len({r["layout"] for r in got}) >= 5
+
+
+def _footers(words: int):
+    draw = random.Random(14 + words)
+    names = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]
+    foot = ["Subscribe to our weekly letter for more stories like this one", "All opinions are those of the authors and of nobody else", "Write to the editors with corrections and further questions", "Printed on paper from well kept forests of the region"]
+    bodies = [" ".join(draw.choice(names) for _ in range(words)) for _ in range(60)]
+    return foot, [(i, "\n".join([b, *foot])) for i, b in enumerate(bodies)]
+
+
+@pytest.mark.parametrize("words", [5, 15, 30])
+def test_footers_of_short_texts_go(spark, words):
+    """A footer far longer than what stands above it recurs, beside texts of the footer alone; edited copies of one such text stay."""
+    foot, rows = _footers(words)
+    rows += [(100 + i, "\n".join(foot)) for i in range(3)]
+    lines = [[f"k{chr(97 + k % 26)}{chr(97 + j)}" for k in range(12)] for j in range(4)]
+    for i in range(20):
+        copy = [list(x) for x in lines]
+        copy[i % 4][i // 4] = f"edit{chr(97 + i)}"
+        rows.append((200 + i, "\n".join(" ".join(x) for x in copy)))
+    got = {r["doc_id"]: r for r in linededup.drop_recurring_lines(documents(spark, rows)).collect()}
+    assert all(got[i]["text"] == text.split("\n")[0] and got[i]["n_dropped"] == 4 for i, text in rows[:60])
+    assert all(got[100 + i]["text"] == "" for i in range(3)) and all(got[i]["n_dropped"] == 0 for i, _ in rows[63:])
