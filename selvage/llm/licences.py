@@ -1,6 +1,9 @@
 """Licence scan: a trained paragraph classifier in SQL expressions.
 
-A paragraph is a line.  Its word 1-, 2- and 3-grams are looked up in the sparse
+A paragraph is a run of lines that were wrapped: a line goes on in the next one if
+it ends no sentence and the next one's first word would have made it longer than
+the lines around it.  Paragraphs and their single lines are scored alike.  Their
+word 1-, 2- and 3-grams are looked up in the sparse
 weights of a multinomial logistic regression over licence families and an
 unknown class; a temperature fitted on held-out variants calibrates the
 probabilities.  A prediction is confirmed by comparing the paragraph's n-grams
@@ -22,7 +25,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Short public licence notices by family.
@@ -195,10 +198,28 @@ def train(docs: DataFrame, max_lines: int = 2000) -> Model:
     return fit([r["line"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["line"]))])
 
 
+def _pieces(docs: DataFrame) -> DataFrame:
+    """``doc_id, dh, a, b, line, whole, para``: every line, and every paragraph of several lines (``whole``); ``a`` and ``b`` are the first and last line of a piece's paragraph."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("dh"), F.split("text", "\r?\n").alias("lines"))
+    wrapped = (
+        "i + 1 < size(lines) AND lines[i] RLIKE '[\\\\p{L}\\\\p{N}]' AND lines[i + 1] RLIKE '[\\\\p{L}\\\\p{N}]' AND NOT lines[i] RLIKE '[.!?][\"\\')]*\\\\s*$' AND "
+        "length(lines[i]) + 1 + length(regexp_extract(lines[i + 1], '^\\\\W*\\\\w*', 0)) > greatest(length(lines[i]), length(lines[i + 1]), length(lines[greatest(i - 1, 0)]))")
+    rows = rows.withColumn("ends", F.expr(f"filter(sequence(0, size(lines) - 1), i -> NOT ({wrapped}))"))
+    rows = rows.select("doc_id", "dh", "lines", F.explode(F.expr("transform(ends, (e, k) -> struct(IF(k = 0, 0, ends[k - 1] + 1) AS a, e AS b))")).alias("p"))
+    rows = rows.select("doc_id", "dh", "p.a", "p.b", F.expr("slice(lines, p.a + 1, p.b - p.a + 1)").alias("own"))
+    lines = F.expr("transform(own, (x, k) -> struct(a + k AS line, false AS whole, x AS para))")
+    whole = F.expr("IF(a < b, array(struct(a AS line, true AS whole, array_join(own, ' ') AS para)), array())")
+    return rows.select("doc_id", "dh", "a", "b", F.explode(F.concat(lines, whole)).alias("piece")).select("doc_id", "dh", "a", "b", "piece.*")
+
+
 def scan(docs: DataFrame, model: Model, least_probability: float = 0.5, least_similarity: float = 0.6) -> DataFrame:
-    """``doc_id, line, family, probability, template, similarity, confirmed`` for each line predicted to be a licence notice.
+    """``doc_id, line, first_line, last_line, family, probability, template, similarity, confirmed`` for each notice of a licence.
 
-    ``line`` counts from 0.  Lines that speak of a licence but fit no family, or
+    ``line`` counts from 0.  A confirmed paragraph of several lines is one row
+    with its first and last line; its ``line`` is the likeliest one that is
+    confirmed by itself, with that line's figures, or else the first, with those
+    of the paragraph.  Confirmed lines of another family stay beside it.  Other
+    lines are rows of their own.  Lines that speak of a licence but fit no family, or
     whose prediction no template confirms, have the family ``unknown`` and no
     template.  ``probability`` is that of the likeliest class.  Null and empty texts have no rows;
     repeated rows are scanned once per different text; other columns are ignored;
@@ -216,12 +237,12 @@ def scan(docs: DataFrame, model: Model, least_probability: float = 0.5, least_si
     speaks = "licen[cs]e|copyright|rights reserved|warranty"
     words = "|".join(map(re.escape, model.triggers))
     trigger = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words or 'licen[cs]e'})(?![\p{{L}}\p{{N}}])|{speaks}"
-    rows = docs.where(F.col("text").rlike(trigger)).select("doc_id", F.xxhash64("text").alias("dh"), F.posexplode(F.split("text", "\n")).alias("line", "para"))
-    rows = rows.where(F.col("para").rlike(trigger)).dropDuplicates(["doc_id", "dh", "line"])
+    key = ["doc_id", "dh", "a", "b", "line", "whole"]
+    rows = _pieces(docs.where(F.col("text").rlike(trigger)))
+    rows = rows.where(F.col("para").rlike(trigger)).dropDuplicates(key)
     rows = rows.withColumn("ws", F.filter(F.split(F.lower("para"), SPLIT), lambda x: x != ""))
     lists = [F.col("ws")] + [F.expr(
         f"CASE WHEN size(ws) < {n} THEN array() ELSE transform(sequence(1, size(ws) - {n - 1}), i -> array_join(slice(ws, i, {n}), ' ')) END") for n in ORDERS[1:]]
-    key = ["doc_id", "dh", "line"]
     rows = rows.withColumn("speaks", F.lower("para").rlike(speaks)).withColumn("gs", F.array_distinct(F.concat(*lists)))
     # the n-grams of the model and the templates; the rest of the line counts only by its length
     vocabulary = sorted({*model.weights, *(g for g, *_ in known)})
@@ -243,7 +264,16 @@ def scan(docs: DataFrame, model: Model, least_probability: float = 0.5, least_si
     best = near.groupBy(*key, "f").agg(F.max(F.struct("similarity", "tie", "template")).alias("best"))
     out = scored.join(best, [*(scored[c].eqNullSafe(best[c]) for c in key), scored["family"] == best["f"]], "left")
     out = out.select(
-        scored["doc_id"], scored["line"].cast("long").alias("line"), F.col("family").alias("predicted"), "probability", "speaks", F.col("best.template").alias("template"),
+        *(scored[c] for c in key), F.col("family").alias("predicted"), "probability", "speaks", F.col("best.template").alias("template"),
         F.coalesce("best.similarity", F.lit(0.0)).alias("similarity"), F.coalesce(F.col("best.similarity") >= least_similarity, F.lit(False)).alias("confirmed"))
-    return out.where("confirmed OR speaks").select(
-        "doc_id", "line", F.when(F.col("confirmed"), F.col("predicted")).otherwise("unknown").alias("family"), "probability", F.when(F.col("confirmed"), F.col("template")).alias("template"), "similarity", "confirmed")
+    out = out.where("confirmed OR speaks").withColumn("family", F.when(F.col("confirmed"), F.col("predicted")).otherwise("unknown"))
+    # a paragraph that is confirmed takes the place of its lines
+    own = Window.partitionBy("doc_id", "dh", "a")
+    out = out.withColumn("of", F.max(F.expr("CASE WHEN whole AND confirmed THEN family END")).over(own))
+    out = out.withColumn("fits", F.coalesce(F.col("confirmed") & (F.col("family") == F.col("of")), F.lit(False)))
+    best = Window.partitionBy("doc_id", "dh", "a", "fits").orderBy("whole", F.desc("probability"), "line")
+    out = out.withColumn("r", F.row_number().over(best)).where("CASE WHEN fits THEN r = 1 ELSE NOT whole AND (of IS NULL OR confirmed) END")
+    return out.select(
+        "doc_id", F.col("line").cast("long").alias("line"), F.expr("CAST(CASE WHEN fits THEN a ELSE line END AS LONG)").alias("first_line"),
+        F.expr("CAST(CASE WHEN fits THEN b ELSE line END AS LONG)").alias("last_line"), "family", "probability",
+        F.when(F.col("confirmed"), F.col("template")).alias("template"), "similarity", "confirmed")

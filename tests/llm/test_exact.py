@@ -667,3 +667,22 @@ def test_footers_of_short_texts_go(spark, words):
     got = {r["doc_id"]: r for r in linededup.drop_recurring_lines(documents(spark, rows)).collect()}
     assert all(got[i]["text"] == text.split("\n")[0] and got[i]["n_dropped"] == 4 for i, text in rows[:60])
     assert all(got[100 + i]["text"] == "" for i in range(3)) and all(got[i]["n_dropped"] == 0 for i, _ in rows[63:])
+
+
+def test_wrapped_notices_are_found_whole(spark):
+    """Notices wrapped as files wrap them, behind comment signs too, are one row with their first and last line."""
+    mit = ["Permission is hereby granted, free of charge, to any person", "obtaining a copy of this software and associated documentation", "files (the \"Software\"), to deal in the Software without limits", "and to permit others to do so."]
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    around = ["The walk went past the house.", "", "A thing of its own stands here."]
+    rows = []
+    for i, (family, own) in enumerate([("mit", mit), ("gpl", gpl), ("bsd", bsd)]):
+        for k, sign in enumerate(["", "# ", " * "]):
+            rows.append((10 * i + k, "\n".join([*around, *(sign + x for x in own), "", *around]), family, len(own)))
+    draw = random.Random(6)
+    back = [(1000 + i, "\n".join(" ".join(draw.choice(["thing", "house", "under", "the", "free", "version", "walk", "any"]) for _ in range(9)) for _ in range(3))) for i in range(80)]
+    docs = documents(spark, [r[:2] for r in rows] + back)
+    got = {}
+    for r in licences.scan(docs, licences.train(docs)).collect():
+        got.setdefault(r["doc_id"], []).append((r["family"], r["first_line"], r["last_line"]))
+    assert got == {i: [(family, 3, 2 + size)] for i, _, family, size in rows}
