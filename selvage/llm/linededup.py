@@ -43,12 +43,19 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9@]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", "<*>")).otherwise(line)
 
 
-def _tokens(column: str) -> Column:
+def _tokens(text: str | Column) -> Column:
     """Words between white space; single spaces need no regular expression."""
-    text = F.col(column)
+    text = F.col(text) if isinstance(text, str) else text
     return F.array_remove(F.split(F.when(text.rlike(r"[\t-\r]|  "), F.regexp_replace(text, r"\s+", " ")).otherwise(text), " "), "")
 
 
+def _pairs(line: Column) -> Column:
+    """Hashes of the word pairs of a line, the last word alone."""
+    words = _tokens(line)
+    following = F.concat(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), F.array(F.lit(None).cast("string")))
+    return F.zip_with(words, following, lambda a, b: F.hash(a, b))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, dh, pos, masked, th, leaf``, a row for each line with words; ``dh`` fingerprints the whole text."""
     cut = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("dh"), F.split("text", "\n").alias("lines"))
@@ -113,12 +120,12 @@ def _own(docs: DataFrame, places: DataFrame, ids: DataFrame) -> DataFrame:
     shared = materialize(places.join(if_small(ids), "dh", "left_semi").groupBy("dh").agg(F.collect_set("pos").alias("shared")), "shared")
     few = places.count() <= SMALL_ROWS  # bounds the positions in all rows together
     rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh")).join(F.broadcast(shared) if few else shared, "dh")
-    lines = rows.select("dh", F.split("text", "\n").alias("lines"), "shared").dropDuplicates(["dh"])
-    alone = lines.select("dh", F.explode(F.expr("transform(array_except(sequence(0, size(lines) - 1), shared), i -> lines[i])")).alias("line"))
-    words = alone.where(F.col("line").rlike(r"\S")).select("dh", _tokens("line").alias("w"))
-    hashed = words.select("dh", F.explode(F.transform("w", lambda t, i: F.hash(t, F.get("w", i + 1)))).alias("h"))
-    out = hashed.groupBy("dh").agg(F.sort_array(F.collect_set("h")).alias("own"))
-    out = materialize(out.select("dh", F.slice("own", 1, SKETCH).alias("own"), F.size("own").alias("own_n")), "own")
+    lines = rows.select("dh", F.split("text", "\n").alias("lines"), "shared")
+    alone = lines.select("dh", F.filter(F.expr("transform(array_except(sequence(0, size(lines) - 1), shared), i -> lines[i])"), lambda x: x.rlike(r"\S")).alias("own"))
+    # a row keeps only its sketch, so copies of a text are put together without their texts
+    hashed = F.flatten(F.transform("own", _pairs))
+    pairs = alone.where(F.size("own") > 0).select("dh", F.sort_array(F.array_distinct(hashed)).alias("own"))
+    out = materialize(pairs.select("dh", F.slice("own", 1, SKETCH).alias("own"), F.size("own").alias("own_n")).dropDuplicates(["dh"]), "own")
     discard(shared)
     return out
 
