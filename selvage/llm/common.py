@@ -63,37 +63,49 @@ def any_of(conditions: list[Column]) -> Column:
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Smallest reachable id of every vertex of ``edges(a, b)``: columns ``node, component``.
 
-    Alternating large-star and small-star rounds.  Each is a grouped minimum,
-    combined before the shuffle, and an equi-join that adaptive execution may
-    split, so a hub with very many neighbours is never gathered in one row.
     Self links are ignored; a vertex without other links does not appear.
     """
-    def tidy(x: DataFrame) -> DataFrame:
-        return x.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = stars(edges, max_rounds)
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def stars(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """``a, b``: every vertex of ``edges(a, b)`` but the smallest of its component, and that smallest one.
 
-    now = materialize(tidy(edges), "cc")
-    before = None
-    for _ in range(max_rounds):
+    Alternating large-star and small-star rounds.  Each is a grouped minimum,
+    combined before the shuffle, and an equi-join that adaptive execution may
+    split (minima counted to be few are broadcast), so a hub with very many
+    neighbours is never gathered in one row.  Rounds end once no vertex with a
+    smaller neighbour has another one, which the minima of the next round tell.
+    Links of few vertices are written in as many files as there are cores.
+    """
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "cc")
+    for r in range(max_rounds + 1):
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        smaller = F.when(F.col("v") < F.col("u"), F.col("v"))
+        around = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.max(smaller).alias("most"), F.max("v").alias("top"))
+        around = around.persist()
+        unsettled = (F.col("m") < F.col("u")) & ((F.col("most") > F.col("m")) | (F.col("top") > F.col("u")))
+        left, vertices = around.agg(F.count_if(unsettled), F.count("*")).first()
+        if not left:
+            around.unpersist()
+            return now.distinct() if r == 0 else now
+        if r == max_rounds:
+            raise RuntimeError("components did not settle")
+        few = vertices <= SMALL_ROWS
+        least = around.select("u", "m")
+        large = both.where("v > u").join(F.broadcast(least) if few else least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
         # every row of `large` has a > b: the smaller neighbours of a are all its rows
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(
+        small = large.join(F.broadcast(low) if few else low, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        new = materialize(small.where("a <> b").distinct(), "cc")
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        small = small.where("a <> b").distinct()
+        new = materialize(small.coalesce(edges.sparkSession.sparkContext.defaultParallelism) if few else small, "cc")
         discard(now)
+        around.unpersist()
         now = new
-        if before is not None and tuple(state) == before:
-            break
-        before = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:

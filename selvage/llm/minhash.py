@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, discard, if_small, materialize
+from .common import bounded_batches, discard, if_small, materialize, stars
 
 WORD_CACHE = 150_000
 #: Up to so many pairs of a group become rows; in larger groups they are compared in blocks.
 PAIRS_AS_ROWS = 4096
 BLOCK = 256
+#: Sketches of so many values together (10 MB) may be sent to every executor.
+SKETCH_VALUES = 1_300_000
 
 
 class _WordHash(dict):
@@ -92,7 +94,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), _lists([shingle_set(t, n, seen) for t in batch.column(1).to_pylist()])], names=["id", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(if_small(ids), F.col("doc_id") == F.col("id"), "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
     return rows.mapInArrow(run, "id long, shingles array<long>")
 
 
@@ -157,19 +159,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 64)
         F.ceil(F.lit(share) * F.least(F.lit(k), F.col("n_shingles")))).cast("int")
     held = held.withColumn("t", F.greatest(F.lit(1), need)).where(F.size("vs") >= F.col("t"))
     held = held.withColumn("vs", F.expr("slice(array_sort(vs), 1, size(vs) - t + 1)"))
-    index = materialize(held.select("rep", F.col("n_shingles").alias("n"), F.explode("vs.val").alias("val")), "index")
+    held = materialize(held.select("rep", F.col("n_shingles").alias("n"), F.col("vs.val").alias("vals")), "held")
+    index = held.select("rep", "n", F.explode("vals").alias("val"))
 
-    # only these documents can have a link to a different text
-    ids = materialize(index.select(F.col("rep").alias("id")).distinct(), "ids")
+    # only these documents, a row for each, can have a link to a different text
+    ids = if_small(held.select(F.col("rep").alias("id")))
     sets = materialize(_full_sets(docs, ids, n), "sets")
-    sk = materialize(reps.join(if_small(ids), F.col("rep") == F.col("id"), "left_semi").select("rep", "sk", (F.col("n_shingles") <= k).alias("whole")), "sk")
+    sk = materialize(reps.join(ids, F.col("rep") == F.col("id"), "left_semi").select("rep", "sk", (F.col("n_shingles") <= k).alias("whole")), "sk")
+    held_sk = F.broadcast(sk) if sk.count() * k <= SKETCH_VALUES else sk
 
     def close(na: str, nb: str):
         return (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
     def estimated(cand: DataFrame) -> DataFrame:
         """cand(a, b): adds ``est`` from the bottom-k of the union, drops what is far below the threshold."""
-        x = cand.join(sk.toDF("a", "ska", "wa"), "a").join(sk.toDF("b", "skb", "wb"), "b")
+        x = cand.join(held_sk.toDF("a", "ska", "wa"), "a").join(held_sk.toDF("b", "skb", "wb"), "b")
         union = F.array_union("ska", "skb")
         x = x.withColumn("u", F.when(F.col("wa") & F.col("wb"), union).otherwise(F.slice(F.array_sort(union), 1, k)))
         est = F.size(F.array_intersect("u", F.array_intersect("ska", "skb"))) / F.size("u")
@@ -187,40 +191,38 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 64)
         return F.min(F.struct(F.xxhash64(F.lit(seed), "rep"), "rep", "n"))
 
     hubs = index.groupBy("val").agg(hub(1).alias("h1"), hub(2).alias("h2"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    hubs = hubs.select("val", F.explode(F.array("h1", "h2")).alias("h")).select("val", F.col("h.rep").alias("hub"), F.col("h.n").alias("hn")).distinct()
-    first = index.join(hubs, "val").where((F.col("rep") != F.col("hub")) & close("n", "hn"))
-    first = first.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    listed = materialize(index.join(hubs.select("val", "h1.rep", "h1.n", "h2.rep", "h2.n").toDF("val", "hub1", "n1", "hub2", "n2"), "val").drop("val").distinct(), "listed")
+    first = listed.select("rep", "n", F.explode(F.array(F.struct(F.col("hub1").alias("hub"), F.col("n1").alias("hn")), F.struct(F.col("hub2").alias("hub"), F.col("n2").alias("hn")))).alias("h")).select("rep", "n", "h.*")
+    first = first.where((F.col("rep") != F.col("hub")) & close("n", "hn")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     best = Window.partitionBy("a").orderBy(F.desc("est"), "b")
     first = estimated(first).withColumn("r", F.row_number().over(best)).where("r <= 2")
     tried = materialize(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
     links = confirmed(tried)
-    comp = materialize(connected_components(links), "components")
+    comp = stars(links)
 
     # then every pair between different components: lists with the same hub make one group
-    owner = index.groupBy("val").agg(hub(1).alias("h"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("val", F.col("h.rep").alias("grp"))
-    placed = index.join(owner, "val").select("grp", "rep", "n").distinct().join(comp, F.col("rep") == F.col("node"), "left")
+    placed = listed.select(F.col("hub1").alias("grp"), "rep", "n").distinct().join(comp.toDF("node", "component"), F.col("rep") == F.col("node"), "left")
     placed = materialize(placed.select("grp", "rep", "n", F.coalesce("component", "rep").alias("comp")), "placed")
     main = placed.groupBy("grp", "comp").agg(F.count("*").alias("c")).groupBy("grp").agg(
         F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("size")).where("comps > 1")
     main = main.select("grp", F.col("m.comp").alias("main"), "size", (F.col("size") - F.col("m.c")).alias("minors"))
-    rows = placed.join(main, "grp")
+    rows = materialize(placed.join(main, "grp"), "rows")
     small = rows.where(F.col("size") * F.col("minors") <= PAIRS_AS_ROWS)
     minor = small.where("comp <> main").select("grp", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     pairs = minor.join(small.withColumnRenamed("rep", "b"), "grp").where(
         (F.col("ca") != F.col("comp")) & close("na", "n") & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("b"))))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = materialize(estimated(pairs).select("a", "b"), "rest")
-    large = materialize(rows.where(F.col("size") * F.col("minors") > PAIRS_AS_ROWS), "large")
+    large = rows.where(F.col("size") * F.col("minors") > PAIRS_AS_ROWS)
     more = [] if rest.isEmpty() else [confirmed(rest)]
     if not large.isEmpty():
         more.append(_linked_in_blocks(large, sets, percent))
     if more:
-        known = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comp = materialize(connected_components(reduce(DataFrame.union, more, known)), "components")
+        comp = stars(reduce(DataFrame.union, more, comp))
 
-    for x in (index, ids, sets, sk, placed, tried, rest, large):
+    for x in (held, sets, sk, listed, placed, rows, tried, rest):
         discard(x)
-    of_rep = reps.select(*keys, "rep").join(comp, F.col("rep") == F.col("node"), "left").select(
+    of_rep = reps.select(*keys, "rep").join(comp.toDF("node", "component"), F.col("rep") == F.col("node"), "left").select(
         *keys, F.coalesce("component", "rep").alias("root"))
     rows = all_sk.select("doc_id", *keys).join(of_rep, keys, "left")
     named = F.col("doc_id").isNotNull()

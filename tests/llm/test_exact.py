@@ -686,3 +686,13 @@ def test_wrapped_notices_are_found_whole(spark):
     for r in licences.scan(docs, licences.train(docs)).collect():
         got.setdefault(r["doc_id"], []).append((r["family"], r["first_line"], r["last_line"]))
     assert got == {i: [(family, 3, 2 + size)] for i, _, family, size in rows}
+
+
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    made, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: made.append(name) or write(df, name))
+    star = spark.createDataFrame([(a, 1) for a in range(2, 40)] + [(1, 7), (90, 50), (50, 90), (60, 60)], "a long, b long")
+    got = {r["node"]: r["component"] for r in common.connected_components(star).collect()}
+    assert got == {a: 1 for a in range(1, 40)} | {50: 50, 90: 50} and made == ["cc"]
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {tuple(r) for r in common.connected_components(chain).collect()} == {(k, 0) for k in range(41)} and len(made) > 2
