@@ -118,8 +118,10 @@ def _templates(narrow: DataFrame) -> DataFrame:
 def _own(docs: DataFrame, places: DataFrame, ids: DataFrame) -> DataFrame:
     """``dh, own, own_n`` of texts ``ids(dh)`` that have lines of no template of several texts: the sketch of the word pairs of these lines, and how many there are."""
     shared = materialize(places.join(if_small(ids), "dh", "left_semi").groupBy("dh").agg(F.collect_set("pos").alias("shared")), "shared")
-    few = places.count() <= SMALL_ROWS  # bounds the positions in all rows together
-    rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh")).join(F.broadcast(shared) if few else shared, "dh")
+    few = (shared.agg(F.sum(F.size("shared"))).first()[0] or 0) <= SMALL_ROWS
+    # only texts in doubt are shuffled, if any
+    rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh"))
+    rows = rows.join(F.broadcast(shared), "dh") if few else rows.join(if_small(ids), "dh", "left_semi").join(shared, "dh")
     lines = rows.select("dh", F.split("text", "\n").alias("lines"), "shared")
     alone = lines.select("dh", F.filter(F.expr("transform(array_except(sequence(0, size(lines) - 1), shared), i -> lines[i])"), lambda x: x.rlike(r"\S")).alias("own"))
     # a row keeps only its sketch, so copies of a text are put together without their texts
@@ -138,9 +140,13 @@ def _own_apart(own: str, own_n: str, n: str, pairs: str, other_n: str) -> Column
 
 
 def _apart_pairs(docs: DataFrame, places: DataFrame, sketches: DataFrame, pairs: DataFrame, apart: float) -> DataFrame:
-    """``dh, o_dh`` of ``pairs`` that are unrelated, as whole texts or by their own lines."""
+    """``dh, o_dh`` of ``pairs(dh, n, o_dh, o_n)`` that are unrelated, as whole texts or by their own lines."""
     others = sketches.toDF("o_dh", "o_pairs", "o_n")
-    judged = materialize(pairs.join(sketches, "dh").join(others, "o_dh").select("dh", "o_dh", _unrelated(apart).alias("far")), "judged")
+    # lengths alone decide many pairs, whose sketches aren't joined
+    longer = F.greatest("n", "o_n") > LONGER * F.least("n", "o_n")
+    pairs = materialize(pairs.withColumn("longer", longer), "pairs")
+    alike = pairs.where("NOT longer").select("dh", "o_dh").join(sketches, "dh").join(others, "o_dh").select("dh", "o_dh", _unrelated(apart).alias("far"))
+    judged = materialize(alike.union(pairs.where("longer").select("dh", "o_dh", "longer")), "judged")
     doubt = judged.where("NOT far").select("dh", "o_dh")
     ids = materialize(doubt.select(F.explode(F.array("dh", "o_dh")).alias("dh")).distinct(), "doubt")
     own = _own(docs, places, ids)
@@ -148,7 +154,7 @@ def _apart_pairs(docs: DataFrame, places: DataFrame, sketches: DataFrame, pairs:
     both = doubt.join(full, "dh").join(full.toDF("o_dh", "o_own", "o_own_n", "o_pairs", "o_n"), "o_dh")
     both = both.where(_own_apart("own", "own_n", "n", "o_pairs", "o_n") & _own_apart("o_own", "o_own_n", "o_n", "pairs", "n"))
     out = materialize(judged.where("far").select("dh", "o_dh").union(both.select("dh", "o_dh")), "apart")
-    for x in (judged, ids, own, full):
+    for x in (pairs, judged, ids, own, full):
         discard(x)
     return out
 
@@ -164,9 +170,9 @@ def _spread(docs: DataFrame, places: DataFrame, sketches: DataFrame, least_texts
     left, held = places.join(if_small(sketches.select("dh", "n")), "dh").select("g", "dh", "n"), []
     for _ in range(least_texts - 1):
         taken = left.groupBy("g").agg(F.max(F.struct("n", "dh")).alias("t"))
-        taken = materialize(taken.select("g", F.col("t.dh").alias("o_dh")), "taken")
+        taken = materialize(taken.select("g", F.col("t.dh").alias("o_dh"), F.col("t.n").alias("o_n")), "taken")
         beside = materialize(left.join(if_small(taken), "g").where("dh <> o_dh"), "beside")
-        apart_pairs = _apart_pairs(docs, places, sketches, beside.select("dh", "o_dh").distinct(), apart)
+        apart_pairs = _apart_pairs(docs, places, sketches, beside.select("dh", "n", "o_dh", "o_n").distinct(), apart)
         left = materialize(beside.join(apart_pairs, ["dh", "o_dh"]).select("g", "dh", "n"), "left")
         held += [taken, beside, apart_pairs, left]
     out = materialize(left.select("g").distinct(), "recurring")
@@ -208,8 +214,10 @@ def drop_recurring_lines(docs: DataFrame, least_texts: int = 3, apart: float = 0
     """
     cut = recurring(docs.select("doc_id", "text"), least_texts, apart)
     # a row's own columns stay in one struct, so that none can clash
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("dh"), F.split("text", "\n").alias("lines"))
-    rows = rows.join(cut.toDF("cut_id", "cut_dh", "dropped"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("dh") == F.col("cut_dh")), "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("dh"))
+    # texts are shuffled, once, only if the positions are too many to send to every executor
+    cut = F.broadcast(cut) if (cut.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= SMALL_ROWS else cut
+    rows = rows.join(cut.toDF("cut_id", "cut_dh", "dropped"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("dh") == F.col("cut_dh")), "left").withColumn("lines", F.split("row.text", "\n"))
     text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.expr(
         "array_join(transform(array_except(sequence(0, size(lines) - 1), dropped), i -> lines[i]), '\n')"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -696,3 +696,22 @@ def test_components_that_are_stars_take_no_round(spark, monkeypatch):
     assert got == {a: 1 for a in range(1, 40)} | {50: 50, 90: 50} and made == ["cc"]
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
     assert {tuple(r) for r in common.connected_components(chain).collect()} == {(k, 0) for k in range(41)} and len(made) > 2
+
+
+def test_texts_are_not_shuffled_for_few_recurring_lines(spark, monkeypatch):
+    """Few positions go to the texts; if they are many, texts are joined to them with the same result."""
+    draw = random.Random(4)
+    rows = [(k, " ".join("".join(draw.choices("abcdefghij", k=7)) for _ in range(5 if k % 2 else 40)) + "\nkeep the footer of the page here\nand this one below it") for k in range(24)] + [(99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = linededup.drop_recurring_lines(docs)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        want = sorted(map(tuple, few.collect()))
+        assert [r[-1] for r in want] == [2] * 24 + [0]
+        monkeypatch.setattr(linededup, "SMALL_ROWS", 0)
+        many = linededup.drop_recurring_lines(docs)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, many.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
