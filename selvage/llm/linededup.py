@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, discard, if_small, materialize
+from .common import SMALL_ROWS, any_of, discard, if_small, materialize
 
 DEPTH = 3
 AGREEMENT = 0.6
@@ -40,37 +40,42 @@ OWN_APART = 0.7
 
 
 def _masked(line: Column) -> Column:
-    return F.when(line.rlike("[0-9@]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", "<*>")).otherwise(line)
+    # digits one by one are a table to Java, a range beside a sign is not
+    return F.when(line.rlike("[0123456789@]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", "<*>")).otherwise(line)
 
 
-def _tokens(text: str | Column) -> Column:
-    """Words between white space; single spaces need no regular expression."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.array_remove(F.split(F.when(text.rlike(r"[\t-\r]|  "), F.regexp_replace(text, r"\s+", " ")).otherwise(text), " "), "")
+def _spaced(text: Column, signs: str) -> Column:
+    """``signs`` become spaces, without regular expressions."""
+    for sign in signs:
+        text = F.replace(text, F.lit(sign), F.lit(" "))
+    return text
 
 
-def _pairs(line: Column) -> Column:
-    """Hashes of the word pairs of a line, the last word alone."""
-    words = _tokens(line)
-    following = F.concat(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), F.array(F.lit(None).cast("string")))
-    return F.zip_with(words, following, lambda a, b: F.hash(a, b))
+def _tokens(text: str | Column, signs: str = "\t\n\x0b\f\r") -> Column:
+    """Words between white space."""
+    return F.array_remove(F.split(_spaced(F.col(text) if isinstance(text, str) else text, signs), " "), "")
+
+
+def _single_spaced(line: Column) -> Column:
+    """A line's words with one space between them; most lines are so already."""
+    odd = any_of([F.contains(line, F.lit(x)) for x in ("  ", "\t", "\x0b", "\f", "\r")]) | line.startswith(" ") | line.endswith(" ")
+    return F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, dh, pos, masked, th, leaf``, a row for each line with words; ``dh`` fingerprints the whole text."""
+    """``doc_id, dh, pos, th, leaf``, a row for each line with words; ``dh`` fingerprints the whole text, ``th`` the masked line."""
     cut = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("dh"), F.split("text", "\n").alias("lines"))
     rows = cut.select("doc_id", "dh", F.posexplode("lines").alias("pos", "line"))
-    rows = rows.where(F.col("line").rlike(r"\S")).withColumn("masked", _masked(F.col("line"))).withColumn("tokens", _tokens("masked"))
-    return rows.select(
-        "doc_id", "dh", "pos", "masked",
-        F.xxhash64("tokens").alias("th"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
+    rows = rows.where(F.col("line").rlike(r"\S")).withColumn("masked", _masked(F.col("line"))).withColumn("masked", _single_spaced(F.col("masked")))
+    size = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    return rows.select("doc_id", "dh", "pos", F.xxhash64("masked").alias("th"), F.xxhash64(size, F.substring_index("masked", " ", DEPTH)).alias("leaf"))
 
 
 def _sketches(docs: DataFrame, held: DataFrame) -> DataFrame:
     """``dh, pairs, n``: the SKETCH smallest hashes of the word pairs of each different text of ``held(dh)``, and how many there are."""
     rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh")).join(if_small(held), "dh", "left_semi")
     words = rows.select("dh", _tokens("text").alias("w")).where(F.size("w") > 0)
-    hashed = F.transform("w", lambda t, i: F.hash(t, F.get("w", i + 1)))
+    hashed = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.hash(a, b))  # the last word alone
     rows = words.select("dh", F.sort_array(F.array_distinct(hashed)).alias("pairs"))
     return rows.select("dh", F.slice("pairs", 1, SKETCH).alias("pairs"), F.size("pairs").alias("n")).dropDuplicates(["dh"])
 
@@ -88,29 +93,58 @@ def _unrelated(apart: float) -> Column:
     return (F.greatest("n", "o_n") > LONGER * F.least("n", "o_n")) | (F.greatest(alone(own, "o_pairs"), alone(others, "pairs")) >= apart)
 
 
-def _templates(narrow: DataFrame) -> DataFrame:
-    """``th, template`` for masked lines that join a generalised template of their leaf."""
-    several = materialize(narrow.groupBy("leaf").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("leaf"), "leaves")
-    own = narrow.join(if_small(several), "leaf", "left_semi").groupBy("leaf", "th").agg(F.first("masked").alias("masked")).select("leaf", "th", _tokens("masked").alias("tokens"))
-    # all lines of a leaf have its leading tokens, so only the others vote
-    cells = materialize(own.select("leaf", "th", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).where((F.col("at") == 0) | (F.col("at") >= DEPTH)), "cells")
-    votes = materialize(cells.groupBy("leaf", "n", "at", "token").agg(F.count("*").alias("c")).where("c > 1"), "votes")
-    sizes = materialize(votes.where("at = 0").select("leaf", "n", F.col("c").alias("all")), "sizes")
-    shared = materialize(votes.join(if_small(sizes), ["leaf", "n"]).withColumn("fixed", 2 * F.col("c") > F.col("all")).drop("all").where(F.col("at") >= DEPTH), "shared")
+def _masked_lines(docs: DataFrame, live: DataFrame) -> DataFrame:
+    """``leaf, th, masked`` for each different masked line of ``live(leaf, th, dh, pos)``, cut once more from one of its texts: lines are never stored or shuffled whole before it is known which are needed."""
+    reps = materialize(live.groupBy("leaf", "th").agg(F.min(F.struct("dh", "pos")).alias("at")).select("leaf", "th", "at.*"), "reps")
+    wanted = reps.groupBy("dh").agg(F.collect_list(F.struct("leaf", "th", "pos")).alias("at"))
+    wanted = F.broadcast(wanted) if reps.count() <= SMALL_ROWS else wanted
+    rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh")).join(wanted, "dh").select(F.split("text", "\n").alias("lines"), "at")
+    rows = rows.select(F.explode(F.transform("at", lambda x: F.struct(x["leaf"], x["th"], F.get("lines", x["pos"]).alias("line")))).alias("x")).select("x.*")
+    # rows that repeat a text have the same lines
+    out = rows.select("leaf", "th", _single_spaced(_masked(F.col("line"))).alias("masked")).groupBy("leaf", "th").agg(F.first("masked").alias("masked"))
+    out = materialize(out, "masked")
+    discard(reps)
+    return out
+
+
+def _pair_templates(own: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``th, template`` for ``leaves(leaf)`` of two masked lines: they share a template if they agree in enough positions, which needs no vote."""
+    both = own.join(if_small(leaves), "leaf", "left_semi").groupBy("leaf").agg(F.min(F.struct("th", "masked")).alias("a"), F.max(F.struct("th", "masked")).alias("b"))
+    both = both.select("leaf", F.array("a.th", "b.th").alias("ths"), F.split("a.masked", " ").alias("a"), F.split("b.masked", " ").alias("b"))
+    agree = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))  # the leading tokens among them
+    both = both.select("leaf", "ths", F.size("a").alias("n"), agree.alias("agree"))
+    least = F.ceil(AGREEMENT * (F.col("n") - DEPTH))
+    alike = (F.col("agree") >= AGREEMENT * F.col("n")) | ((least > 0) & (F.col("agree") - DEPTH >= least))
+    return both.where(alike).select(F.explode("ths").alias("th"), F.xxhash64("leaf").alias("template"))
+
+
+def _templates(docs: DataFrame, live: DataFrame) -> DataFrame:
+    """``th, template`` for masked lines that join a generalised template of their leaf, for ``live(leaf, th, dh, pos)`` of leaves of several masked lines."""
+    masked = _masked_lines(docs, live)
+    leaves = materialize(masked.groupBy("leaf").agg(F.count("*").alias("all")), "leaves")
+    pairs = _pair_templates(masked, leaves.where("all = 2").select("leaf"))
+    sizes = leaves.where("all > 2")
+    own = masked.join(if_small(sizes.select("leaf")), "leaf", "left_semi").select("leaf", "th", F.split("masked", " ").alias("tokens"))
+    # all lines of a leaf have its leading tokens, so only the others vote; the first stands for the line
+    cells = own.select("leaf", "th", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).where((F.col("at") == 0) | (F.col("at") >= DEPTH))
+    cells = materialize(cells.select("leaf", "th", "n", "at", F.xxhash64("token").alias("t")), "cells")
+    votes = materialize(cells.where(F.col("at") >= DEPTH).groupBy("leaf", "n", "at", "t").agg(F.count("*").alias("c")).where("c > 1"), "votes")
+    shared = materialize(votes.join(if_small(sizes), "leaf").withColumn("fixed", 2 * F.col("c") > F.col("all")).drop("all"), "shared")
     lead = F.least(F.col("n"), F.lit(DEPTH))
-    fixed = shared.where("fixed").groupBy("leaf", "n").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("at", "token")).alias("mark"))
-    wide = sizes.join(fixed, ["leaf", "n"], "left").select("leaf", "n", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("mark", F.lit(0)).alias("mark"))
+    fixed = shared.where("fixed").groupBy("leaf").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("at", "t")).alias("mark"))
+    lengths = cells.where("at = 0").select("leaf", "n").distinct()
+    wide = lengths.join(fixed, "leaf", "left").select("leaf", "n", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("mark", F.lit(0)).alias("mark"))
     wide = materialize(wide.where(F.col("k") + lead >= AGREEMENT * F.col("n")), "wide")
-    behind = F.when(F.col("at") >= DEPTH, F.struct((-F.col("c")).alias("c"), "at", F.xxhash64("token").alias("t")))
-    voted = cells.join(shared, ["leaf", "n", "at", "token"], "left").where("at = 0 OR c IS NOT NULL")
+    behind = F.when(F.col("at") >= DEPTH, F.struct((-F.col("c")).alias("c"), "at", "t"))
+    voted = cells.join(shared, ["leaf", "n", "at", "t"], "left").where("at = 0 OR c IS NOT NULL")
     lines = voted.groupBy("leaf", "n", "th").agg((F.count_if("fixed") + lead).alias("same"), F.sort_array(F.collect_list(behind)).alias("top"))
     least = F.ceil(AGREEMENT * (F.col("n") - DEPTH)).cast("int")
     group = F.transform(F.slice("top", 1, least), lambda x: F.struct(x["at"], x["t"]))
     template = F.when(F.col("k").isNotNull() & (F.col("same") >= AGREEMENT * F.col("n")), F.xxhash64("leaf", "mark")).when(
         (least > 0) & (F.size("top") >= least), F.xxhash64("leaf", F.sort_array(group)))
     found = lines.join(if_small(wide), ["leaf", "n"], "left").select("th", template.alias("template"))
-    out = materialize(found.where("template IS NOT NULL"), "templates")
-    for x in (several, cells, votes, sizes, shared, wide):
+    out = materialize(found.where("template IS NOT NULL").union(pairs), "templates")
+    for x in (masked, leaves, cells, votes, shared, wide):
         discard(x)
     return out
 
@@ -124,9 +158,10 @@ def _own(docs: DataFrame, places: DataFrame, ids: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(shared), "dh") if few else rows.join(if_small(ids), "dh", "left_semi").join(shared, "dh")
     lines = rows.select("dh", F.split("text", "\n").alias("lines"), "shared")
     alone = lines.select("dh", F.filter(F.expr("transform(array_except(sequence(0, size(lines) - 1), shared), i -> lines[i])"), lambda x: x.rlike(r"\S")).alias("own"))
-    # a row keeps only its sketch, so copies of a text are put together without their texts
-    hashed = F.flatten(F.transform("own", _pairs))
-    pairs = alone.where(F.size("own") > 0).select("dh", F.sort_array(F.array_distinct(hashed)).alias("own"))
+    # a row keeps only its sketch, so copies of a text are put together without their texts; line ends are words here, so that no pair spans them
+    words = alone.where(F.size("own") > 0).select("dh", _tokens(F.array_join("own", " \n "), "\t\x0b\f\r").alias("w"))
+    hashed = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.when(a != "\n", F.hash(a, F.when(b != "\n", b))))
+    pairs = words.select("dh", F.sort_array(F.array_distinct(F.array_compact(hashed))).alias("own"))
     out = materialize(pairs.select("dh", F.slice("own", 1, SKETCH).alias("own"), F.size("own").alias("own_n")).dropDuplicates(["dh"]), "own")
     discard(shared)
     return out
@@ -141,33 +176,35 @@ def _own_apart(own: str, own_n: str, n: str, pairs: str, other_n: str) -> Column
 
 def _apart_pairs(docs: DataFrame, places: DataFrame, sketches: DataFrame, pairs: DataFrame, apart: float) -> DataFrame:
     """``dh, o_dh`` of ``pairs(dh, n, o_dh, o_n)`` that are unrelated, as whole texts or by their own lines."""
-    others = sketches.toDF("o_dh", "o_pairs", "o_n")
     # lengths alone decide many pairs, whose sketches aren't joined
     longer = F.greatest("n", "o_n") > LONGER * F.least("n", "o_n")
     pairs = materialize(pairs.withColumn("longer", longer), "pairs")
-    alike = pairs.where("NOT longer").select("dh", "o_dh").join(sketches, "dh").join(others, "o_dh").select("dh", "o_dh", _unrelated(apart).alias("far"))
+    alike = pairs.where("NOT longer").select("dh", "o_dh")
+    compared = materialize(alike.select(F.explode(F.array("dh", "o_dh")).alias("dh")).distinct(), "compared")
+    sketches = sketches.join(if_small(compared), "dh", "left_semi")
+    alike = alike.join(sketches, "dh").join(sketches.toDF("o_dh", "o_pairs", "o_n"), "o_dh").select("dh", "o_dh", _unrelated(apart).alias("far"))
     judged = materialize(alike.union(pairs.where("longer").select("dh", "o_dh", "longer")), "judged")
     doubt = judged.where("NOT far").select("dh", "o_dh")
     ids = materialize(doubt.select(F.explode(F.array("dh", "o_dh")).alias("dh")).distinct(), "doubt")
     own = _own(docs, places, ids)
-    full = materialize(own.join(sketches, "dh"), "full")
+    full = materialize(own.join(sketches.join(if_small(ids), "dh", "left_semi"), "dh"), "full")
     both = doubt.join(full, "dh").join(full.toDF("o_dh", "o_own", "o_own_n", "o_pairs", "o_n"), "o_dh")
     both = both.where(_own_apart("own", "own_n", "n", "o_pairs", "o_n") & _own_apart("o_own", "o_own_n", "o_n", "pairs", "n"))
     out = materialize(judged.where("far").select("dh", "o_dh").union(both.select("dh", "o_dh")), "apart")
-    for x in (pairs, judged, ids, own, full):
+    for x in (pairs, compared, judged, ids, own, full):
         discard(x)
     return out
 
 
-def _spread(docs: DataFrame, places: DataFrame, sketches: DataFrame, least_texts: int, apart: float) -> DataFrame:
-    """``g`` of ``places(g, dh, pos)`` that have ``least_texts`` texts unrelated to each other.
+def _spread(docs: DataFrame, places: DataFrame, texts: DataFrame, sketches: DataFrame, least_texts: int, apart: float) -> DataFrame:
+    """``g`` of ``texts(g, dh)`` that have ``least_texts`` texts unrelated to each other; ``places(g, dh, pos)`` are the lines of all templates of several texts.
 
     The text of each template with the most word pairs is taken and all that are
     related to it leave; another of the rest follows.  So a text of nothing but
     recurring lines, which is related to all that hold little else, isn't taken
     before them.  Pairs of texts are compared once for all their lines.
     """
-    left, held = places.join(if_small(sketches.select("dh", "n")), "dh").select("g", "dh", "n"), []
+    left, held = texts.join(if_small(sketches.select("dh", "n")), "dh").select("g", "dh", "n"), []
     for _ in range(least_texts - 1):
         taken = left.groupBy("g").agg(F.max(F.struct("n", "dh")).alias("t"))
         taken = materialize(taken.select("g", F.col("t.dh").alias("o_dh"), F.col("t.n").alias("o_n")), "taken")
@@ -190,16 +227,26 @@ def recurring(docs: DataFrame, least_texts: int = 3, apart: float = 0.3) -> Data
     whatever their number of copies.
     """
     narrow = materialize(_lines(docs), "lines")
-    templates = _templates(narrow)
-    named = narrow.join(if_small(templates), "th", "left").select("doc_id", "dh", "pos", F.coalesce("template", "th").alias("g"))
+    # a template lies within a leaf, so leaves of one text hold none of several texts
+    leaves = narrow.groupBy("leaf").agg(*(f(x).alias(f"{k}_{x}") for x in ("dh", "th") for k, f in (("lo", F.min), ("hi", F.max)))).where("lo_dh <> hi_dh")
+    leaves = materialize(leaves.select("leaf", F.expr("lo_th <> hi_th").alias("varied")), "several-leaves")
+    live = materialize(narrow.join(if_small(leaves), "leaf"), "live")
+    for x in (narrow, leaves):
+        discard(x)
+    templates = _templates(docs, live.where("varied"))
+    named = live.join(if_small(templates), "th", "left").select("doc_id", "dh", "pos", F.coalesce("template", "th").alias("g"))
     several = named.groupBy("g").agg(F.min("dh").alias("lo"), F.max("dh").alias("hi")).where("lo <> hi").select("g")
     several = materialize(several, "several")
     places = materialize(named.join(if_small(several), "g", "left_semi").select("g", "dh", "pos").distinct(), "places")
-    held = materialize(places.select("dh").distinct(), "held")
+    texts = materialize(places.select("g", "dh").distinct(), "texts")
+    # templates of fewer texts only tell which lines aren't a text's own: their texts need no sketch
+    enough = materialize(texts.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") >= least_texts).select("g"), "enough")
+    of_enough = materialize(texts.join(if_small(enough), "g", "left_semi"), "of-enough")
+    held = materialize(of_enough.select("dh").distinct(), "held")
     sketches = materialize(_sketches(docs, held), "sketches")
-    found = _spread(docs, places, sketches, least_texts, apart)
+    found = _spread(docs, places, of_enough, sketches, least_texts, apart)
     out = materialize(named.join(if_small(found), "g", "left_semi").groupBy("doc_id", "dh").agg(F.collect_set("pos").alias("dropped")), "dropped")
-    for x in (narrow, templates, several, places, held, sketches, found):
+    for x in (live, templates, several, places, texts, enough, of_enough, held, sketches, found):
         discard(x)
     return out
 
@@ -217,11 +264,12 @@ def drop_recurring_lines(docs: DataFrame, least_texts: int = 3, apart: float = 0
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("dh"))
     # texts are shuffled, once, only if the positions are too many to send to every executor
     cut = F.broadcast(cut) if (cut.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= SMALL_ROWS else cut
-    rows = rows.join(cut.toDF("cut_id", "cut_dh", "dropped"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("dh") == F.col("cut_dh")), "left").withColumn("lines", F.split("row.text", "\n"))
+    rows = rows.join(cut.toDF("cut_id", "cut_dh", "dropped"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("dh") == F.col("cut_dh")), "left")
+    rows = rows.withColumn("lines", F.when(F.col("dropped").isNotNull(), F.split("row.text", "\n")))
     text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.expr(
         "array_join(transform(array_except(sequence(0, size(lines) - 1), dropped), i -> lines[i]), '\n')"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return rows.select(
         *(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in own),
-        F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("row.text").isNull(), 0).otherwise(1 + F.octet_length("row.text") - F.octet_length(F.replace("row.text", F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"),
         F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"))

@@ -715,3 +715,60 @@ def test_texts_are_not_shuffled_for_few_recurring_lines(spark, monkeypatch):
         assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, many.collect())) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_only_shared_lines_are_stored_and_only_texts_in_question_sketched(spark, monkeypatch):
+    """Whole lines are kept for leaves of several texts only, texts are sketched for templates that enough texts hold, and lines vote in leaves of three or more."""
+    made, write = {}, linededup.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        made.setdefault(name, (out.columns, dict(out.dtypes), out.collect()))
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", noted)
+    draw = random.Random(21)
+
+    def prose():
+        return " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(14))
+
+    rows = [(i, f"{prose()}\nkeep the footer of this page here\n{prose()}") for i in range(6)]
+    rows += [(10 + i, f"{prose()}\nonly two of the texts have this line with {x} in it\n{prose()}") for i, x in enumerate(("one", "two"))]
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.drop_recurring_lines(documents(spark, rows)).collect()}
+    assert got == {i: int(i < 10) for i, _ in rows}
+    whole = [r for _, types, found in made.values() if "string" in types.values() for r in found]
+    assert 0 < len(whole) <= 2  # before: all 24 lines
+    assert len(made["sketches"][2]) == 6  # before: 8
+    assert made["cells"][2] == [] and len(made["templates"][2]) == 2
+
+
+def test_leaves_of_two_lines_follow_the_vote(spark):
+    """Two lines of a leaf share a template exactly if the tokens at which they agree are as many as the rule asks for."""
+    draw = random.Random(22)
+    lines, want = [], {}
+    for k in range(60):
+        n = draw.randrange(3, 14)
+        a = [f"lead{chr(97 + k % 26)}{chr(97 + k // 26)}", "of", "it", *("".join(draw.choices("abcdefghij", k=6)) for _ in range(n))]
+        b = [*a[:3], *(x if draw.random() < 0.6 else x[::-1] + "z" for x in a[3:])]
+        b[3] = a[3][::-1] + "z"
+        agree = sum(x == y for x, y in zip(a[3:], b[3:]))
+        least = -(-6 * n // 10)
+        want[k] = 10 * (agree + 3) >= 6 * (n + 3) or agree >= least
+        lines.append((" ".join(a), " ".join(b)))
+    assert 10 < sum(want.values()) < 50
+    rows = [(100 * i + k, f"{pair[i]}\nown{chr(97 + k % 26)}{chr(97 + k // 26)} {'x' * (k + 1)} {'uvw'[i]}") for k, pair in enumerate(lines) for i in range(2)]
+    found = linededup._lines(documents(spark, rows)).where("pos = 0")
+    ths = {r["doc_id"]: r["th"] for r in found.collect()}
+    template = {r["th"]: r["template"] for r in linededup._templates(documents(spark, rows), found).collect()}
+    for k, shared in want.items():
+        a, b = template.get(ths[k]), template.get(ths[100 + k])
+        assert (a is not None and a == b) == shared and (a is None) == (b is None)
+
+
+def test_white_space_does_not_tell_lines_apart(spark):
+    odd = ["a  b c", "\ta b c", "a\x0bb\x0cc", " a b c ", "a b\r c\r", "a b c"]
+    got = {(r["th"], r["leaf"]) for r in linededup._lines(documents(spark, [(i, x) for i, x in enumerate(odd)])).collect()}
+    assert len(got) == 1
+    other = {(r["doc_id"], r["leaf"], r["th"]) for r in linededup._lines(documents(spark, [(1, "a b c d"), (2, "a b c e"), (3, "a b c d e"), (4, "a b c d e"), (5, "a")])).collect()}
+    by = {i: (leaf, th) for i, leaf, th in other}
+    assert by[1][0] == by[2][0] and len({leaf for leaf, _ in by.values()}) == 4 and len({th for _, th in by.values()}) == 5
