@@ -123,6 +123,24 @@ def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20)
 SMALL_ROWS = 400_000
 
 
-def if_small(df: DataFrame) -> DataFrame:
-    """Hint to broadcast a materialised table of a few numeric columns, if its counted size allows it; else it is shuffled."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+def counted(df: DataFrame, within: int | None = None) -> int:
+    """A bound on the rows of ``df``: ``within``, which is known to be one, if that is small; else they are counted.
+
+    Every count is a query of its own, whose plan and figures the driver keeps.
+    """
+    return within if within is not None and within <= SMALL_ROWS else df.count()
+
+
+def if_small(df: DataFrame, within: int | None = None) -> DataFrame:
+    """Hint to broadcast a materialised table of a few numeric columns, if a bound on its rows (:func:`counted`) allows it; else it is shuffled."""
+    return F.broadcast(df) if counted(df, within) <= SMALL_ROWS else df
+
+
+def side(df: DataFrame, name: str, within: int) -> DataFrame:
+    """``df`` as one side of one join: broadcast as it is if the bound ``within`` on its rows allows it, else materialised for :func:`if_small`."""
+    if within <= SMALL_ROWS:
+        return F.broadcast(df)
+    written = materialize(df, name)
+    out = if_small(written)
+    out._selvage_path = written._selvage_path
+    return out

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, any_of, discard, if_small, materialize
+from .common import SMALL_ROWS, any_of, counted, discard, if_small, materialize, side
 
 DEPTH = 3
 AGREEMENT = 0.6
@@ -73,7 +73,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _sketches(docs: DataFrame, held: DataFrame) -> DataFrame:
     """``dh, pairs, n``: the SKETCH smallest hashes of the word pairs of each different text of ``held(dh)``, and how many there are."""
-    rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh")).join(if_small(held), "dh", "left_semi")
+    rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh")).join(held, "dh", "left_semi")
     words = rows.select("dh", _tokens("text").alias("w")).where(F.size("w") > 0)
     hashed = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.hash(a, b))  # the last word alone
     rows = words.select("dh", F.sort_array(F.array_distinct(hashed)).alias("pairs"))
@@ -93,11 +93,11 @@ def _unrelated(apart: float) -> Column:
     return (F.greatest("n", "o_n") > LONGER * F.least("n", "o_n")) | (F.greatest(alone(own, "o_pairs"), alone(others, "pairs")) >= apart)
 
 
-def _masked_lines(docs: DataFrame, live: DataFrame) -> DataFrame:
+def _masked_lines(docs: DataFrame, live: DataFrame, most: int) -> DataFrame:
     """``leaf, th, masked`` for each different masked line of ``live(leaf, th, dh, pos)``, cut once more from one of its texts: lines are never stored or shuffled whole before it is known which are needed."""
     reps = materialize(live.groupBy("leaf", "th").agg(F.min(F.struct("dh", "pos")).alias("at")).select("leaf", "th", "at.*"), "reps")
     wanted = reps.groupBy("dh").agg(F.collect_list(F.struct("leaf", "th", "pos")).alias("at"))
-    wanted = F.broadcast(wanted) if reps.count() <= SMALL_ROWS else wanted
+    wanted = F.broadcast(wanted) if counted(reps, most) <= SMALL_ROWS else wanted
     rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh")).join(wanted, "dh").select(F.split("text", "\n").alias("lines"), "at")
     rows = rows.select(F.explode(F.transform("at", lambda x: F.struct(x["leaf"], x["th"], F.get("lines", x["pos"]).alias("line")))).alias("x")).select("x.*")
     # rows that repeat a text have the same lines
@@ -107,9 +107,9 @@ def _masked_lines(docs: DataFrame, live: DataFrame) -> DataFrame:
     return out
 
 
-def _pair_templates(own: DataFrame, leaves: DataFrame) -> DataFrame:
+def _pair_templates(own: DataFrame, leaves: DataFrame, most: int) -> DataFrame:
     """``th, template`` for ``leaves(leaf)`` of two masked lines: they share a template if they agree in enough positions, which needs no vote."""
-    both = own.join(if_small(leaves), "leaf", "left_semi").groupBy("leaf").agg(F.min(F.struct("th", "masked")).alias("a"), F.max(F.struct("th", "masked")).alias("b"))
+    both = own.join(if_small(leaves, most), "leaf", "left_semi").groupBy("leaf").agg(F.min(F.struct("th", "masked")).alias("a"), F.max(F.struct("th", "masked")).alias("b"))
     both = both.select("leaf", F.array("a.th", "b.th").alias("ths"), F.split("a.masked", " ").alias("a"), F.split("b.masked", " ").alias("b"))
     agree = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))  # the leading tokens among them
     both = both.select("leaf", "ths", F.size("a").alias("n"), agree.alias("agree"))
@@ -118,23 +118,25 @@ def _pair_templates(own: DataFrame, leaves: DataFrame) -> DataFrame:
     return both.where(alike).select(F.explode("ths").alias("th"), F.xxhash64("leaf").alias("template"))
 
 
-def _templates(docs: DataFrame, live: DataFrame) -> DataFrame:
-    """``th, template`` for masked lines that join a generalised template of their leaf, for ``live(leaf, th, dh, pos)`` of leaves of several masked lines."""
-    masked = _masked_lines(docs, live)
+def _templates(docs: DataFrame, live: DataFrame, most: int) -> DataFrame:
+    """``th, template`` for masked lines that join a generalised template of their leaf, for ``live(leaf, th, dh, pos)``, at most ``most`` rows of leaves of several masked lines."""
+    masked = _masked_lines(docs, live, most)
     leaves = materialize(masked.groupBy("leaf").agg(F.count("*").alias("all")), "leaves")
-    pairs = _pair_templates(masked, leaves.where("all = 2").select("leaf"))
+    most = counted(leaves, most)
+    pairs = _pair_templates(masked, leaves.where("all = 2").select("leaf"), most)
     sizes = leaves.where("all > 2")
-    own = masked.join(if_small(sizes.select("leaf")), "leaf", "left_semi").select("leaf", "th", F.split("masked", " ").alias("tokens"))
+    most = counted(sizes, most)
+    own = masked.join(if_small(sizes.select("leaf"), most), "leaf", "left_semi").select("leaf", "th", F.split("masked", " ").alias("tokens"))
     # all lines of a leaf have its leading tokens, so only the others vote; the first stands for the line
     cells = own.select("leaf", "th", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).where((F.col("at") == 0) | (F.col("at") >= DEPTH))
     cells = materialize(cells.select("leaf", "th", "n", "at", F.xxhash64("token").alias("t")), "cells")
     votes = materialize(cells.where(F.col("at") >= DEPTH).groupBy("leaf", "n", "at", "t").agg(F.count("*").alias("c")).where("c > 1"), "votes")
-    shared = materialize(votes.join(if_small(sizes), "leaf").withColumn("fixed", 2 * F.col("c") > F.col("all")).drop("all"), "shared")
+    shared = materialize(votes.join(if_small(sizes, most), "leaf").withColumn("fixed", 2 * F.col("c") > F.col("all")).drop("all"), "shared")
     lead = F.least(F.col("n"), F.lit(DEPTH))
     fixed = shared.where("fixed").groupBy("leaf").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("at", "t")).alias("mark"))
     lengths = cells.where("at = 0").select("leaf", "n").distinct()
     wide = lengths.join(fixed, "leaf", "left").select("leaf", "n", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("mark", F.lit(0)).alias("mark"))
-    wide = materialize(wide.where(F.col("k") + lead >= AGREEMENT * F.col("n")), "wide")
+    wide = side(wide.where(F.col("k") + lead >= AGREEMENT * F.col("n")), "wide", most)  # all lines of a leaf have one length
     behind = F.when(F.col("at") >= DEPTH, F.struct((-F.col("c")).alias("c"), "at", "t"))
     voted = cells.join(shared, ["leaf", "n", "at", "t"], "left").where("at = 0 OR c IS NOT NULL")
     lines = voted.groupBy("leaf", "n", "th").agg((F.count_if("fixed") + lead).alias("same"), F.sort_array(F.collect_list(behind)).alias("top"))
@@ -142,20 +144,20 @@ def _templates(docs: DataFrame, live: DataFrame) -> DataFrame:
     group = F.transform(F.slice("top", 1, least), lambda x: F.struct(x["at"], x["t"]))
     template = F.when(F.col("k").isNotNull() & (F.col("same") >= AGREEMENT * F.col("n")), F.xxhash64("leaf", "mark")).when(
         (least > 0) & (F.size("top") >= least), F.xxhash64("leaf", F.sort_array(group)))
-    found = lines.join(if_small(wide), ["leaf", "n"], "left").select("th", template.alias("template"))
+    found = lines.join(wide, ["leaf", "n"], "left").select("th", template.alias("template"))
     out = materialize(found.where("template IS NOT NULL").union(pairs), "templates")
     for x in (masked, leaves, cells, votes, shared, wide):
         discard(x)
     return out
 
 
-def _own(docs: DataFrame, places: DataFrame, ids: DataFrame) -> DataFrame:
+def _own(docs: DataFrame, places: DataFrame, ids: DataFrame, most: int, of_texts: int) -> DataFrame:
     """``dh, own, own_n`` of texts ``ids(dh)`` that have lines of no template of several texts: the sketch of the word pairs of these lines, and how many there are."""
-    shared = materialize(places.join(if_small(ids), "dh", "left_semi").groupBy("dh").agg(F.collect_set("pos").alias("shared")), "shared")
-    few = (shared.agg(F.sum(F.size("shared"))).first()[0] or 0) <= SMALL_ROWS
+    shared = materialize(places.join(if_small(ids, of_texts), "dh", "left_semi").groupBy("dh").agg(F.collect_set("pos").alias("shared")), "shared")
+    few = most <= SMALL_ROWS or (shared.agg(F.sum(F.size("shared"))).first()[0] or 0) <= SMALL_ROWS
     # only texts in doubt are shuffled, if any
     rows = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("dh"))
-    rows = rows.join(F.broadcast(shared), "dh") if few else rows.join(if_small(ids), "dh", "left_semi").join(shared, "dh")
+    rows = rows.join(F.broadcast(shared), "dh") if few else rows.join(if_small(ids, of_texts), "dh", "left_semi").join(shared, "dh")
     lines = rows.select("dh", F.split("text", "\n").alias("lines"), "shared")
     alone = lines.select("dh", F.filter(F.expr("transform(array_except(sequence(0, size(lines) - 1), shared), i -> lines[i])"), lambda x: x.rlike(r"\S")).alias("own"))
     # a row keeps only its sketch, so copies of a text are put together without their texts; line ends are words here, so that no pair spans them
@@ -174,20 +176,24 @@ def _own_apart(own: str, own_n: str, n: str, pairs: str, other_n: str) -> Column
     return (F.col(own_n) >= OWN_PART * F.col(n)) & (F.size(seen) > 0) & (F.size(F.array_except(seen, F.col(pairs))) >= OWN_APART * F.size(seen))
 
 
-def _apart_pairs(docs: DataFrame, places: DataFrame, sketches: DataFrame, pairs: DataFrame, apart: float) -> DataFrame:
-    """``dh, o_dh`` of ``pairs(dh, n, o_dh, o_n)`` that are unrelated, as whole texts or by their own lines."""
+def _apart_pairs(docs: DataFrame, places: DataFrame, sketches: DataFrame, pairs: DataFrame, apart: float, most: int, of_texts: int) -> DataFrame:
+    """``dh, o_dh`` of ``pairs(dh, n, o_dh, o_n)`` that are unrelated, as whole texts or by their own lines.
+
+    There are at most ``most`` places and ``of_texts`` different texts.
+    """
     # lengths alone decide many pairs, whose sketches aren't joined
     longer = F.greatest("n", "o_n") > LONGER * F.least("n", "o_n")
     pairs = materialize(pairs.withColumn("longer", longer), "pairs")
     alike = pairs.where("NOT longer").select("dh", "o_dh")
     compared = materialize(alike.select(F.explode(F.array("dh", "o_dh")).alias("dh")).distinct(), "compared")
-    sketches = sketches.join(if_small(compared), "dh", "left_semi")
+    sketches = sketches.join(if_small(compared, of_texts), "dh", "left_semi")
     alike = alike.join(sketches, "dh").join(sketches.toDF("o_dh", "o_pairs", "o_n"), "o_dh").select("dh", "o_dh", _unrelated(apart).alias("far"))
     judged = materialize(alike.union(pairs.where("longer").select("dh", "o_dh", "longer")), "judged")
     doubt = judged.where("NOT far").select("dh", "o_dh")
     ids = materialize(doubt.select(F.explode(F.array("dh", "o_dh")).alias("dh")).distinct(), "doubt")
-    own = _own(docs, places, ids)
-    full = materialize(own.join(sketches.join(if_small(ids), "dh", "left_semi"), "dh"), "full")
+    of_texts = counted(ids, of_texts)
+    own = _own(docs, places, ids, most, of_texts)
+    full = materialize(own.join(sketches.join(if_small(ids, of_texts), "dh", "left_semi"), "dh"), "full")
     both = doubt.join(full, "dh").join(full.toDF("o_dh", "o_own", "o_own_n", "o_pairs", "o_n"), "o_dh")
     both = both.where(_own_apart("own", "own_n", "n", "o_pairs", "o_n") & _own_apart("o_own", "o_own_n", "o_n", "pairs", "n"))
     out = materialize(judged.where("far").select("dh", "o_dh").union(both.select("dh", "o_dh")), "apart")
@@ -196,20 +202,21 @@ def _apart_pairs(docs: DataFrame, places: DataFrame, sketches: DataFrame, pairs:
     return out
 
 
-def _spread(docs: DataFrame, places: DataFrame, texts: DataFrame, sketches: DataFrame, least_texts: int, apart: float) -> DataFrame:
-    """``g`` of ``texts(g, dh)`` that have ``least_texts`` texts unrelated to each other; ``places(g, dh, pos)`` are the lines of all templates of several texts.
+def _spread(docs: DataFrame, places: DataFrame, texts: DataFrame, sketches: DataFrame, least_texts: int, apart: float, most: int) -> DataFrame:
+    """``g`` of ``texts(g, dh)`` that have ``least_texts`` texts unrelated to each other; ``places(g, dh, pos)``, at most ``most``, are the lines of all templates of several texts.
 
     The text of each template with the most word pairs is taken and all that are
     related to it leave; another of the rest follows.  So a text of nothing but
     recurring lines, which is related to all that hold little else, isn't taken
     before them.  Pairs of texts are compared once for all their lines.
     """
-    left, held = texts.join(if_small(sketches.select("dh", "n")), "dh").select("g", "dh", "n"), []
+    of_texts = counted(sketches, most)
+    left, held = texts.join(if_small(sketches.select("dh", "n"), of_texts), "dh").select("g", "dh", "n"), []
     for _ in range(least_texts - 1):
         taken = left.groupBy("g").agg(F.max(F.struct("n", "dh")).alias("t"))
-        taken = materialize(taken.select("g", F.col("t.dh").alias("o_dh"), F.col("t.n").alias("o_n")), "taken")
-        beside = materialize(left.join(if_small(taken), "g").where("dh <> o_dh"), "beside")
-        apart_pairs = _apart_pairs(docs, places, sketches, beside.select("dh", "n", "o_dh", "o_n").distinct(), apart)
+        taken = side(taken.select("g", F.col("t.dh").alias("o_dh"), F.col("t.n").alias("o_n")), "taken", most)
+        beside = materialize(left.join(taken, "g").where("dh <> o_dh"), "beside")
+        apart_pairs = _apart_pairs(docs, places, sketches, beside.select("dh", "n", "o_dh", "o_n").distinct(), apart, most, of_texts)
         left = materialize(beside.join(apart_pairs, ["dh", "o_dh"]).select("g", "dh", "n"), "left")
         held += [taken, beside, apart_pairs, left]
     out = materialize(left.select("g").distinct(), "recurring")
@@ -219,7 +226,12 @@ def _spread(docs: DataFrame, places: DataFrame, texts: DataFrame, sketches: Data
 
 
 def recurring(docs: DataFrame, least_texts: int = 3, apart: float = 0.3) -> DataFrame:
-    """``doc_id, dh, dropped``: positions of the lines of recurring templates.
+    """``doc_id, dh, dropped``: positions of the lines of recurring templates (:func:`_recurring`)."""
+    return _recurring(docs, least_texts, apart)[0]
+
+
+def _recurring(docs: DataFrame, least_texts: int, apart: float) -> tuple[DataFrame, int]:
+    """``doc_id, dh, dropped``, positions of the lines of recurring templates, and a bound on the positions.
 
     A template recurs with ``least_texts`` texts that are unrelated to each
     other: at least the share ``apart`` of the word pairs of one is not in the
@@ -233,22 +245,24 @@ def recurring(docs: DataFrame, least_texts: int = 3, apart: float = 0.3) -> Data
     live = materialize(narrow.join(if_small(leaves), "leaf"), "live")
     for x in (narrow, leaves):
         discard(x)
-    templates = _templates(docs, live.where("varied"))
-    named = live.join(if_small(templates), "th", "left").select("doc_id", "dh", "pos", F.coalesce("template", "th").alias("g"))
+    # what follows is made of these lines; where they are few, no table of theirs is counted
+    most = live.count()
+    templates = _templates(docs, live.where("varied"), most)
+    named = live.join(if_small(templates, most), "th", "left").select("doc_id", "dh", "pos", F.coalesce("template", "th").alias("g"))
     several = named.groupBy("g").agg(F.min("dh").alias("lo"), F.max("dh").alias("hi")).where("lo <> hi").select("g")
-    several = materialize(several, "several")
-    places = materialize(named.join(if_small(several), "g", "left_semi").select("g", "dh", "pos").distinct(), "places")
+    several = side(several, "several", most)
+    places = materialize(named.join(several, "g", "left_semi").select("g", "dh", "pos").distinct(), "places")
     texts = materialize(places.select("g", "dh").distinct(), "texts")
     # templates of fewer texts only tell which lines aren't a text's own: their texts need no sketch
-    enough = materialize(texts.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") >= least_texts).select("g"), "enough")
-    of_enough = materialize(texts.join(if_small(enough), "g", "left_semi"), "of-enough")
-    held = materialize(of_enough.select("dh").distinct(), "held")
+    enough = side(texts.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") >= least_texts).select("g"), "enough", most)
+    of_enough = materialize(texts.join(enough, "g", "left_semi"), "of-enough")
+    held = side(of_enough.select("dh").distinct(), "held", most)
     sketches = materialize(_sketches(docs, held), "sketches")
-    found = _spread(docs, places, of_enough, sketches, least_texts, apart)
-    out = materialize(named.join(if_small(found), "g", "left_semi").groupBy("doc_id", "dh").agg(F.collect_set("pos").alias("dropped")), "dropped")
+    found = _spread(docs, places, of_enough, sketches, least_texts, apart, most)
+    out = materialize(named.join(if_small(found, most), "g", "left_semi").groupBy("doc_id", "dh").agg(F.collect_set("pos").alias("dropped")), "dropped")
     for x in (live, templates, several, places, texts, enough, of_enough, held, sketches, found):
         discard(x)
-    return out
+    return out, most
 
 
 def drop_recurring_lines(docs: DataFrame, least_texts: int = 3, apart: float = 0.3) -> DataFrame:
@@ -259,11 +273,11 @@ def drop_recurring_lines(docs: DataFrame, least_texts: int = 3, apart: float = 0
     rows are treated alike and count once.  Other columns are kept, whatever their names; an empty
     table gives an empty result.
     """
-    cut = recurring(docs.select("doc_id", "text"), least_texts, apart)
+    cut, most = _recurring(docs.select("doc_id", "text"), least_texts, apart)
     # a row's own columns stay in one struct, so that none can clash
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("dh"))
     # texts are shuffled, once, only if the positions are too many to send to every executor
-    cut = F.broadcast(cut) if (cut.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= SMALL_ROWS else cut
+    cut = F.broadcast(cut) if most <= SMALL_ROWS or (cut.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= SMALL_ROWS else cut
     rows = rows.join(cut.toDF("cut_id", "cut_dh", "dropped"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("dh") == F.col("cut_dh")), "left")
     rows = rows.withColumn("lines", F.when(F.col("dropped").isNotNull(), F.split("row.text", "\n")))
     text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.expr(

@@ -163,10 +163,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = 64)
     index = held.select("rep", "n", F.explode("vals").alias("val"))
 
     # only these documents, a row for each, can have a link to a different text
-    ids = if_small(held.select(F.col("rep").alias("id")))
+    n_held = held.count()
+    ids = if_small(held.select(F.col("rep").alias("id")), n_held)
     sets = materialize(_full_sets(docs, ids, n), "sets")
     sk = materialize(reps.join(ids, F.col("rep") == F.col("id"), "left_semi").select("rep", "sk", (F.col("n_shingles") <= k).alias("whole")), "sk")
-    held_sk = F.broadcast(sk) if sk.count() * k <= SKETCH_VALUES else sk
+    held_sk = F.broadcast(sk) if n_held * k <= SKETCH_VALUES else sk
 
     def close(na: str, nb: str):
         return (100 * F.least(na, nb) >= percent * F.greatest(na, nb))

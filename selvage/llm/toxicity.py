@@ -29,6 +29,8 @@ from .common import bounded_batches
 DIM = 1 << 18
 STEM = 5
 WORD_CACHE = 150_000
+#: Sampled documents whose features the driver handles at once.
+BLOCK = 500
 #: Weight of the squared weights; chosen on a quarter of the training rows kept apart (remainder 1), never on the held-out fold.
 SHRINK = 3e-4
 _WORDS = re.compile(r"\w+").findall
@@ -67,25 +69,41 @@ def _margins(rows: list[np.ndarray], weights: np.ndarray, bias: float) -> np.nda
     return total[ends] - total[ends - np.array([len(r) for r in rows])] + bias if len(rows) else np.empty(0)
 
 
+def _blocks(rows: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """``BLOCK`` rows at a time with the number of the first: the driver never holds wide copies of a whole sample."""
+    for first in range(0, len(rows), BLOCK):
+        yield first, rows[first:first + BLOCK]
+
+
+def _document_counts(rows: list[np.ndarray]) -> np.ndarray:
+    """Rows that hold each feature."""
+    total = np.zeros(DIM, np.int64)
+    for _, part in _blocks(rows):
+        total += np.bincount(np.concatenate(part), minlength=DIM)
+    return total
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 250, least_df: int = 4, least_lift: float = 2.0) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the non-negative risk; without positives all weights are 0."""
     prior = min(max(prior, 1e-3), 0.9)
     weights, bias = np.zeros(DIM), float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return weights, bias
-    in_p = np.bincount(np.concatenate(positive), minlength=DIM)
-    in_u = np.bincount(np.concatenate(unlabelled), minlength=DIM)
+    in_p, in_u = _document_counts(positive), _document_counts(unlabelled)
     lift = (in_p + 0.5) / len(positive) / ((in_u + 0.5) / len(unlabelled))
     chosen = np.flatnonzero((in_p + in_u >= least_df) & ((lift >= least_lift) & (in_p >= least_df)))
     if not len(chosen):
         return weights, bias
-    place = np.full(DIM, -1)
+    place = np.full(DIM, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
 
     def packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        own = [place[r] for r in rows]
-        own = [r[r >= 0] for r in own]
-        return np.concatenate(own), np.repeat(np.arange(len(rows)), [len(r) for r in own])
+        kept = []
+        for first, part in _blocks(rows):
+            own = place[np.concatenate(part)]
+            row = np.repeat(np.arange(first, first + len(part)), [len(r) for r in part])
+            kept.append((own[own >= 0].astype(np.int64), row[own >= 0]))
+        return np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept])
 
     (fp, rp), (fu, ru) = packed(positive), packed(unlabelled)
     n_p, n_u, size = len(positive), len(unlabelled), len(chosen)
@@ -125,6 +143,16 @@ def platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[fl
     return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
 
 
+def _views(features: pa.Array) -> list[np.ndarray]:
+    """The int32 arrays that a binary column holds, without copies."""
+    if not len(features):
+        return []
+    _, ends, data = features.cast(pa.binary()).buffers()
+    ends = np.frombuffer(ends, np.int32)[features.offset:features.offset + len(features) + 1]
+    values = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return [values[a:b].view(np.int32) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unlabelled: int = 6000, max_negative: int = 2500) -> Model:
     """Fit on at most ``max_positive`` toxic rows of ``labels(doc_id, toxic)``, ``max_unlabelled`` documents and, for the curve, ``max_negative`` clean rows.
 
@@ -149,8 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unla
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([features(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "kinds", "x"])
 
-    rows = sample.mapInArrow(run, "doc_id long, kinds string, x binary").collect()
-    rows = sorted(((r["doc_id"], r["kinds"], np.frombuffer(r["x"], np.int32)) for r in rows), key=lambda r: r[:2])
+    found = sample.mapInArrow(run, "doc_id long, kinds string, x binary").toArrow()
+    # views of the table's buffers, not an object for each text
+    rows = sorted((row for batch in found.to_batches() for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _views(batch.column(2)))), key=lambda r: r[:2])
     toxic = [x for _, k, x in rows if "p" in k]
     held = toxic[::5]  # for the curve only
     positive = [x for i, x in enumerate(toxic) if i % 5]

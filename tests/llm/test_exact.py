@@ -10,6 +10,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -772,3 +773,50 @@ def test_white_space_does_not_tell_lines_apart(spark):
     other = {(r["doc_id"], r["leaf"], r["th"]) for r in linededup._lines(documents(spark, [(1, "a b c d"), (2, "a b c e"), (3, "a b c d e"), (4, "a b c d e"), (5, "a")])).collect()}
     by = {i: (leaf, th) for i, leaf, th in other}
     assert by[1][0] == by[2][0] and len({leaf for leaf, _ in by.values()}) == 4 and len({th for _, th in by.values()}) == 5
+
+
+def test_small_tables_of_line_dedup_are_bounded_not_counted(spark, monkeypatch):
+    """The driver keeps what every query leaves, so where lines are few their tables aren't counted one by one; with all of them counted and shuffled the result is the same."""
+    draw, counts = random.Random(9), []
+
+    def prose():
+        return " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(14))
+
+    rows = [(i, f"{prose()}\nkeep the footer of this page here\n{prose()}\npage {i} of the {draw.choice(['long', 'short', 'old'])} printed book here") for i in range(8)] + [(9, None)]
+    docs = documents(spark, rows)
+    kind, count = type(docs), type(docs).count
+    monkeypatch.setattr(kind, "count", lambda self: counts.append(1) or count(self))
+    few = linededup.drop_recurring_lines(docs)
+    assert len(counts) <= 2  # before: 20
+    want = sorted(map(tuple, few.collect()), key=str)
+    assert sum(r[-1] for r in want) >= 8
+    monkeypatch.setattr(linededup, "SMALL_ROWS", 0)
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)
+    counts.clear()
+    assert sorted(map(tuple, linededup.drop_recurring_lines(docs).collect()), key=str) == want and len(counts) > 10
+
+
+def test_toxicity_fits_in_blocks(monkeypatch):
+    """The driver holds narrow copies of a few sampled documents at a time; the weights don't depend on it."""
+    rng = np.random.default_rng(5)
+
+    def drawn(n, toxic):
+        return [np.unique(np.concatenate([rng.integers(0, toxicity.DIM, 800), rng.integers(0, 60, 8 if toxic else rng.integers(2))])).astype(np.int32) for _ in range(n)] + [np.empty(0, np.int32)]
+
+    positive, unlabelled = drawn(500, True), drawn(3000, False)
+    tracemalloc.start()
+    weights, bias = toxicity.fit(positive, unlabelled, 0.1, steps=20, least_lift=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.count_nonzero(weights) >= 50 and peak < 24e6, peak  # before: 35 MB
+    monkeypatch.setattr(toxicity, "BLOCK", 10**6)
+    whole, shift = toxicity.fit(positive, unlabelled, 0.1, steps=20, least_lift=5)
+    assert (whole == weights).all() and shift == bias
+
+
+def test_toxicity_samples_are_views_of_arrow_buffers():
+    parts = [np.array([3, 70000], np.int32), np.empty(0, np.int32), np.array([-1], np.int32)]
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.array([p.tobytes() for p in parts], kind)
+        assert [v.tolist() for v in toxicity._views(column)] == [[3, 70000], [], [-1]]
+        assert [v.tolist() for v in toxicity._views(column.slice(1))] == [[], [-1]] and toxicity._views(column[:0]) == []
