@@ -147,7 +147,8 @@ def _views(features: pa.Array) -> list[np.ndarray]:
     """The int32 arrays that a binary column holds, without copies."""
     if not len(features):
         return []
-    _, ends, data = features.cast(pa.binary()).buffers()
+    features = features.cast(pa.binary())  # has an offset of its own
+    _, ends, data = features.buffers()
     ends = np.frombuffer(ends, np.int32)[features.offset:features.offset + len(features) + 1]
     values = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     return [values[a:b].view(np.int32) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
