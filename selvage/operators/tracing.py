@@ -9,13 +9,15 @@ the work for whole rows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from selvage.functions import kernels as K
+from selvage.operators.groups import by_group
 
 # Fixed values of the domain.
 MAX_PIXELS = 40_000_000
@@ -255,16 +257,26 @@ SHAPES = T.StructType([
 
 def trace_sizes(lines: DataFrame, cm_per_pt: float, pixel_mm: float = 0.5, gap_mm: float = 0.0, least_cm2: float = 4.0) -> DataFrame:
     """Outlines of every sheet and size from ``doc, size, points, width``: a row for each, largest first."""
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        shapes = trace([np.array([list(p) for p in r]) for r in part["points"]], part["width"].tolist(), cm_per_pt, pixel_mm, gap_mm, least_cm2)
-        shapes.sort(key=lambda s: -s["area"])
-        doc, size = part["doc"].iloc[0], part["size"].iloc[0]
-        rows = [(doc, size, k, [list(p) for p in s["ring"]], s["area"], [{"id": int(c["id"]), "ring": [list(p) for p in c["ring"]], "area": c["area"], "outside": c["outside"]} for c in s["cells"]],
-                 [{"a": a, "b": b, "shared": n} for a, b, n in s["borders"]]) for k, s in enumerate(shapes)]
-        return pd.DataFrame(rows, columns=SHAPES.names)
+    def run(rows: list[dict]) -> list[tuple]:
+        drawn = sorted((tuple(map(tuple, r["points"])), r["width"]) for r in rows)
+        doc, size = rows[0]["doc"], rows[0]["size"]
+        few = sum(len(points) for points, _ in drawn) <= REMEMBERED_POINTS
+        shapes = (_traced if few else _traced.__wrapped__)(tuple(drawn), cm_per_pt, pixel_mm, gap_mm, least_cm2)
+        return [(doc, size, k, *s) for k, s in enumerate(shapes)]
+
+    return by_group(lines.select("doc", "size", "points", "width"), ["doc", "size"], run, SHAPES)
+
+
+#: Sheets of more points are traced each time, as what is remembered has to stay small.
+REMEMBERED_POINTS = 1000
 
-    return lines.groupBy("doc", "size").applyInPandas(run, SHAPES)
 
+@lru_cache(maxsize=1024)
+def _traced(drawn: tuple, cm_per_pt: float, pixel_mm: float, gap_mm: float, least_cm2: float) -> list[tuple]:
+    """Outlines of one sheet and size as the last columns of ``SHAPES``, largest first; equal sheets share them."""
+    shapes = trace([np.array(points) for points, _ in drawn], [w for _, w in drawn], cm_per_pt, pixel_mm, gap_mm, least_cm2)
+    shapes.sort(key=lambda s: -s["area"])
+    return [(s["ring"], s["area"], s["cells"], [{"a": a, "b": b, "shared": n} for a, b, n in s["borders"]]) for s in shapes]
 
 
 #: The coarse trace that tells styles apart: pixels and gaps of 1 mm, areas from 15 cm2, twice the area of the next style.

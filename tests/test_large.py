@@ -1,6 +1,7 @@
 """What lets queries run on larger tables: equal inputs are computed once, rows stay small, nothing whole goes to the driver."""
 
 from selvage.functions import kernels as K
+from selvage.operators import tracing as V
 from selvage.plans import rules
 
 
@@ -17,3 +18,13 @@ def test_kernels_of_equal_outlines(monkeypatch):
     rings = [((0.0, 0.0), (w, 0.0), (w, 7.0), (0.0, 7.0)) for w in (3.0, 4.0, 3.0, 3.0, 4.0)]
     got = [rules._kernels(r) for r in rings]
     assert len(calls) == 2 and got[0] == got[2] == got[3] != got[1] == got[4]
+
+
+SQUARE = ((0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0))
+
+
+def test_equal_sheets_are_traced_once(monkeypatch):
+    V._traced.cache_clear()
+    calls = counted(monkeypatch, V, "trace")
+    got = [V._traced(((SQUARE, w),), 1.0, 2.0, 0.0, 4.0) for w in (0.1, 0.1, 0.2, 0.1)]
+    assert len(calls) == 2 and got[0] is got[1] is got[3] and len(got[2]) == 1
