@@ -28,3 +28,15 @@ def test_equal_sheets_are_traced_once(monkeypatch):
     calls = counted(monkeypatch, V, "trace")
     got = [V._traced(((SQUARE, w),), 1.0, 2.0, 0.0, 4.0) for w in (0.1, 0.1, 0.2, 0.1)]
     assert len(calls) == 2 and got[0] is got[1] is got[3] and len(got[2]) == 1
+
+
+def test_sheets_with_notches_in_one_partition(spark):
+    """Many sheets of a partition, in any order of their lines, some with a line of one point."""
+    tooth = lambda tall: ((4.0, 9.0), (4.5, 9.0 + tall), (5.0, 9.0))
+    lines = [(str(k), "uni", [list(p) for p in points], 0.1) for k in range(60) for points in ([SQUARE, tooth(1.0 + k % 2), ((1.0, 1.0),)] if k % 3 else [tooth(1.0 + k % 2), SQUARE])]
+    frame = spark.createDataFrame(lines, "doc string, size string, points array<array<double>>, width double").repartition(3)
+    got = {r["doc"]: (r["outline_id"], r["area"]) for r in V.trace_sizes(frame, 1.0, 2.0).collect()}
+    alone = {k: V.trace([SQUARE, tooth(1.0 + k)], [0.1, 0.1], 1.0, 2.0) for k in (0, 1)}
+    assert got == {str(k): (0, alone[k % 2][0]["area"]) for k in range(60)}
+    plan = V.trace_sizes(frame, 1.0, 2.0)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
