@@ -8,13 +8,16 @@ of neighbours for each outline, and distances in it are a fold over levels.
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from selvage.functions import geometry as G
 from selvage.functions import kernels as K
 from selvage.operators import rounds as R
+from selvage.operators.groups import by_group
 
 # Fixed values of the domain.
 CELL_MIN_CM2 = 3.0
@@ -164,16 +167,28 @@ def united(rings: list[K.Ring], cm_per_pt: float, pixel_mm: float) -> K.Ring:
         raise K.GeometryError("geom.partsDisconnected") from e
 
 
+#: Outlines of more points are united each time, as what is remembered has to stay small.
+REMEMBERED_POINTS = 1000
+_UNITED = T.StructType([T.StructField("outline", T.StringType()), T.StructField("ring", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("error", T.StringType())])
+
+
+@lru_cache(maxsize=4096)
+def _united(rings: tuple, cm_per_pt: float, pixel_mm: float) -> tuple[K.Ring | None, str | None]:
+    """The ring of equal cells, or the code of what is wrong with them."""
+    try:
+        return united([list(r) for r in rings], cm_per_pt, pixel_mm), None
+    except K.GeometryError as e:
+        return None, str(e)
+
+
 def union_cells(cells: DataFrame, cm_per_pt: float, pixel_mm: float) -> DataFrame:
     """``outline, ring, error``: the cells of each outline as one ring; the error's code where they fall apart."""
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        try:
-            ring, error = [list(p) for p in united([K.as_ring(r) for r in own["ring"]], cm_per_pt, pixel_mm)], None
-        except K.GeometryError as e:
-            ring, error = None, str(e)
-        return pd.DataFrame({"outline": [own["outline"].iloc[0]], "ring": [ring], "error": [error]})
-
-    return cells.select("outline", "id", "ring").groupBy("outline").applyInPandas(run, "outline string, ring array<array<double>>, error string")
+    def run(own: list[dict]) -> list[tuple]:
+        rings = tuple(sorted(tuple(K.as_ring(r["ring"])) for r in own))
+        few = sum(map(len, rings)) <= REMEMBERED_POINTS
+        return [(own[0]["outline"], *(_united if few else _united.__wrapped__)(rings, cm_per_pt, pixel_mm))]
+
+    return by_group(cells.select("outline", "ring"), ["outline"], run, _UNITED)
 
 
 def nested_outlines(cells: DataFrame, borders: DataFrame, count: int, cm_per_pt: float, pixel_mm: float) -> DataFrame:

@@ -1,6 +1,7 @@
 """What lets queries run on larger tables: equal inputs are computed once, rows stay small, nothing whole goes to the driver."""
 
 from selvage.functions import kernels as K
+from selvage.operators import cells as C
 from selvage.operators import tracing as V
 from selvage.plans import rules
 
@@ -40,3 +41,12 @@ def test_sheets_with_notches_in_one_partition(spark):
     assert got == {str(k): (0, alone[k % 2][0]["area"]) for k in range(60)}
     plan = V.trace_sizes(frame, 1.0, 2.0)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_equal_cells_are_united_once(monkeypatch):
+    C._united.cache_clear()
+    calls = counted(monkeypatch, C, "united")
+    two = (SQUARE[:4], tuple((x + 9.0, y) for x, y in SQUARE[:4]))
+    apart = (SQUARE[:4], tuple((x + 90.0, y) for x, y in SQUARE[:4]))
+    got = [C._united(rings, 1.0, 1.0) for rings in (two, apart, two, apart)]
+    assert len(calls) == 2 and got[0] == got[2] and got[0][1] is None and got[1] == got[3] == (None, "geom.partsDisconnected")
