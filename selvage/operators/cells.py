@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from selvage.functions import geometry as G
 from selvage.functions import kernels as K
 from selvage.operators import rounds as R
-from selvage.operators.groups import by_group
+from selvage.operators.groups import by_group, dealt
 
 # Fixed values of the domain.
 CELL_MIN_CM2 = 3.0
@@ -144,7 +144,7 @@ def map_cells(chosen: DataFrame, cells: DataFrame, overlap) -> DataFrame:
     """
     ref = chosen.select("outline", F.col("id").alias("ref"), F.col("ring").alias("r1"), G.bbox("ring").alias("b1"), G.area("ring").alias("a1"))
     own = cells.select("outline", "size", "id", "ring", G.bbox("ring").alias("b2"), G.area("ring").alias("a2"))
-    near = ref.join(own, "outline").where((F.col("b1.min_x") < F.col("b2.max_x")) & (F.col("b2.min_x") < F.col("b1.max_x")) & (F.col("b1.min_y") < F.col("b2.max_y")) & (F.col("b2.min_y") < F.col("b1.max_y")))
+    near = ref.join(dealt(own), "outline").where((F.col("b1.min_x") < F.col("b2.max_x")) & (F.col("b2.min_x") < F.col("b1.max_x")) & (F.col("b1.min_y") < F.col("b2.max_y")) & (F.col("b2.min_y") < F.col("b1.max_y")))
     near = near.withColumn("shared", overlap("r1", "ring")).where((F.col("shared") > 0) & (2 * F.col("shared") >= F.least("a1", "a2")))
     best = near.groupBy("outline", "size", "ref").agg(F.max_by("id", F.struct("shared", -F.col("id"))).alias("other"))
     return best.select("outline", "size", F.col("ref").alias("id"), "other")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,9 +80,20 @@ def polygon_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([K.polygon_distance(K.as_ring(p), K.as_ring(q)) for p, q in zip(a, b)], dtype=float)
 
 
+#: Pairs of more points are computed each time, as what is remembered has to stay small.
+REMEMBERED_POINTS = 1000
+
+
+@lru_cache(maxsize=16384)
+def _common_area(p: tuple, q: tuple) -> float:
+    """Equal pairs of outlines share their area."""
+    return K.intersection_area(list(p), list(q))
+
+
 @F.pandas_udf(T.DoubleType())
 def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([K.intersection_area(K.as_ring(p), K.as_ring(q)) for p, q in zip(a, b)], dtype=float)
+    pairs = ((tuple(K.as_ring(p)), tuple(K.as_ring(q))) for p, q in zip(a, b))
+    return pd.Series([(_common_area if len(p) + len(q) <= REMEMBERED_POINTS else _common_area.__wrapped__)(p, q) for p, q in pairs], dtype=float)
 
 
 def try_moves(placed: DataFrame, copies: DataFrame, moves: DataFrame, gap: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from selvage.functions import kernels as K
 from selvage.operators import cells as C
+from selvage.operators import summary as M
 from selvage.operators import tracing as V
 from selvage.plans import rules
 
@@ -50,3 +51,25 @@ def test_equal_cells_are_united_once(monkeypatch):
     apart = (SQUARE[:4], tuple((x + 90.0, y) for x, y in SQUARE[:4]))
     got = [C._united(rings, 1.0, 1.0) for rings in (two, apart, two, apart)]
     assert len(calls) == 2 and got[0] == got[2] and got[0][1] is None and got[1] == got[3] == (None, "geom.partsDisconnected")
+
+
+def sent_whole(frame):
+    """Joins of the plan that send one side through the driver."""
+    return [line.strip() for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+
+
+def cell_rows(spark, shift, n=40):
+    rows = spark.range(n).selectExpr("CAST(id AS string) AS outline", "'s' AS size", "id", "CAST(5 + id % 3 AS double) AS w")
+    return rows.selectExpr("outline", "size", "id", f"array(array({shift}, 0D), array(w + {shift}, 0D), array(w + {shift}, 4D), array({shift}, 4D)) AS ring")
+
+
+def test_cells_are_mapped_without_a_broadcast(spark):
+    got = C.map_cells(cell_rows(spark, "0D").drop("size"), cell_rows(spark, "1D"), M.intersection_area)
+    assert not sent_whole(got) and got.where("id = other").count() == 40
+
+
+def test_equal_pairs_have_one_common_area(monkeypatch):
+    M._common_area.cache_clear()
+    calls = counted(monkeypatch, K, "intersection_area")
+    other = tuple((x + 4.0, y) for x, y in SQUARE[:4])
+    assert [M._common_area(SQUARE[:4], q) for q in (other, SQUARE[:4], other)] == [45.0, 81.0, 45.0] and len(calls) == 2
