@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from selvage.functions import geometry as G
 from selvage.functions import text as X
+from selvage.operators.groups import dealt
 
 # Tolerances in points, and sides of usual test squares in cm.
 FURNITURE_PT, ASSEMBLY_PT, MATCH_PT = 0.3, 0.2, 0.6
@@ -237,8 +238,9 @@ def group_by_overlap(rings: DataFrame, references: DataFrame, overlap, cell: flo
     its common lower corner only.  A cell is as wide as the widest side of half
     the references, unless ``cell`` says otherwise.
     """
-    r = rings.select(F.col("id").alias("ring"), F.col("outline").alias("o1"), G.bbox("outline").alias("b1"), G.area("outline").alias("a1"))
-    s = references.select(F.col("id").alias("ref"), F.col("outline").alias("o2"), G.bbox("outline").alias("b2"), G.area("outline").alias("a2"))
+    # equal outlines share their reference, so each is compared once; of equal references the smallest counts
+    r = rings.select(F.col("outline").alias("o1")).distinct().select("o1", G.bbox("o1").alias("b1"), G.area("o1").alias("a1"))
+    s = references.groupBy(F.col("outline").alias("o2")).agg(F.min("id").alias("ref")).select("ref", "o2", G.bbox("o2").alias("b2"), G.area("o2").alias("a2"))
     if cell is None:
         cell = s.agg(F.percentile_approx(F.greatest("b2.width", "b2.height"), 0.5)).first()[0] or 1.0
 
@@ -247,12 +249,13 @@ def group_by_overlap(rings: DataFrame, references: DataFrame, overlap, cell: flo
             rows = rows.withColumn("c" + c, F.explode(F.sequence(F.floor(F.col(f"{box}.min_{c}") / cell), F.floor(F.col(f"{box}.max_{c}") / cell))))
         return rows
 
-    near = listed(r, "b1").join(listed(s, "b2"), ["cx", "cy"]).where((F.col("b1.max_x") >= F.col("b2.min_x")) & (F.col("b2.max_x") >= F.col("b1.min_x")) & (F.col("b1.max_y") >= F.col("b2.min_y")) & (F.col("b2.max_y") >= F.col("b1.min_y")))
+    near = listed(r, "b1").join(dealt(listed(s, "b2")), ["cx", "cy"]).where((F.col("b1.max_x") >= F.col("b2.min_x")) & (F.col("b2.max_x") >= F.col("b1.min_x")) & (F.col("b1.max_y") >= F.col("b2.min_y")) & (F.col("b2.max_y") >= F.col("b1.min_y")))
     corner = [F.floor(F.greatest(f"b1.min_{c}", f"b2.min_{c}") / cell) == F.col("c" + c) for c in "xy"]
     # the boxes' common part bounds the shared area, so most pairs need no exact one
     common = [F.least(f"b1.max_{c}", f"b2.max_{c}") - F.greatest(f"b1.min_{c}", f"b2.min_{c}") for c in "xy"]
     near = near.where(corner[0] & corner[1] & (common[0] * common[1] >= 0.5 * F.least("a1", "a2"))).withColumn("shared", overlap("o1", "o2")).where((F.col("shared") > 0) & (F.col("shared") / F.least("a1", "a2") >= 0.5))
-    best = near.groupBy("ring").agg(F.min(F.struct((-F.col("shared")).alias("less"), "ref")).alias("best"))
+    best = near.groupBy("o1").agg(F.min(F.struct((-F.col("shared")).alias("less"), "ref")).alias("best"))
+    best = rings.select(F.col("id").alias("ring"), F.col("outline").alias("o1")).join(dealt(best), "o1").groupBy("ring").agg(F.min("best").alias("best"))
     return best.select("ring", "best.ref", (-F.col("best.less")).alias("shared"))
 
 
