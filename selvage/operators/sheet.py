@@ -276,9 +276,12 @@ def nearest_segment(taps: DataFrame, rows: DataFrame, cell: float = 20.0) -> Dat
     """
     steps = F.greatest(F.lit(1), F.ceil(G.distance(F.col("a"), F.col("b")) / (cell / 2))).cast("int")
     samples = F.transform(F.sequence(F.lit(0), steps), lambda k: F.struct(*(F.floor((F.col("a")[i] + (F.col("b")[i] - F.col("a")[i]) * k / steps) / cell).alias(c) for i, c in enumerate(("cx", "cy")))))
-    listed = rows.withColumn("c", F.explode(F.array_distinct(samples))).select("doc", "owner", "a", "b", "c.cx", "c.cy")
+    # equal taps and equal segments are one
+    listed = rows.select("doc", "owner", "a", "b").distinct().withColumn("c", F.explode(F.array_distinct(samples))).select("doc", "owner", "a", "b", "c.cx", "c.cy")
     reach = F.col("tolerance") + cell / 2
-    around = taps.withColumn("cx", F.explode(F.sequence(F.floor((F.col("x") - reach) / cell), F.floor((F.col("x") + reach) / cell)))).withColumn(
+    spot = ["doc", "x", "y", "tolerance"]
+    around = taps.select(*spot).distinct().withColumn("cx", F.explode(F.sequence(F.floor((F.col("x") - reach) / cell), F.floor((F.col("x") + reach) / cell)))).withColumn(
         "cy", F.explode(F.sequence(F.floor((F.col("y") - reach) / cell), F.floor((F.col("y") + reach) / cell))))
-    near = around.join(listed, ["doc", "cx", "cy"]).withColumn("distance", G.point_segment_distance(F.array("x", "y"), F.col("a"), F.col("b"))).where(F.col("distance") <= F.col("tolerance"))
-    return near.groupBy("tap").agg(F.min(F.struct("distance", "owner")).alias("m")).select("tap", "m.owner", "m.distance")
+    near = around.join(dealt(listed), ["doc", "cx", "cy"]).withColumn("distance", G.point_segment_distance(F.array("x", "y"), F.col("a"), F.col("b"))).where(F.col("distance") <= F.col("tolerance"))
+    best = near.groupBy(*spot).agg(F.min(F.struct("distance", "owner")).alias("m"))
+    return taps.join(dealt(best), spot).groupBy("tap").agg(F.min("m").alias("m")).select("tap", "m.owner", "m.distance")
