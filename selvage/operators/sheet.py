@@ -61,7 +61,7 @@ def _twins(rows: DataFrame, keys: list[str], within: float, strict: bool) -> Dat
     around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
     left = cell.withColumn("d", F.explode(around)).select(*keys, F.col("row").alias("i"), F.col("points").alias("pi"), (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
     right = cell.select(*keys, F.col("row").alias("j"), F.col("points").alias("pj"), "cx", "cy")
-    return left.join(right, [*keys, "cx", "cy"]).where((F.size("pi") == F.size("pj")) & _close(F.col("pi"), F.col("pj"), within, strict)).drop("cx", "cy", "pi", "pj")
+    return left.join(dealt(right), [*keys, "cx", "cy"]).where((F.size("pi") == F.size("pj")) & _close(F.col("pi"), F.col("pj"), within, strict)).drop("cx", "cy", "pi", "pj")
 
 
 def numbered(subpaths: DataFrame) -> DataFrame:
@@ -69,18 +69,24 @@ def numbered(subpaths: DataFrame) -> DataFrame:
     return subpaths.withColumn("row", F.row_number().over(Window.partitionBy("doc").orderBy("page", "path", "sub")))
 
 
+def _repeated_shapes(subpaths: DataFrame, pages: DataFrame) -> DataFrame:
+    """``doc, points`` of what furniture looks like.  Equal subpaths of a document are one shape with the pages that it is on."""
+    equal = subpaths.groupBy("doc", "points").agg(F.collect_set("page").alias("pages")).withColumn("row", F.col("points")).withColumn("n", F.size("points"))
+    on = equal.select("doc", F.col("row").alias("j"), F.explode("pages").alias("page"))
+    seen = _twins(equal, ["doc", "n"], FURNITURE_PT, strict=False).join(dealt(on), ["doc", "j"]).groupBy("doc", F.col("i").alias("points")).agg(F.count_distinct("page").alias("on"))
+    need = pages.groupBy("doc").agg(F.greatest(F.lit(2), F.ceil(F.count("*") / 2)).alias("need"))
+    return seen.join(dealt(need), "doc").where("on >= need").select("doc", "points")
+
+
 def furniture(subpaths: DataFrame, pages: DataFrame) -> DataFrame:
     """``doc, row`` of subpaths found at the same place on at least half of a document's pages, and two."""
-    rows = numbered(subpaths).withColumn("n", F.size("points"))
-    pairs = _twins(rows, ["doc", "n"], FURNITURE_PT, strict=False).join(rows.select("doc", F.col("row").alias("j"), "page"), ["doc", "j"])
-    seen = pairs.groupBy("doc", F.col("i").alias("row")).agg(F.count_distinct("page").alias("on"))
-    need = pages.groupBy("doc").agg(F.greatest(F.lit(2), F.ceil(F.count("*") / 2)).alias("need"))
-    return seen.join(need, "doc").where("on >= need").select("doc", "row")
+    return numbered(subpaths).join(dealt(_repeated_shapes(subpaths, pages)), ["doc", "points"], "left_semi").select("doc", "row")
 
 
 def content(subpaths: DataFrame, pages: DataFrame) -> DataFrame:
     """Subpaths that aren't page furniture."""
-    return numbered(subpaths).join(furniture(subpaths, pages), ["doc", "row"], "left_anti")
+    rows = numbered(subpaths)
+    return rows.join(dealt(_repeated_shapes(subpaths, pages)), ["doc", "points"], "left_anti").select(*rows.columns)
 
 
 def page_matches(subpaths: DataFrame, top: int = 4) -> DataFrame:

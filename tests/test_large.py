@@ -1,7 +1,11 @@
 """What lets queries run on larger tables: equal inputs are computed once, rows stay small, nothing whole goes to the driver."""
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from selvage.functions import kernels as K
 from selvage.operators import cells as C
+from selvage.operators import sheet as S
 from selvage.operators import summary as M
 from selvage.operators import tracing as V
 from selvage.plans import rules
@@ -73,3 +77,39 @@ def test_equal_pairs_have_one_common_area(monkeypatch):
     calls = counted(monkeypatch, K, "intersection_area")
     other = tuple((x + 4.0, y) for x, y in SQUARE[:4])
     assert [M._common_area(SQUARE[:4], q) for q in (other, SQUARE[:4], other)] == [45.0, 81.0, 45.0] and len(calls) == 2
+
+
+def test_overlaps_of_equal_outlines(spark, monkeypatch):
+    """Many rings and references at few places: each pair of places is compared once, the smallest of equal references counts."""
+    box = lambda x: [[x, 0.0], [x + 8.0, 0.0], [x + 8.0, 8.0], [x, 8.0]]
+    rings = spark.createDataFrame([(k, box(20.0 * (k % 3))) for k in range(300)], "id long, outline array<array<double>>")
+    refs = spark.createDataFrame([(1000 - k, box(20.0 * (k % 3) + 1.0)) for k in range(300)], "id long, outline array<array<double>>")
+    pairs = spark.sparkContext.accumulator(0)
+
+    def seen(a, b):
+        def area(p: pd.Series, q: pd.Series) -> pd.Series:
+            pairs.add(len(p))
+            return pd.Series([K.intersection_area(K.as_ring(x), K.as_ring(y)) for x, y in zip(p, q)], dtype=float)
+
+        return F.pandas_udf(area, "double")(a, b)
+
+    got = {r["ring"]: (r["ref"], r["shared"]) for r in S.group_by_overlap(rings, refs, seen).collect()}
+    assert got == {k: ({0: 703, 1: 702, 2: 701}[k % 3], 56.0) for k in range(300)} and pairs.value < 100
+
+
+def test_taps_and_segments_of_one_place(spark):
+    """Equal taps on equal segments don't multiply."""
+    taps = spark.range(2000).selectExpr("id AS tap", "id % 2 AS doc", "5D AS x", "2D AS y", "6D AS tolerance")
+    lines = spark.range(2000).selectExpr("id % 2 AS doc", "1 AS page", "concat('s', id % 3) AS owner", "array(0D, 0D) AS a", "array(10D, 0D) AS b")
+    got = S.nearest_segment(taps, lines)
+    assert not sent_whole(got) and {tuple(r) for r in got.select("tap", "owner", "distance").collect()} == {(k, "s0", 2.0) for k in range(2000)}
+
+
+def test_furniture_of_equal_shapes(spark):
+    """Frames that nearly coincide on the pages go, the many equal shapes of one page stay."""
+    rows = spark.range(1200).selectExpr("id % 2 AS doc", "CAST(id % 4 DIV 2 + 1 AS int) AS page", "id AS path", "0 AS sub", "array(array(id % 2 + 0.1D * (id % 4 DIV 2), 1D), array(9D, 9D)) AS points")
+    other = spark.range(500).selectExpr("id % 2 AS doc", "1 AS page", "5000 + id AS path", "0 AS sub", "array(array(50D, 1D), array(59D, 9D)) AS points")
+    pages = spark.range(8).selectExpr("id % 2 AS doc", "CAST(id DIV 2 + 1 AS int) AS page").where("page < 3")
+    got = S.content(rows.union(other), pages)
+    assert not sent_whole(got) and got.groupBy("doc").count().orderBy("doc").collect() == [(0, 250), (1, 250)]
+    assert S.furniture(rows.union(other), pages).count() == 1200
