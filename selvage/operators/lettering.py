@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selvage.operators import rounds as R
+from selvage.operators.groups import dealt
 
 # Largest glyph, its subpaths, points of a complex one, gap as a share of the size, glyphs of a lettering, rim around it.
 GLYPH_PT, GLYPH_PARTS, COMPLEX_POINTS, GAP, LEAST, RIM_PT = 20.0, 2, 6, 0.8, 4, 2.0
@@ -44,9 +45,9 @@ def groups(found: DataFrame) -> DataFrame:
     cells = nodes.withColumn("cx", F.floor(F.col("x0") / CELL_PT)).withColumn("cy", F.floor(F.col("y0") / CELL_PT)).drop("paths")
     around = cells.select("doc", "color", *(F.col(c).alias(c + "b") for c in ("id", *_BOX, "size")), F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy")
     around = around.withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
-    near = cells.join(around, ["doc", "color", "cx", "cy"]).where((F.col("id") < F.col("idb")) & (_gap() <= GAP * F.greatest("size", "sizeb")))
+    near = cells.join(dealt(around), ["doc", "color", "cx", "cy"]).where((F.col("id") < F.col("idb")) & (_gap() <= GAP * F.greatest("size", "sizeb")))
     links = near.select("doc", F.col("id").alias("a"), F.col("idb").alias("b"))
-    return R.components(nodes.select("doc", "id"), links).join(nodes, ["doc", "id"]).select("doc", "color", "root", F.explode("paths").alias("path"), *_BOX)
+    return R.components(nodes.select("doc", "id"), links).join(dealt(nodes), ["doc", "id"]).select("doc", "color", "root", F.explode("paths").alias("path"), *_BOX)
 
 
 def letterings(grouped: DataFrame) -> DataFrame:
@@ -70,10 +71,10 @@ def lettering_paths(subpaths: DataFrame) -> DataFrame:
     for k, c in enumerate(("cx", "cy")):
         wide = wide.withColumn(c, F.explode(F.sequence(F.floor((F.col(_BOX[k]) - RIM_PT) / cell), F.floor((F.col(_BOX[k + 2]) + RIM_PT) / cell))))
     inside = F.col("mx").between(F.col("x0") - RIM_PT, F.col("x1") + RIM_PT) & F.col("my").between(F.col("y0") - RIM_PT, F.col("y1") + RIM_PT)
-    within = simple.join(wide, ["doc", "color", "cx", "cy"]).where(inside).select("doc", "path")
-    return grouped.join(own.select("doc", "root"), ["doc", "root"], "left_semi").select("doc", "path").union(within).distinct()
+    within = simple.join(dealt(wide), ["doc", "color", "cx", "cy"]).where(inside).select("doc", "path")
+    return grouped.join(dealt(own.select("doc", "root")), ["doc", "root"], "left_semi").select("doc", "path").union(within).distinct()
 
 
 def without_lettering(subpaths: DataFrame) -> DataFrame:
     """Subpaths of everything but lettering; ``subpaths(doc, path, sub, points, style)``."""
-    return subpaths.join(lettering_paths(subpaths), ["doc", "path"], "left_anti")
+    return subpaths.join(dealt(lettering_paths(subpaths)), ["doc", "path"], "left_anti")

@@ -1,6 +1,7 @@
 """What lets queries run on larger tables: equal inputs are computed once, rows stay small, nothing whole goes to the driver."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from selvage.functions import kernels as K
@@ -8,7 +9,7 @@ from selvage.operators import cells as C
 from selvage.operators import sheet as S
 from selvage.operators import summary as M
 from selvage.operators import tracing as V
-from selvage.plans import rules
+from selvage.plans import registry, rules, sheets  # noqa: F401 (rules and sheets register their queries)
 
 
 def counted(monkeypatch, where, name):
@@ -113,3 +114,9 @@ def test_furniture_of_equal_shapes(spark):
     got = S.content(rows.union(other), pages)
     assert not sent_whole(got) and got.groupBy("doc").count().orderBy("doc").collect() == [(0, 250), (1, 250)]
     assert S.furniture(rows.union(other), pages).count() == 1200
+
+
+@pytest.mark.parametrize("name", ["lettering_removed", "chain_order", "grain_angles", "built_patterns"])
+def test_no_table_is_sent_whole(spark, small, name):
+    """Small tables too: what Spark takes for small by its files is no measure of what the driver would hold."""
+    assert not [join for join in sent_whole(registry.QUERIES[name](spark, small)) if "BroadcastHashJoin" in join]
