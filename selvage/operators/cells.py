@@ -27,9 +27,9 @@ START_SHARE = 0.5
 
 def connected(cells: DataFrame, borders: DataFrame, selected: DataFrame) -> DataFrame:
     """``outline, connected``: the selected cells of each outline hang together; ids that don't exist are ignored."""
-    nodes = cells.join(selected.select("outline", "id").distinct(), ["outline", "id"]).select(F.col("outline").alias("doc"), "id")
+    nodes = cells.join(dealt(selected.select("outline", "id").distinct()), ["outline", "id"]).select(F.col("outline").alias("doc"), "id")
     ends = [nodes.select("doc", F.col("id").alias(c)) for c in "ab"]
-    links = borders.where("shared > 0").select(F.col("outline").alias("doc"), "a", "b").join(ends[0], ["doc", "a"], "left_semi").join(ends[1], ["doc", "b"], "left_semi")
+    links = borders.where("shared > 0").select(F.col("outline").alias("doc"), "a", "b").join(dealt(ends[0]), ["doc", "a"], "left_semi").join(dealt(ends[1]), ["doc", "b"], "left_semi")
     groups = R.components(nodes, links)
     return groups.groupBy(F.col("doc").alias("outline")).agg((F.min("root") == F.max("root")).alias("connected"))
 
@@ -61,24 +61,24 @@ def absorbed(cells: DataFrame, borders: DataFrame, cm_per_pt: float) -> DataFram
     beside = borders.where("shared > 0").select("outline", F.col("a").alias("id"), "b", "shared")
     while True:
         given = state.where("head IS NOT NULL").select("outline", F.col("id").alias("b"), F.col("head").alias("to"))
-        new = state.where("head IS NULL").join(beside, ["outline", "id"]).join(given, ["outline", "b"]).groupBy("outline", "id").agg(F.max_by("to", F.struct("shared", -F.col("b"))).alias("to"))
+        new = state.where("head IS NULL").join(dealt(beside), ["outline", "id"]).join(dealt(given), ["outline", "b"]).groupBy("outline", "id").agg(F.max_by("to", F.struct("shared", -F.col("b"))).alias("to"))
         new = R.written(new, "absorbed")
         if new.isEmpty():
             return state.where("head IS NOT NULL")
         before = state
-        state = R.written(state.join(new, ["outline", "id"], "left").select("outline", "id", F.coalesce("head", "to").alias("head")), "heads")
+        state = R.written(state.join(dealt(new), ["outline", "id"], "left").select("outline", "id", F.coalesce("head", "to").alias("head")), "heads")
         R.remove(before, new)
 
 
 def _graph(cells: DataFrame, borders: DataFrame, cm_per_pt: float) -> tuple[DataFrame, DataFrame]:
     """``outline, id, head``, and a row for each outline: ``heads array<struct<n, head, size, near>>``, where ``near`` holds the places of a head's neighbours in it."""
     owner = absorbed(cells, borders, cm_per_pt)
-    sizes = owner.join(cells.select("outline", "id", "area"), ["outline", "id"]).groupBy("outline", "head").agg(F.sum("area").alias("size"))
+    sizes = owner.join(dealt(cells.select("outline", "id", "area")), ["outline", "id"]).groupBy("outline", "head").agg(F.sum("area").alias("size"))
     heads = R.written(sizes.withColumn("n", F.row_number().over(Window.partitionBy("outline").orderBy("head")) - 1), "numbered-heads")
     wide = borders.where((F.col("shared") * cm_per_pt * 10 >= BORDER_MIN_MM) & (F.col("a") != F.col("b"))).select("outline", F.col("a").alias("head"), "b").distinct()
-    wide = wide.join(heads.select("outline", "head", "n"), ["outline", "head"]).join(heads.select("outline", F.col("head").alias("b"), F.col("n").alias("m")), ["outline", "b"])
+    wide = wide.join(dealt(heads.select("outline", "head", "n")), ["outline", "head"]).join(dealt(heads.select("outline", F.col("head").alias("b"), F.col("n").alias("m"))), ["outline", "b"])
     beside = wide.groupBy("outline", "head").agg(F.array_sort(F.collect_list("m")).alias("near"))
-    each = heads.join(beside, ["outline", "head"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<int>")))
+    each = heads.join(dealt(beside), ["outline", "head"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<int>")))
     return owner, each.groupBy("outline").agg(F.array_sort(F.collect_list(F.struct("n", "head", "size", "near"))).alias("heads"))
 
 
@@ -100,7 +100,7 @@ def _spread(owner: DataFrame, graph: DataFrame, start: Column, name: str) -> Dat
     found = graph.withColumn("start", start).where("start IS NOT NULL").withColumn("levels", _levels(F.col("start"))).where(F.size("levels") == F.size("heads"))
     named = F.transform("levels", lambda l: F.struct(F.get("heads", l["n"])["head"].alias("head"), l["level"].alias("level")))
     rows = found.select("outline", F.explode(named).alias("l")).select("outline", "l.head", F.col("l.level").alias(name))
-    return owner.join(rows, ["outline", "head"]).select("outline", "id", name)
+    return owner.join(dealt(rows), ["outline", "head"]).select("outline", "id", name)
 
 
 def _largest(heads: Column) -> Column:
