@@ -14,6 +14,7 @@ from selvage.functions import geometry as G
 from selvage.functions import text as X
 from selvage.operators import building as B
 from selvage.operators import cells as C
+from selvage.operators.groups import dealt
 from selvage.sources import documents as J
 
 RECTANGLES = "doc string, pos int, name string, cut array<struct<material:string,count:int>>, optional boolean, variant string, variant_group string, sizes map<string,struct<width:double,height:double>>"
@@ -56,7 +57,7 @@ def build_pattern(outlines: DataFrame, drafts: DataFrame, meta: DataFrame, cells
     """
     reference = outlines.where("reference").select("doc", "candidate", F.col("size").alias("ref_size"), F.col("ring").alias("ref_ring"))
     edged = B.with_fold_edges(reference.withColumn("outline", G.open_ring("ref_ring")), cm_per_pt).drop("outline")
-    chosen = drafts.where("include").join(edged, ["doc", "candidate"], "left")
+    chosen = drafts.where("include").join(dealt(edged), ["doc", "candidate"], "left")
     gone = chosen.where("ref_size IS NULL").select("doc", "pos", F.lit("build.pieceGone").alias("code"))
     chosen = chosen.where("ref_size IS NOT NULL").withColumn("edge", F.get("fold_edges", F.col("fold_edge"))).drop("fold_edges")
     variants = chosen.select("*", F.posexplode_outer("variants").alias("v", "option")).drop("variants")
@@ -65,22 +66,22 @@ def build_pattern(outlines: DataFrame, drafts: DataFrame, meta: DataFrame, cells
 
     # a row for each piece and size it may have
     order = meta.select("doc", F.posexplode("sizes").alias("at", "size"))
-    wanted = variants.select("doc", "pos", "v", "candidate", "option", "all_sizes", "ref_size", "ref_ring", "grain", "edge").join(order, "doc")
+    wanted = variants.select("doc", "pos", "v", "candidate", "option", "all_sizes", "ref_size", "ref_ring", "grain", "edge").join(dealt(order), "doc")
     wanted = wanted.withColumn("source", F.when(F.col("all_sizes"), F.col("ref_size")).otherwise(F.col("size")))
     own = outlines.select("doc", "candidate", F.col("size").alias("source"), "ring")
-    plain = wanted.where("v < 0").join(own, ["doc", "candidate", "source"]).select("doc", "pos", "v", "at", "size", "ring", "ref_ring", "grain", "edge")
+    plain = wanted.where("v < 0").join(dealt(own), ["doc", "candidate", "source"]).select("doc", "pos", "v", "at", "size", "ring", "ref_ring", "grain", "edge")
 
     has_outline = own.select("doc", "candidate", "source").distinct()
-    joined = wanted.where("v >= 0").join(has_outline, ["doc", "candidate", "source"], "left_semi")
+    joined = wanted.where("v >= 0").join(dealt(has_outline), ["doc", "candidate", "source"], "left_semi")
     ids = joined.withColumn("ids", F.array_distinct(F.element_at("option.cells", F.col("source")))).where("size(ids) > 0")
     each = ids.select("doc", "pos", "v", "candidate", "source", "at", F.explode("ids").alias("id")).join(
-        cells.select("doc", "candidate", F.col("size").alias("source"), "id", "ring"), ["doc", "candidate", "source", "id"], "left")
+        dealt(cells.select("doc", "candidate", F.col("size").alias("source"), "id", "ring")), ["doc", "candidate", "source", "id"], "left")
     missing = each.where("ring IS NULL").select("doc", "pos", F.lit("build.cellMissing").alias("code"))
     key = F.concat_ws("\0", "doc", F.col("pos").cast("string"), F.col("v").cast("string"), F.col("at").cast("string"))
     united = C.union_cells(each.where("ring IS NOT NULL").select(key.alias("outline"), "id", G.open_ring("ring").alias("ring")), cm_per_pt, pixel_mm)
-    formed = ids.withColumn("outline", key).join(united, "outline")
+    formed = ids.withColumn("outline", key).join(dealt(united), "outline")
     apart = formed.where("error IS NOT NULL").select("doc", "pos", F.lit("build.variantUnion").alias("code"))
-    sizeless = variants.where("v >= 0").join(ids.select("doc", "pos", "v").distinct(), ["doc", "pos", "v"], "left_anti").select("doc", "pos", F.lit("build.variantNoSizes").alias("code"))
+    sizeless = variants.where("v >= 0").join(dealt(ids.select("doc", "pos", "v").distinct()), ["doc", "pos", "v"], "left_anti").select("doc", "pos", F.lit("build.variantNoSizes").alias("code"))
     problems = gone.union(unnamed).union(missing).union(apart).union(sizeless).distinct()
 
     rings = plain.union(formed.where("error IS NULL").select(*plain.columns))
@@ -88,7 +89,7 @@ def build_pattern(outlines: DataFrame, drafts: DataFrame, meta: DataFrame, cells
     shapes = B.build_shapes(snapped.withColumn("reference", F.col("ref_ring")), cm_per_pt)
     sized = shapes.select(F.lit(0).alias("part"), "doc", "pos", "v", "at", "size", F.col("shape").cast(_SHAPE).alias("shape"))
 
-    rect = rectangles.select("doc", "pos", F.explode("sizes").alias("size", "m")).join(order, ["doc", "size"])
+    rect = rectangles.select("doc", "pos", F.explode("sizes").alias("size", "m")).join(dealt(order), ["doc", "size"])
     flat = B.rectangle_shape(F.col("m.width"), F.col("m.height"))
     flat = F.struct(flat["outline"].alias("outline"), F.lit(None).cast(G.RING).alias("fold"), flat["bbox"].alias("bbox"), flat["area"].alias("area"))
     sized = sized.union(rect.select(F.lit(1).alias("part"), "doc", "pos", F.lit(-1).alias("v"), "at", "size", flat.cast(_SHAPE).alias("shape")))
@@ -107,7 +108,7 @@ def build_pattern(outlines: DataFrame, drafts: DataFrame, meta: DataFrame, cells
     heads = heads.union(rectangles.select(
         F.lit(1), "doc", "pos", F.lit(-1), F.coalesce(F.nullif(X.slug("name"), F.lit("")), F.concat(F.lit("rectangle-"), (F.col("pos") + 1).cast("string"))), name, cut, optional,
         _filled(F.col("variant")), _filled(F.col("variant_group"))))
-    whole = heads.join(sized, ["doc", "part", "pos", "v"], "left")
+    whole = heads.join(dealt(sized), ["doc", "part", "pos", "v"], "left")
     none = F.lit(None).cast("string")
     piece = F.struct(
         F.col("base").alias("id"), "name", "cut", "optional", "variant", "variantGroup", none.alias("note"), none.alias("seamAllowance"),
@@ -115,7 +116,7 @@ def build_pattern(outlines: DataFrame, drafts: DataFrame, meta: DataFrame, cells
     made = whole.groupBy("doc").agg(_by(F.collect_list(F.struct(F.struct("part", "pos", "v").alias("ord"), piece.alias("piece"))), "ord").alias("all"))
     made = made.withColumn("taken", ids_in_order(F.transform("all", lambda x: x["piece"]["id"])))
     made = made.select("doc", F.transform("all", lambda x, i: x["piece"].withField("id", F.get("taken", i))).alias("pieces"))
-    out = meta.join(problems.select("doc").distinct(), "doc", "left_anti").join(made, "doc", "left")
+    out = meta.join(dealt(problems.select("doc").distinct()), "doc", "left_anti").join(dealt(made), "doc", "left")
     out = out.withColumn("pieces", F.coalesce("pieces", F.array().cast(J.PATTERN["pieces"].dataType)))
     held = F.flatten(F.transform("pieces", lambda p: F.map_keys(p["sizes"])))
     return out.select(
