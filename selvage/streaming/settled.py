@@ -35,44 +35,61 @@ def settled_batch(events: DataFrame, wait_ms: int, cancels: list[str]) -> DataFr
 
 
 class _Settling(StatefulProcessor):
-    """State of a key: what waits, by time and number, and how many events of its run have been judged."""
+    """State of a key, read and written once for all its rows: what waits, by time and number, how many events of its run have been judged, and the one timer, for the first that waits."""
 
     def __init__(self, wait_ms: int, cancels: list[str]) -> None:
         self.wait, self.cancels = wait_ms * 1000, set(cancels)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, event long", "kind string")
-        self.run = handle.getValueState("run", "changes long")
+        self.state = handle.getValueState("waiting", "at array<long>, event array<long>, kind array<string>, judged long, timer long")
+
+    def _read(self) -> tuple[dict[tuple[int, int], str], int, int | None]:
+        if not self.state.exists():
+            return {}, 0, None
+        at, event, kind, judged, timer = self.state.get()
+        return dict(zip(zip(at, event), kind)), judged, timer
+
+    def _write(self, waiting: dict[tuple[int, int], str], judged: int, timer: int | None) -> None:
+        """Keeps what waits, with a timer for its first event; ``timer`` is the one that is set."""
+        due = self._due(min(waiting)[0]) if waiting else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.state.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.state.update(([at for at, _ in waiting], [event for _, event in waiting], list(waiting.values()), judged, due))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        waiting, judged, timer = self._read()
         for part in rows:
-            for at, event, kind in zip(part["at"].tolist(), part["event"].tolist(), part["kind"].tolist()):
-                self.waiting.updateValue((at, event), (kind,))
-                self.handle.registerTimer(self._due(at))
-        yield pd.DataFrame({"key": [], "event": [], "at": [], "changes": []})
+            waiting.update(zip(zip(part["at"].tolist(), part["event"].tolist()), part["kind"].tolist()))
+        self._write(waiting, judged, timer)
+        return iter(())
 
     def _due(self, at: int) -> int:
         """Milliseconds when the waiting of an event is surely over."""
         return (at + self.wait) // 1000 + 1
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        waiting = sorted(k for k in self.waiting.keys())
+        over = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        waiting, changes, _ = self._read()
         out = []
-        for k, (at, event) in enumerate(waiting):
-            if self._due(at) > due:
+        order = sorted(waiting)
+        for (at, event), following in zip(order, [*order[1:], None]):
+            if self._due(at) > over:
                 break
-            changes = (self.run.get()[0] if self.run.exists() else 0) + 1
-            follows = k + 1 < len(waiting) and waiting[k + 1][0] - at <= self.wait
-            if follows:
-                self.run.update((changes,))
-            else:
-                if self.waiting.getValue((at, event))[0] not in self.cancels:
+            changes += 1
+            kind = waiting.pop((at, event))
+            if following is None or following[0] - at > self.wait:
+                if kind not in self.cancels:
                     out.append((key[0], event, at, changes))
-                self.run.clear()
-            self.waiting.removeKey((at, event))
-        yield pd.DataFrame(out, columns=["key", "event", "at", "changes"])
+                changes = 0
+        self._write(waiting, changes, None)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "event", "at", "changes"])
 
     def close(self) -> None:
         pass
