@@ -120,3 +120,10 @@ def test_furniture_of_equal_shapes(spark):
 def test_no_table_is_sent_whole(spark, small, name):
     """Small tables too: what Spark takes for small by its files is no measure of what the driver would hold."""
     assert not [join for join in sent_whole(registry.QUERIES[name](spark, small)) if "BroadcastHashJoin" in join]
+
+
+@pytest.mark.parametrize("name,shuffles", [("order_cuts", 2), ("order_piece_counts", 2)])
+def test_order_lines_are_shuffled_once(spark, small, name, shuffles):
+    """Lines and patterns are dealt out by pattern; what a line cuts is decided in its row."""
+    plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == shuffles
