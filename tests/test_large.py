@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from selvage.functions import kernels as K
 from selvage.operators import cells as C
+from selvage.operators import nesting as N
 from selvage.operators import sheet as S
 from selvage.operators import summary as M
 from selvage.operators import tracing as V
@@ -127,3 +128,21 @@ def test_order_lines_are_shuffled_once(spark, small, name, shuffles):
     """Lines and patterns are dealt out by pattern; what a line cuts is decided in its row."""
     plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == shuffles
+
+
+def test_equal_small_markers_are_nested_once(monkeypatch):
+    N._nested.cache_clear()
+    calls = counted(monkeypatch, N, "nest")
+    pieces = [[N.Piece(f"{k}:{i}", [(0.0, 0.0), (w, 0.0), (w, 30.0), (0.0, 30.0)]) for i, w in enumerate((100.0, 60.0))] for k in range(3)]
+    options = N.Options(gap=0.0, resolution=1.0)
+    got = [N.nested(p, N.Fabric(140.0), options)[1] for p in pieces]
+    assert len(calls) == 1 and [[x.key for x in r.placements] for r in got] == [[f"{k}:0", f"{k}:1"] for k in range(3)] and got[0].used_length == 60.0
+    narrow = N.nested(pieces[0], N.Fabric(80.0), options)[1]
+    assert narrow.unplaced == ["0:0"] and len(calls) == 2
+
+
+def test_markers_without_their_copies(spark, small):
+    copies = registry.single_copies(spark, small).where("run_id < 30")
+    whole = N.markers(N.nest_copies(copies, registry.OPTIONS))
+    got = N.nest_markers(copies, registry.OPTIONS)
+    assert got.columns == whole.columns and sorted(got.collect()) == sorted(whole.collect()) and not sent_whole(registry.single_copies(spark, small))[1:]
